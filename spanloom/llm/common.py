@@ -60,6 +60,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C13)
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII other than digits and letters.
+PUNCTUATED = np.zeros(256, bool)
+PUNCTUATED[:128] = True
+for _c in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+    PUNCTUATED[_c] = False
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -98,12 +103,12 @@ def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, offs: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each row the index of its first word (one more entry than rows)."""
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    word = ~_SPACE[buf]
+    word = ~breaks[buf]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = word[:-1]
