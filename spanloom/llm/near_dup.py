@@ -39,7 +39,7 @@ def shingle_sets(arr: pa.Array, width: int) -> list[np.ndarray]:
     """Distinct shingle hashes of each text, ascending; of fewer words than width, one of all; none without words."""
     words, first = word_hashes(*text_buffer(arr))
     rolled = words.copy()
-    for k in range(1, width):
+    for k in range(1, min(width, len(words))):
         rolled[: len(words) - k] = mix(rolled[: len(words) - k] * np.uint64(0xC2B2AE3D27D4EB4F)) + words[k:]
     rolled = mix(rolled)
     out = []

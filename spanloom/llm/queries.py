@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import decontaminate, mixing, quality, toxicity, warc
 from .common import table
 from .fingerprints import with_edits
 from .html_text import extract
@@ -22,6 +22,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -38,11 +46,29 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_text, op4_weighted_fingerprints, op5_lm_scoring, op7_token_counts, op8_near_duplicates, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_html_text,
+        op3_warc_segments,
+        op4_weighted_fingerprints,
+        op5_lm_scoring,
+        op6_decontamination,
+        op7_token_counts,
+        op8_near_duplicates,
+        op9_mixing,
+        op10_quality,
+    )
+}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_warc_segments": warc.ORACLE, "op6_decontamination": decontaminate.ORACLE}
