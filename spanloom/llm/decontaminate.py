@@ -52,8 +52,21 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row of docs: id, n_words, n_hit, n_items, items_sha256 and contaminated.
+def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that name a row by its id and text; rows that agree in both have equal results."""
+    return [F.xxhash64(docs[id_col]).alias("k1"), F.xxhash64(docs[text_col], docs[id_col]).alias("k2")]
+
+
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated."""
+    bad = hits(docs, bench, id_col, text_col, keys=True).where("contaminated").select("k1", "k2").distinct()
+    bad = _small(kept(bad, f"{work_dir(docs.sparkSession)}/bad"))
+    one, two = _key(docs, id_col, text_col)
+    return docs.join(bad, (one == bad["k1"]) & (two == bad["k2"]), "left_anti")
+
+
+def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keys: bool = False) -> DataFrame:
+    """Per row of docs: id, n_words, n_hit, n_items, items_sha256 and contaminated (and k1, k2 of _key if keys).
 
     A null text has no words; items without words and null items meet nothing; repeated rows of docs get
     equal results; an item id that repeats counts once; null item ids are left out of the list of items, as
@@ -68,8 +81,7 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     short = sorted(r["size"] for r in of_items.where(F.col("size") < SPAN).select("size").distinct().collect())  # SPAN - 1 at most
 
     text = docs[text_col]
-    key = [F.xxhash64(docs[id_col]).alias("k1"), F.xxhash64(text, docs[id_col]).alias("k2")]
-    split = docs.select(docs[id_col].alias("id"), *key, words_of(text).alias("words"))
+    split = docs.select(docs[id_col].alias("id"), *_key(docs, id_col, text_col), words_of(text).alias("words"))
     base = kept(split.select("id", "k1", "k2", F.size("words").cast("long").alias("n_words"), fingerprints(F.col("words")).alias("marks")), f"{path}/base")
     found = base.select("k1", "k2", F.explode("marks").alias("mark")).join(marks, "mark", "left_semi").select("k1", "k2")
     found = kept(found.distinct(), f"{path}/found")
@@ -83,7 +95,7 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
         met = runs.join(windows, ["name", "size", "run"]).select("k1", "k2", "at", "size", "run").distinct()
         of_docs = met if of_docs is None else of_docs.unionByName(met)
     if of_docs is None:
-        out = base.select("id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"))
+        out = base.select("id", "k1", "k2", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"))
     else:
         met = kept(of_docs, f"{path}/met")
         spans = met.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("past")))).alias("spans"))
@@ -92,8 +104,8 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
         named = named.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
         each = spans.select("k1", "k2", hit.cast("long").alias("n_hit")).join(named, ["k1", "k2"])
         out = base.select("id", "k1", "k2", "n_words").join(each, ["k1", "k2"], "left")
-        out = out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        out = out.select("id", "k1", "k2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *(["k1", "k2"] if keys else []))
 
 
 ORACLE = r"""

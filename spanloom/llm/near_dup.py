@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, mix, partitions, text_buffer, word_hashes, work_dir
@@ -79,8 +79,12 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(docs[text_col], docs[id_col])
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Per row: id, n, node, and once a task for each node its 16-bit signature and first keys of its trees."""
+    """Per row: id, its key (a hash of id and text), n, node, and once a task for each node its 16-bit signature and first keys of its trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -103,10 +107,10 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 for row, k in enumerate(new):
                     signature[k] = values[row].astype("<u2").tobytes()
                     first[k] = keys[row]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(signature, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["id", "n", "node", "signature", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(signature, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["id", "key", "n", "node", "signature", "keys"])
 
-    ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, n long, {NODE}, signature binary, keys array<long>")
+    ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), _row_key(docs, id_col, text_col).alias("key"))
+    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, key long, n long, {NODE}, signature binary, keys array<long>")
 
 
 # ---------------------------------------------------------------- regions
@@ -288,13 +292,8 @@ def _between(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (least id of its component) and kept (id = component_id).
-
-    Null texts and texts without words have empty sets and are linked with nothing. Repeated rows share a
-    component and are kept or dropped alike; null ids come after all others, so component_id is null only in
-    a component without other ids, whose rows are kept. Columns other than id and text are ignored.
-    """
+def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, key, n and root, the node that names its component (null for an empty set)."""
     path = work_dir(docs.sparkSession)
     least = max(0.05, percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / (TREES * DEPTH)))
     rows = kept(_signed(docs, id_col, text_col, width), f"{path}/rows")
@@ -326,7 +325,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         if more.head(1):
             roots = kept(connected(links.unionByName(more), f"{path}/third"), f"{path}/roots2")
 
-    named = rows.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.select("id", "key", "n", "node").join(roots, "node", "left").select("id", "key", "n", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id (least id of its component) and kept (id = component_id).
+
+    Null texts and texts without words have empty sets and are linked with nothing. Repeated rows share a
+    component and are kept or dropped alike; null ids come after all others, so component_id is null only in
+    a component without other ids, whose rows are kept. Columns other than id and text are ignored.
+    """
+    named = _rooted(docs, width, percent, id_col, text_col)
     ids = named.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     out = named.join(ids, "root", "left").withColumn("component", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, less all but one of each component: that of the least id.
+
+    Of several rows of that id the one whose text has the least hash stays, and rows equal in id and text are
+    one row. Rows without words all stay.
+    """
+    path = work_dir(docs.sparkSession)
+    named = kept(_rooted(docs, width, percent, id_col, text_col).where("root is not null"), f"{path}/named")
+    many = named.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("stays")).where("rows > 1")
+    far = kept(named.join(many, "root").select("key", (F.col("key") == F.col("stays")).alias("stays")), f"{path}/far")
+    drop = far.where("not stays").select(F.col("key").alias("dropped")).distinct()
+    rest = docs.join(drop, _row_key(docs, id_col, text_col) == drop["dropped"], "left_anti")
+    again = far.where("stays").groupBy("key").count().where("count > 1").select(F.col("key").alias("again"))
+    if not again.head(1):
+        return rest
+    is_again = _row_key(rest, id_col, text_col) == again["again"]
+    return rest.join(again, is_again, "left_anti").unionByName(rest.join(again, is_again, "left_semi").dropDuplicates([id_col, text_col]))

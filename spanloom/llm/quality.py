@@ -180,25 +180,35 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_if
     return Model(x[:, :-1], x[:, -1])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: bool = False) -> DataFrame:
-    """Scores of all rows: doc_id, score, predicted; with keep, all columns of docs and these two.
+def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """doc_id, score and predicted (1 from threshold on) of all rows.
 
-    Null texts count as empty, which is scored like any text; repeated rows get equal scores. With keep,
-    columns of docs named score or predicted are an error that Spark reports as ambiguous.
+    Null texts count as empty and get the score of a text without words; repeated rows get equal scores;
+    other columns of docs are left out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns if keep else ["doc_id", "text"]
-    left = [c for c in columns if keep or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                s = sent.value.score(part.column(columns.index("text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(columns.index(c)) for c in left), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*left, "score", "predicted"])
+                s = sent.value.score(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*left).schema)
-    return docs.select(*columns).mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at or above threshold."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                yield part.filter(pa.array(sent.value.score(part.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
