@@ -1,12 +1,55 @@
-"""From raw documents to a training mix, stage by stage."""
+"""From raw documents to a training mix: each stage reads what its predecessor wrote.
+
+Toxic documents go, documents of low quality go, one document of each group of near-duplicates stays, documents
+that hold benchmark passages go, and the rest is mixed to target weights. All stages but the last return the columns of
+documents; none of them is expressible in SQL as a whole, so their tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from spanloom.llm import decontaminate, mixing, near_dup, quality, toxicity
+from spanloom.llm.common import crc_mod, kept, table, work_dir
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", crc_mod("doc_id", 3) != 1)
+    return toxicity.accepted(docs, model)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", crc_mod("doc_id", 5) != 0)
+    return quality.accepted(docs, model)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality", quality_stage),
+    ("near_duplicates", near_dup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of sf_dir, each but the last written to the shared folder and read again."""
+    docs, path = table(spark, sf_dir, "documents"), work_dir(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = kept(docs, f"{path}/{k}")
+    return docs
