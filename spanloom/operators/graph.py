@@ -129,9 +129,9 @@ def modularity(relations: DataFrame, labels: DataFrame) -> DataFrame:
 def communities(entities: DataFrame, relations: DataFrame, algorithm: str = "louvain", seed: int = 0x43065EED, min_size: int = 1, rounds: int = 8, levels: int = 5) -> tuple[DataFrame, DataFrame]:
     """Communities of the whole graph, largest first, and their modularity.
 
-    Louvain in rounds: every node looks for the neighbouring community of the largest gain; only nodes of one
-    colour (a seeded hash of node and round) move, so that neighbours seldom swap sides; then communities
-    become nodes of the next level. Each round is joins and aggregates over edges, so the graph may be of any size.
+    Louvain in rounds: every node looks for the neighbouring community of the largest gain. In even rounds it may
+    only go to a lesser label, in odd ones only a seeded half of the nodes may go, so that neighbours do not swap
+    sides; a round that lowers modularity is undone. Then communities become nodes of the next level. Each round is joins and aggregates over edges, so the graph may be of any size.
     """
     if algorithm != "louvain":
         raise ValueError(f"unknown algorithm {algorithm}")
@@ -146,6 +146,7 @@ def communities(entities: DataFrame, relations: DataFrame, algorithm: str = "lou
         strength = written(edges.groupBy("u").agg(F.sum("w").alias("k")), f"{path}/k{level}")
         label = written(strength.select("u", F.col("u").alias("c")), f"{path}/label{level}_0")
         best = float(_gain(edges, label, strength, total).first()[0])
+        failed = 0
         for r in range(rounds):
             volume = label.join(strength, "u").groupBy("c").agg(F.sum("k").alias("vol"))
             near = edges.where("u <> v").join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("into"))
@@ -153,14 +154,17 @@ def communities(entities: DataFrame, relations: DataFrame, algorithm: str = "lou
             options = near.join(volume, "c").join(strength, "u").join(own, "u")
             gain = F.col("into") - F.col("k") * (F.col("vol") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total
             staying = near.join(own, (near["u"] == own["u"]) & (near["c"] == own["own"])).select(near["u"], "into").withColumnRenamed("into", "now")
-            top = options.withColumn("gain", gain).groupBy("u").agg(F.max_by(F.struct("c", "gain"), F.struct("gain", "c")).alias("b"))
+            if r % 2 == 0:  # all nodes, to lesser labels only, so that no two of them swap
+                options = options.where("c < own")
+            top = options.withColumn("gain", gain).groupBy("u").agg(F.min_by(F.struct("c", "gain"), F.struct(-F.col("gain"), "c")).alias("b"))
             rest = own.join(strength, "u").join(volume.withColumnRenamed("c", "own"), "own").join(staying, "u", "left").select("u", "own", (F.coalesce("now", F.lit(0.0)) - F.col("k") * (F.col("vol") - F.col("k")) / total).alias("stay"))
-            moves = rest.join(top, "u", "left").select("u", F.when((F.col("b.gain") > F.col("stay") + 1e-9) & (F.pmod(F.xxhash64("u", F.lit(seed + r)), F.lit(2)) == r % 2), F.col("b.c")).otherwise(F.col("own")).alias("c"))
+            moves = rest.join(top, "u", "left").select("u", F.when((F.col("b.gain") > F.col("stay") + 1e-9) & (F.pmod(F.xxhash64("u", F.lit(seed + r)), F.lit(2)) >= r % 2), F.col("b.c")).otherwise(F.col("own")).alias("c"))
             moved = written(moves, f"{path}/label{level}_{r + 1}")
             now = float(_gain(edges, moved, strength, total).first()[0])
-            if now > best + 1e-9:
+            failed = 0 if now > best + 1e-9 else failed + 1
+            if not failed:
                 label, best = moved, now
-            elif r % 2:
+            elif failed == 3:
                 break
         member = written(member.join(label.select(F.col("u").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")), f"{path}/member{level + 1}")
         if label.where("u <> c").isEmpty():
