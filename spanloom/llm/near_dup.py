@@ -7,8 +7,8 @@ the node that differs from tree to tree (depth is adapted to each region). Insid
 likeness; of the pairs that could reach the threshold (estimate at least five deviations below it) each node
 keeps its NEAREST best. A node with more is remembered as crowded. Then, in rounds, pairs between different
 components are confirmed on full sets and joined: first each node's best pair, then all kept ones, and last,
-for crowded nodes, every pair of their regions that still lies between components, so no pair of a region is
-left out. Only ids, counts and a fixed-size bitmap ever reach the driver.
+in the regions of crowded nodes, every pair that still lies between components, so no pair of a region is
+left out. That last step brings the sets into the regions and gives back only links, not pairs. Only ids, counts and a fixed-size bitmap ever reach the driver.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
 
 def _regions(nodes: DataFrame, path: str) -> DataFrame:
-    """(region, node) of all regions of two to REGION nodes."""
+    """(region, node, tree) of all regions of two to REGION nodes; a node has one region in a tree at most."""
     placed, done, depth = nodes.select("node", F.posexplode("keys").alias("tree", "region")), [], 2
     while True:
         placed = placed.join(placed.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "region")
@@ -132,9 +132,9 @@ def _regions(nodes: DataFrame, path: str) -> DataFrame:
         deeper = F.substring("signature", F.col("tree") * DEPTH * 2 + depth * 2 + 1, 2) if depth < DEPTH else F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("size") / (REGION // 2)))
         placed = large.join(nodes.select("node", "signature"), "node").select("node", "tree", F.xxhash64("region", deeper, F.lit(depth)).alias("region"))
         depth += 1
-    out = done[0].select("region", "node")
+    out = done[0].select("region", "node", "tree")
     for more in done[1:]:
-        out = out.unionByName(more.select("region", "node"))
+        out = out.unionByName(more.select("region", "node", "tree"))
     return out
 
 
@@ -155,47 +155,100 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _estimates(signatures: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of 16-bit signatures, the later rows that agree in a share of at least ``least``, and the shares."""
-    for i in range(len(signatures) - 1):
-        share = np.count_nonzero(signatures[i + 1 :] == signatures[i], axis=1) / signatures.shape[1]
-        near = np.flatnonzero(share >= least)
-        yield i, near + i + 1, share[near]
+class _Region:
+    """The nodes of a region. A pair is looked at in the first tree that puts both into one region, and only there."""
 
+    def __init__(self, rows: pa.Table, percent: int, least: float):
+        self.node, self.n = rows["node"].to_numpy(), rows["n"].to_numpy()
+        self.signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u2").reshape(len(self.node), -1)
+        homes = np.frombuffer(b"".join(rows["homes"].to_pylist()), ">i8").reshape(len(self.node), -1)
+        self.before = homes[:, : int(np.argmax(homes[0] == rows["region"][0].as_py()))]
+        self.root = rows["root"].to_numpy() if "root" in rows.column_names else None
+        self.percent, self.least = percent, least
 
-def _near(rows: DataFrame, least: float, between: bool) -> DataFrame:
-    """Pairs of a region that may be alike. Rows: region, node, signature and, if between, root.
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each node the later ones that may reach the threshold, by size and signature, and the estimates.
+
+        With roots, pairs of one component are left out.
+        """
+        for i in range(len(self.node) - 1):
+            n = self.n[i + 1 :]
+            may = 100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i])
+            if self.root is not None:
+                may &= self.root[i + 1 :] != self.root[i]
+            later = np.flatnonzero(may) + i + 1
+            if self.before.shape[1] and len(later):
+                later = later[~((self.before[later] == self.before[i]) & (self.before[i] != 0)).any(axis=1)]
+            share = np.count_nonzero(self.signature[later] == self.signature[i], axis=1) / self.signature.shape[1]
+            near = share >= self.least
+            if near.any():
+                yield i, later[near], share[near]
+
+    def all_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [(np.full(len(near), i), near, share) for i, near, share in self.pairs()]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "region").sortWithinPartitions("region", "node")
 
-    Without between: each node's NEAREST pairs, and whether it had more; with it: all pairs of unequal roots.
-    """
+
+def _near(rows: DataFrame, percent: int, least: float) -> DataFrame:
+    """Each node's NEAREST pairs of each region that may be alike, and whether it had more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for region in _gathered(batches):
-            node = region["node"].to_numpy()
-            sign = np.frombuffer(b"".join(region["signature"].to_pylist()), "<u2").reshape(len(node), -1)
-            root = region["root"].to_numpy() if between else None
-            a, b, e = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-            for i, near, share in _estimates(sign, least):
-                if between:
-                    other = root[near] != root[i]
-                    near, share = near[other], share[other]
-                a.append(np.full(len(near), i))
-                b.append(near)
-                e.append(share)
-            a, b, e = np.concatenate(a), np.concatenate(b), np.concatenate(e)
+        for table in _gathered(batches):
+            region = _Region(table, percent, least)
+            a, b, e = region.all_pairs()
             if not len(a):
                 continue
-            crowded = np.zeros(len(a), bool)
-            if not between:
-                one, two, share = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([e, e])
-                order = np.lexsort((two, -share, one))
-                one, two, share = one[order], two[order], share[order]
-                rank = np.arange(len(one)) - np.searchsorted(one, one)
-                crowded = (np.bincount(one, minlength=len(node)) > NEAREST)[one][rank < NEAREST]
-                a, b, e = (x[rank < NEAREST] for x in (one, two, share))
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(e), pa.array(crowded)], ["a", "b", "share", "crowded"])
+            one, two, share = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([e, e])
+            order = np.lexsort((two, -share, one))
+            one, two, share = one[order], two[order], share[order]
+            rank = np.arange(len(one)) - np.searchsorted(one, one)
+            crowded = (np.bincount(one, minlength=len(region.node)) > NEAREST)[one]
+            kept_ = rank < NEAREST
+            yield pa.RecordBatch.from_arrays([pa.array(region.node[one[kept_]]), pa.array(region.node[two[kept_]]), pa.array(share[kept_]), pa.array(crowded[kept_])], ["a", "b", "share", "crowded"])
+
+    return _dealt(rows).mapInArrow(run, "a long, b long, share double, crowded boolean")
+
 
-    return rows.repartition(partitions(rows.sparkSession), "region").sortWithinPartitions("region", "node").mapInArrow(run, "a long, b long, share double, crowded boolean")
+def _open(rows: DataFrame, percent: int, least: float) -> DataFrame:
+    """(region, node) of the nodes that have a pair in another component which may be alike. Rows also have a root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            region = _Region(table, percent, least)
+            a, b, _ = region.all_pairs()
+            some = np.unique(np.concatenate([a, b]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), table["region"][0].as_py())), pa.array(region.node[some])], ["region", "node"])
+
+    return _dealt(rows).mapInArrow(run, "region long, node long")
+
+
+def _linked(rows: DataFrame, percent: int, least: float) -> DataFrame:
+    """Confirmed pairs between components of each region, likeliest first, one for each two that they join.
+
+    Rows also have a root and shingles. All pairs that may be alike are tried unless others have joined them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            region = _Region(table, percent, least)
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for chunk in table["shingles"].chunks for x in chunk]
+            a, b, e = region.all_pairs()
+            _, group = np.unique(region.root, return_inverse=True)
+            out = []
+            for k in np.argsort(-e, kind="stable"):
+                i, j = int(a[k]), int(b[k])
+                if group[i] != group[j] and _alike(sets[i], sets[j], percent):
+                    group[group == group[j]] = group[i]
+                    out.append((region.node[i], region.node[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return _dealt(rows).mapInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- confirmation
@@ -241,18 +294,20 @@ def _sets_of(docs: DataFrame, text_col: str, width: int, nodes: DataFrame) -> Da
     return docs.select(docs[text_col].alias("text")).mapInArrow(run, f"{NODE}, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets have 100 * intersection >= percent * union."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * shared >= percent * (len(both) - shared))
+            good = [_alike(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -297,11 +352,14 @@ def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     path = work_dir(docs.sparkSession)
     least = max(0.05, percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / (TREES * DEPTH)))
     rows = kept(_signed(docs, id_col, text_col, width), f"{path}/rows")
-    nodes = rows.where("signature is not null").groupBy("node").agg(F.first("signature").alias("signature"), F.first("keys").alias("keys"))
+    nodes = rows.where("signature is not null").groupBy("node").agg(F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.first("n").alias("n"))
     nodes = kept(nodes, f"{path}/nodes")
     regions = kept(_regions(nodes, path), f"{path}/regions")
-    signed = nodes.select("node", "signature")
-    near = kept(_near(regions.join(signed, "node").select("region", "node", "signature"), least, False), f"{path}/near")
+    # of each node its region in every tree (0: none), as bytes
+    by_tree = F.map_from_entries(F.collect_list(F.struct("tree", "region")))
+    homes = regions.groupBy("node").agg(by_tree.alias("m")).select("node", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.lpad(F.hex(F.coalesce(F.col("m")[t], F.lit(0))), 16, "0")), "")).alias("homes"))
+    signed = kept(nodes.join(homes, "node").select("node", "signature", "n", "homes"), f"{path}/signed")
+    near = kept(_near(regions.select("region", "node").join(signed, "node").select("region", "node", "signature", "n", "homes"), percent, least), f"{path}/near")
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "share")
     best = near.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     crowded = near.where("crowded").select(F.col("a").alias("node")).distinct()
@@ -316,12 +374,13 @@ def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
         links = links.unionByName(more)
         roots = kept(connected(links, f"{path}/second"), f"{path}/roots1")
     if crowded.head(1):
-        touched = regions.join(regions.join(crowded, "node", "left_semi").select("region").distinct(), "region", "left_semi")
+        touched = regions.select("region", "node").join(regions.join(crowded, "node", "left_semi").select("region").distinct(), "region", "left_semi")
         rooted = touched.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.join(rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region"), "region", "left_semi")
-        last = _near(mixed.join(signed, "node").select("region", "node", "signature", "root"), least, True)
-        last = last.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(best.unionByName(rest), ["a", "b"], "left_anti")
-        more = kept(_confirmed(last, sets, percent), f"{path}/links2")
+        columns = ["region", "node", "signature", "n", "homes", "root"]
+        mixed = kept(mixed.select("region", "node", "root").join(signed, "node").select(*columns), f"{path}/mixed")
+        left = kept(_open(mixed, percent, least), f"{path}/open")
+        more = kept(_linked(mixed.join(left, ["region", "node"]).join(sets, "node").select(*columns, "shingles"), percent, least), f"{path}/links2")
         if more.head(1):
             roots = kept(connected(links.unionByName(more), f"{path}/third"), f"{path}/roots2")
 
