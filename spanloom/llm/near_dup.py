@@ -29,6 +29,8 @@ _ODD = _rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) +
 _ODD2 = _rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Bits of the bitmap of nodes whose sets are read again, as a power of two, and the slices it is built in.
 BITMAP, SLICES = 24, 16
+#: So many links, of 16 bytes each, are joined in one task.
+FEW_LINKS = 200_000
 NODE = "node long"
 
 
@@ -317,12 +319,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
+def _joined_in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the components of edges (u, v), by union-find."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            u, v = root(u), root(v)
+            up[max(u, v)] = min(u, v)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(root, nodes), pa.int64())], ["node", "root"])
+
+
 def connected(links: DataFrame, path: str) -> DataFrame:
-    """(node, root): the least node of each component of the links (a, b), by alternating star steps.
+    """(node, root): the least node of each component of the links (a, b).
 
-    A step needs no group in one task: least neighbours are aggregated, then joined back.
+    At most FEW_LINKS links, which are counted, are joined in one task; more by alternating star steps, which need no group
+    in one task: least neighbours are aggregated, then joined back.
     """
     edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{path}/cc0")
+    if edges.count() <= FEW_LINKS:
+        return edges.coalesce(1).mapInArrow(_joined_in_one_task, f"{NODE}, root long")
     state, step = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -101,6 +101,7 @@ def test_near_duplicates_of_documents(spark):
 
 def test_near_duplicates_of_crowded_regions(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "REGION", 64)
+    monkeypatch.setattr(near_dup, "FEW_LINKS", 0)
     rng = random.Random(3)
     vocabulary = [f"w{k}" for k in range(3000)]
     base, passage, texts = [rng.choice(vocabulary) for _ in range(120)], [rng.choice(vocabulary) for _ in range(60)], []
