@@ -14,6 +14,7 @@ from ..operators.merge import Graph
 from ..plans import ENTITIES, RELATIONS, TOMBSTONES
 
 _MARK = "struct<at:string,meta:struct<project:string,team:string,domain:string>>"
+# The names of fields in serialized graphs.
 _FIELDS = re.split(r", (?=`?\w+`? (?:bigint|string|struct|array|map))", ENTITIES)[1:]
 _ATTRIBUTES = ",".join(re.sub(r"^(\w+) ", r"\1:", f) for f in _FIELDS)
 SERIALIZED = (

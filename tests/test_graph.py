@@ -289,3 +289,40 @@ def test_resolve_and_backfill_and_pipeline(spark):
     new = entities(spark, {"id": "n", "seq": 9, "name": "else", "entityType": "X"}, {"id": "m", "seq": 10, "name": "else", "entityType": "X"})
     stored, _, decided = pipe.ingest(new, e, r)
     assert {x.id: x.supersedes for x in stored.where("seq >= 9").collect()} == {"n": "c", "m": None} and decided.where("match is not null").count() == 2
+
+
+def test_reprojection_is_idempotent(spark):
+    from spanloom.operators.reproject import convert_dump, reproject_online
+
+    obs = spark.createDataFrame([("o1", "first\nline", "a", "p", "q", NOW), ("o2", "", "a", "p", "q", NOW)], "id string, summary string, agent string, project string, quality string, createdAt string")
+    dig = spark.createDataFrame([("d1", "2024-01-01", "theme", "s", ["o1", "zz"], ["a"], None)], "id string, date string, theme string, summary string, observationIds array<string>, agents array<string>, createdAt string")
+    ins = spark.createDataFrame([("i1", "topic", "s", 0.5, ["d1"], NOW)], "id string, topic string, summary string, confidence double, digestIds array<string>, createdAt string")
+    got = reproject_online(entities(spark), relations(spark, ("x", "t", "y")).limit(0), obs, dig, ins, stamp(), NOW)
+    assert {(r.name, r.layer) for r in got.entities.collect()} == {("first", "evidence"), ("(empty)", "evidence"), ("theme", "evidence"), ("topic", "pattern")}
+    assert got.relations.count() == 2 and [r.ref for r in got.warnings.collect()] == ["Observation:zz"]
+    assert all(r.ok for r in got.entities.select(fn.is_uuid7("id").alias("ok")).collect())
+    again = reproject_online(got.entities, got.relations, obs, dig, ins, stamp(), NOW)
+    assert {r.kind: (r.scanned, r.written) for r in again.counts.collect()} == {"Observation": (2, 0), "Digest": (1, 0), "Insight": (1, 0)} and again.relations.count() == 2
+    nodes, edges = convert_dump(spark.createDataFrame([("1", "n"), ("2", None)], "id string, name string"), spark.createDataFrame([(0, "n", "2", "t")], "seq int, `from` string, `to` string, relationType string"))
+    assert ids(nodes, "key") == ["2", "n"] and edges.first().key == "b-rel-0"
+
+
+def test_files_and_vectors(spark, tmp_path, monkeypatch):
+    from spanloom.sources import embeddings, files
+
+    told, path = [], tmp_path / "x" / "f.json"
+    digest, wrote = files.write_if_changed(path, "a")
+    assert wrote and files.write_if_changed(path, "a", digest) == (digest, False)
+    path.write_text("other")
+    assert not files.write_if_changed(path, "b", digest, told.append)[1] and told == [str(path)] and path.read_text() == "other"
+    files.write_checkpoint(tmp_path / "cp", {"done": 3})
+    assert files.read_checkpoint(tmp_path / "cp") == {"done": 3} and files.read_checkpoint(tmp_path / "none") is None
+    with pytest.raises(ValueError):
+        files.read_checkpoint("../x")
+    monkeypatch.setenv("SPANLOOM_ONTOLOGY_DIR", str(tmp_path))
+    assert files.ontology_dir() == tmp_path
+    t = spark.createDataFrame([("a b",), ("B  a",), (None,)], "t string")
+    v = [r.v for r in t.select(embeddings.hashed("t", 16).alias("v")).collect()]
+    assert len(v[0]) == 16 and v[0] == v[1] and sum(map(abs, v[0])) == 2
+    model = embeddings.embedder(lambda: lambda texts: [[float(len(x))] for x in texts], 2)
+    assert [r.v for r in t.select(model("t").alias("v")).collect()] == [[3.0], [4.0], [0.0]]
