@@ -31,6 +31,8 @@ _ODD2 = _rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) +
 BITMAP, SLICES = 24, 16
 #: So many links, of 16 bytes each, are joined in one task.
 FEW_LINKS = 200_000
+#: So many keys, of 8 bytes each, are broadcast; more meet the documents by a shuffle of both.
+FEW_DROPPED = 500_000
 NODE = "node long"
 
 
@@ -433,6 +435,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     many = named.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("stays")).where("rows > 1")
     far = kept(named.join(many, "root").select("key", (F.col("key") == F.col("stays")).alias("stays")), f"{path}/far")
     drop = far.where("not stays").select(F.col("key").alias("dropped")).distinct()
+    drop = kept(drop, f"{path}/drop")
+    drop = F.broadcast(drop) if drop.limit(FEW_DROPPED + 1).count() <= FEW_DROPPED else drop
     rest = docs.join(drop, _row_key(docs, id_col, text_col) == drop["dropped"], "left_anti")
     again = far.where("stays").groupBy("key").count().where("count > 1").select(F.col("key").alias("again"))
     if not again.head(1):
