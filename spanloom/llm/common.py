@@ -126,12 +126,12 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, breaks: np.ndarray = _SPACE) -
 def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (A-Z as a-z if lower) and the index of each row's first word.
 
-    Rows are hashed in slices of about 4 MB, so memory does not follow the batch.
+    Rows are hashed in slices of about 1 MB, so memory does not follow the batch.
     """
     out, firsts, done, i = [], [np.zeros(1, np.int64)], 0, 0
     values = _BYTE_LOWER if lower else _BYTE
     while i < len(offs) - 1:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + 4_000_000, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + 1_000_000, "right")) - 1)
         part, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         starts, ends, first = word_spans(part, own)
         if len(starts):
