@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, work_dir
 
-WEIGHTS, MOST, BLOCK, LARGE, SEED = (5, 2, 1), 3, 20_000, 256, 20240319
+WEIGHTS, MOST, BLOCK, LARGE, SEED = (5, 2, 1), 3, 2_000, 256, 20240319
 _CLOSE = 1e-9
 
 
