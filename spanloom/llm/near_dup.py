@@ -2,8 +2,9 @@
 
 A text's set of word shingles is known by a 64-bit hash, so equal sets are one node from the start. Each of TREES
 trees orders the nodes by its own DEPTH MinHash values; nodes that share the first two values form a region. A
-region of over REGION nodes is split by further values of its order, one by one, and past the last by a hash of
-the node that differs from tree to tree (depth is adapted to each region). Inside a region, signatures estimate
+region of over REGION nodes is split by further values of its order, one by one (depth is adapted to each region).
+One that is larger after the last is dealt into blocks, and each two of them are a group, compared by a task, so no
+pair of a region is left out; other regions are one group. Inside a region, signatures estimate
 likeness; of the pairs that could reach the threshold (estimate at least five deviations below it) each node
 keeps its NEAREST best. A node with more is remembered as crowded. Then, in rounds, pairs between different
 components are confirmed on full sets and joined: first each node's best pair, then all kept ones, and last,
@@ -121,24 +122,26 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
 
 def _regions(nodes: DataFrame, path: str) -> DataFrame:
-    """(region, node, tree) of all regions of two to REGION nodes; a node has one region in a tree at most."""
+    """(region, node, tree, blocks) of all regions of two nodes or more; a node has one region in a tree at most.
+
+    Regions of over REGION nodes, which share all DEPTH values, have as many blocks as hold about REGION / 2 each; others one.
+    """
     placed, done, depth = nodes.select("node", F.posexplode("keys").alias("tree", "region")), [], 2
     while True:
         placed = placed.join(placed.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "region")
-        if depth > DEPTH:
-            done.append(placed)
-            break
         placed = kept(placed.select("region", "node", "tree", "size"), f"{path}/regions{depth}")
-        done.append(placed.where(F.col("size") <= REGION))
         large = placed.where(F.col("size") > REGION)
-        if not large.head(1):
+        if depth == DEPTH or not large.head(1):
+            done.append(placed)
             break
-        deeper = F.substring("signature", F.col("tree") * DEPTH * 2 + depth * 2 + 1, 2) if depth < DEPTH else F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("size") / (REGION // 2)))
+        done.append(placed.where(F.col("size") <= REGION))
+        deeper = F.substring("signature", F.col("tree") * DEPTH * 2 + depth * 2 + 1, 2)
         placed = large.join(nodes.select("node", "signature"), "node").select("node", "tree", F.xxhash64("region", deeper, F.lit(depth)).alias("region"))
         depth += 1
-    out = done[0].select("region", "node", "tree")
+    blocks = F.when(F.col("size") > REGION, F.ceil(F.col("size") / (REGION // 2))).otherwise(1).cast("int").alias("blocks")
+    out = done[0].select("region", "node", "tree", blocks)
     for more in done[1:]:
-        out = out.unionByName(more.select("region", "node", "tree"))
+        out = out.unionByName(more.select("region", "node", "tree", blocks))
     return out
 
 
@@ -160,13 +163,17 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 class _Region:
-    """The nodes of a region. A pair is looked at in the first tree that puts both into one region, and only there."""
+    """The nodes of a group. A pair is looked at in the first tree that puts both into one region, and only there.
+
+    In a group of two blocks only pairs between them are looked at, as each block is a group too.
+    """
 
     def __init__(self, rows: pa.Table, percent: int, least: float):
         self.node, self.n = rows["node"].to_numpy(), rows["n"].to_numpy()
         self.signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u2").reshape(len(self.node), -1)
         homes = np.frombuffer(b"".join(rows["homes"].to_pylist()), ">i8").reshape(len(self.node), -1)
         self.before = homes[:, : int(np.argmax(homes[0] == rows["region"][0].as_py()))]
+        self.side = rows["side"].to_numpy()
         self.root = rows["root"].to_numpy() if "root" in rows.column_names else None
         self.percent, self.least = percent, least
 
@@ -178,6 +185,8 @@ class _Region:
         for i in range(len(self.node) - 1):
             n = self.n[i + 1 :]
             may = 100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i])
+            if self.side[i]:
+                may &= self.side[i + 1 :] != self.side[i]
             if self.root is not None:
                 may &= self.root[i + 1 :] != self.root[i]
             later = np.flatnonzero(may) + i + 1
@@ -196,7 +205,13 @@ class _Region:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition(partitions(rows.sparkSession), "region").sortWithinPartitions("region", "node")
+    """Rows by group, which is their first column, each with its side: 0 where all pairs count, else the block it is of."""
+    own, other = F.pmod(F.xxhash64("node", "region"), F.col("blocks")).cast("int"), F.col("other")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    group = F.when(F.col("blocks") == 1, F.col("region")).otherwise(F.xxhash64("region", F.least(own, other), F.greatest(own, other)))
+    side = F.when(own == other, 0).when(own < other, 1).otherwise(2)
+    rows = rows.select(group.alias("group"), side.alias("side"), *(c for c in rows.columns if c != "other"))
+    return rows.repartition(partitions(rows.sparkSession), "group").sortWithinPartitions("group", "node")
 
 
 def _near(rows: DataFrame, percent: int, least: float) -> DataFrame:
@@ -214,9 +229,18 @@ def _near(rows: DataFrame, percent: int, least: float) -> DataFrame:
             rank = np.arange(len(one)) - np.searchsorted(one, one)
             crowded = (np.bincount(one, minlength=len(region.node)) > NEAREST)[one]
             kept_ = rank < NEAREST
-            yield pa.RecordBatch.from_arrays([pa.array(region.node[one[kept_]]), pa.array(region.node[two[kept_]]), pa.array(share[kept_]), pa.array(crowded[kept_])], ["a", "b", "share", "crowded"])
+            home, split = np.full(kept_.sum(), table["region"][0].as_py()), np.full(kept_.sum(), table["blocks"][0].as_py() > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (home, split, region.node[one[kept_]], region.node[two[kept_]], share[kept_], crowded[kept_])], ["region", "split", "a", "b", "share", "crowded"])
+
+    return _dealt(rows).mapInArrow(run, "region long, split boolean, a long, b long, share double, crowded boolean")
+
 
-    return _dealt(rows).mapInArrow(run, "a long, b long, share double, crowded boolean")
+def _nearest(near: DataFrame) -> DataFrame:
+    """The same of whole regions: of those with several groups, the nearest of all groups."""
+    by = F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("far"), "b"))).alias("by")
+    of_all = near.where("split").groupBy("region", "a").agg(by, F.max("crowded").alias("crowded"))
+    of_all = of_all.select("a", F.explode(F.slice("by", 1, NEAREST)).alias("x"), (F.col("crowded") | (F.size("by") > NEAREST)).alias("crowded"))
+    return near.where("not split").select("a", "b", "share", "crowded").unionByName(of_all.select("a", "x.b", (-F.col("x.far")).alias("share"), "crowded"))
 
 
 def _open(rows: DataFrame, percent: int, least: float) -> DataFrame:
@@ -383,7 +407,8 @@ def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     by_tree = F.map_from_entries(F.collect_list(F.struct("tree", "region")))
     homes = regions.groupBy("node").agg(by_tree.alias("m")).select("node", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.lpad(F.hex(F.coalesce(F.col("m")[t], F.lit(0))), 16, "0")), "")).alias("homes"))
     signed = kept(nodes.join(homes, "node").select("node", "signature", "n", "homes"), f"{path}/signed")
-    near = kept(_near(regions.select("region", "node").join(signed, "node").select("region", "node", "signature", "n", "homes"), percent, least), f"{path}/near")
+    near = kept(_near(regions.select("region", "blocks", "node").join(signed, "node").select("region", "blocks", "node", "signature", "n", "homes"), percent, least), f"{path}/groups")
+    near = kept(_nearest(near), f"{path}/near")
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "share")
     best = near.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     crowded = near.where("crowded").select(F.col("a").alias("node")).distinct()
@@ -398,12 +423,12 @@ def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
         links = links.unionByName(more)
         roots = kept(connected(links, f"{path}/second"), f"{path}/roots1")
     if crowded.head(1):
-        touched = regions.select("region", "node").join(regions.join(crowded, "node", "left_semi").select("region").distinct(), "region", "left_semi")
+        touched = regions.select("region", "blocks", "node").join(regions.join(crowded, "node", "left_semi").select("region").distinct(), "region", "left_semi")
         rooted = touched.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.join(rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region"), "region", "left_semi")
-        columns = ["region", "node", "signature", "n", "homes", "root"]
-        mixed = kept(mixed.select("region", "node", "root").join(signed, "node").select(*columns), f"{path}/mixed")
-        left = kept(_open(mixed, percent, least), f"{path}/open")
+        columns = ["region", "blocks", "node", "signature", "n", "homes", "root"]
+        mixed = kept(mixed.select("region", "blocks", "node", "root").join(signed, "node").select(*columns), f"{path}/mixed")
+        left = kept(_open(mixed, percent, least).distinct(), f"{path}/open")
         more = kept(_linked(mixed.join(left, ["region", "node"]).join(sets, "node").select(*columns, "shingles"), percent, least), f"{path}/links2")
         if more.head(1):
             roots = kept(connected(links.unionByName(more), f"{path}/third"), f"{path}/roots2")

@@ -114,6 +114,19 @@ def test_near_duplicates_of_crowded_regions(spark, monkeypatch):
     check(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
 
 
+def test_near_copies_of_one_text_that_are_alike_to_it_only(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "REGION", 64)
+    rng = random.Random(5)
+    base, texts = [f"w{k}" for k in range(604)], []
+    for k in range(800):
+        w = list(base)
+        for at in rng.sample(range(604), 10) if k else []:
+            w[at] = f"x{k}"
+        texts.append(" ".join(w))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in near_dup.near_duplicates(d).collect()} == {0}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, None, 1), (None, "a b", 2), (5, "A  b", 3), (5, "A  b", 3), (6, "", 4), (7, " a b c d e", 4), (7, " a b c d e", 4), (8, "z " * 9000, 5)]
     d = spark.createDataFrame(rows, "doc_id long, text string, node int")
