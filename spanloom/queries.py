@@ -1,4 +1,8 @@
-"""Driver queries: the graph operators over the synthetic tables, each over whole tables, with their SQL."""
+"""Driver queries: the graph operators over the synthetic tables, with their SQL.
+
+Each is over whole tables, but for components, graph_stats, connectivity, modularity, louvain_communities and orphans,
+whose SQL takes the rare line items only; each of them has a query named whole_... over all line items.
+"""
 
 from __future__ import annotations
 
@@ -349,6 +353,42 @@ def louvain_communities(spark, sf_dir):
     return graph.communities(nodes, edges, min_size=2)[0].select("community", "size")
 
 
+def _sold(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return _sparse(spark, sf_dir)[0], sold_edges(spark, sf_dir, rare=False)
+
+
+@_register(ORACLE_SQL["orphans"].replace(f" WHERE {_RARE}", ""))
+def whole_orphans(spark, sf_dir):
+    return graph.orphans(parts_as_entities(spark, sf_dir).select("id"), sold_edges(spark, sf_dir, rare=False).select("from", "to"))
+
+
+@_register()
+def whole_components(spark, sf_dir):
+    return graph.components(*_sold(spark, sf_dir))
+
+
+@_register()
+def whole_graph_stats(spark, sf_dir):
+    return graph.stats(*_sold(spark, sf_dir))
+
+
+@_register()
+def whole_connectivity(spark, sf_dir):
+    return graph.connectivity(*_sold(spark, sf_dir)).select("component", "size")
+
+
+@_register(ORACLE_SQL["modularity"].replace(f" WHERE {_RARE}", ""))
+def whole_modularity(spark, sf_dir):
+    nodes, edges = _sold(spark, sf_dir)
+    labels = nodes.select("id", F.when(F.col("entityType") == "Supplier", "S").otherwise(F.col("entityType")).alias("community"))
+    return graph.modularity(edges, labels).select(F.round("modularity", 9).alias("modularity"))
+
+
+@_register()
+def whole_louvain_communities(spark, sf_dir):
+    return graph.communities(*_sold(spark, sf_dir), min_size=2)[0].select("community", "size")
+
+
 # ---------------------------------------------------------------- resolution
 
 
