@@ -3,7 +3,7 @@
 Counting: every training token and pair of adjacent tokens is hashed; tasks pre-aggregate, deal sorted runs to
 buckets of the hash range, and each bucket sums its runs. From these exact sums a bucket builds its part of
 the filter: an n-gram of quantised count q enters as q items (n-gram, 1) ... (n-gram, q), and a reader probes
-level after level until one is missing. Pairs seen once are not stored. The parts are broadcast together while
+level after level until one is missing. Pairs seen once are stored too. The parts are broadcast together while
 they hold at most FILTER_BYTES; a larger filter is broadcast in groups of buckets that follow one another, each
 group a pass over the texts which leaves every token's levels beside the text.
 
@@ -112,13 +112,13 @@ def _pairs(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + tokens)
 
 
-def _level(counts: np.ndarray, least: int) -> np.ndarray:
-    """Quantised counts: 1 + floor(log of count / least); 0 below least."""
-    return np.where(counts >= least, 1 + np.floor(np.log(np.maximum(counts, least) / least) / np.log(RATIO) + 1e-9), 0).astype(np.int64)
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Quantised counts: 1 + floor(log of count); 0 of none."""
+    return np.where(counts >= 1, 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(RATIO) + 1e-9), 0).astype(np.int64)
 
 
-def _lower(level: np.ndarray, least: int) -> np.ndarray:
-    return np.where(level > 0, least * RATIO ** (level - 1.0), 0.0)
+def _lower(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, RATIO ** (level - 1.0), 0.0)
 
 
 # ---------------------------------------------------------------- filter
@@ -210,9 +210,8 @@ def _count(train: DataFrame, bits: int) -> DataFrame:
                 own = [_unpack(x) for k, x in zip(runs["kind"], runs["data"], strict=True) if k == kind]
                 sums[kind] = _summed(*(np.concatenate([x[i] for x in own]) if own else np.zeros(0, np.uint64) for i in (0, 1)))
             (uni, c1), (pairs, c2) = sums[0], sums[1]
-            some = c2 >= 2
-            keys = np.concatenate([uni, pairs[some]])
-            part = build_filter(keys, np.concatenate([_level(c1, 1), _level(c2[some], 2)]))
+            keys = np.concatenate([uni, pairs])
+            part = build_filter(keys, np.concatenate([_level(c1), _level(c2)]))
             row = [bucket, _pack(uni, c1), part.tobytes(), int(c1.sum()), len(c1), int((c1 == 1).sum()), int(c2.sum()), int((c2 == 1).sum())]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5), strict=True)], ["bucket", "counts", "filter", "tokens", "types", "once", "pairs", "pairs_once"])
 
@@ -341,8 +340,8 @@ def _joined(rows: DataFrame, lm: DataFrame, sent: Broadcast, hot_sent: Broadcast
         context = np.empty(len(tokens), np.uint8)
         context[1:] = one[:-1]
         context[starts] = one[starts + n - 1]  # every text ends with END, whose level is that of its beginning
-        alone = np.where(one > 0, (1 - totals["u"]) * _lower(one, 1) / max(totals["n"], 1), totals["u"])
-        seen = np.minimum(_lower(two, 2) / np.where(context > 0, _lower(context, 1) * RATIO, np.inf), 1.0)
+        alone = np.where(one > 0, (1 - totals["u"]) * _lower(one) / max(totals["n"], 1), totals["u"])
+        seen = np.minimum(_lower(two) / np.where(context > 0, _lower(context) * RATIO, np.inf), 1.0)
         p = np.where(context > 0, (1 - totals["back"]) * seen + totals["back"] * alone, alone)
         scores = np.bincount(row, np.log10(p), len(n)) if totals["n"] else np.zeros(len(n))
 

@@ -115,6 +115,13 @@ def test_lm_counts_are_exact_and_groups_of_the_filter_agree(spark):
     assert all(again[i] == r.score for i, r in got.items())
 
 
+def test_lm_knows_pairs_seen_once(spark):
+    rng = random.Random(4)
+    d = docs(spark, [" ".join(rng.sample([f"w{k}" for k in range(40)], 40)) for _ in range(3)] + ["w1 a w2 b w3", "w1 a w2 b w3", "w1 b w2 a w3"])
+    got = {r.doc_id: r.score for r in lm_scoring.score(d, "doc_id < 4").collect()}
+    assert got[4] > got[5] + 0.5  # a and b occur once, each pair of the former text is seen once, of the latter never
+
+
 def test_filter_never_underestimates():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
     levels = np.random.default_rng(2).integers(1, 9, len(keys))
