@@ -6,6 +6,9 @@ Superseded entities and SUPERSEDED_BY edges are part of the graph here.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,29 +27,69 @@ def orphans(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return entities.join(relations.select(F.explode(F.array("from", "to")).alias("id")), "id", "left_anti")
 
 
-def components(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(id, component) for all entities, component being the least id of the weak component.
+#: So many links are joined by union-find in one task, whose dictionary takes some 100 MB.
+FEW_LINKS = 500_000
+
 
-    Edges contract by alternating stars, so long chains need a logarithmic number of rounds, and the
-    neighbours of a node are only aggregated and joined, never gathered. Edges to unknown ids are left out.
+def connected(links: DataFrame, path: str) -> DataFrame:
+    """(node, root) of all ends of the links (a, b), root being the least node of the component.
+
+    At most FEW_LINKS links, which are counted, are joined in one task. More contract by alternating stars, so long
+    chains need a logarithmic number of rounds, and the neighbours of a node are only aggregated and joined,
+    never gathered.
     """
-    path, ids = work_dir(entities.sparkSession), entities.select("id")
-    known = relations.select(F.col("from").alias("u"), F.col("to").alias("v")).where("u <> v")
-    known = known.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
-    edges = written(known.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{path}/0")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{path}/0")
+    kind = edges.schema["u"].dataType.simpleString()
+    if edges.limit(FEW_LINKS + 1).count() <= FEW_LINKS:
+        return edges.coalesce(1).mapInArrow(_united, f"node {kind}, root {kind}")
     before, k = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{path}/{k}a")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.where("u <> v").distinct(), f"{path}/{k}a")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        edges = written(large.join(least, "u").select(pairs.alias("e")).select("e.*").where("u <> v").distinct(), f"{path}/{k}b")
+        edges = large.join(least, "u").select(pairs.alias("e")).select("e.*").where("u <> v").distinct()
+        edges = written(edges, f"{path}/{k}b")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before, k = now, k + 1
-    return ids.join(edges.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of edges (u, v), by union-find."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            u, v = root(u), root(v)
+            up[max(u, v)] = min(u, v)
+    if up:
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(map(root, nodes), kind)], ["node", "root"])
+
+
+def components(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, component) for all entities, component being the least id of the weak component.
+
+    Edges to unknown ids are left out.
+    """
+    ids = entities.select("id")
+    known = relations.select(F.col("from").alias("a"), F.col("to").alias("b"))
+    known = known.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    roots = connected(known, work_dir(entities.sparkSession)).withColumnRenamed("node", "id")
+    return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def connectivity(entities: DataFrame, relations: DataFrame) -> DataFrame:
