@@ -1,15 +1,22 @@
 """Near-duplicate detection with an LSH forest over MinHash signatures, links confirmed on full shingle sets.
 
-A text's set of word shingles is known by a 64-bit hash, so equal sets are one node from the start. Each of TREES
-trees orders the nodes by its own DEPTH MinHash values; nodes that share the first two values form a region. A
-region of over REGION nodes is split by further values of its order, one by one (depth is adapted to each region).
-One that is larger after the last is dealt into blocks, and each two of them are a group, compared by a task, so no
-pair of a region is left out; other regions are one group. Inside a region, signatures estimate
-likeness; of the pairs that could reach the threshold (estimate at least five deviations below it) each node
-keeps its NEAREST best. A node with more is remembered as crowded. Then, in rounds, pairs between different
-components are confirmed on full sets and joined: first each node's best pair, then all kept ones, and last,
-in the regions of crowded nodes, every pair that still lies between components, so no pair of a region is
-left out. That last step brings the sets into the regions and gives back only links, not pairs. Only ids, counts and a fixed-size bitmap ever reach the driver.
+A text's set of word shingles is known by a 64-bit hash, so equal sets are one node from the start.
+
+Forest: each of TREES trees sorts the nodes by its own DEPTH MinHash values. A node's candidates are its neighbours
+in an order with the longest common prefix: those with whom it shares a region. Regions share two values at first;
+one of more than REGION nodes is split by further values, one by one, so depth is adapted to each region. In a region
+signatures estimate likeness, and each node keeps its NEAREST best pairs; in one that stays larger than REGION at
+full depth a node meets the NEAREST that follow it in the sorted order. A node's NEAREST best pairs of all trees are
+confirmed on full sets and joined, its best first, then those between different components.
+
+What the forest may have missed lies between components: in regions that were split, and in those with a crowded
+node, which had more pairs than were tried. All nodes of such regions with more than one component go through an exact
+join: two sets of likeness t share one of the rarest (1 - t) n + 1 shingles of either, so nodes meet by these. Rare
+ones gather few nodes, whose pairs are estimated, then confirmed. Frequent ones that occur in one node together form
+a cluster; a cluster is dealt into blocks, and every two blocks that are not of one component are compared exactly,
+set by set, by a task that gives back links only. So work and shuffle follow the input but for texts of different
+components that share even their rarest shingles with many others. Only ids, counts and tables of fixed size ever
+reach the driver.
 """
 
 from __future__ import annotations
@@ -21,17 +28,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, mix, partitions, text_buffer, word_hashes, work_dir
+from ..operators.graph import connected
+from .common import kept, mix, partitions, small, text_buffer, word_hashes, work_dir
 
-TREES, DEPTH, REGION, NEAREST = 20, 6, 1024, 8
+TREES, DEPTH, REGION, NEAREST = 20, 6, 1024, 4
 _rng = np.random.default_rng(20240311)
 _SALT = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ODD2 = _rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Bits of the bitmap of nodes whose sets are read again, as a power of two, and the slices it is built in.
 BITMAP, SLICES = 24, 16
-#: So many links, of 16 bytes each, are joined in one task.
-FEW_LINKS = 200_000
+#: Cells, as a power of two, in which shingles are counted to put them in order of frequency.
+CELLS = 20
+#: A shingle of at most so many nodes is rare: their pairs are estimated in one group.
+RARE = 256
+#: Shingles a block, each node counting for NODE_WEIGHT more.
+BLOCK, NODE_WEIGHT = 400_000, 400
 #: So many keys, of 8 bytes each, are broadcast; more meet the documents by a shuffle of both.
 FEW_DROPPED = 500_000
 NODE = "node long"
@@ -118,18 +130,19 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, key long, n long, {NODE}, signature binary, keys array<long>")
 
 
-# ---------------------------------------------------------------- regions
+# ---------------------------------------------------------------- forest
 
 
-def _regions(nodes: DataFrame, path: str) -> DataFrame:
-    """(region, node, tree, blocks) of all regions of two nodes or more; a node has one region in a tree at most.
+def _regions(nodes: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """All regions of two nodes or more, and the final ones: each (region, node, tree, size).
 
-    Regions of over REGION nodes, which share all DEPTH values, have as many blocks as hold about REGION / 2 each; others one.
+    Sizes are written before they are joined, so that a join of a large region may be split over tasks.
     """
     placed, done, depth = nodes.select("node", F.posexplode("keys").alias("tree", "region")), [], 2
     while True:
-        placed = placed.join(placed.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "region")
-        placed = kept(placed.select("region", "node", "tree", "size"), f"{path}/regions{depth}")
+        sizes = kept(placed.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"{path}/sizes{depth}")
+        placed = kept(placed.join(sizes, "region").select("region", "node", "tree", "size"), f"{path}/regions{depth}")
+        first = placed if depth == 2 else first
         large = placed.where(F.col("size") > REGION)
         if depth == DEPTH or not large.head(1):
             done.append(placed)
@@ -138,11 +151,10 @@ def _regions(nodes: DataFrame, path: str) -> DataFrame:
         deeper = F.substring("signature", F.col("tree") * DEPTH * 2 + depth * 2 + 1, 2)
         placed = large.join(nodes.select("node", "signature"), "node").select("node", "tree", F.xxhash64("region", deeper, F.lit(depth)).alias("region"))
         depth += 1
-    blocks = F.when(F.col("size") > REGION, F.ceil(F.col("size") / (REGION // 2))).otherwise(1).cast("int").alias("blocks")
-    out = done[0].select("region", "node", "tree", blocks)
+    out = done[0]
     for more in done[1:]:
-        out = out.unionByName(more.select("region", "node", "tree", blocks))
-    return out
+        out = out.unionByName(more)
+    return first, out
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -162,56 +174,31 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-class _Region:
-    """The nodes of a group. A pair is looked at in the first tree that puts both into one region, and only there.
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), TREES * DEPTH)
+
+
+def _pairs(n: np.ndarray, signature: np.ndarray, percent: int, least: float, before: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a group that may reach the threshold by size and signature, and their estimates.
 
-    In a group of two blocks only pairs between them are looked at, as each block is a group too.
+    Pairs that share a region of an earlier tree (columns of before; 0: none), or a root, are left out.
     """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i in range(len(n) - 1):
+        may = 100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])
+        if root is not None:
+            may &= root[i + 1 :] != root[i]
+        later = np.flatnonzero(may) + i + 1
+        if before.shape[1] and len(later):
+            later = later[~((before[later] == before[i]) & (before[i] != 0)).any(axis=1)]
+        share = np.count_nonzero(signature[later] == signature[i], axis=1) / signature.shape[1]
+        near = share >= least
+        if near.any():
+            found.append((np.full(int(near.sum()), i), later[near], share[near]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def __init__(self, rows: pa.Table, percent: int, least: float):
-        self.node, self.n = rows["node"].to_numpy(), rows["n"].to_numpy()
-        self.signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u2").reshape(len(self.node), -1)
-        homes = np.frombuffer(b"".join(rows["homes"].to_pylist()), ">i8").reshape(len(self.node), -1)
-        self.before = homes[:, : int(np.argmax(homes[0] == rows["region"][0].as_py()))]
-        self.side = rows["side"].to_numpy()
-        self.root = rows["root"].to_numpy() if "root" in rows.column_names else None
-        self.percent, self.least = percent, least
-
-    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each node the later ones that may reach the threshold, by size and signature, and the estimates.
-
-        With roots, pairs of one component are left out.
-        """
-        for i in range(len(self.node) - 1):
-            n = self.n[i + 1 :]
-            may = 100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i])
-            if self.side[i]:
-                may &= self.side[i + 1 :] != self.side[i]
-            if self.root is not None:
-                may &= self.root[i + 1 :] != self.root[i]
-            later = np.flatnonzero(may) + i + 1
-            if self.before.shape[1] and len(later):
-                later = later[~((self.before[later] == self.before[i]) & (self.before[i] != 0)).any(axis=1)]
-            share = np.count_nonzero(self.signature[later] == self.signature[i], axis=1) / self.signature.shape[1]
-            near = share >= self.least
-            if near.any():
-                yield i, later[near], share[near]
-
-    def all_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = [(np.full(len(near), i), near, share) for i, near, share in self.pairs()]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows by group, which is their first column, each with its side: 0 where all pairs count, else the block it is of."""
-    own, other = F.pmod(F.xxhash64("node", "region"), F.col("blocks")).cast("int"), F.col("other")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    group = F.when(F.col("blocks") == 1, F.col("region")).otherwise(F.xxhash64("region", F.least(own, other), F.greatest(own, other)))
-    side = F.when(own == other, 0).when(own < other, 1).otherwise(2)
-    rows = rows.select(group.alias("group"), side.alias("side"), *(c for c in rows.columns if c != "other"))
-    return rows.repartition(partitions(rows.sparkSession), "group").sortWithinPartitions("group", "node")
+
+_NEAR = "region long, a long, b long, share double, crowded boolean"
 
 
 def _near(rows: DataFrame, percent: int, least: float) -> DataFrame:
@@ -219,64 +206,46 @@ def _near(rows: DataFrame, percent: int, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches):
-            region = _Region(table, percent, least)
-            a, b, e = region.all_pairs()
+            region, node = table["region"][0].as_py(), table["node"].to_numpy()
+            homes = np.frombuffer(b"".join(table["homes"].to_pylist()), ">i8").reshape(len(node), -1)
+            before = homes[:, : int(np.argmax(homes[0] == region))]
+            a, b, e = _pairs(table["n"].to_numpy(), _signatures(table["signature"]), percent, least, before, None)
             if not len(a):
                 continue
             one, two, share = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([e, e])
-            order = np.lexsort((two, -share, one))
+            order = np.lexsort((node[two], -share, one))
             one, two, share = one[order], two[order], share[order]
             rank = np.arange(len(one)) - np.searchsorted(one, one)
-            crowded = (np.bincount(one, minlength=len(region.node)) > NEAREST)[one]
-            kept_ = rank < NEAREST
-            home, split = np.full(kept_.sum(), table["region"][0].as_py()), np.full(kept_.sum(), table["blocks"][0].as_py() > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (home, split, region.node[one[kept_]], region.node[two[kept_]], share[kept_], crowded[kept_])], ["region", "split", "a", "b", "share", "crowded"])
-
-    return _dealt(rows).mapInArrow(run, "region long, split boolean, a long, b long, share double, crowded boolean")
-
-
-def _nearest(near: DataFrame) -> DataFrame:
-    """The same of whole regions: of those with several groups, the nearest of all groups."""
-    by = F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("far"), "b"))).alias("by")
-    of_all = near.where("split").groupBy("region", "a").agg(by, F.max("crowded").alias("crowded"))
-    of_all = of_all.select("a", F.explode(F.slice("by", 1, NEAREST)).alias("x"), (F.col("crowded") | (F.size("by") > NEAREST)).alias("crowded"))
-    return near.where("not split").select("a", "b", "share", "crowded").unionByName(of_all.select("a", "x.b", (-F.col("x.far")).alias("share"), "crowded"))
-
-
-def _open(rows: DataFrame, percent: int, least: float) -> DataFrame:
-    """(region, node) of the nodes that have a pair in another component which may be alike. Rows also have a root."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _gathered(batches):
-            region = _Region(table, percent, least)
-            a, b, _ = region.all_pairs()
-            some = np.unique(np.concatenate([a, b]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), table["region"][0].as_py())), pa.array(region.node[some])], ["region", "node"])
+            crowded = (np.bincount(one, minlength=len(node)) > NEAREST)[one]
+            best = rank < NEAREST
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(int(best.sum()), region), node[one[best]], node[two[best]], share[best], crowded[best])], ["region", "a", "b", "share", "crowded"])
 
-    return _dealt(rows).mapInArrow(run, "region long, node long")
+    dealt = rows.repartition(partitions(rows.sparkSession), "region").sortWithinPartitions("region", "node")
+    return dealt.select("region", "node", "signature", "n", "homes").mapInArrow(run, _NEAR)
 
 
-def _linked(rows: DataFrame, percent: int, least: float) -> DataFrame:
-    """Confirmed pairs between components of each region, likeliest first, one for each two that they join.
-
-    Rows also have a root and shingles. All pairs that may be alike are tried unless others have joined them.
-    """
+def _following(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs of each node with the NEAREST that follow it in the sorted order of its region, dealt out by ranges of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _gathered(batches):
-            region = _Region(table, percent, least)
-            sets = [np.frombuffer(x.as_buffer(), "<u8") for chunk in table["shingles"].chunks for x in chunk]
-            a, b, e = region.all_pairs()
-            _, group = np.unique(region.root, return_inverse=True)
-            out = []
-            for k in np.argsort(-e, kind="stable"):
-                i, j = int(a[k]), int(b[k])
-                if group[i] != group[j] and _alike(sets[i], sets[j], percent):
-                    group[group == group[j]] = group[i]
-                    out.append((region.node[i], region.node[j]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
-
-    return _dealt(rows).mapInArrow(run, "a long, b long")
+        tail = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if tail is None else [*tail.to_batches(), batch])
+            region, node, signature = table["region"].to_numpy(), table["node"].to_numpy(), _signatures(table["signature"])
+            done = 0 if tail is None else len(tail)
+            for k in range(1, NEAREST + 1):
+                at = np.arange(max(done - k, 0), len(node) - k)
+                at = at[(region[at] == region[at + k])]
+                share = np.count_nonzero(signature[at] == signature[at + k], axis=1) / signature.shape[1]
+                at, share = at[share >= least], share[share >= least]
+                for a, b in ((at, at + k), (at + k, at)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (region[a], node[a], node[b], share, np.zeros(len(a), bool))], ["region", "a", "b", "share", "crowded"])
+            tail = table.slice(max(len(node) - NEAREST, 0))
+
+    at = F.col("tree") * DEPTH * 2
+    order = F.concat(F.expr(f"substring(signature, tree * {DEPTH * 2} + 1)"), F.substring("signature", F.lit(1), at))
+    dealt = rows.withColumn("order", order).repartitionByRange(partitions(rows.sparkSession), "region", "order", "node")
+    return dealt.sortWithinPartitions("region", "order", "node").select("region", "node", "signature").mapInArrow(run, _NEAR)
 
 
 # ---------------------------------------------------------------- confirmation
@@ -319,7 +288,8 @@ def _sets_of(docs: DataFrame, text_col: str, width: int, nodes: DataFrame) -> Da
                             out.append((node, s.astype("<u8").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "shingles"])
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(run, f"{NODE}, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    texts = docs.select(docs[text_col].alias("text"))
+    return texts.mapInArrow(run, f"{NODE}, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -342,48 +312,151 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-# ---------------------------------------------------------------- components
+# ---------------------------------------------------------------- exact join
+
+
+def _frequency(sets: DataFrame) -> np.ndarray:
+    """A level of frequency for each cell of shingle hashes: the count's logarithm. Only the order of shingles goes by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << CELLS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(cells, (np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(64 - CELLS)).astype(np.int64), 1)
+        some = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some])], ["cell", "n"])
+
+    counted = sets.select("shingles").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    out = np.zeros(1 << CELLS, np.uint8)  # at most as many rows as cells came back
+    out[counted["cell"].to_numpy()] = np.minimum(1 + np.log2(counted["n"].to_numpy().astype(np.float64)) * 4, 255).astype(np.uint8)
+    return out
 
 
-def _joined_in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root) of the components of edges (u, v), by union-find."""
-    up: dict[int, int] = {}
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, node, root): of each set the rarest shingles, of which two sets that reach the threshold share one."""
+    sent = sets.sparkSession.sparkContext.broadcast(_frequency(sets))
 
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = x = up[up[x]]
-        return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = []
+            for x in batch.column(2):
+                s = np.frombuffer(x.as_buffer(), "<u8")
+                order = np.lexsort((s, sent.value[(s >> np.uint64(64 - CELLS)).astype(np.int64)]))
+                tokens.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]])
+            row = np.repeat(np.arange(batch.num_rows), [len(t) for t in tokens])
+            node, root = (batch.column(k).to_numpy()[row] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)), pa.array(node), pa.array(root)], ["token", "node", "root"])
 
-    for batch in batches:
-        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            u, v = root(u), root(v)
-            up[max(u, v)] = min(u, v)
-    nodes = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(root, nodes), pa.int64())], ["node", "root"])
+    return sets.select("node", "root", "shingles").mapInArrow(run, "token long, node long, root long")
+
+
+def _close(rows: DataFrame, percent: int, least: float) -> DataFrame:
+    """Pairs (a, b) between components among the nodes of each token that may be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            node = table["node"].to_numpy()
+            a, b, _ = _pairs(table["n"].to_numpy(), _signatures(table["signature"]), percent, least, np.zeros((len(node), 0)), table["root"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token", "node")
+    return dealt.select("token", "node", "root", "n", "signature").mapInArrow(run, "a long, b long").distinct()
 
 
-def connected(links: DataFrame, path: str) -> DataFrame:
-    """(node, root): the least node of each component of the links (a, b).
+def _blocks(tokens: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(node, block) of nodes with frequent tokens (token, node, root, n), and (block, pair, side) of all block pairs.
 
-    At most FEW_LINKS links, which are counted, are joined in one task; more by alternating star steps, which need no group
-    in one task: least neighbours are aggregated, then joined back.
+    Tokens of one node are in one cluster, so a node is in one only. A component of more than a block has blocks of
+    its own, which need not meet; the others are dealt by their roots. Side 0 is a block that meets itself.
     """
-    edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{path}/cc0")
-    if edges.count() <= FEW_LINKS:
-        return edges.coalesce(1).mapInArrow(_joined_in_one_task, f"{NODE}, root long")
-    state, step = None, 0
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = kept(large.distinct(), f"{path}/cc{2 * step + 1}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
-        edges = kept(small.distinct(), f"{path}/cc{2 * step + 2}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state, step = now, step + 1
+    of_node = tokens.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sort_array(F.collect_set("token")).alias("ts"))
+    of_node = kept(of_node, f"{path}/tokens_of")
+    chain = of_node.where(F.size("ts") > 1).select(F.explode(F.arrays_zip(F.expr("slice(ts, 1, size(ts) - 1)").alias("a"), F.expr("slice(ts, 2, size(ts) - 1)").alias("b"))).alias("e")).select("e.*").distinct()
+    cluster = kept(connected(chain, f"{path}/clusters"), f"{path}/cluster").select(F.col("node").alias("token"), F.col("root").alias("cluster"))
+    member = of_node.withColumn("token", F.col("ts")[0]).join(cluster, "token", "left").select("node", "root", "n", F.coalesce("cluster", "token").alias("cluster"))
+    member = kept(member, f"{path}/member")
+    pieces = lambda total: F.ceil(total / BLOCK).cast("int")
+    roots = kept(member.groupBy("cluster", "root").agg(F.sum(F.col("n") + NODE_WEIGHT).alias("weight")), f"{path}/weights")
+    own = small(kept(roots.where(F.col("weight") > BLOCK).select("cluster", "root", pieces(F.col("weight")).alias("own")), f"{path}/own"))
+    others = small(kept(roots.where(F.col("weight") <= BLOCK).groupBy("cluster").agg(pieces(F.sum("weight")).alias("shared")), f"{path}/shared"))
+    dealt = member.join(own, ["cluster", "root"], "left").join(others, "cluster", "left")
+    alone = F.xxhash64("cluster", "root", F.pmod(F.xxhash64("node"), F.col("own")))
+    mixed = F.xxhash64("cluster", F.lit("mixed"), F.pmod(F.xxhash64("root", F.lit(1)), F.col("shared")))
+    dealt = kept(dealt.select("cluster", "node", F.when(F.col("own").isNull(), mixed).otherwise(alone).alias("block"), F.when(F.col("own").isNotNull(), F.col("root")).alias("pure")), f"{path}/blocks")
+    each = kept(dealt.groupBy("cluster", "block", "pure").agg(F.count(F.lit(1)).alias("nodes")), f"{path}/each").drop("nodes")
+    other = each.select("cluster", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
+    pairs = each.join(other, "cluster").where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("pure") == F.col("other_pure"), F.lit(False)))
+    pair = F.xxhash64("block", "other").alias("pair")
+    sides = pairs.select("block", pair, (F.col("block") != F.col("other")).cast("int").alias("side")).unionByName(pairs.where("block <> other").select(F.col("other").alias("block"), pair, F.lit(2).alias("side")))
+    return dealt.select("node", "block"), kept(sides, f"{path}/sides")
+
+
+def _matched(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of each pair of blocks: all pairs are compared, one link is kept for each two components it joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            side, node, root = (table[c].to_numpy() for c in ("side", "node", "root"))
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for chunk in table["shingles"].chunks for x in chunk]
+            left, right = (np.flatnonzero(side != 2), np.flatnonzero(side != 1))
+            _, group = np.unique(root, return_inverse=True)
+            out = []
+            for i, js in zip(left, _alike_rows([sets[i] for i in left], [sets[j] for j in right], percent), strict=True):
+                for j in right[js]:
+                    if group[i] != group[j]:
+                        group[group == group[j]] = group[i]
+                        out.append((node[i], node[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "pair").sortWithinPartitions("pair", "node")
+    return dealt.select("pair", "side", "node", "root", "shingles").mapInArrow(run, "a long, b long")
+
+
+def _alike_rows(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Iterator[np.ndarray]:
+    """For each set on the left, those on the right that reach the threshold: shared shingles are counted by matrix products."""
+    n, m = (np.asarray([len(x) for x in sets], np.int64) for sets in (left, right))
+    common = np.intersect1d(np.unique(np.concatenate([*left, np.zeros(0, np.uint64)])), np.unique(np.concatenate([*right, np.zeros(0, np.uint64)])))
+    shared = np.zeros((len(left), len(right)), np.float32)
+    placed = []
+    for sets in (left, right):
+        row, every = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([*sets, np.zeros(0, np.uint64)])
+        at = np.minimum(np.searchsorted(common, every), max(len(common) - 1, 0))
+        hit = common[at] == every if len(common) else np.zeros(len(every), bool)
+        order = np.argsort(at[hit], kind="stable")
+        placed.append((at[hit][order], row[hit][order]))
+    step = 4096
+    for start in range(0, len(common), step):
+        parts = []
+        for (at, row), sets in zip(placed, (left, right), strict=True):
+            a, b = np.searchsorted(at, [start, start + step])
+            part = np.zeros((len(sets), min(step, len(common) - start)), np.float32)
+            part[row[a:b], at[a:b] - start] = 1
+            parts.append(part)
+        shared += parts[0] @ parts[1].T
+    for i in range(len(left)):
+        both = shared[i].astype(np.int64)
+        yield np.flatnonzero((both > 0) & (100 * both >= percent * (n[i] + m - both)))
+
+
+def _missed(docs: DataFrame, text_col: str, width: int, percent: int, least: float, loose: DataFrame, signed: DataFrame, path: str) -> DataFrame:
+    """Links (a, b) between components among loose nodes (node, root), all of them, by rarest shingles."""
+    found = _sets_of(docs, text_col, width, loose)
+    sets = kept(loose.join(found, "node").join(signed.select("node", "n", "signature"), "node"), f"{path}/sets")
+    tokens = kept(_rarest(sets, percent), f"{path}/tokens")
+    met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("times > 1 AND lo <> hi")
+    met = kept(met.select("token", "times"), f"{path}/met")
+    rare = tokens.join(met.where(F.col("times") <= RARE).select("token"), "token")
+    pairs = kept(_close(rare.join(sets.select("node", "n", "signature"), "node"), percent, least), f"{path}/close")
+    links = kept(_confirmed(pairs, sets, percent), f"{path}/links_rare")
+    often = met.where(F.col("times") > RARE)
+    if not often.head(1):
+        return links
+    rows, sides = _blocks(tokens.join(small(often.select("token")), "token").join(sets.select("node", "n"), "node"), path)
+    dealt = rows.join(small(sides), "block").join(sets.select("node", "root", "shingles"), "node")
+    return links.unionByName(kept(_matched(dealt, percent), f"{path}/links_often"))
+
+
+# ---------------------------------------------------------------- components
 
 
 def _between(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -396,40 +469,50 @@ def _between(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, key, n and root, the node that names its component (null for an empty set)."""
+    """Per row: id, its key, n and root, the node that names its component (null for an empty set)."""
     path = work_dir(docs.sparkSession)
     least = max(0.05, percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / (TREES * DEPTH)))
     rows = kept(_signed(docs, id_col, text_col, width), f"{path}/rows")
     nodes = rows.where("signature is not null").groupBy("node").agg(F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.first("n").alias("n"))
     nodes = kept(nodes, f"{path}/nodes")
-    regions = kept(_regions(nodes, path), f"{path}/regions")
-    # of each node its region in every tree (0: none), as bytes
+    first, regions = _regions(nodes, path)
+    fits, dense = regions.where(F.col("size") <= REGION), first.where(F.col("size") > REGION)
+    # of each node its region in every tree (0: none that is compared whole), as bytes
     by_tree = F.map_from_entries(F.collect_list(F.struct("tree", "region")))
-    homes = regions.groupBy("node").agg(by_tree.alias("m")).select("node", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.lpad(F.hex(F.coalesce(F.col("m")[t], F.lit(0))), 16, "0")), "")).alias("homes"))
-    signed = kept(nodes.join(homes, "node").select("node", "signature", "n", "homes"), f"{path}/signed")
-    near = kept(_near(regions.select("region", "blocks", "node").join(signed, "node").select("region", "blocks", "node", "signature", "n", "homes"), percent, least), f"{path}/groups")
-    near = kept(_nearest(near), f"{path}/near")
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "share")
-    best = near.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crowded = near.where("crowded").select(F.col("a").alias("node")).distinct()
-    sets = kept(_sets_of(docs, text_col, width, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()), f"{path}/sets")
+    each = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.lpad(F.hex(F.coalesce(F.col("m")[t], F.lit(0))), 16, "0"))
+    homes = fits.groupBy("node").agg(by_tree.alias("m")).select("node", F.unhex(F.array_join(each, "")).alias("homes"))
+    signed = kept(nodes.join(homes, "node", "left").select("node", "signature", "n", "homes"), f"{path}/signed")
+    near = _near(fits.select("region", "node").join(signed, "node"), percent, least)
+    deepest = regions.where(F.col("size") > REGION)
+    if deepest.head(1):
+        near = near.unionByName(_following(kept(deepest.join(signed.select("node", "signature"), "node"), f"{path}/deepest"), least))
+    near = kept(near, f"{path}/near")
+    # of each node its NEAREST pairs of all trees; what is more makes a region crowded
+    ranked = F.sort_array(F.collect_set(F.struct((-F.col("share")).alias("far"), "b", "region"))).alias("by")
+    ranked = near.groupBy("a").agg(ranked).select("a", F.posexplode("by").alias("rank", "x")).select("a", "rank", "x.b", "x.region")
+    ranked = kept(ranked, f"{path}/ranked")
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    best, pairs = ranked.where("rank = 0").select(*pair).distinct(), ranked.where(F.col("rank") < NEAREST).select(*pair).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = kept(_sets_of(docs, text_col, width, ends), f"{path}/sets")
 
     best = kept(best, f"{path}/best")
     links = kept(_confirmed(best, sets, percent), f"{path}/links0")
     roots = kept(connected(links, f"{path}/first"), f"{path}/roots0")
-    rest = kept(_between(pairs.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), roots), f"{path}/rest")
+    rest = kept(_between(pairs.join(best, ["a", "b"], "left_anti"), roots), f"{path}/rest")
     more = kept(_confirmed(rest, sets, percent), f"{path}/links1")
     if more.head(1):
         links = links.unionByName(more)
         roots = kept(connected(links, f"{path}/second"), f"{path}/roots1")
-    if crowded.head(1):
-        touched = regions.select("region", "blocks", "node").join(regions.join(crowded, "node", "left_semi").select("region").distinct(), "region", "left_semi")
-        rooted = touched.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.join(rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region"), "region", "left_semi")
-        columns = ["region", "blocks", "node", "signature", "n", "homes", "root"]
-        mixed = kept(mixed.select("region", "blocks", "node", "root").join(signed, "node").select(*columns), f"{path}/mixed")
-        left = kept(_open(mixed, percent, least).distinct(), f"{path}/open")
-        more = kept(_linked(mixed.join(left, ["region", "node"]).join(sets, "node").select(*columns, "shingles"), percent, least), f"{path}/links2")
+
+    crowded = near.where("crowded").select("region").unionByName(ranked.where(F.col("rank") >= NEAREST).select("region"))
+    crowded = small(kept(crowded.distinct(), f"{path}/crowded"))
+    open_ = dense.select("region", "node").unionByName(fits.join(crowded, "region", "left_semi").select("region", "node"))
+    open_ = kept(open_.join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")), f"{path}/open")
+    mixed = small(kept(open_.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region"), f"{path}/mixed"))
+    loose = kept(open_.join(mixed, "region", "left_semi").select("node", "root").distinct(), f"{path}/loose")
+    if loose.head(1):
+        more = _missed(docs, text_col, width, percent, least, loose, signed, f"{path}/exact")
         if more.head(1):
             roots = kept(connected(links.unionByName(more), f"{path}/third"), f"{path}/roots2")
 
@@ -444,7 +527,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     a component without other ids, whose rows are kept. Columns other than id and text are ignored.
     """
     named = _rooted(docs, width, percent, id_col, text_col)
-    ids = named.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
+    ids = kept(named.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), f"{work_dir(docs.sparkSession)}/least")
     out = named.join(ids, "root", "left").withColumn("component", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
@@ -458,6 +541,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     path = work_dir(docs.sparkSession)
     named = kept(_rooted(docs, width, percent, id_col, text_col).where("root is not null"), f"{path}/named")
     many = named.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("stays")).where("rows > 1")
+    many = kept(many, f"{path}/many")
     far = kept(named.join(many, "root").select("key", (F.col("key") == F.col("stays")).alias("stays")), f"{path}/far")
     drop = far.where("not stays").select(F.col("key").alias("dropped")).distinct()
     drop = kept(drop, f"{path}/drop")

@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from spanloom.llm import decontaminate, mixing, near_dup, quality, toxicity
 from spanloom.llm.common import WORD, kept, table, work_dir
+from spanloom.operators import graph
 
 SF = "/root/testdata/sf0.01"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -99,9 +100,20 @@ def test_near_duplicates_of_documents(spark):
     check(spark, table(spark, "/root/testdata/sf0.001", "documents"))
 
 
-def test_near_duplicates_of_crowded_regions(spark, monkeypatch):
+def edited(rng, base, most, own):
+    """base with up to most words replaced by words of its own."""
+    w = list(base)
+    for at in rng.sample(range(len(base)), most):
+        w[at] = own
+    return w
+
+
+@pytest.mark.parametrize("rare", [256, 8])
+def test_near_duplicates_of_crowded_regions(spark, monkeypatch, rare):
     monkeypatch.setattr(near_dup, "REGION", 64)
-    monkeypatch.setattr(near_dup, "FEW_LINKS", 0)
+    monkeypatch.setattr(near_dup, "RARE", rare)
+    monkeypatch.setattr(near_dup, "BLOCK", 60_000)
+    monkeypatch.setattr(graph, "FEW_LINKS", 0)
     rng = random.Random(3)
     vocabulary = [f"w{k}" for k in range(3000)]
     base, passage, texts = [rng.choice(vocabulary) for _ in range(120)], [rng.choice(vocabulary) for _ in range(60)], []
@@ -117,16 +129,32 @@ def test_near_duplicates_of_crowded_regions(spark, monkeypatch):
 def test_near_copies_of_one_text_that_are_alike_to_it_only(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "REGION", 64)
     rng = random.Random(5)
-    base, texts = [f"w{k}" for k in range(604)], []
-    for k in range(800):
-        w = list(base)
-        for at in rng.sample(range(604), 10) if k else []:
-            w[at] = f"x{k}"
-        texts.append(" ".join(w))
+    base = [f"w{k}" for k in range(604)]
+    texts = [" ".join(edited(rng, base, 10 if k else 0, f"x{k}")) for k in range(3000)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert {r.component_id for r in near_dup.near_duplicates(d).collect()} == {0}
 
 
+def test_copies_among_texts_of_one_template(spark, monkeypatch):
+    """Each text shares most of its shingles with all others, but is a near copy of one only."""
+    monkeypatch.setattr(near_dup, "REGION", 16)
+    monkeypatch.setattr(near_dup, "NEAREST", 1)
+    rng, texts = random.Random(6), []
+    template = [f"t{k}" for k in range(150)]
+    for k in range(400):
+        w = template + [f"o{k}_{rng.randint(0, 9)}" for _ in range(50)]
+        texts += [" ".join(w), " ".join(edited(rng, w, 2, f"x{k}"))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(d).collect()} == {k: k - k % 2 for k in range(800)}
+
+
+def test_blocks_are_compared_exactly():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in rng.integers(1, 60, 80)]
+    got = [r.tolist() for r in near_dup._alike_rows(sets[:30], sets[30:], 60)]
+    assert got == [[j for j, y in enumerate(sets[30:]) if near_dup._alike(x, y, 60)] for x in sets[:30]]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, None, 1), (None, "a b", 2), (5, "A  b", 3), (5, "A  b", 3), (6, "", 4), (7, " a b c d e", 4), (7, " a b c d e", 4), (8, "z " * 9000, 5)]
     d = spark.createDataFrame(rows, "doc_id long, text string, node int")
