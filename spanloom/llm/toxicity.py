@@ -1,32 +1,39 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has a unigram model of words. Counts of the class are discounted, and what the discount frees goes
-to the number of classes that use the word, and from there to a Kneser-Ney model of its spelling: its highest (five bytes) is the class's own, counted over word types, its lower orders are continuation counts that both
-classes share. So an expression that was rare or unseen is judged by the parts it shares with others.
-
-A text is described by the difference of the two log-likelihoods a word, over the whole text and over its
-most toxic window of WINDOW words; a logistic curve, fitted on labelled rows that the models have not seen,
-turns the two into a score. The sample is bounded: at most ``per_class`` labelled rows of each class, chosen
-by a hash of their ids, and at most ``types`` word types.
+Each class, toxic and ordinary, has a bigram model of words. Counts are of texts that hold a word or a pair, so one
+long text does not speak for its class. Counts of a class are discounted by OWN (pairs by OWN_PAIR), and what that frees goes
+from pairs to words, from words to the number of classes that use the word, and from there to a Kneser-Ney model of
+its spelling: its highest order (ORDER bytes) is the class's own, counted over word types, its lower orders are
+continuation counts that both classes share. So an expression that was rare or unseen is judged by the parts it shares
+with others. A word's vote, the difference of its two log-likelihoods, is bounded by VOTE.
+
+A text is described by its votes: their mean a word over the whole text and over its most toxic window of WINDOW
+words, and the largest of its distinct words. A logistic curve over these turns them into a score. It is fitted by
+cross-fitting: each labelled text is described by models that have not seen its fold, then the models are made
+of all folds. The sample is bounded: at most ``per_class`` labelled rows of each class, chosen by a hash of their ids,
+and of these as many as hold ``class_bytes`` of text. Within it all words and pairs count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATED, crc_mod, mix, row_of, text_buffer, word_spans
+from .common import PUNCTUATED, crc_mod, kept, mix, row_of, text_buffer, word_spans, work_dir
 
-#: Counts of a class up to OWN say nothing by themselves: they go to what the classes share.
 #: In windows only words count whose likelihoods differ by a factor of exp(DECISIVE) at least.
-WINDOW, DISCOUNT, OWN, ORDER, DECISIVE = 50, 0.75, 3.0, 5, 3.0
+WINDOW, DECISIVE, VOTE, TOP = 50, 3.0, 12.0, 6
+#: Counts of a class up to OWN (of pairs, OWN_PAIR) say nothing by themselves: they go to what is less specific.
+DISCOUNT, OWN, OWN_PAIR, ORDER, FOLDS = 0.75, 1.5, 8.0, 6, 3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _START, _STOP = 2, 3
+#: The context of a text's first word.
+_BEGIN = np.uint64(0x9216D5D98979FB1B)
 
 
 # ---------------------------------------------------------------- words and spellings
@@ -66,18 +73,17 @@ def _grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 
 
 class _Table:
-    """Values of 64-bit keys; 0 for others."""
+    """Rows of values of 64-bit keys; 0 for others."""
 
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], [v[order] for v in values]
+        self.keys, self.values = keys[order], values[..., order].astype(np.float32)
 
-    def get(self, keys: np.ndarray) -> list[np.ndarray]:
+    def get(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return [np.zeros(len(keys)) for _ in self.values]
+            return np.zeros((*self.values.shape[:-1], len(keys)))
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return [np.where(hit, v[at], 0) for v in self.values]
+        return np.where(self.keys[at] == keys, self.values[..., at].astype(np.float64), 0.0)
 
 
 def _discounted(grams: np.ndarray, counts: np.ndarray, discount: float = DISCOUNT) -> tuple[_Table, _Table]:
@@ -85,7 +91,8 @@ def _discounted(grams: np.ndarray, counts: np.ndarray, discount: float = DISCOUN
     context, at = np.unique(grams >> np.uint64(8), return_inverse=True)
     total = np.bincount(at, counts, len(context))
     taken = np.minimum(counts, discount)
-    return _Table(grams, (counts - taken) / total[at]), _Table(context, np.bincount(at, taken, len(context)) / total)
+    own = counts > discount
+    return _Table(grams[own], ((counts - taken) / total[at])[own]), _Table(context, np.bincount(at, taken, len(context)) / total)
 
 
 class Spelling:
@@ -104,20 +111,36 @@ class Spelling:
         shared = np.full(len(grams), 1 / 256)
         for order, (seen, share) in zip(range(1, ORDER), reversed(self.lower), strict=True):
             key = grams & np.uint64(256**order - 1)
-            rest = share.get(key >> np.uint64(8))[0]
-            shared = seen.get(key)[0] + np.where(rest > 0, rest, 1) * shared
+            rest = share.get(key >> np.uint64(8))
+            shared = seen.get(key) + np.where(rest > 0, rest, 1) * shared
         out = []
         for seen, share in self.top:
-            rest = share.get(grams >> np.uint64(8))[0]
-            out.append(np.log(seen.get(grams)[0] + np.where(rest > 0, rest, 1) * shared))
+            rest = share.get(grams >> np.uint64(8))
+            out.append(np.log(seen.get(grams) + np.where(rest > 0, rest, 1) * shared))
         return out
 
 
+def pair_keys(before: np.ndarray, names: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + names)
+
+
+def contexts(names: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each word, _BEGIN at the start of a row; first: each row's first word."""
+    out = np.empty_like(names)
+    out[1:] = names[:-1]
+    out[first[:-1][np.diff(first) > 0]] = _BEGIN
+    return out
+
+
 class Model:
-    """The two models and the curve over them; score() needs no label."""
+    """The two models and the curve over what they say; score() needs no label."""
+
+    def __init__(self, words: list[str], counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], before: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        """words: distinct, and counts of texts, a row a word, a column a class (ordinary, toxic).
 
-    def __init__(self, words: list[str], counts: np.ndarray):
-        """words: distinct; counts: of each in class 0 and in class 1, one column a class."""
+        pairs: keys and counts of those of which a class has more than OWN_PAIR. before: context words, and in each class the
+        sum of the counts of their pairs and of what these give away, min(count, OWN_PAIR).
+        """
         buf, starts, ends, _ = _words(pa.array(words, pa.large_string()))
         if len(starts) != len(words):
             raise ValueError("a word has parts")
@@ -126,29 +149,40 @@ class Model:
         spelled = np.exp([np.bincount(word, x, len(words)) for x in self.spelling.logs(grams)]) if len(words) else np.zeros((2, 0))
         total, kinds = np.maximum(counts.sum(axis=0), 1), (counts > 0).sum(axis=1)  # in how many classes a word occurs
         rest = np.where(counts.any(axis=0), np.minimum(counts, OWN).sum(axis=0) / total, 1.0)
-        shared = (np.maximum(kinds - DISCOUNT, 0) + DISCOUNT * (kinds > 0).sum() * spelled) / max(kinds.sum(), 1)
+        free = DISCOUNT * (kinds > 0).sum() / max(kinds.sum(), 1)
+        shared = np.maximum(kinds - DISCOUNT, 0) / max(kinds.sum(), 1) + free * spelled
         logs = np.log(1e-300 + np.maximum(counts.T - OWN, 0) / total[:, None] + rest[:, None] * shared)
-        self.unseen = float(np.log(rest[1]) - np.log(rest[0]))
-        self.table = _Table(_names(buf, starts, ends), logs[1] - logs[0])
-        self.curve = np.array([0.0, 0.0, 0.0])
-
-    def differences(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word of each row the difference of its log-likelihoods, and each row's first word."""
+        self.unseen = np.log(rest * (free or 1.0))[:, None]
+        self.words = _Table(_names(buf, starts, ends), logs)
+        self.pairs = _Table(pairs[0], np.maximum(pairs[1].T - OWN_PAIR, 0))
+        self.before = _Table(before[0], np.concatenate([before[1], before[2]], axis=1).T)
+        self.curve = (np.zeros(TOP + 4), np.zeros(TOP + 4), np.ones(TOP + 4))
+
+    def votes(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word of each row the difference of its log-likelihoods, its kind, and each row's first word."""
         buf, starts, ends, first = _words(arr)
         if not len(starts):
-            return np.zeros(0), first
-        name, at, back = np.unique(_names(buf, starts, ends), return_index=True, return_inverse=True)
-        hit = np.isin(name, self.table.keys, assume_unique=True)
-        value = self.table.get(name)[0]
-        new = at[~hit]
-        grams, word = _grams(buf, starts[new], ends[new])
-        zero, one = self.spelling.logs(grams)
-        value[~hit] = self.unseen + np.bincount(word, one - zero, len(new))
-        return np.clip(value, -12, 12)[back], first
+            return np.zeros(0), np.zeros(0, np.int64), first
+        names = _names(buf, starts, ends)
+        kinds, at, back = np.unique(names, return_index=True, return_inverse=True)
+        logs = self.words.get(kinds)
+        new = logs[0] == 0
+        grams, word = _grams(buf, starts[at[new]], ends[at[new]])
+        logs[:, new] = self.unseen + np.stack([np.bincount(word, x, int(new.sum())) for x in self.spelling.logs(grams)])
+        logs, before = logs[:, back], contexts(names, first)
+        about, where = np.unique(before, return_inverse=True)
+        about = self.before.get(about)[:, where]
+        total, given = about[:2], about[2:]
+        with np.errstate(divide="ignore"):
+            own = np.log(self.pairs.get(pair_keys(before, names)) / np.maximum(total, 1))
+            back_off = np.where(total > 0, np.log(given / np.maximum(total, 1)), 0.0)
+        both = np.logaddexp(own, back_off + logs)
+        return np.clip(both[1] - both[0], -VOTE, VOTE), back, first
 
     def features(self, arr: pa.Array) -> np.ndarray:
-        """Length-normalised differences: of the whole text, and of its most toxic window; 0 without words."""
-        value, first = self.differences(arr)
+        """Length-normalised votes of the whole text and of its most toxic window, the largest of its words, and its
+        length; 0 without words."""
+        value, kind, first = self.votes(arr)
         n = np.diff(first)
         total = np.concatenate([[0.0], np.cumsum(value)])
         whole = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
@@ -161,99 +195,180 @@ class Model:
             begins = np.cumsum(span) - span
             start = first[long][row] + np.arange(len(row)) - begins[row]
             most[long] = np.maximum.reduceat((total[start + WINDOW] - total[start]) / WINDOW, begins)
-        return np.stack([np.ones(len(n)), whole, most], axis=1)
+        return np.concatenate([np.stack([np.ones(len(n)), whole, most], axis=1), _largest(value, kind, row_of(first), len(n)), np.log1p(n)[:, None]], axis=1)
 
     def fit_curve(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton steps with a small ridge; without both classes, the rows' mean."""
+        """Logistic regression on standardised features by Newton steps with a small ridge; without both classes, the rows' mean."""
+        w, mean, scale = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.ones(x.shape[1])
         if len(y) == 0 or y.min() == y.max():
             p = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
-            self.curve = np.array([np.log(p / (1 - p)), 0.0, 0.0])
-            return
-        w, ridge = np.zeros(3), np.diag([1e-6, 0.02, 0.02])
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + ridge, x.T @ (y - p) - ridge @ w)
-            w += step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
-        self.curve = w
+            w[0] = np.log(p / (1 - p))
+        else:
+            mean[1:], scale[1:] = x[:, 1:].mean(axis=0), x[:, 1:].std(axis=0) + 1e-9
+            z, ridge = (x - mean) / scale, np.diag([1e-9] + [5e-4 * len(y)] * (x.shape[1] - 1))
+            for _ in range(80):
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                step = np.linalg.solve((z.T * (p * (1 - p) + 1e-9)) @ z + ridge, z.T @ (y - p) - ridge @ w)
+                w += step * min(1.0, 3 / (np.abs(step).max() + 1e-12))
+        self.curve = (w, mean, scale)
 
     def score(self, arr: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(arr) @ self.curve, -30, 30)))
+        w, mean, scale = self.curve
+        return 1 / (1 + np.exp(-np.clip((self.features(arr) - mean) / scale @ w, -30, 30)))
+
+
+def _largest(value: np.ndarray, kind: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The TOP largest votes of each row, a word counting once, by its largest."""
+    out = np.zeros((rows, TOP))
+    order = np.lexsort((-value, kind, row))
+    row, kind, value = row[order], kind[order], value[order]
+    once = np.ones(len(row), bool)
+    once[1:] = (row[1:] != row[:-1]) | (kind[1:] != kind[:-1])
+    row, value = row[once], value[once]
+    order = np.lexsort((-value, row))
+    row, value = row[order], value[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    first = rank < TOP
+    out[row[first], rank[first]] = value[first]
+    return out
 
 
 # ---------------------------------------------------------------- Spark
 
 
-def _sample(labels: DataFrame, label_col: str, train_if: Column, per_class: int) -> DataFrame:
-    """At most per_class labelled ids of each class, in the order of a hash; fold 0 is for the curve."""
-    one = labels.where(train_if & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("label"))
+def _sample(docs: DataFrame, labels: DataFrame, label_col: str, train_if: Column, per_class: int, class_bytes: int) -> DataFrame:
+    """(text, label, fold) of at most per_class rows of each class, and at most class_bytes of text, in the order of a hash of the ids."""
+    one = labels.where(train_if & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     one = one.withColumn("order", F.xxhash64("doc_id", F.lit(11)))
-    parts = [one.where(F.col("label") == k).orderBy("order", "doc_id").limit(per_class) for k in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)).alias("fold"))
+    ids = [one.where(F.col("label") == k).orderBy("order", "doc_id").limit(per_class) for k in (0, 1)]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    rows = rows.withColumn("tie", F.xxhash64("text"))  # an id may have several rows
+    rows = [rows.where(F.col("label") == k).orderBy("order", "doc_id", "tie").limit(per_class) for k in (0, 1)]
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0))
+    bounded = rows[0].unionByName(rows[1]).withColumn("bytes", so_far).where(F.col("bytes") <= class_bytes)
+    return bounded.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"))
+
+
+_COUNTS = [f"n{label}{fold}" for label in (0, 1) for fold in range(FOLDS)]
+_OF = ", ".join(f"{c} long" for c in _COUNTS)
+
+
+def _tally(rows: DataFrame, of_pairs: bool) -> DataFrame:
+    """Texts of each class and fold that hold a word, or a pair (with its context): a text counts once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                buf, starts, ends, first = _words(part.column(0))
+                names, row = _names(buf, starts, ends), row_of(first)
+                before = contexts(names, first)
+                keys, at, back = np.unique(pair_keys(before, names) if of_pairs else names, return_index=True, return_inverse=True)
+                place = np.unique(back * part.num_rows + row)  # once a text
+                kind, row = place // max(part.num_rows, 1), place % max(part.num_rows, 1)
+                own = part.column(1).to_numpy()[row] * FOLDS + part.column(2).to_numpy()[row]
+                counts = [pa.array(np.bincount(kind[own == k], minlength=len(keys))) for k in range(len(_COUNTS))]
+                if of_pairs:
+                    named = [pa.array(keys.view(np.int64)), pa.array(before[at].view(np.int64))]
+                else:
+                    text = buf.tobytes()
+                    named = [pa.array([text[starts[k] : ends[k]].decode("utf-8", "replace") for k in at], pa.string())]
+                yield pa.RecordBatch.from_arrays([*named, *counts], [*(["pair", "before"] if of_pairs else ["word"]), *_COUNTS])
+
+    named = ["pair", "before"] if of_pairs else ["word"]
+    counted = rows.select("text", "label", "fold").mapInArrow(run, ("pair long, before long, " if of_pairs else "word string, ") + _OF)
+    return counted.groupBy(*named).agg(*(F.sum(c).alias(c) for c in _COUNTS))
+
+
+def _left(label: int, fold: int) -> Column:
+    """The count of a class without a fold (without none, if fold is FOLDS)."""
+    return sum((F.col(f"n{label}{k}") for k in range(FOLDS) if k != fold), F.lit(0))
+
+
+def _models(rows: DataFrame, path: str) -> list[Model]:
+    """A model without each fold, and one of all."""
+    words = _tally(rows, False).where("word <> ''").orderBy("word").toArrow()
+    pairs = kept(_tally(rows, True), f"{path}/pairs")
+    whole = [F.sum(_left(label, fold)).alias(f"s{label}{fold}") for label in (0, 1) for fold in range(FOLDS + 1)]
+    given = [F.sum(F.least(_left(label, fold), F.lit(OWN_PAIR))).alias(f"g{label}{fold}") for label in (0, 1) for fold in range(FOLDS + 1)]
+    before = pairs.groupBy("before").agg(*whole, *given).orderBy("before").toArrow()
+    often = pairs.where(F.greatest(_left(0, FOLDS), _left(1, FOLDS)) > OWN_PAIR).orderBy("pair").toArrow()
+
+    def counts(table: pa.Table, fold: int) -> np.ndarray:
+        return np.stack([sum(table[f"n{label}{k}"].to_numpy() for k in range(FOLDS) if k != fold) for label in (0, 1)], axis=1).astype(np.float64)
+
+    out = []
+    for fold in range(FOLDS + 1):
+        n = counts(words, fold)
+        some = n.any(axis=1)
+        sums = [np.stack([before[f"{c}{label}{fold}"].to_numpy() for label in (0, 1)], axis=1).astype(np.float64) for c in "sg"]
+        of_pairs = (often["pair"].to_numpy().view(np.uint64), counts(often, fold))
+        out.append(Model(words["word"].filter(pa.array(some)).to_pylist(), n[some], of_pairs, (before["before"].to_numpy().view(np.uint64), *sums)))
+    return out
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_if: Column | None = None, per_class: int = 3000, types: int = 300_000) -> Model:
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_if: Column | None = None, per_class: int = 3000, class_bytes: int = 32 << 20) -> Model:
     """A model from the labelled rows that train_if (a condition on labels) admits.
 
-    Labels other than 0 and 1 and null ids are left out; of several labels of an id the largest counts.
-    Without labels, every score is close to 0.
+    Labels other than 0 and 1 and null ids are left out; of several labels of an id the largest counts; an id with
+    several rows counts with each, within the bounds. Without labels, every score is close to 0; with labels of one
+    class only, all scores are close to it.
     """
-    known = _sample(labels, label_col, F.lit(True) if train_if is None else train_if, per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    spark, path = docs.sparkSession, work_dir(docs.sparkSession)
+    rows = kept(_sample(docs, labels, label_col, F.lit(True) if train_if is None else train_if, per_class, class_bytes), f"{path}/sample")
+    *others, model = _models(rows, path)
+    sent = spark.sparkContext.broadcast(others)
+    names = [f"x{k}" for k in range(TOP + 4)]
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, starts, ends, first = _words(batch.column(0))
-            label = batch.column(1).to_numpy()[row_of(first)]
-            _, at, back = np.unique(_names(buf, starts, ends), return_index=True, return_inverse=True)
-            text = buf.tobytes()
-            counts = [np.bincount(back[label == k], minlength=len(at)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([text[starts[i] : ends[i]].decode("utf-8", "replace") for i in at], pa.string()), *map(pa.array, counts)], ["word", "n0", "n1"])
-
-    counted = rows.where("fold <> 0").select("text", F.col("label").cast("long").alias("label")).mapInArrow(tally, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = counted.orderBy(F.desc(F.col("n0") + F.col("n1")), "word").limit(types).toArrow()
-    found = found.filter(pa.compute.greater(pa.compute.binary_length(found["word"]), 0))
-    model = Model(found["word"].to_pylist(), np.stack([found["n0"].to_numpy(), found["n1"].to_numpy()], axis=1).astype(np.float64))
+            fold = batch.column(2).to_numpy()
+            for k in range(FOLDS):
+                part = batch.filter(pa.array(fold == k))
+                x = sent.value[k].features(part.column(0))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(len(names))), part.column(1)], [*names, "label"])
+
+    x = rows.select("text", "label", "fold").repartition(16).mapInArrow(describe, ", ".join(f"{c} double" for c in names) + ", label int").toArrow()
+    columns = [x[c].to_numpy() for c in (*names, "label")]
+    columns = [c[np.lexsort(columns)] for c in columns]  # rows in an order of their own, so that sums agree from run to run
+    model.fit_curve(np.stack(columns[:-1], axis=1), columns[-1].astype(np.float64))
+    sent.destroy()
+    return model
+
+
+def _scored(model: Model, docs: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    """A function of a text column that gives scores in tasks, in slices of bounded size."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = sent.value.features(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column(1)], ["whole", "most", "label"])
+    def run(texts: pa.Array) -> np.ndarray:
+        return np.concatenate([sent.value.score(texts.slice(i, 500)) for i in range(0, len(texts), 500)]) if len(texts) else np.zeros(0)
 
-    x = rows.where("fold = 0").select("text", F.col("label").cast("long").alias("label")).mapInArrow(describe, "whole double, most double, label long").toArrow()
-    order = np.lexsort([x[c].to_numpy() for c in ("label", "most", "whole")])
-    x = [x[c].to_numpy()[order] for c in ("whole", "most", "label")]
-    model.fit_curve(np.stack([np.ones(len(x[0])), x[0], x[1]], axis=1), x[2].astype(np.float64))
-    return model
+    return run
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score and predicted (1 from threshold on) of all rows.
 
     Null texts count as empty and get the score of a text without words; repeated rows get equal scores;
-    other columns of docs are left out.
+    a score equal to the threshold is predicted 1; an empty table gives no rows; other columns of docs are left out.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    scores = _scored(model, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                s = sent.value.score(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            s = scores(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below threshold."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    """The rows of docs, with all their columns, whose score is below threshold; odd rows as in ``score``."""
+    scores, at = _scored(model, docs), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                yield part.filter(pa.array(sent.value.score(part.column(at)) < threshold))
+            yield batch.filter(pa.array(scores(batch.column(at)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
