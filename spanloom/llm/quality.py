@@ -161,21 +161,28 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_if: Column | None = None, per_class: int = 8000) -> Model:
     """A model of the labelled rows that train_if (a condition on labels) admits.
 
-    Labels other than 0 and 1 and null ids are left out; of several labels of an id the largest counts.
+    Labels other than 0 and 1 and null ids are left out; of several labels of an id the largest counts; an id
+    with several rows counts with each, within the bound.
     Without rows of both classes every score is the share of label 1 (one half without any row).
     """
-    one = labels.where((F.lit(True) if train_if is None else train_if) & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("label"))
+    admitted = F.lit(True) if train_if is None else train_if
+    one = labels.where(admitted & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("label"))
     one = one.withColumn("order", F.xxhash64("doc_id", F.lit(13)))
-    parts = [one.where(F.col("label") == k).orderBy("order", "doc_id").limit(per_class) for k in (0, 1)]
-    known = F.broadcast(parts[0].unionByName(parts[1]).select("doc_id", F.col("label").cast("double").alias("label")))
+    ids = [one.where(F.col("label") == k).orderBy("order", "doc_id").limit(per_class) for k in (0, 1)]
+    known = F.broadcast(ids[0].unionByName(ids[1]).select("doc_id", "order", F.col("label").cast("double").alias("label")))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j]) for j in range(x.shape[1])), batch.column(1)], [*FEATURES, "label"])
-
-    found = docs.select("doc_id", "text").join(known, "doc_id").select("text", "label").mapInArrow(describe, ", ".join(f"{c} double" for c in (*FEATURES, "label"))).toArrow()
-    x = np.stack([found[c].to_numpy() for c in (*FEATURES, "label")], axis=1) if found.num_rows else np.zeros((0, len(FEATURES) + 1))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j]) for j in range(x.shape[1])), batch.column(1), batch.column(2)], [*FEATURES, "label", "order"])
+
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "label", "order")
+    columns = [*FEATURES, "label"]
+    described = rows.mapInArrow(describe, ", ".join(f"{c} double" for c in columns) + ", order long")
+    # an id may have several rows: they count within the bound, too
+    parts = [described.where(F.col("label") == k).orderBy("order", *FEATURES).limit(per_class) for k in (0, 1)]
+    found = parts[0].unionByName(parts[1]).toArrow()
+    x = np.stack([found[c].to_numpy() for c in columns], axis=1) if found.num_rows else np.zeros((0, len(columns)))
     x = x[np.lexsort(x.T)]
     return Model(x[:, :-1], x[:, -1])
 
@@ -184,7 +191,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted (1 from threshold on) of all rows.
 
     Null texts count as empty and get the score of a text without words; repeated rows get equal scores;
-    other columns of docs are left out.
+    a score equal to the threshold is predicted 1; an empty table gives no rows; other columns of docs are left out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
