@@ -26,13 +26,104 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    labels = {r.doc_id: r.toxic for r in table(spark, SF, "labels").collect()}
-    rows = toxicity.score_held_out(table(spark, SF, "documents"), table(spark, SF, "labels")).collect()
-    held = [r for r in rows if r.held_out and r.doc_id in labels]
-    ranks = sorted((r.score, labels[r.doc_id]) for r in held)
-    pos = sum(x for _, x in ranks)
-    auc = sum(sum(1 for _, y in ranks[:k] if not y) for k, (_, x) in enumerate(ranks) if x) / (pos * (len(ranks) - pos))
-    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows) and auc > 0.8
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    rows = toxicity.score_held_out(table(spark, sf, "documents"), table(spark, sf, "labels")).collect()
+    assert len(rows) == 10_000 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    found = Counter((labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels)
+    assert found[1, 1] >= 0.85 * (found[1, 1] + found[1, 0]) and found[1, 1] >= 0.95 * (found[1, 1] + found[0, 1])
+
+
+def kneser_ney(texts, labels):
+    """P(word | word before) of both classes, from dictionaries."""
+    own, own_pair, free, order = toxicity.OWN, toxicity.OWN_PAIR, toxicity.DISCOUNT, toxicity.ORDER
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.translate(LOW))
+    words, pairs = (Counter(), Counter()), (Counter(), Counter())
+    for t, y in zip(texts, labels, strict=True):
+        words[y].update(set(split(t)))
+        pairs[y].update(set(zip([None, *split(t)], split(t))))
+
+    def grams(word):
+        b = [2] * (order - 1) + list(word.encode()) + [3]
+        return [tuple(b[i : i + order]) for i in range(len(b) - order + 1)]
+
+    top = [Counter(g for w in words[c] for g in grams(w)) for c in (0, 1)]
+    lower, seen = {}, set(top[0]) | set(top[1])
+    for k in range(order - 1, 0, -1):
+        lower[k] = Counter(g[-k:] for g in seen)
+        seen = set(lower[k])
+
+    def smoothed(counts, gram, discount, below):
+        around = [n for g, n in counts.items() if g[:-1] == gram[:-1]]
+        if not around:
+            return below
+        return (max(counts[gram] - discount, 0) + sum(min(n, discount) for n in around) * below) / sum(around)
+
+    def spelled(c, word):
+        p = 1.0
+        for g in grams(word):
+            q = 1 / 256
+            for k in range(1, order):
+                q = smoothed(lower[k], g[-k:], free, q)
+            p *= smoothed(top[c], g, own, q)
+        return p
+
+    every = set(words[0]) | set(words[1])
+    used = sum((w in words[0]) + (w in words[1]) for w in every)
+
+    def p(c, before, word):
+        n = (word in words[0]) + (word in words[1])
+        shared = (max(n - free, 0) + free * len(every) * spelled(c, word)) / used
+        total = sum(words[c].values())
+        q = (max(words[c][word] - own, 0) + sum(min(x, own) for x in words[c].values()) * shared) / total
+        around = [x for (v, _), x in pairs[c].items() if v == before]
+        return (max(pairs[c][before, word] - own_pair, 0) + sum(min(x, own_pair) for x in around) * q) / sum(around) if around else q
+
+    return split, p
+
+
+def test_toxicity_votes_are_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "OWN_PAIR", 1.5)
+    rng = random.Random(8)
+    make = lambda y: " ".join(rng.choice(["the", "man", "Manly", "é", "a1"] + ["mad", "madly", "bad"] * y) for _ in range(rng.randint(1, 12)))
+    texts = [(make(k % 2), k % 2) for k in range(40)]
+    d = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(k, y) for k, (_, y) in enumerate(texts)], "doc_id long, toxic int"))
+    split, p = kneser_ney([t for t, _ in texts], [y for _, y in texts])
+    for t in ["the mad man", "Bad MADMAN, the the manly!", "zebra", "", "mad mad mad é"]:
+        w = split(t)
+        want = [np.log(p(1, v, x)) - np.log(p(0, v, x)) for v, x in zip([None, *w], w)]
+        got = model.votes(pa.array([t]))[0]
+        assert got == pytest.approx(np.clip(want, -toxicity.VOTE, toxicity.VOTE), abs=1e-4)
+        x = model.features(pa.array([t]))[0]
+        assert x[1] == pytest.approx(got.mean() if len(w) else 0)
+        assert x[3 : 3 + toxicity.TOP] == pytest.approx((sorted({y: g for g, y in sorted(zip(got, w))}.values(), reverse=True) + [0] * toxicity.TOP)[: toxicity.TOP])
+
+
+def test_quality_scores_are_sums_of_bins():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["the", "a", "fox", "Runs", "%%%", "1"], rng.integers(0, 60))) + "." * (k % 3) for k in range(300)]
+    x = quality.features(pa.array(texts))
+    model = quality.Model(x, (x[:, 0] > np.median(x[:, 0])).astype(float))
+    by_hand = []
+    for row in x:
+        total = model.base + sum(model.tables[j][sum(c <= row[j] for c in model.cuts[j])] for j in range(len(row)))
+        for (i, j), t in zip(model.pairs, model.grids, strict=True):
+            total += t[sum(c <= row[i] for c in model.coarse[i]), sum(c <= row[j] for c in model.coarse[j])]
+        by_hand.append(1 / (1 + np.exp(-total)))
+    assert model.score(pa.array(texts)) == pytest.approx(np.array(by_hand), abs=1e-9)
+
+
+@pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_ties_at_the_threshold_and_ids_that_repeat(spark, module, label):
+    d = spark.createDataFrame([(1, "a b c"), (1, "other words here"), (1, "a b c"), (2, "mad mad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], f"doc_id long, {label} int")
+    model = module.fit(d, labels, label)
+    scores = sorted((r.doc_id, r.score) for r in module.score(d, model).collect())
+    assert len(scores) == 4 and len({s for _, s in scores}) >= 1
+    at = scores[0][1]
+    assert all(r.predicted == int(r.score >= at) for r in module.score(d, model, at).collect())
+    assert [r.predicted for r in module.score(d, model, at).collect() if r.score == at]
 
 
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
