@@ -1,27 +1,30 @@
 """Bigram scoring from a log-frequency Bloom filter.
 
 Counting: every training token and pair of adjacent tokens is hashed; tasks pre-aggregate, deal sorted runs to
-buckets of the hash range, and each bucket sums its runs. From these exact sums a bucket builds its part of
+buckets of the hash range, and each bucket sums its runs. The number of buckets follows the bytes of training text,
+never a setting of the session, so scores are the same on any cluster. From its exact sums a bucket builds its part of
 the filter: an n-gram of quantised count q enters as q items (n-gram, 1) ... (n-gram, q), and a reader probes
-level after level until one is missing. Pairs seen once are stored too. The parts are broadcast together while
-they hold at most FILTER_BYTES; a larger filter is broadcast in groups of buckets that follow one another, each
-group a pass over the texts which leaves every token's levels beside the text.
+level after level until one is missing. N-grams seen once are stored too.
+
+Scoring: a filter of at most FILTER_BYTES is broadcast, and texts are scored where they are read. A larger one
+stays in its buckets, as a broadcast must not grow with the corpus: tasks send the distinct n-grams of a batch of
+texts to them, levels come back, and the batch is scored where they meet. Both give the same scores. Exact
+counts for the base score come from the buckets in the same exchange.
 
 Probability of w after v: (1 - l) c(v w) / c(v) + l p(w), l being the share of pairs seen once, p(w) =
 (1 - u) c(w) / N, and u = max(n1, 1) / (N + 1) for the class of unseen words. Numerators take the lower and
 denominators the upper bound of a quantised count, so the probabilities of all words add up to 1 at most but
-for false positives of the filter (under 1 % of unseen n-grams).
+for false positives of the filter (about 1 of 1,000 unseen n-grams).
 """
 
 from __future__ import annotations
 
 import io
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +33,11 @@ from .common import crc_mod, kept, mix, partitions, text_buffer, word_hashes, wo
 #: The token that ends a text and, as context, begins one.
 END = np.uint64(0x5DEECE66D1CE4E5B)
 #: Bits an item, probes an item, and the ratio of successive quantised counts.
-BITS, PROBES, RATIO = 12, 4, 2**0.5
-#: At most so many bytes of filter are broadcast at once.
-FILTER_BYTES = 192 << 20
+BITS, PROBES, RATIO = 16, 6, 2**0.5
+#: A filter of at most so many bytes is broadcast.
+FILTER_BYTES = 32 << 20
+#: Bytes of training text a bucket of the hash range, and buckets at least, as a power of two.
+BUCKET_BYTES, LEAST_BITS = 64 << 20, 6
 #: Tokens of at least 1 / HOT of all, of which there are at most HOT, are counted from a broadcast table.
 HOT = 1 << 19
 #: Tokens that a task gathers before it deals them out.
@@ -166,18 +171,6 @@ class Filter:
         return out
 
 
-_filters: dict[str, Filter] = {}
-
-
-def _filter(sent: Broadcast, bits: int) -> Filter:
-    """The filter of a broadcast (name, parts); a worker keeps the last one it has put together."""
-    name, parts = sent.value
-    if name not in _filters:
-        _filters.clear()
-        _filters[name] = Filter(parts, bits)
-    return _filters[name]
-
-
 # ---------------------------------------------------------------- counting
 
 
@@ -238,16 +231,26 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 # ---------------------------------------------------------------- scoring
 
 
-def _groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
-    """Buckets in order, in groups of at most ``most`` bytes (one bucket at least)."""
-    groups, held = [[]], 0
-    for bucket, size in sizes:
-        if groups[-1] and held + size > most:
-            groups.append([])
-            held = 0
-        groups[-1].append(bucket)
-        held += size
-    return groups
+class _Totals:
+    """What the formula needs of the whole corpus."""
+
+    def __init__(self, row: dict[str, int]):
+        self.tokens, self.types = row["tokens"], row["types"]
+        self.unseen = max(row["once"], 1) / (self.tokens + 1)
+        self.back_off = min(max(row["pairs_once"] / max(row["pairs"], 1), 0.05), 0.99)
+
+    def scores(self, n: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Log10 probability of each text from the levels of its tokens and of its pairs; n: tokens a text."""
+        if not self.tokens:
+            return np.zeros(len(n))
+        row, starts = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        context = np.empty(len(one), np.uint8)
+        context[1:] = one[:-1]
+        context[starts] = one[starts + n - 1]  # every text ends with END, whose level is that of its beginning
+        alone = np.where(one > 0, (1 - self.unseen) * _lower(one) / self.tokens, self.unseen)
+        seen = np.minimum(_lower(two) / np.where(context > 0, _lower(context) * RATIO, np.inf), 1.0)
+        p = np.where(context > 0, (1 - self.back_off) * seen + self.back_off * alone, alone)
+        return np.bincount(row, np.log10(p), len(n))
 
 
 def score(docs: DataFrame, train_if=None, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -255,107 +258,84 @@ def score(docs: DataFrame, train_if=None, id_col: str = "doc_id", text_col: str
 
     train_if is a condition on docs that picks the rows to learn from (default: all). Null texts count as
     empty, that is one end; repeated rows are scored each; with nothing to learn from, N = V = 0, every
-    token is unknown and both scores are 0. base_score uses exact counts: frequent tokens (at most HOT of
-    them) from a broadcast table, the others by meeting their counts in the bucket of their hash.
+    token is unknown and both scores are 0; an empty table gives no rows; other columns are ignored. base_score
+    uses exact counts: frequent tokens (at most HOT of them) from a broadcast table, the others by meeting their
+    counts in the bucket of their hash.
     """
     spark, path = docs.sparkSession, work_dir(docs.sparkSession)
-    bits = max(2, (2 * partitions(spark) - 1).bit_length())
-    train_if = F.lit(True) if train_if is None else train_if
-    lm = kept(_count(docs.where(train_if).select(docs[text_col].alias("text")), bits), f"{path}/lm")
-    t = lm.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "pairs", "pairs_once"))).first()
-    totals = {"n": t["tokens"], "v": t["types"], "u": max(t["once"], 1) / (t["tokens"] + 1), "back": min(max(t["pairs_once"] / max(t["pairs"], 1), 0.05), 0.99)}
+    train = docs.where(F.lit(True) if train_if is None else train_if).select(docs[text_col].alias("text"))
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(LEAST_BITS, (-(-size // BUCKET_BYTES) - 1).bit_length())
+    lm = kept(_count(train, bits), f"{path}/lm")
+    totals = _Totals(lm.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "pairs", "pairs_once"))).first().asDict())
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 keys, counts = _unpack(data)
-                hot = counts * HOT >= totals["n"]
+                hot = counts * HOT >= totals.tokens
                 yield pa.RecordBatch.from_arrays([pa.array(keys[hot].view(np.int64)), pa.array(counts[hot].astype(np.int64))], ["key", "count"])
 
-    found = lm.select("counts").mapInArrow(frequent, "key long, count long").toArrow() if totals["n"] else None
+    found = lm.select("counts").mapInArrow(frequent, "key long, count long").toArrow() if totals.tokens else None
     hot = _summed(found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()) if found is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    hot_sent = spark.sparkContext.broadcast(hot)
-
-    sizes = [(r["bucket"], r["size"]) for r in lm.select("bucket", F.length("filter").alias("size")).orderBy("bucket").collect()]
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.lit(None).cast("binary").alias("levels"))
-    groups = _groups(sizes, filter_bytes)
-    for k, group in enumerate(groups):
-        parts = {r["bucket"]: bytes(r["filter"]) for r in lm.where(F.col("bucket").isin(group)).select("bucket", "filter").collect()} if group else {}
-        sent = spark.sparkContext.broadcast((f"{path}/{k}", parts))
-        if k < len(groups) - 1:
-            kind = rows.schema["id"].dataType.simpleString()
-            rows = kept(rows.mapInArrow(_probe_pass(sent, bits), f"id {kind}, text string, levels binary"), f"{path}/levels{k}")
-    return _joined(rows, lm, sent, hot_sent, totals, bits, f"{path}/asked").withColumnRenamed("id", id_col)
-
-
-def _levels(sent: Broadcast, bits: int, tokens: np.ndarray, before: np.ndarray, held: list[bytes | None]) -> tuple[np.ndarray, ...]:
-    """Distinct tokens, where each token is among them, and the levels of tokens, contexts and pairs."""
-    lookup = _filter(sent, bits)
-    unique, at = np.unique(np.append(tokens, END), return_inverse=True)
-    by_type = lookup.levels(unique)
-    found = np.stack([by_type[at[:-1]], lookup.levels(_pairs(before, tokens))])
-    if any(held):
-        np.maximum(found, np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in held], axis=1), out=found)
-    return unique, at[:-1], found
-
-
-def _probe_pass(sent: Broadcast, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                tokens, before, n = _tokens(part.column(1))
-                _, _, found = _levels(sent, bits, tokens, before, part.column(2).to_pylist())
-                edges = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([found[:, a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["id", "text", "levels"])
-
-    return run
+    parts = None
+    if (lm.agg(F.sum(F.length("filter"))).first()[0] or 0) <= filter_bytes:
+        parts = {r["bucket"]: bytes(r["filter"]) for r in lm.select("bucket", "filter").collect()}
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return _joined(rows, lm, parts, hot, totals, bits).withColumnRenamed("id", id_col)
 
 
-def _joined(rows: DataFrame, lm: DataFrame, sent: Broadcast, hot_sent: Broadcast, totals: dict, bits: int, path: str) -> DataFrame:
-    """Scores of all rows: tasks score texts and deal rarer tokens to buckets, where these meet their counts."""
+def _joined(rows: DataFrame, lm: DataFrame, parts: dict[int, bytes] | None, hot: tuple[np.ndarray, np.ndarray], totals: _Totals, bits: int) -> DataFrame:
+    """Scores of all rows. Tasks send what they must ask to buckets, where it meets counts and, without parts of a
+    broadcast filter, levels; what comes back is put together batch by batch."""
+    spark = rows.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
     id_type = rows.select("id").limit(0).toArrow().schema.field(0).type
+    hot_sent, parts_sent = spark.sparkContext.broadcast(hot), spark.sparkContext.broadcast(parts)
+    # what a message to a bucket holds: a batch itself, its rarer tokens, its n-grams; -1: what the bucket knows
+    batch_, tokens_, grams_ = 0, 1, 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, serial = TaskContext.get().partitionId(), 0
+        lookup = Filter(parts_sent.value, bits) if parts_sent.value is not None else None
         for batch in batches:
             i = 0
             ends = np.cumsum(np.maximum(np.diff(text_buffer(batch.column(1))[1]), 1))
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 3 * GATHER, "right")))
-                part = batch.slice(i, j - i)
                 serial += 1
-                yield from described(part, (task << 24) + serial)
+                yield from described(batch.slice(i, j - i), (task << 24) + serial, lookup)
                 i = j
 
-    def described(part: pa.RecordBatch, name: int) -> Iterator[pa.RecordBatch]:
+    def described(part: pa.RecordBatch, name: int, lookup: Filter | None) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_counts = hot_sent.value
         tokens, before, n = _tokens(part.column(1))
-        unique, at, (one, two) = _levels(sent, bits, tokens, before, part.column(2).to_pylist())
         row = np.repeat(np.arange(len(n)), n)
-        starts = np.cumsum(n) - n
-        context = np.empty(len(tokens), np.uint8)
-        context[1:] = one[:-1]
-        context[starts] = one[starts + n - 1]  # every text ends with END, whose level is that of its beginning
-        alone = np.where(one > 0, (1 - totals["u"]) * _lower(one) / max(totals["n"], 1), totals["u"])
-        seen = np.minimum(_lower(two) / np.where(context > 0, _lower(context) * RATIO, np.inf), 1.0)
-        p = np.where(context > 0, (1 - totals["back"]) * seen + totals["back"] * alone, alone)
-        scores = np.bincount(row, np.log10(p), len(n)) if totals["n"] else np.zeros(len(n))
-
+        unique, at = np.unique(tokens, return_inverse=True)
+        asked, at_pair = np.unique(_pairs(before, tokens), return_inverse=True)
         where = np.minimum(np.searchsorted(hot_keys, unique), max(len(hot_keys) - 1, 0))
         exact = np.where(hot_keys[where] == unique, hot_counts[where], 0) if len(hot_keys) else np.zeros(len(unique), np.int64)
         c = exact[at]
         known = np.bincount(row, c > 0, len(n)).astype(np.int64)
         logs = np.bincount(row, np.log10(c + 1.0), len(n))
+        out = []
+        if lookup is not None:
+            scores = totals.scores(n, lookup.levels(unique)[at], lookup.levels(asked)[at_pair])
+            places = b""
+        else:
+            scores = np.zeros(len(n))
+            grams, back = np.unique(np.concatenate([unique, asked]), return_inverse=True)
+            places = _pack(grams[:0], back[at], back[len(unique) + at_pair])
+            out += [(bucket, name, grams_, _pack(grams[s])) for bucket, s in _runs(grams, bits)]
         base = pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(known), pa.array(logs), pa.array(scores)], ["id", "n", "known", "logs", "score"])
         whole = io.BytesIO()
         with pa.ipc.new_stream(whole, base.schema) as sink:
             sink.write_batch(base)
-        out = [(name % (1 << bits), name, 0, whole.getvalue())]
-        if totals["n"]:
+        whole = whole.getvalue()
+        out.append((name % (1 << bits), name, batch_, len(whole).to_bytes(8, "little") + whole + places))
+        if totals.tokens:
             rare = np.flatnonzero(exact[at] == 0)
             pair, times = np.unique(at[rare] * len(n) + row[rare], return_counts=True)  # by token, then by row
             kinds, rows_ = pair // len(n), pair % len(n)
@@ -363,51 +343,67 @@ def _joined(rows: DataFrame, lm: DataFrame, sent: Broadcast, hot_sent: Broadcast
             edges = np.append(begin, len(pair))
             for bucket, s in _runs(unique[which], bits):
                 own = slice(edges[s.start], edges[s.stop])
-                out.append((bucket, name, 1, _pack(unique[which[s]], np.diff(edges[s.start : s.stop + 1]), rows_[own], times[own])))
+                out.append((bucket, name, tokens_, _pack(unique[which[s]], np.diff(edges[s.start : s.stop + 1]), rows_[own], times[own])))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "name", "kind", "data"])
 
+    def met(data: bytes, keys: np.ndarray, counts: np.ndarray) -> bytes | None:
+        """Rows of a batch, with the number and the logarithms of their tokens that a bucket knows."""
+        own, sizes, row, times = _unpack(data)
+        place = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+        c = np.where(keys[place] == own, counts[place], 0) if len(keys) else np.zeros(len(own))
+        c = np.repeat(c, sizes.astype(np.int64)).astype(np.float64)
+        hit = c > 0
+        row, times = row[hit].astype(np.int64), times[hit].astype(np.int64)
+        some, back = np.unique(row, return_inverse=True)
+        return _pack(some.astype(np.uint64), np.bincount(back, times).astype(np.int64), np.bincount(back, times * np.log10(c[hit] + 1))) if len(row) else None
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = counts = now = None
+        keys = counts = lookup = now = None
         for batch in batches:
             for bucket, name, what, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if bucket != now:
-                    keys, counts, now = np.zeros(0, np.uint64), np.zeros(0, np.uint64), bucket
-                if what == -1:
-                    keys, counts = _unpack(data)
+                    keys, counts, lookup, now = np.zeros(0, np.uint64), np.zeros(0, np.uint64), Filter({}, bits), bucket
+                if what < 0:
+                    size = int.from_bytes(data[:8], "little")
+                    keys, counts = _unpack(data[8 : 8 + size])
+                    lookup = Filter({bucket: data[8 + size :]} if len(data) > 8 + size else {}, bits)
                     continue
-                if what == 1:
-                    own, sizes, row, times = _unpack(data)
-                    place = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-                    c = np.where(keys[place] == own, counts[place], 0) if len(keys) else np.zeros(len(own))
-                    c = np.repeat(c, sizes.astype(np.int64)).astype(np.float64)
-                    hit = c > 0
-                    row, times = row[hit].astype(np.int64), times[hit].astype(np.int64)
-                    if not len(row):
-                        continue
-                    some, back = np.unique(row, return_inverse=True)
-                    data = _pack(some.astype(np.uint64), np.bincount(back, times).astype(np.int64), np.bincount(back, times * np.log10(c[hit] + 1)))
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([what * (bucket + 1)], pa.int32()), pa.array([data], pa.binary())], ["name", "part", "data"])
+                if what == tokens_:
+                    data = met(data, keys, counts)
+                elif what == grams_:
+                    data = lookup.levels(_unpack(data)[0]).tobytes()
+                if data is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([what], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["name", "kind", "bucket", "data"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _by_key(batches, "name"):
-            base = pa.ipc.open_stream(parts["data"][0]).read_all()
-            n, known, logs = (base[c].to_numpy().copy() for c in ("n", "known", "logs"))
-            for data in parts["data"][1:]:
-                row, more, log = _unpack(data)
-                known[row.astype(np.int64)] += more.astype(np.int64)
-                logs[row.astype(np.int64)] += log
-            logs -= n * np.log10(totals["n"] + totals["v"] + 1.0)
+        for _, got in _by_key(batches, "name"):
+            whole = got["data"][0]
+            size = int.from_bytes(whole[:8], "little")
+            base = pa.ipc.open_stream(whole[8 : 8 + size]).read_all()
+            n, known, logs, scores = (base[c].to_numpy().copy() for c in ("n", "known", "logs", "score"))
+            for what, data in zip(got["kind"][1:], got["data"][1:], strict=True):
+                if what == tokens_:
+                    row, more, log = _unpack(data)
+                    known[row.astype(np.int64)] += more.astype(np.int64)
+                    logs[row.astype(np.int64)] += log
+            if len(whole) > 8 + size:  # levels come in the order of buckets, which is that of hashes
+                levels = np.frombuffer(b"".join(d for k, d in zip(got["kind"], got["data"], strict=True) if k == grams_), np.uint8)
+                _, one, two = _unpack(whole[8 + size :])
+                scores = totals.scores(n, levels[one.astype(np.int64)], levels[two.astype(np.int64)])
+            logs -= n * np.log10(totals.tokens + totals.types + 1.0)
             ids = base["id"].combine_chunks().cast(id_type)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(known), pa.array(np.full(len(n), totals["n"])), pa.array(logs), base["score"].combine_chunks()], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(known), pa.array(np.full(len(n), totals.tokens)), pa.array(logs), pa.array(scores)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    counts = lm.select("bucket", F.lit(0).cast("long").alias("name"), F.lit(-1).alias("kind"), F.col("counts").alias("data"))
-    asked = rows.mapInArrow(deal, "bucket int, name long, kind int, data binary").unionByName(counts)
-    met = asked.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "kind", "name").mapInArrow(meet, "name long, part int, data binary")
-    met = met.repartition(partitions(rows.sparkSession), "name").sortWithinPartitions("name", "part")
-    return met.mapInArrow(finish, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    data = F.col("counts") if parts is not None else F.concat("counts", "filter")
+    size = F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(F.length("counts").cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(8))))
+    knows = lm.select("bucket", F.lit(0).cast("long").alias("name"), F.lit(-1).alias("kind"), F.concat(size, data).alias("data"))
+    sent = rows.mapInArrow(deal, "bucket int, name long, kind int, data binary").unionByName(knows)
+    answers = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "kind", "name").mapInArrow(meet, "name long, kind int, bucket int, data binary")
+    answers = answers.repartition(partitions(spark), "name").sortWithinPartitions("name", "kind", "bucket")
+    return answers.mapInArrow(finish, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_held_out(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
     """Scores of all rows by the model of those whose crc32(doc_id as text) mod parts is not held."""
     train = crc_mod("doc_id", parts) != held
-    return score(docs, train).select("doc_id", (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts, F.lit(0)) == held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, train).select("doc_id", (crc_mod("doc_id", parts) == held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
