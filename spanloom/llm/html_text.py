@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept, work_dir
+
 #: Shorter blocks are left open; longer ones need this share of stop words, and at most this share of linked text.
 SHORT, STOP_SHARE, LINK_SHARE = 70, 0.25, 0.4
 #: A word is a stop word if this share of all long, little linked blocks hold it, and so many of them at least.
@@ -36,7 +38,7 @@ _BLOCK = set("address article aside blockquote body center dd details dialog dir
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 _OUT = set("nav footer aside form menu select button dialog template svg canvas audio video object head search".split())
-_WHOLE = set("html body main article".split())
+_WHOLE = {"main", "article"}
 _ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _NAMES = set("ad ads adv advert adverts advertisement adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager copyright".split())
 _COMMENTS = set("comment comments commentlist disqus reply replies respond discussion".split())
@@ -77,9 +79,13 @@ def _left_out(name: str, attrs: dict[str, str], inside: bool) -> bool:
     """Whether an element and all in it is no main text. inside: it stands in an article."""
     if name in _OUT or name == "header" and not inside:
         return True
-    if not attrs or name in _WHOLE:
+    if not attrs or name in ("html", "body"):
+        return False
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
+        return True
+    if name in _WHOLE:
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or attrs.get("role") in _ROLES:
+    if attrs.get("role") in _ROLES:
         return True
     names = set(_PARTS.split(attrs.get("class", "") + " " + attrs.get("id", "")))
     if names & _COMMENTS:
@@ -169,8 +175,8 @@ def blocks(page: str) -> list[_Block]:
         elif name not in _VOID:
             if name in _BLOCK:
                 stack.open_block(name)
-            foreign = name in _FOREIGN or any(stack.at[f] for f in _FOREIGN)
-            if not (foreign and attrs.endswith("/")):  # elsewhere HTML ignores the slash
+            # outside svg and math HTML ignores a slash at the end
+            if not (attrs.endswith("/") and (name in _FOREIGN or any(stack.at[f] for f in _FOREIGN))):
                 shut, home, link = stack.top()
                 found = _attributes(attrs) if attrs else {}
                 if name in ("article", "main") or found.get("role") == "main":
@@ -199,7 +205,7 @@ def _first_label(text: str, block: _Block, stop: frozenset[str]) -> bool | None:
     if len(text) < SHORT or block.title:
         return None
     words = _WORDS.findall(text.lower())
-    return True if sum(w in stop for w in words) >= STOP_SHARE * max(1, len(words)) else None
+    return True if len([w for w in words if w in stop]) >= STOP_SHARE * max(1, len(words)) else None
 
 
 _Near = list[tuple[int, bool] | None]
@@ -277,9 +283,10 @@ def learnt_words(pages: DataFrame, html_col: str = "html") -> frozenset[str]:
         yield counts()
 
     counted = pages.select(pages[html_col].alias("html")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = kept(counted.where(F.col("n") >= LEARNT_BLOCKS), f"{work_dir(pages.sparkSession)}/words")
     total = counted.where("word = ''").first()
-    least = max(LEARNT_BLOCKS, LEARNT_SHARE * total["n"]) if total else 0
-    return _STOP | {r["word"] for r in counted.where((F.col("n") >= least) & (F.col("word") != "")).collect()} if total else _STOP
+    often = counted.where(F.col("n") >= LEARNT_SHARE * (total["n"] if total else 0)).collect()
+    return _STOP | {r["word"] for r in often if r["word"]}
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", stop: frozenset[str] | None = None) -> DataFrame:
