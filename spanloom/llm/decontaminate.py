@@ -13,12 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, work_dir
+from .common import kept, small, work_dir
 
 K, WINDOW = 5, 9
 SPAN = K + WINDOW - 1
-#: A table of at most so many rows (ids and hashes only) is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -33,23 +31,45 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BREAK), "")
 
 
+def _hash(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _less(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def _pairwise(values: Column, by: int, body: Callable[[Column, Column], Column]) -> Column:
+    """body of each element and the one ``by`` places after it; the last ones meet null."""
+    return _let(values, lambda v: F.zip_with(v, F.slice(v, by + 1, F.size(v)), body))
+
+
 def fingerprints(words: Column) -> Column:
-    """Distinct least hashes of the windows of a text of at least SPAN words; none of a shorter one."""
-    grams = lambda names: F.transform(F.sequence(F.lit(1), F.size(names) - K + 1), lambda i: F.xxhash64(F.slice(names, i, K)))
-    least = lambda hashed: F.transform(F.sequence(F.lit(1), F.size(hashed) - WINDOW + 1), lambda i: F.array_min(F.slice(hashed, i, WINDOW)))
-    found = _let(_let(F.transform(words, lambda w: F.xxhash64(w)), grams), least)
-    return F.when(F.size(words) >= SPAN, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
+    """Distinct least hashes of the windows of a text of at least SPAN words; none of a shorter one.
+
+    Hashes of K = 5 words and minima of WINDOW = 9 hashes are put together from shifted arrays of 2, 4 (and 8) and one more, so
+    the work a word does not follow K or WINDOW, and no slice is made a word.
+    """
 
+    def grams(names: Column) -> Column:
+        four = _pairwise(_pairwise(names, 1, _hash), 2, _hash)
+        return F.slice(F.zip_with(four, F.slice(names, 5, F.size(names)), _hash), 1, F.size(names) - K + 1)
 
-def _windows(words: Column, size: Column) -> Column:
-    """Position and text of each run of ``size`` words."""
-    runs = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - size + 1), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(ws, i, size), " ").alias("run")))
-    return F.when((F.size(words) >= size) & (size > 0), _let(words, runs)).otherwise(F.array().cast("array<struct<at:int,run:string>>"))
+    def least(hashed: Column) -> Column:
+        eight = _pairwise(_pairwise(_pairwise(hashed, 1, _less), 2, _less), 4, _less)
+        return F.slice(F.zip_with(eight, F.slice(hashed, 9, F.size(hashed)), _less), 1, F.size(hashed) - WINDOW + 1)
+
+    found = _let(_let(F.transform(words, lambda w: F.xxhash64(w)), grams), least)
+    return F.when(F.size(words) >= SPAN, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _runs(rows: DataFrame) -> DataFrame:
+    """k1, k2, and the runs of ``size`` words: at, run, name (a hash of the run) and size. Rows have words and size."""
+    ws = F.col("words")
+    run = lambda i: F.struct(i.alias("at"), F.array_join(F.slice(ws, i, F.col("size")), " ").alias("run"))
+    every = F.when(F.size(ws) >= F.col("size"), F.transform(F.sequence(F.lit(1), F.size(ws) - F.col("size") + 1), run))
+    others = [c for c in rows.columns if c != "words"]
+    return rows.select(*others, F.explode(every).alias("w")).select(*others, "w.at", "w.run", F.xxhash64("w.run").alias("name"))
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -60,7 +80,7 @@ def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that are not contaminated."""
     bad = hits(docs, bench, id_col, text_col, keys=True).where("contaminated").select("k1", "k2").distinct()
-    bad = _small(kept(bad, f"{work_dir(docs.sparkSession)}/bad"))
+    bad = small(kept(bad, f"{work_dir(docs.sparkSession)}/bad"))
     one, two = _key(docs, id_col, text_col)
     return docs.join(bad, (one == bad["k1"]) & (two == bad["k2"]), "left_anti")
 
@@ -70,14 +90,15 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
 
     A null text has no words; items without words and null items meet nothing; repeated rows of docs get
     equal results; an item id that repeats counts once; null item ids are left out of the list of items, as
-    their windows hit but name no item. Other columns are ignored.
+    their windows hit but name no item; an empty table gives no rows; other columns are ignored. Tables of ids and hashes of few rows, which
+    are counted, are broadcast; larger ones are joined by shuffling, where Spark splits a run that very many documents hold.
     """
     path = work_dir(docs.sparkSession)
     items = bench.select(bench[item_col].alias("item"), words_of(bench[item_text]).alias("words")).where(F.size("words") > 0)
     items = items.withColumn("size", F.least(F.size("words"), F.lit(SPAN)))
-    of_items = kept(items.select("item", "size", F.explode(_windows(F.col("words"), F.col("size"))).alias("w")).select("item", "size", F.col("w.run").alias("run")).distinct(), f"{path}/items")
-    windows = _small(kept(of_items.select("size", "run").distinct().select("size", "run", F.xxhash64("run").alias("name")), f"{path}/windows"))
-    marks = _small(kept(items.where(F.size("words") >= SPAN).select(F.explode(fingerprints(F.col("words"))).alias("mark")).distinct(), f"{path}/marks"))
+    of_items = kept(_runs(items).select("item", "size", "run", "name").distinct(), f"{path}/items")
+    windows = small(kept(of_items.select("size", "run", "name").distinct(), f"{path}/windows"))
+    marks = small(kept(items.where(F.size("words") >= SPAN).select(F.explode(fingerprints(F.col("words"))).alias("mark")).distinct(), f"{path}/marks"))
     short = sorted(r["size"] for r in of_items.where(F.col("size") < SPAN).select("size").distinct().collect())  # SPAN - 1 at most
 
     text = docs[text_col]
@@ -85,14 +106,15 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     base = kept(split.select("id", "k1", "k2", F.size("words").cast("long").alias("n_words"), fingerprints(F.col("words")).alias("marks")), f"{path}/base")
     found = base.select("k1", "k2", F.explode("marks").alias("mark")).join(marks, "mark", "left_semi").select("k1", "k2")
     found = kept(found.distinct(), f"{path}/found")
+    split = split.select("k1", "k2", "words")
     parts = []
     if found.head(1):
-        parts.append((split.join(_small(found), ["k1", "k2"], "left_semi"), SPAN))
-    parts += [(split, size) for size in short]
+        parts.append(split.join(small(found), ["k1", "k2"], "left_semi").withColumn("size", F.lit(SPAN)))
+    if short:  # all sizes of short items in one pass over the documents
+        parts.append(split.withColumn("size", F.explode(F.array(*map(F.lit, short)))))
     of_docs = None
-    for rows, size in parts:
-        runs = rows.select("k1", "k2", F.explode(_windows(F.col("words"), F.lit(size))).alias("w")).select("k1", "k2", "w.at", "w.run", F.xxhash64("w.run").alias("name"), F.lit(size).alias("size"))
-        met = runs.join(windows, ["name", "size", "run"]).select("k1", "k2", "at", "size", "run").distinct()
+    for rows in parts:
+        met = _runs(rows).join(windows, ["name", "size", "run"]).select("k1", "k2", "at", "size", "run").distinct()
         of_docs = met if of_docs is None else of_docs.unionByName(met)
     if of_docs is None:
         out = base.select("id", "k1", "k2", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"))
