@@ -14,7 +14,7 @@ counts for the base score come from the buckets in the same exchange.
 Probability of w after v: (1 - l) c(v w) / c(v) + l p(w), l being the share of pairs seen once, p(w) =
 (1 - u) c(w) / N, and u = max(n1, 1) / (N + 1) for the class of unseen words. Numerators take the lower and
 denominators the upper bound of a quantised count, so the probabilities of all words add up to 1 at most but
-for false positives of the filter (about 1 of 1,000 unseen n-grams).
+for false positives of the filter (about 1 of 700 unseen n-grams).
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ from .common import crc_mod, kept, mix, partitions, text_buffer, word_hashes, wo
 #: The token that ends a text and, as context, begins one.
 END = np.uint64(0x5DEECE66D1CE4E5B)
 #: Bits an item, probes an item, and the ratio of successive quantised counts.
-BITS, PROBES, RATIO = 16, 6, 2**0.5
-#: A filter of at most so many bytes is broadcast.
-FILTER_BYTES = 32 << 20
+BITS, PROBES, RATIO = 14, 7, 2**0.5
+#: A filter of at most so many bytes is broadcast; its parts are fetched in so many turns.
+FILTER_BYTES, TURNS = 192 << 20, 8
 #: Bytes of training text a bucket of the hash range, and buckets at least, as a power of two.
 BUCKET_BYTES, LEAST_BITS = 64 << 20, 6
 #: Tokens of at least 1 / HOT of all, of which there are at most HOT, are counted from a broadcast table.
@@ -145,16 +145,16 @@ def build_filter(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Parts of some buckets; ``levels`` gives quantised counts, 0 for n-grams of other buckets."""
+    """Parts of some buckets, one behind the other in data; ``levels`` gives quantised counts, 0 for n-grams of other buckets."""
 
-    def __init__(self, parts: dict[int, bytes], bits: int):
-        self.bits = bits
+    def __init__(self, data: bytes, lengths: dict[int, int], bits: int):
+        """lengths: the bytes of each bucket's part, in the order of data."""
+        self.bits, self.data = bits, np.frombuffer(data, np.uint8)
         self.at, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
         place = 0
-        for k, part in parts.items():
-            self.at[k], self.size[k] = place * 8, len(part) * 8
-            place += len(part)
-        self.data = np.frombuffer(b"".join(parts.values()), np.uint8)
+        for k, length in lengths.items():
+            self.at[k], self.size[k] = place * 8, length * 8
+            place += length
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.uint8)
@@ -280,12 +280,14 @@ def score(docs: DataFrame, train_if=None, id_col: str = "doc_id", text_col: str
     hot = _summed(found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()) if found is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     parts = None
     if (lm.agg(F.sum(F.length("filter"))).first()[0] or 0) <= filter_bytes:
-        parts = {r["bucket"]: bytes(r["filter"]) for r in lm.select("bucket", "filter").collect()}
+        got = [r for turn in range(TURNS) for r in lm.where(F.col("bucket") % TURNS == turn).select("bucket", "filter").collect()]
+        parts = b"".join(r["filter"] for r in got), {r["bucket"]: len(r["filter"]) for r in got}
+        del got
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return _joined(rows, lm, parts, hot, totals, bits).withColumnRenamed("id", id_col)
 
 
-def _joined(rows: DataFrame, lm: DataFrame, parts: dict[int, bytes] | None, hot: tuple[np.ndarray, np.ndarray], totals: _Totals, bits: int) -> DataFrame:
+def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]] | None, hot: tuple[np.ndarray, np.ndarray], totals: _Totals, bits: int) -> DataFrame:
     """Scores of all rows. Tasks send what they must ask to buckets, where it meets counts and, without parts of a
     broadcast filter, levels; what comes back is put together batch by batch."""
     spark = rows.sparkSession
@@ -299,7 +301,7 @@ def _joined(rows: DataFrame, lm: DataFrame, parts: dict[int, bytes] | None, hot:
         from pyspark import TaskContext
 
         task, serial = TaskContext.get().partitionId(), 0
-        lookup = Filter(parts_sent.value, bits) if parts_sent.value is not None else None
+        lookup = Filter(*parts_sent.value, bits) if parts_sent.value is not None else None
         for batch in batches:
             i = 0
             ends = np.cumsum(np.maximum(np.diff(text_buffer(batch.column(1))[1]), 1))
@@ -362,11 +364,11 @@ def _joined(rows: DataFrame, lm: DataFrame, parts: dict[int, bytes] | None, hot:
         for batch in batches:
             for bucket, name, what, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if bucket != now:
-                    keys, counts, lookup, now = np.zeros(0, np.uint64), np.zeros(0, np.uint64), Filter({}, bits), bucket
+                    keys, counts, lookup, now = np.zeros(0, np.uint64), np.zeros(0, np.uint64), Filter(b"", {}, bits), bucket
                 if what < 0:
                     size = int.from_bytes(data[:8], "little")
                     keys, counts = _unpack(data[8 : 8 + size])
-                    lookup = Filter({bucket: data[8 + size :]} if len(data) > 8 + size else {}, bits)
+                    lookup = Filter(data[8 + size :], {bucket: len(data) - 8 - size}, bits)
                     continue
                 if what == tokens_:
                     data = met(data, keys, counts)

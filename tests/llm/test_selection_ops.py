@@ -97,7 +97,7 @@ def test_toxicity_votes_are_kneser_ney(spark, monkeypatch):
         assert got == pytest.approx(np.clip(want, -toxicity.VOTE, toxicity.VOTE), abs=1e-4)
         x = model.features(pa.array([t]))[0]
         assert x[1] == pytest.approx(got.mean() if len(w) else 0)
-        assert x[3 : 3 + toxicity.TOP] == pytest.approx((sorted({y: g for g, y in sorted(zip(got, w))}.values(), reverse=True) + [0] * toxicity.TOP)[: toxicity.TOP])
+        assert x[3 : 3 + toxicity.TOP] == pytest.approx((sorted({y: g for g, y in sorted(zip(got, w)) if g > 0}.values(), reverse=True) + [0] * toxicity.TOP)[: toxicity.TOP])
 
 
 def test_quality_scores_are_sums_of_bins():

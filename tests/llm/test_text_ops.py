@@ -125,9 +125,9 @@ def test_lm_counts_are_exact_and_scores_are_the_models(spark, monkeypatch):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ts), sum(c[t] > 0 for t in ts), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts), rel=1e-9)
         model = sum(log_p(a, b) for a, b in zip([None, *ts], ts))
-        off += abs(r.score - model) > 1e-6 * len(ts)
-        assert abs(r.score - model) < 0.02 * len(ts) + 3  # a false level of the filter raises one term
-    assert off < 0.35 * len(tokens)  # a text of some hundred unseen pairs meets one now and then
+        off += abs(r.score - model)
+        assert abs(r.score - model) < 0.02 * len(ts) + 3
+    assert off < 0.002 * sum(map(len, tokens.values()))  # a false level of the filter changes a term now and then
     mine = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in mine) > sum(r.base_score for r in mine)
     monkeypatch.setattr(lm_scoring, "GATHER", 2_000)
@@ -150,8 +150,8 @@ def test_filter_never_underestimates():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
     levels = np.random.default_rng(2).integers(1, 9, len(keys))
     part = lm_scoring.build_filter(keys, levels).tobytes()
-    found = lm_scoring.Filter({k: part for k in range(4)}, 2).levels(keys)
-    assert (found >= levels).all() and (found > levels).mean() < 0.02
+    found = lm_scoring.Filter(part * 4, {k: len(part) for k in range(4)}, 2).levels(keys)
+    assert (found >= levels).all() and (found > levels).mean() < 0.005
     packed = lm_scoring._unpack(lm_scoring._pack(keys, levels, levels / 3))
     assert (packed[0] == keys).all() and (packed[1] == levels).all() and np.allclose(packed[2], levels / 3)
 
