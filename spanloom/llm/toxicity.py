@@ -124,11 +124,11 @@ def pair_keys(before: np.ndarray, names: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + names)
 
 
-def contexts(names: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The word before each word, _BEGIN at the start of a row; first: each row's first word."""
+def contexts(names: np.ndarray, first: np.ndarray, begin: int | np.uint64 = _BEGIN) -> np.ndarray:
+    """The word before each word, ``begin`` at the start of a row; first: each row's first word."""
     out = np.empty_like(names)
     out[1:] = names[:-1]
-    out[first[:-1][np.diff(first) > 0]] = _BEGIN
+    out[first[:-1][np.diff(first) > 0]] = begin
     return out
 
 
@@ -169,14 +169,15 @@ class Model:
         new = logs[0] == 0
         grams, word = _grams(buf, starts[at[new]], ends[at[new]])
         logs[:, new] = self.unseen + np.stack([np.bincount(word, x, int(new.sum())) for x in self.spelling.logs(grams)])
-        logs, before = logs[:, back], contexts(names, first)
-        about, where = np.unique(before, return_inverse=True)
-        about = self.before.get(about)[:, where]
-        total, given = about[:2], about[2:]
+        total, given = np.split(self.before.get(np.append(kinds, _BEGIN)), 2)
         with np.errstate(divide="ignore"):
-            own = np.log(self.pairs.get(pair_keys(before, names)) / np.maximum(total, 1))
             back_off = np.where(total > 0, np.log(given / np.maximum(total, 1)), 0.0)
-        both = np.logaddexp(own, back_off + logs)
+        before = contexts(back, first, len(kinds))
+        both = back_off[:, before] + logs[:, back]
+        own = self.pairs.get(pair_keys(contexts(names, first), names))
+        some = np.flatnonzero(own.any(axis=0))  # few pairs have counts of their own
+        with np.errstate(divide="ignore"):
+            both[:, some] = np.logaddexp(np.log(own[:, some] / np.maximum(total[:, before[some]], 1)), both[:, some])
         return np.clip(both[1] - both[0], -VOTE, VOTE), back, first
 
     def features(self, arr: pa.Array) -> np.ndarray:
@@ -218,8 +219,10 @@ class Model:
 
 
 def _largest(value: np.ndarray, kind: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """The TOP largest votes of each row, a word counting once, by its largest."""
+    """The TOP largest votes of each row that are positive, a word counting once, by its largest; 0 for want of more."""
     out = np.zeros((rows, TOP))
+    some = value > 0
+    value, kind, row = value[some], kind[some], row[some]
     order = np.lexsort((-value, kind, row))
     row, kind, value = row[order], kind[order], value[order]
     once = np.ones(len(row), bool)
@@ -285,26 +288,24 @@ def _left(label: int, fold: int) -> Column:
     return sum((F.col(f"n{label}{k}") for k in range(FOLDS) if k != fold), F.lit(0))
 
 
-def _models(rows: DataFrame, path: str) -> list[Model]:
-    """A model without each fold, and one of all."""
+def _models(rows: DataFrame, path: str) -> Iterator[Model]:
+    """A model without each fold, and one of all, one at a time."""
     words = _tally(rows, False).where("word <> ''").orderBy("word").toArrow()
     pairs = kept(_tally(rows, True), f"{path}/pairs")
-    whole = [F.sum(_left(label, fold)).alias(f"s{label}{fold}") for label in (0, 1) for fold in range(FOLDS + 1)]
-    given = [F.sum(F.least(_left(label, fold), F.lit(OWN_PAIR))).alias(f"g{label}{fold}") for label in (0, 1) for fold in range(FOLDS + 1)]
+    whole = [F.sum(_left(label, fold)).cast("float").alias(f"s{label}{fold}") for label in (0, 1) for fold in range(FOLDS + 1)]
+    given = [F.sum(F.least(_left(label, fold), F.lit(OWN_PAIR))).cast("float").alias(f"g{label}{fold}") for label in (0, 1) for fold in range(FOLDS + 1)]
     before = pairs.groupBy("before").agg(*whole, *given).orderBy("before").toArrow()
     often = pairs.where(F.greatest(_left(0, FOLDS), _left(1, FOLDS)) > OWN_PAIR).orderBy("pair").toArrow()
 
     def counts(table: pa.Table, fold: int) -> np.ndarray:
         return np.stack([sum(table[f"n{label}{k}"].to_numpy() for k in range(FOLDS) if k != fold) for label in (0, 1)], axis=1).astype(np.float64)
 
-    out = []
     for fold in range(FOLDS + 1):
         n = counts(words, fold)
         some = n.any(axis=1)
         sums = [np.stack([before[f"{c}{label}{fold}"].to_numpy() for label in (0, 1)], axis=1).astype(np.float64) for c in "sg"]
         of_pairs = (often["pair"].to_numpy().view(np.uint64), counts(often, fold))
-        out.append(Model(words["word"].filter(pa.array(some)).to_pylist(), n[some], of_pairs, (before["before"].to_numpy().view(np.uint64), *sums)))
-    return out
+        yield Model(words["word"].filter(pa.array(some)).to_pylist(), n[some], of_pairs, (before["before"].to_numpy().view(np.uint64), *sums))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_if: Column | None = None, per_class: int = 3000, class_bytes: int = 32 << 20) -> Model:
@@ -316,8 +317,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_if:
     """
     spark, path = docs.sparkSession, work_dir(docs.sparkSession)
     rows = kept(_sample(docs, labels, label_col, F.lit(True) if train_if is None else train_if, per_class, class_bytes), f"{path}/sample")
-    *others, model = _models(rows, path)
-    sent = spark.sparkContext.broadcast(others)
+    model, sent = None, []
+    for model in _models(rows, path):
+        sent.append(spark.sparkContext.broadcast(model) if len(sent) < FOLDS else None)
     names = [f"x{k}" for k in range(TOP + 4)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,14 +327,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_if:
             fold = batch.column(2).to_numpy()
             for k in range(FOLDS):
                 part = batch.filter(pa.array(fold == k))
-                x = sent.value[k].features(part.column(0))
+                x = sent[k].value.features(part.column(0))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(len(names))), part.column(1)], [*names, "label"])
 
     x = rows.select("text", "label", "fold").repartition(16).mapInArrow(describe, ", ".join(f"{c} double" for c in names) + ", label int").toArrow()
     columns = [x[c].to_numpy() for c in (*names, "label")]
     columns = [c[np.lexsort(columns)] for c in columns]  # rows in an order of their own, so that sums agree from run to run
     model.fit_curve(np.stack(columns[:-1], axis=1), columns[-1].astype(np.float64))
-    sent.destroy()
+    for one in sent[:FOLDS]:
+        one.destroy()
     return model
 
 
