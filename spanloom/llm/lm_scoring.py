@@ -2,9 +2,11 @@
 
 Counting: every training token and pair of adjacent tokens is hashed; tasks pre-aggregate, deal sorted runs to
 buckets of the hash range, and each bucket sums its runs. The number of buckets follows the bytes of training text,
-never a setting of the session, so scores are the same on any cluster. From its exact sums a bucket builds its part of
+never a setting of the session, so scores are the same on any cluster. From its sums a bucket builds its part of
 the filter: an n-gram of quantised count q enters as q items (n-gram, 1) ... (n-gram, q), and a reader probes
-level after level until one is missing. N-grams seen once are stored too.
+level after level until one is missing. N-grams seen once are stored too. The filter knows an n-gram by its bucket
+and the next 32 bits of its hash; as a bucket's share of the corpus is bounded, so is the chance to take one for
+another (at most 1 of 400). Token counts are by whole hashes.
 
 Scoring: a filter of at most FILTER_BYTES is broadcast, and texts are scored where they are read. A larger one
 stays in its buckets, as a broadcast must not grow with the corpus: tasks send the distinct n-grams of a batch of
@@ -34,8 +36,8 @@ from .common import crc_mod, kept, mix, partitions, text_buffer, word_hashes, wo
 END = np.uint64(0x5DEECE66D1CE4E5B)
 #: Bits an item, probes an item, and the ratio of successive quantised counts.
 BITS, PROBES, RATIO = 14, 7, 2**0.5
-#: A filter of at most so many bytes is broadcast; its parts are fetched in so many turns.
-FILTER_BYTES, TURNS = 192 << 20, 8
+#: A filter of at most so many bytes is broadcast.
+FILTER_BYTES = 16 << 20
 #: Bytes of training text a bucket of the hash range, and buckets at least, as a power of two.
 BUCKET_BYTES, LEAST_BITS = 64 << 20, 6
 #: Tokens of at least 1 / HOT of all, of which there are at most HOT, are counted from a broadcast table.
@@ -81,9 +83,14 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _runs(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """The stretches of ascending keys that belong to each of the 2 ** bits buckets."""
-    ends = np.searchsorted(keys, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)))
+def _grams(keys: np.ndarray, bits: int) -> np.ndarray:
+    """What the filter knows hashes by: the bucket and 32 bits more."""
+    return keys >> np.uint64(32 - bits)
+
+
+def _runs(keys: np.ndarray, bits: int, width: int = 64) -> Iterator[tuple[int, slice]]:
+    """The stretches of ascending keys, of so many bits, that belong to each of the 2 ** bits buckets."""
+    ends = np.searchsorted(keys, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)))
     edges = [0, *ends.tolist(), len(keys)]
     for k in range(1 << bits):
         if edges[k] < edges[k + 1]:
@@ -129,16 +136,20 @@ def _lower(level: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- filter
 
 
-def _positions(keys: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
+_LOW = np.uint64(2**32 - 1)
+
+
+def _positions(grams: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
+    keys = grams & _LOW
     return mix(keys + np.uint64((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) % np.asarray(size, np.uint64)
 
 
-def build_filter(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+def build_filter(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Bytes of the filter of one bucket; its bits are BITS times its items."""
     size = max(64, (BITS * int(levels.sum()) + 7) // 8 * 8)
     bits = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        own = keys[levels >= level]
+        own = grams[levels >= level]
         for probe in range(PROBES):
             bits[_positions(own, level, probe, size)] = True
     return np.packbits(bits, bitorder="little")
@@ -156,15 +167,15 @@ class Filter:
             self.at[k], self.size[k] = place * 8, length * 8
             place += length
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.uint8)
-        own = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams), np.uint8)
+        own = (grams >> np.uint64(32)).astype(np.int64)
         left = np.flatnonzero(self.size[own])
         level = 1
         while len(left) and level < 255:
             for probe in range(PROBES):
                 size = self.size[own[left]]
-                bit = _positions(keys[left], level, probe, size) + self.at[own[left]]
+                bit = _positions(grams[left], level, probe, size) + self.at[own[left]]
                 left = left[(self.data[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0]
             out[left] = level
             level += 1
@@ -181,16 +192,18 @@ def _count(train: DataFrame, bits: int) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for kind in (0, 1):
+            for kind, width in ((0, 64), (1, 32 + bits)):  # tokens by their hashes, pairs as the filter knows them
                 keys, counts = np.unique(np.concatenate([x[kind] for x in held]), return_counts=True)
-                at = list(_runs(keys, bits))
+                at = list(_runs(keys, bits, width))
+                if kind:
+                    keys &= _LOW
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in at], pa.int32()), pa.array([kind] * len(at), pa.int32()), pa.array([_pack(keys[s], counts[s]) for _, s in at], pa.binary())], ["bucket", "kind", "data"])
             held.clear()
 
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 tokens, before, _ = _tokens(batch.column(0).slice(i, 1000))
-                held.append((tokens, _pairs(before, tokens)))
+                held.append((tokens, _grams(_pairs(before, tokens), bits)))
                 if sum(len(x[0]) for x in held) >= GATHER:
                     yield from rows()
         if held:
@@ -203,8 +216,7 @@ def _count(train: DataFrame, bits: int) -> DataFrame:
                 own = [_unpack(x) for k, x in zip(runs["kind"], runs["data"], strict=True) if k == kind]
                 sums[kind] = _summed(*(np.concatenate([x[i] for x in own]) if own else np.zeros(0, np.uint64) for i in (0, 1)))
             (uni, c1), (pairs, c2) = sums[0], sums[1]
-            keys = np.concatenate([uni, pairs])
-            part = build_filter(keys, np.concatenate([_level(c1), _level(c2)]))
+            part = build_filter(np.concatenate([_grams(uni, bits), pairs]), np.concatenate([_level(c1), _level(c2)]))
             row = [bucket, _pack(uni, c1), part.tobytes(), int(c1.sum()), len(c1), int((c1 == 1).sum()), int(c2.sum()), int((c2 == 1).sum())]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5), strict=True)], ["bucket", "counts", "filter", "tokens", "types", "once", "pairs", "pairs_once"])
 
@@ -280,13 +292,18 @@ def score(docs: DataFrame, train_if=None, id_col: str = "doc_id", text_col: str
     hot = _summed(found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()) if found is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     parts = None
     if (lm.agg(F.sum(F.length("filter"))).first()[0] or 0) <= filter_bytes:
-        got = [r for turn in range(TURNS) for r in lm.where(F.col("bucket") % TURNS == turn).select("bucket", "filter").collect()]
+        got = lm.select("bucket", "filter").collect()
         parts = b"".join(r["filter"] for r in got), {r["bucket"]: len(r["filter"]) for r in got}
-        del got
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return _joined(rows, lm, parts, hot, totals, bits).withColumnRenamed("id", id_col)
 
 
+def _asked(unique: np.ndarray, at: np.ndarray, before: np.ndarray, tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of a batch, ascending, and where among them each token and each pair is."""
+    grams, back = np.unique(np.concatenate([_grams(unique, bits), _grams(_pairs(before, tokens), bits)]), return_inverse=True)
+    return grams, back[at], back[len(unique) :]
+
+
 def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]] | None, hot: tuple[np.ndarray, np.ndarray], totals: _Totals, bits: int) -> DataFrame:
     """Scores of all rows. Tasks send what they must ask to buckets, where it meets counts and, without parts of a
     broadcast filter, levels; what comes back is put together batch by batch."""
@@ -316,27 +333,24 @@ def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]]
         tokens, before, n = _tokens(part.column(1))
         row = np.repeat(np.arange(len(n)), n)
         unique, at = np.unique(tokens, return_inverse=True)
-        asked, at_pair = np.unique(_pairs(before, tokens), return_inverse=True)
         where = np.minimum(np.searchsorted(hot_keys, unique), max(len(hot_keys) - 1, 0))
         exact = np.where(hot_keys[where] == unique, hot_counts[where], 0) if len(hot_keys) else np.zeros(len(unique), np.int64)
         c = exact[at]
         known = np.bincount(row, c > 0, len(n)).astype(np.int64)
         logs = np.bincount(row, np.log10(c + 1.0), len(n))
-        out = []
+        out, text = [], part.column(1)
+        grams, at_gram, at_pair = _asked(unique, at, before, tokens, bits)
         if lookup is not None:
-            scores = totals.scores(n, lookup.levels(unique)[at], lookup.levels(asked)[at_pair])
-            places = b""
+            levels, text = lookup.levels(grams), pa.nulls(len(n), pa.string())
+            scores = totals.scores(n, levels[at_gram], levels[at_pair])
         else:
             scores = np.zeros(len(n))
-            grams, back = np.unique(np.concatenate([unique, asked]), return_inverse=True)
-            places = _pack(grams[:0], back[at], back[len(unique) + at_pair])
-            out += [(bucket, name, grams_, _pack(grams[s])) for bucket, s in _runs(grams, bits)]
-        base = pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(known), pa.array(logs), pa.array(scores)], ["id", "n", "known", "logs", "score"])
+            out += [(bucket, name, grams_, _pack(grams[s] & _LOW)) for bucket, s in _runs(grams, bits, 32 + bits)]
+        base = pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(known), pa.array(logs), pa.array(scores), text], ["id", "n", "known", "logs", "score", "text"])
         whole = io.BytesIO()
         with pa.ipc.new_stream(whole, base.schema) as sink:
             sink.write_batch(base)
-        whole = whole.getvalue()
-        out.append((name % (1 << bits), name, batch_, len(whole).to_bytes(8, "little") + whole + places))
+        out.append((name % (1 << bits), name, batch_, whole.getvalue()))
         if totals.tokens:
             rare = np.flatnonzero(exact[at] == 0)
             pair, times = np.unique(at[rare] * len(n) + row[rare], return_counts=True)  # by token, then by row
@@ -373,25 +387,25 @@ def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]]
                 if what == tokens_:
                     data = met(data, keys, counts)
                 elif what == grams_:
-                    data = lookup.levels(_unpack(data)[0]).tobytes()
+                    data = lookup.levels(_unpack(data)[0] + (np.uint64(bucket) << np.uint64(32))).tobytes()
                 if data is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([what], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["name", "kind", "bucket", "data"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, got in _by_key(batches, "name"):
-            whole = got["data"][0]
-            size = int.from_bytes(whole[:8], "little")
-            base = pa.ipc.open_stream(whole[8 : 8 + size]).read_all()
+            base = pa.ipc.open_stream(got["data"][0]).read_all()
             n, known, logs, scores = (base[c].to_numpy().copy() for c in ("n", "known", "logs", "score"))
             for what, data in zip(got["kind"][1:], got["data"][1:], strict=True):
                 if what == tokens_:
                     row, more, log = _unpack(data)
                     known[row.astype(np.int64)] += more.astype(np.int64)
                     logs[row.astype(np.int64)] += log
-            if len(whole) > 8 + size:  # levels come in the order of buckets, which is that of hashes
+            if parts_sent.value is None:  # levels come in the order of buckets, which is that of hashes
                 levels = np.frombuffer(b"".join(d for k, d in zip(got["kind"], got["data"], strict=True) if k == grams_), np.uint8)
-                _, one, two = _unpack(whole[8 + size :])
-                scores = totals.scores(n, levels[one.astype(np.int64)], levels[two.astype(np.int64)])
+                tokens, before, _ = _tokens(base["text"].combine_chunks())
+                unique, at = np.unique(tokens, return_inverse=True)
+                _, at_gram, at_pair = _asked(unique, at, before, tokens, bits)
+                scores = totals.scores(n, levels[at_gram], levels[at_pair])
             logs -= n * np.log10(totals.tokens + totals.types + 1.0)
             ids = base["id"].combine_chunks().cast(id_type)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(known), pa.array(np.full(len(n), totals.tokens)), pa.array(logs), pa.array(scores)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
