@@ -8,13 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of public formats, and names that stored graphs use.
 #: White space as JavaScript and Unicode know it; Java's \s leaves out all but the ASCII part.
 WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 UUID7 = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-7[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
 PROJECT = r"^[a-z0-9][a-z0-9._-]*$"
-
-# The names of hierarchy roots are data of the ontology in use.
-DEFAULT_ROOTS = ("System", "Project", "Component", "Feature", "Document")
+ROOTS = {"CollectiveKnowledge": "System", "Coding": "Project", "DynArch": "Project", "Timeline": "Project", "Normalisa": "Project"}
 
 
 def col(c: Column | str) -> Column:
@@ -54,6 +53,11 @@ def normalize_ends(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}|{WS}$", "")
 
 
+def truncate(text: Column | str, most: int = 200) -> Column:
+    """The first ``most`` characters; of a missing text none."""
+    return F.substring(F.coalesce(col(text), F.lit("")), 1, most)
+
+
 def contains_ci(text: Column | str, wanted: str) -> Column:
     """Literal, case-insensitive; null text holds nothing."""
     return F.coalesce(F.contains(F.lower(col(text)), F.lit(wanted.lower())), F.lit(False))
@@ -115,10 +119,15 @@ def is_project(name: Column | str) -> Column:
     return F.coalesce(name.rlike(PROJECT) & (F.length(name) <= 64) & (name != "default"), F.lit(False))
 
 
-def is_hierarchy_root(name: Column | str, roots: Sequence[str] = DEFAULT_ROOTS) -> Column:
+def is_hierarchy_root(name: Column | str, roots: Sequence[str] = tuple(ROOTS)) -> Column:
     return F.coalesce(col(name).isin(*roots), F.lit(False))
 
 
+def root_class(name: Column | str) -> Column:
+    """The class that a hierarchy root has whatever a classifier says; null of other names."""
+    return F.create_map(*(F.lit(x) for pair in ROOTS.items() for x in pair))[col(name)]
+
+
 def relation_key(source: Column | str, kind: Column | str, target: Column | str) -> Column:
     return F.concat_ws("\u0000", col(source), F.coalesce(col(kind), F.lit("")), col(target))
 
@@ -177,10 +186,7 @@ def answer_json(text: str) -> object | None:
     return None
 
 
-def seeded(seed: int):
-    """A generator of numbers in [0, 1) from a 32-bit seed."""
-    import random
-
-    draw = random.Random(seed & 0xFFFFFFFF)
-    while True:
-        yield draw.random()
+def parse_int(text: str | int | None) -> int | None:
+    """The integer that a request parameter begins with; None where it begins with none."""
+    found = re.match(r"\s*([+-]?\d+)", str(text)) if text is not None else None
+    return int(found[1]) if found else None

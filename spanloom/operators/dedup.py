@@ -1,19 +1,44 @@
 """Entity resolution: matchers by name, vector and meaning, their cascade, and the ingest pipeline around them.
 
-New entities meet stored ones of their class by an equi-join on the class; each matcher scores pairs by an expression
+New entities meet stored ones of their class by equi-joins on keys that matching ones share; each matcher scores pairs
 and keeps the best of each new entity. A cascade hands on only what the matchers before it left.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answer_json, cosine, jaccard_sets, tokens
+from ..sources.shared import small
+
+#: Tokens of more stored names of a class come last among a name's keys.
+HOT_TOKEN = 1000
+#: So many stored vectors a class are compared with each new one; more meet by keys of hyperplanes.
+FEW_VECTORS = 5_000
+#: Keys of a vector, at most, and the chance to miss a pair at the threshold that they aim at.
+MOST_KEYS, MISS = 64, 0.001
+
+
+class Matcher(Protocol):
+    """A layer: pairs (id, cand, cand_seq, score) that reach its threshold, and the best of each new entity."""
+
+    threshold: float
+    layer: str
+
+    def pairs(self, new: DataFrame, pool: DataFrame) -> DataFrame: ...
+
+    def match(self, new: DataFrame, pool: DataFrame) -> DataFrame: ...
 
 
 def candidates(pool: DataFrame) -> DataFrame:
@@ -26,92 +51,170 @@ def class_of() -> Column:
     return F.coalesce("ontologyClass", "entityType")
 
 
-def _best(pairs: DataFrame, layer: str, threshold: float) -> DataFrame:
-    """The best candidate of each new entity that reaches the threshold; the first stored one of several."""
-    top = pairs.where(F.col("score") >= threshold).groupBy("id").agg(F.max_by(F.struct("cand", "score"), F.struct("score", -F.col("cand_seq"))).alias("t"))
-    return top.select("id", F.lit(layer).alias("layer"), F.col("t.cand").alias("match"), F.col("t.score").alias("confidence"))
+class _Best:
+    """match() of matchers that have pairs()."""
+
+    def match(self, new: DataFrame, pool: DataFrame) -> DataFrame:
+        """(id, layer, match, confidence): the best candidate of each new entity, the first stored one of several."""
+        top = self.pairs(new, pool).groupBy("id").agg(F.max_by(F.struct("cand", "score"), F.struct("score", -F.col("cand_seq"))).alias("t"))
+        return top.select("id", F.lit(self.layer).alias("layer"), F.col("t.cand").alias("match"), F.col("t.score").alias("confidence"))
 
 
 @dataclass
-class NameMatcher:
-    """Jaccard similarity of the names' tokens. Tokens are split once a row, before the join, and shared
-    tokens are the join key next to the class: pairs without a common token cannot reach a positive threshold."""
+class NameMatcher(_Best):
+    """Jaccard similarity of the names' tokens. Two sets of this similarity share one of the first few tokens of
+    either, in any order that both follow; those of many stored names come last in it, so keys are rare."""
 
     threshold: float = 0.85
     layer: str = "name"
 
-    def match(self, new: DataFrame, pool: DataFrame) -> DataFrame:
+    def pairs(self, new: DataFrame, pool: DataFrame) -> DataFrame:
         a = new.select("id", class_of().alias("_class"), tokens("name").alias("ta"))
         b = candidates(pool).select(F.col("id").alias("cand"), F.col("seq").alias("cand_seq"), "_class", tokens("name").alias("tb"))
-        # of the rarest-first order any fixed one will do: two sets of this similarity share a token in these prefixes
-        prefix = lambda t: F.slice(F.array_sort(F.transform(t, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), F.lit(1), F.size(t) - F.ceil(F.size(t) * F.lit(self.threshold)).cast("int") + 1)
         if self.threshold > 0:
-            a, b = (x.withColumn("key", F.explode(F.transform(prefix(F.col(c)), lambda s: s["x"]))) for x, c in ((a, "ta"), (b, "tb")))
-            pairs = a.join(b, ["_class", "key"]).where(F.size("ta").between(F.size("tb") * self.threshold, F.size("tb") / self.threshold))
-            pairs = pairs.dropDuplicates(["id", "cand"])
+            often = b.select("_class", F.explode("tb").alias("token")).groupBy("_class", "token").agg(F.count(F.lit(1)).alias("n"))
+            often = small(often.where(F.col("n") > HOT_TOKEN).groupBy("_class").agg(F.sort_array(F.collect_list("token")).alias("often")))
+
+            def keyed(rows: DataFrame, of: str) -> DataFrame:
+                rows = rows.join(often, "_class", "left").withColumn("often", F.coalesce("often", F.array().cast("array<string>")))
+                # by hash, so that no letter is favoured
+                mixed = lambda t: F.transform(F.array_sort(F.transform(t, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["x"])
+                order = F.concat(mixed(F.array_except(of, "often")), mixed(F.array_intersect(of, "often")))
+                needed = F.ceil(F.size(of) * F.lit(self.threshold) - 1e-9).cast("int")  # of this set's tokens, shared at least
+                return rows.withColumn("key", F.explode(F.slice(order, F.lit(1), F.size(of) - needed + 1))).drop("often")
+
+            pairs = keyed(a, "ta").join(keyed(b, "tb"), ["_class", "key"])
+            size_a, size_b = F.size("ta"), F.size("tb")
+            pairs = pairs.where(F.least(size_a, size_b) >= F.greatest(size_a, size_b) * self.threshold - 1e-9).dropDuplicates(["id", "cand"])
         else:
-            pairs = a.join(b, "_class")
-        return _best(pairs.select("id", "cand", "cand_seq", jaccard_sets(F.col("ta"), F.col("tb")).alias("score")), self.layer, self.threshold)
+            pairs = a.join(b, "_class").dropDuplicates(["id", "cand"])
+        return pairs.select("id", "cand", "cand_seq", jaccard_sets(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") >= self.threshold)
 
 
 @dataclass
-class EmbeddingMatcher:
-    """Cosine similarity of vectors. embed gives a text's vector as a Column; by default the stored vector is used."""
+class EmbeddingMatcher(_Best):
+    """Cosine similarity of vectors. embed gives a text's vector as a Column; by default the stored vector is used.
+
+    In a class of more than FEW_VECTORS stored vectors a new one meets those that share a key of it: the sides of some random
+    hyperplanes. There are as many keys as miss a pair at the threshold with a chance of MISS, each of as many
+    hyperplanes as MOST_KEYS keys allow. All pairs that meet are scored exactly.
+    """
 
     threshold: float = 0.90
     embed: Callable[[Column], Column] | None = None
     layer: str = "embedding"
+    text: Column | None = None
+    few: int = FEW_VECTORS
 
     def vector(self) -> Column:
-        text = F.trim(F.concat_ws("\n\n", "name", "description"))
+        text = F.trim(F.concat_ws("\n\n", "name", "description")) if self.text is None else self.text
         return self.embed(text) if self.embed else F.col("embedding")
 
-    def match(self, new: DataFrame, pool: DataFrame) -> DataFrame:
+    def shape(self) -> tuple[int, int]:
+        """Hyperplanes a key, and keys."""
+        same = 1 - math.acos(min(max(self.threshold, -1), 1)) / math.pi  # chance that a hyperplane does not part a pair
+        for bits in range(24, 0, -1):
+            if same == 1 or (keys := math.ceil(math.log(MISS) / math.log1p(-(same**bits)))) <= MOST_KEYS:
+                return bits, 1 if same == 1 else keys
+        return 1, MOST_KEYS
+
+    def keys(self, vector: Column) -> Column:
+        bits, keys = self.shape()
+
+        @F.pandas_udf("array<bigint>")
+        def of(vectors: pd.Series) -> pd.Series:
+            out, planes = [], {}
+            for v in vectors:
+                x = np.zeros(0) if v is None else np.asarray(v, np.float64)
+                if len(x) not in planes:
+                    planes[len(x)] = np.random.default_rng([7, len(x)]).standard_normal((keys, bits, len(x)))
+                sides = (planes[len(x)] @ x >= 0) @ (1 << np.arange(bits, dtype=np.int64))
+                out.append((sides * MOST_KEYS + np.arange(keys)).tolist())
+            return pd.Series(out)
+
+        return of(vector)
+
+    def pairs(self, new: DataFrame, pool: DataFrame) -> DataFrame:
         a = new.select("id", class_of().alias("_class"), self.vector().alias("va"))
         b = candidates(pool.withColumn("vb", self.vector())).select(F.col("id").alias("cand"), F.col("seq").alias("cand_seq"), "_class", "vb")
-        pairs = a.join(b, "_class").select("id", "cand", "cand_seq", cosine("va", "vb").alias("score"))
-        return _best(pairs.dropDuplicates(["id", "cand"]), self.layer, self.threshold)
+        sizes = b.groupBy("_class").agg((F.count(F.lit(1)) > self.few).alias("many"))
+        a, b = (x.join(small(sizes), "_class") for x in (a, b))
+        pairs = a.where("not many").join(b.where("not many"), "_class").select("id", "cand", "cand_seq", "va", "vb")
+        if not sizes.where("many").isEmpty():
+            far, stored = (x.where("many").withColumn("key", F.explode(self.keys(F.col(c)))) for x, c in ((a, "va"), (b, "vb")))
+            pairs = pairs.unionByName(far.join(stored, ["_class", "key"]).select("id", "cand", "cand_seq", "va", "vb"))
+        return pairs.dropDuplicates(["id", "cand"]).select("id", "cand", "cand_seq", cosine("va", "vb").alias("score")).where(F.col("score") >= self.threshold)
+
+
+class UnreadableAnswer(ValueError):
+    """An answer that holds JSON which cannot be read."""
 
 
 @dataclass
-class SemanticMatcher:
-    """Asks a client, once a new entity, which candidate is the same; its confidence is the threshold itself.
+class SemanticMatcher(_Best):
+    """Asks a client which candidate is the same; the confidence of a match is the threshold itself.
 
-    ask(prompt) returns the model's answer; {"match": name} names a candidate. An answer that cannot be read
-    is no match, or an error if on_error is 'raise'. Candidates come in groups of the class, by name.
+    ask(prompt) returns the model's answer: {"matches": [{"newName": ..., "existingName": ...}]}, or {"match": name}. An
+    answer that cannot be read, an error, or no answer within ``timeout`` seconds is no match, or an error if on_error is
+    'raise'. The names of a class come ``per_prompt`` at a time, so a class of any size is asked about whole.
     """
 
     ask: Callable[[str], str]
     threshold: float = 0.70
     on_error: str = "skip"
     layer: str = "semantic"
-
-    def match(self, new: DataFrame, pool: DataFrame) -> DataFrame:
-        ask, threshold, on_error, layer = self.ask, self.threshold, self.on_error, self.layer
-        names = candidates(pool).groupBy("_class").agg(F.array_sort(F.collect_list(F.struct("seq", "id", "name"))).alias("cands"))
-        rows = new.select("id", "name", "description", class_of().alias("_class")).join(names, "_class").select("id", "name", "description", "cands")
+    timeout: float = 60.0
+    per_prompt: int = 500
+
+    def prompt(self, kind: str, name: str, description: str | None, known: list[str]) -> str:
+        told = f" ({description})" if description else ""
+        return (
+            f"All names below are of the class {json.dumps(kind, ensure_ascii=False)}. New: {json.dumps([name], ensure_ascii=False)}{told}\n"
+            f"Known: {json.dumps(known, ensure_ascii=False)}\nWhich known one means the same thing as the new one, if any? Name it only if you are sure. "
+            'Answer with JSON: {"matches": [{"newName": "...", "existingName": "..."}]}, the list empty if there is none.'
+        )
+
+    def named(self, answer: str, name: str) -> str | None:
+        """The candidate that an answer names."""
+        if "{" not in answer:
+            return None
+        said = answer_json(answer)
+        if not isinstance(said, dict):
+            raise UnreadableAnswer(f"no JSON in {answer[:200]!r}")
+        listed = said.get("matches")
+        found = [m.get("existingName") for m in listed if isinstance(m, dict) and m.get("newName") == name] if isinstance(listed, list) else []
+        return found[0] if found else said.get("match")
+
+    def pairs(self, new: DataFrame, pool: DataFrame) -> DataFrame:
+        me = self
+        # per_prompt names each, dealt by a hash: chunks are of about that size
+        stored = candidates(pool).select("_class", "seq", "id", "name")
+        sizes = small(stored.groupBy("_class").agg(F.ceil(F.count(F.lit(1)) / self.per_prompt).alias("chunks")))
+        dealt = stored.join(sizes, "_class").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+        names = dealt.groupBy("_class", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "id", "name"))).alias("cands"))
+        rows = new.select("id", "name", "description", class_of().alias("_class")).join(names, "_class").select("id", "name", "description", "_class", "cands")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = []
-                for r in batch.itertuples(index=False):
-                    listed = "\n".join(f"- {c['name']}" for c in r.cands)
-                    try:
-                        answer = ask(f"Which of these is the same as {r.name}: {r.description}?\n{listed}")
-                    except Exception:
-                        if on_error == "raise":
-                            raise
-                        continue
-                    said = answer_json(answer) if "{" in answer else None
-                    if said is None and "{" in answer and on_error == "raise":
-                        raise ValueError(f"no JSON in {answer!r}")
-                    wanted = said.get("match") if isinstance(said, dict) else None
-                    hit = next((c["id"] for c in r.cands if c["name"] == wanted), None)
-                    if hit is not None:
-                        found.append((r.id, layer, hit, threshold))
-                yield pd.DataFrame(found, columns=["id", "layer", "match", "confidence"])
-
-        return rows.mapInPandas(run, "id string, layer string, match string, confidence double")
+            with ThreadPoolExecutor(1) as asking:
+                for batch in batches:
+                    found = []
+                    for r in batch.itertuples(index=False):
+                        cands = [c for c in r.cands if c["id"] != r.id]
+                        if not cands:
+                            continue
+                        try:
+                            answer = asking.submit(me.ask, me.prompt(r[3], r.name, r.description, [c["name"] for c in cands])).result(me.timeout)
+                            wanted = me.named(answer, r.name)
+                        except Exception:
+                            if me.on_error == "raise":
+                                raise
+                            continue
+                        hit = next((c for c in cands if c["name"] == wanted), None)
+                        if hit is not None:
+                            found.append((r.id, hit["id"], hit["seq"], me.threshold))
+                    yield pd.DataFrame(found, columns=["id", "cand", "cand_seq", "score"])
+
+        return rows.mapInPandas(run, "id string, cand string, cand_seq long, score double")
 
 
 @dataclass
@@ -138,27 +241,91 @@ class LayeredDeduplicator:
         return new.select("id", "seq", class_of().isNull().alias("unclassified")).join(first, "id", "left").select("id", "seq", "unclassified", F.col("d.layer").alias("layer"), F.col("d.match").alias("match"), F.col("d.confidence").alias("confidence"))
 
 
+@dataclass
+class Ingested:
+    """The tables after an ingest, its decisions, the new entities that were refused and why, counts, and seconds by stage."""
+
+    entities: DataFrame
+    relations: DataFrame
+    decisions: DataFrame
+    errors: DataFrame
+    counts: DataFrame
+    seconds: dict[str, float]
+    skipped: tuple[str, ...]
+
+
+STAGES = ("extract", "dedup", "store", "synthesize")
+
+
 @dataclass
 class IngestPipeline:
-    """extract -> dedup -> store -> synthesize; any of the stages may be skipped or run alone."""
+    """extract -> dedup -> store -> synthesize; any of the stages may be skipped, or run alone by run_stage.
+
+    store(new, entities, provenance) puts entities, with supersedes set where one matched. on_phase hears of each stage at its start
+    and end. Provenance is the caller's; the pipeline makes none up.
+    """
 
     extract: Callable[[DataFrame], DataFrame]
     deduplicator: LayeredDeduplicator
-    store: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+    store: Callable[[DataFrame, DataFrame, Column], tuple[DataFrame, DataFrame]]
     synthesize: Callable[[DataFrame], None] | None = None
+    on_phase: Callable[[str, str], None] | None = None
+
+    def _timed(self, stage: str, seconds: dict[str, float], work: Callable[[], object]) -> object:
+        if self.on_phase:
+            self.on_phase(stage, "start")
+        began = time.perf_counter()
+        out = work()
+        seconds[stage] = time.perf_counter() - began
+        if self.on_phase:
+            self.on_phase(stage, "done")
+        return out
 
-    def ingest(self, texts: DataFrame, entities: DataFrame, relations: DataFrame, skip: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The new entities and relations tables, and the decisions. All of a batch is compared with what was
-        stored before it; of several new entities that match one stored entity the first supersedes it."""
-        new = texts if "extract" in skip else self.extract(texts)
+    def ingest(self, texts: DataFrame, entities: DataFrame, relations: DataFrame, provenance: Column, skip: tuple[str, ...] = ()) -> Ingested:
+        """All of a batch is compared with what was stored before it; of several new entities that match one stored
+        entity the first, by seq, supersedes it, and the others are refused: an entity has one successor."""
+        if provenance is None:
+            raise ValueError("an ingest needs provenance")
+        if set(skip) - set(STAGES):
+            raise ValueError(f"no such stage: {', '.join(sorted(set(skip) - set(STAGES)))}")
+        if "extract" in skip and not texts.isEmpty():
+            raise ValueError("texts that are not to be extracted: use run_stage for a stage by itself")
+        seconds: dict[str, float] = {}
+        new = entities.limit(0) if "extract" in skip else self._timed("extract", seconds, lambda: self.extract(texts))
         if "dedup" in skip:
-            decided = new.select("id", "seq", F.lit(False).alias("unclassified"), *(F.lit(None).cast(t).alias(c) for c, t in (("layer", "string"), ("match", "string"), ("confidence", "double"))))
+            nothing = (F.lit(None).cast(t).alias(c) for c, t in (("layer", "string"), ("match", "string"), ("confidence", "double")))
+            decided = new.select("id", "seq", F.lit(False).alias("unclassified"), *nothing)
         else:
-            decided = self.deduplicator.dedup(new, entities)
+            decided = self._timed("dedup", seconds, lambda: self.deduplicator.dedup(new, entities))
+        first = decided.where("match is not null").groupBy("match").agg(F.min_by("id", "seq").alias("id")).select("id", F.col("match").alias("_old"))
+        late = decided.where("match is not null").join(first.select("id"), "id", "left_anti")
+        errors = late.select("id", F.concat(F.col("match"), F.lit(" has a successor in this batch")).alias("error"))
         if "store" not in skip:
-            first = decided.where("match is not null").groupBy("match").agg(F.min_by("id", "seq").alias("id")).select("id", F.col("match").alias("_old"))
-            stamped = new.join(first, "id", "left").withColumn("supersedes", F.coalesce("_old", "supersedes")).drop("_old")
-            entities, relations = self.store(stamped, entities)
+            stamped = new.join(late.select("id"), "id", "left_anti").join(first, "id", "left").withColumn("supersedes", F.coalesce("_old", "supersedes")).drop("_old")
+            entities, relations = self._timed("store", seconds, lambda: self.store(stamped, entities, provenance))
         if self.synthesize and "synthesize" not in skip:
-            self.synthesize(decided.select(F.coalesce("match", "id").alias("id")).distinct())
-        return entities, relations, decided
+            survivors = decided.where("match is not null").select(F.col("match").alias("id")).distinct()
+            self._timed("synthesize", seconds, lambda: self.synthesize(survivors))
+        counts = decided.agg(F.count(F.lit(1)).alias("extracted"), F.count("match").alias("merged"))
+        stored = F.lit(0) if "store" in skip else F.col("extracted") - F.col("refused")
+        counts = counts.crossJoin(errors.agg(F.count(F.lit(1)).alias("refused"))).withColumn("stored", stored)
+        return Ingested(entities, relations, decided, errors, counts, seconds, tuple(skip))
+
+    def run_stage(self, name: str, rows: DataFrame, entities: DataFrame | None = None, provenance: Column | None = None, supersedes: DataFrame | None = None):
+        """One stage by itself: extract of texts, dedup of entities against a pool, store of entities (with pairs (id,
+        supersedes), if given), synthesize of ids. No phase is told."""
+        if name == "extract":
+            return self.extract(rows)
+        if name == "dedup":
+            if entities is None:
+                raise ValueError("dedup needs the stored entities to compare with")
+            return self.deduplicator.dedup(rows, entities)
+        if name not in STAGES:
+            raise ValueError(f"no such stage: {name}")
+        if provenance is None:
+            raise ValueError(f"{name} needs provenance")
+        if name == "store":
+            if supersedes is not None:
+                rows = rows.drop("supersedes").join(supersedes.select("id", "supersedes"), "id", "left")
+            return self.store(rows, entities, provenance)
+        return self.synthesize(rows) if self.synthesize else None

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import SUPERSEDED_BY
@@ -92,12 +92,16 @@ def components(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def connectivity(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """A row a component: its size, whether it is the main one (the first of the largest), and its ids in order."""
+def connectivity(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components (component, size, first, isMain), the main one being the first of the largest, and their members
+    (component, seq, id, isMain), a row an id: a component may be of any size, so its ids are never one value."""
     member = components(entities, relations).join(entities.select("id", "seq"), "id")
-    out = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("seq").alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias("ids"))
+    member = written(member, f"{work_dir(entities.sparkSession)}/member")
+    out = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("seq").alias("first"))
     main = out.agg(F.max_by("component", F.struct("size", -F.col("first"))).alias("main"))
-    return out.join(F.broadcast(main)).withColumn("isMain", F.col("component") == F.col("main")).drop("main")
+    is_main = (F.col("component") == F.col("main")).alias("isMain")
+    sizes = out.join(F.broadcast(main)).select("component", "size", "first", is_main)
+    return sizes, member.join(F.broadcast(main)).select("component", "seq", "id", is_main)
 
 
 def stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -113,30 +117,27 @@ def stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return one.select("nodes", "edges", "evidence", "pattern", "orphans", "components", "largest", share.alias("connectivity"), islands.alias("islands"))
 
 
-def supersession_chain(entities: DataFrame, relations: DataFrame, id_: str, most: int = 10_000) -> DataFrame:
+def first_successors(relations: DataFrame) -> DataFrame:
+    """(from, to) of the first SUPERSEDED_BY edge out of each node."""
+    return relations.where(F.col("type") == SUPERSEDED_BY).groupBy("from").agg(F.min_by("to", "seq").alias("to"))
+
+
+def supersession_chain(entities: DataFrame, relations: DataFrame, id_: str) -> DataFrame:
     """(id, position) from the origin to the tip of an entity's chain; nothing for an unknown id.
 
-    Backwards by the supersedes pointer, forwards by the first SUPERSEDED_BY edge; a cycle ends the walk.
-    Each step is a lookup of one id, so the work follows the length of the chain.
+    Backwards by the supersedes pointer, forwards by the first SUPERSEDED_BY edge. All chains are walked at once by
+    pointer doubling, so a chain may be of any length. An entity on a cycle, which has no origin, is its own chain.
     """
-    spark = entities.sparkSession
-    ahead = relations.where(F.col("type") == SUPERSEDED_BY)
-    row = entities.where(F.col("id") == id_).select("id", "supersedes").first()
-    if row is None:
-        return spark.createDataFrame([], "id string, position int")
-    chain, seen = [id_], {id_}
-    while row and row["supersedes"] and row["supersedes"] not in seen and len(chain) < most:
-        row = entities.where(F.col("id") == row["supersedes"]).select("id", "supersedes").first()
-        if row:
-            chain.insert(0, row["id"])
-            seen.add(row["id"])
-    while len(chain) < most:
-        nxt = ahead.where(F.col("from") == chain[-1]).agg(F.min_by("to", "seq")).first()[0]
-        if nxt is None or nxt in seen or entities.where(F.col("id") == nxt).isEmpty():
-            break
-        chain.append(nxt)
-        seen.add(nxt)
-    return spark.createDataFrame(list(zip(chain, range(len(chain)), strict=True)), "id string, position int")
+    ids = entities.select("id")
+    known = lambda pairs: pairs.join(ids.withColumnRenamed("id", "from"), "from", "left_semi").join(ids.withColumnRenamed("id", "to"), "to", "left_semi")
+    back = known(entities.where(F.col("supersedes").isNotNull()).groupBy(F.col("supersedes").alias("from")).agg(F.min_by("id", "seq").alias("to")))
+    ahead = known(first_successors(relations)).join(back, ["from"], "left_anti")
+    ahead = ahead.join(back.select("to"), "to", "left_anti").groupBy("to").agg(F.min("from").alias("from"))
+    chains = written(all_chains(back.unionByName(ahead)), f"{work_dir(entities.sparkSession)}/chains")
+    own = chains.where(F.col("id") == id_).select("origin")
+    mine = chains.join(F.broadcast(own), "origin").select("id", F.col("position").cast("int").alias("position"))
+    alone = ids.where(F.col("id") == id_).join(chains.select("id"), "id", "left_anti").select("id", F.lit(0).alias("position"))
+    return mine.unionByName(alone)
 
 
 def all_chains(successors: DataFrame) -> DataFrame:
@@ -169,53 +170,72 @@ def modularity(relations: DataFrame, labels: DataFrame) -> DataFrame:
     return inside.crossJoin(squares).select(F.when(F.col("m") > 0, F.col("inside") / F.col("m") - F.col("dd") / (4.0 * F.col("m") * F.col("m"))).otherwise(F.lit(0.0)).alias("modularity"))
 
 
-def communities(entities: DataFrame, relations: DataFrame, algorithm: str = "louvain", seed: int = 0x43065EED, min_size: int = 1, rounds: int = 8, levels: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Communities of the whole graph, largest first, and their modularity.
+def communities(entities: DataFrame, relations: DataFrame, algorithm: str = "louvain", seed: int = 0x43065EED, min_size: int = 1, most: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Communities (community, size), largest first, their members (community, id) and their modularity.
 
     Louvain in rounds: every node looks for the neighbouring community of the largest gain. In even rounds it may
     only go to a lesser label, in odd ones only a seeded half of the nodes may go, so that neighbours do not swap
-    sides; a round that lowers modularity is undone. Then communities become nodes of the next level. Each round is joins and aggregates over edges, so the graph may be of any size.
+    sides; a round that does not raise modularity is undone, and four such rounds in a row end a level. Then communities become
+    nodes of the next level, until a level moves nothing. Each round is joins and aggregates over edges, so the graph may be
+    of any size. A level of over ``most`` rounds is an error.
     """
     if algorithm != "louvain":
         raise ValueError(f"unknown algorithm {algorithm}")
     path = work_dir(entities.sparkSession)
     ids = entities.select("id")
-    edges = relations.select(F.col("from").alias("u"), F.col("to").alias("v")).join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
+    edges = relations.select(F.col("from").alias("u"), F.col("to").alias("v"))
+    edges = edges.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
     edges = edges.select("u", "v", F.lit(1.0).alias("w")).unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(1.0).alias("w")))
     edges = written(edges.groupBy("u", "v").agg(F.sum("w").alias("w")), f"{path}/edges0")
     total = edges.agg(F.sum("w")).first()[0] or 0.0  # twice the number of edges
     member = written(ids.select("id", F.col("id").alias("community")), f"{path}/member0")
-    for level in range(levels if total else 0):
-        strength = written(edges.groupBy("u").agg(F.sum("w").alias("k")), f"{path}/k{level}")
-        label = written(strength.select("u", F.col("u").alias("c")), f"{path}/label{level}_0")
-        best = float(_gain(edges, label, strength, total).first()[0])
-        failed = 0
-        for r in range(rounds):
-            volume = label.join(strength, "u").groupBy("c").agg(F.sum("k").alias("vol"))
-            near = edges.where("u <> v").join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("into"))
-            own = label.withColumnRenamed("c", "own")
-            options = near.join(volume, "c").join(strength, "u").join(own, "u")
-            gain = F.col("into") - F.col("k") * (F.col("vol") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total
-            staying = near.join(own, (near["u"] == own["u"]) & (near["c"] == own["own"])).select(near["u"], "into").withColumnRenamed("into", "now")
-            if r % 2 == 0:  # all nodes, to lesser labels only, so that no two of them swap
-                options = options.where("c < own")
-            top = options.withColumn("gain", gain).groupBy("u").agg(F.min_by(F.struct("c", "gain"), F.struct(-F.col("gain"), "c")).alias("b"))
-            rest = own.join(strength, "u").join(volume.withColumnRenamed("c", "own"), "own").join(staying, "u", "left").select("u", "own", (F.coalesce("now", F.lit(0.0)) - F.col("k") * (F.col("vol") - F.col("k")) / total).alias("stay"))
-            moves = rest.join(top, "u", "left").select("u", F.when((F.col("b.gain") > F.col("stay") + 1e-9) & (F.pmod(F.xxhash64("u", F.lit(seed + r)), F.lit(2)) >= r % 2), F.col("b.c")).otherwise(F.col("own")).alias("c"))
-            moved = written(moves, f"{path}/label{level}_{r + 1}")
-            now = float(_gain(edges, moved, strength, total).first()[0])
-            failed = 0 if now > best + 1e-9 else failed + 1
-            if not failed:
-                label, best = moved, now
-            elif failed == 3:
-                break
-        member = written(member.join(label.select(F.col("u").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")), f"{path}/member{level + 1}")
-        if label.where("u <> c").isEmpty():
-            break
+    level, moved = 0, total > 0
+    while moved:
+        label = _level(edges, total, seed, most, f"{path}/{level}")
+        moved = not label.where("u <> c").isEmpty()
+        level += 1
+        member = member.join(label.select(F.col("u").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community"))
+        member = written(member, f"{path}/member{level}")
         a, b = label.select("u", F.col("c").alias("cu")), label.select(F.col("u").alias("v"), F.col("c").alias("cv"))
-        edges = written(edges.join(a, "u").join(b, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), f"{path}/edges{level + 1}")
-    sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("id")).alias("ids")).where(F.col("size") >= min_size)
-    return sizes.orderBy(F.desc("size"), "community"), modularity(relations, member)
+        edges = edges.join(a, "u").join(b, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
+        edges = written(edges, f"{path}/edges{level}")
+    sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
+    return sizes.orderBy(F.desc("size"), "community"), member.select("community", "id"), modularity(relations, member)
+
+
+def _level(edges: DataFrame, total: float, seed: int, most: int, path: str) -> DataFrame:
+    """Labels (u, c) of a level, when rounds have stopped to raise modularity."""
+    strength = written(edges.groupBy("u").agg(F.sum("w").alias("k")), f"{path}_k")
+    label = written(strength.select("u", F.col("u").alias("c")), f"{path}_labels")
+    best, failed, r = float(_gain(edges, label, strength, total).first()[0]), 0, 0
+    while failed < 4:
+        if r == most:
+            raise RuntimeError(f"communities still move after {most} rounds of a level")
+        moves = written(_moves(edges, label, strength, total, r, seed), f"{path}_labels{r}")
+        now = float(_gain(edges, moves, strength, total).first()[0])
+        failed = 0 if now > best + 1e-9 else failed + 1
+        if not failed:
+            label, best = moves, now
+        r += 1
+    return label
+
+
+def _moves(edges: DataFrame, label: DataFrame, strength: DataFrame, total: float, r: int, seed: int) -> DataFrame:
+    """Labels after round r."""
+    volume = label.join(strength, "u").groupBy("c").agg(F.sum("k").alias("vol"))
+    near = edges.where("u <> v").join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("into"))
+    own = label.withColumnRenamed("c", "own")
+    options = near.join(volume, "c").join(strength, "u").join(own, "u")
+    gain = F.col("into") - F.col("k") * (F.col("vol") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total
+    staying = near.join(own, (near["u"] == own["u"]) & (near["c"] == own["own"])).select(near["u"], F.col("into").alias("now"))
+    if r % 2 == 0:  # all nodes, to lesser labels only, so that no two of them swap
+        options = options.where("c < own")
+    top = options.withColumn("gain", gain).groupBy("u").agg(F.min_by(F.struct("c", "gain"), F.struct(-F.col("gain"), "c")).alias("b"))
+    stay = (F.coalesce("now", F.lit(0.0)) - F.col("k") * (F.col("vol") - F.col("k")) / total).alias("stay")
+    rest = own.join(strength, "u").join(volume.withColumnRenamed("c", "own"), "own").join(staying, "u", "left").select("u", "own", stay)
+    may = F.pmod(F.xxhash64("u", F.lit(seed + r)), F.lit(2)) >= r % 2
+    goes = (F.col("b.gain") > F.col("stay") + 1e-9) & may
+    return rest.join(top, "u", "left").select("u", F.when(goes, F.col("b.c")).otherwise(F.col("own")).alias("c"))
 
 
 def _gain(edges: DataFrame, label: DataFrame, strength: DataFrame, total: float) -> DataFrame:
@@ -224,13 +244,3 @@ def _gain(edges: DataFrame, label: DataFrame, strength: DataFrame, total: float)
     inside = edges.join(a, "u").join(b, "v").where("cu = cv").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("i"))
     volume = label.join(strength, "u").groupBy("c").agg(F.sum("k").alias("s")).agg(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0)).alias("ss"))
     return inside.crossJoin(volume).select(F.col("i") / total - F.col("ss") / (total * total))
-
-
-def first_successors(relations: DataFrame) -> DataFrame:
-    """The first SUPERSEDED_BY edge out of each node."""
-    return relations.where(F.col("type") == SUPERSEDED_BY).groupBy(F.col("from")).agg(F.min_by("to", "seq").alias("to"))
-
-
-def ranked_components(components_: DataFrame) -> DataFrame:
-    """Components by size, then by first member; the ranks are computed over the sizes alone."""
-    return components_.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "first")))

@@ -35,18 +35,20 @@ def _stacked(parts: list[DataFrame | None]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
-def _latest(rows: DataFrame, key: list[str], stamp: Column, strict_updates: bool = False) -> DataFrame:
-    """The row of the largest stamp of each key, ties to the earliest source; first_src and first_seq of its first sighting."""
+def _latest(rows: DataFrame, key: list[str], stamp: Column, strict_updates: bool = False, of_first: tuple[str, ...] = ()) -> DataFrame:
+    """The row of the largest stamp of each key, ties to the earliest source; first_src and first_seq of its first sighting.
+
+    Columns of_first are those of the first sighting."""
     order = F.struct(F.col("stamp"), -F.col("src"), -F.col("seq"))
     first = F.min(F.struct("src", "seq"))
     rows = rows.withColumn("stamp", stamp)
-    whole = F.struct(*[c for c in rows.columns if c not in key])
-    aggs = [F.max_by(whole, order).alias("w"), first.alias("first")]
+    whole = F.struct(*[c for c in rows.columns if c not in (*key, *of_first)])
+    aggs = [F.max_by(whole, order).alias("w"), first.alias("first"), *(F.min_by(c, F.struct("src", "seq")).alias(c) for c in of_first)]
     if strict_updates:
         aggs.append(F.sort_array(F.collect_list(F.struct("src", "seq", "stamp"))).alias("sightings"))
     out = rows.groupBy(*key).agg(*aggs)
     more = ["sightings"] if strict_updates else []
-    return out.select(*key, "w.*", F.col("first.src").alias("first_src"), F.col("first.seq").alias("first_seq"), *more)
+    return out.select(*key, *of_first, "w.*", F.col("first.src").alias("first_src"), F.col("first.seq").alias("first_seq"), *more)
 
 
 def union_tombstones(parts: list[DataFrame | None]) -> DataFrame:
@@ -90,15 +92,14 @@ def merge_graphs(sources: list[Graph | None]) -> Merged:
     live = nodes.where("not killed")
 
     sighted = _stacked([s and s.relations for s in sources]).withColumn("type", F.coalesce("type", F.lit("")))
-    keys = sighted.groupBy("from", "type", "to").agg(F.min_by("key", F.struct("src", "seq")).alias("first_key"))
-    edges = _latest(sighted, ["from", "type", "to"], relation_stamp()).drop("key").join(keys, ["from", "type", "to"]).withColumnRenamed("first_key", "key")
+    edges = _latest(sighted, ["from", "type", "to"], relation_stamp(), of_first=("key",))
     edges = unique_keys(edges).join(dead("relations"), relation_key("from", "type", "to") == F.col("dead_key"), "left")
     edges = edges.withColumn("killed", F.coalesce(F.col("dead_at") >= F.col("stamp"), F.lit(False))).drop("dead_key", "dead_at")
-    ids, gone = live.select("id"), tombs.where("kind = 'entities'").select("key")
+    lives = live.select("id", F.lit(True).alias("lives"), F.lit(False).alias("died"))
+    gone = tombs.where("kind = 'entities'").select(F.col("key").alias("id"), F.lit(False).alias("lives"), F.lit(True).alias("died"))
+    known = lives.unionByName(gone).groupBy("id").agg(F.max("lives").alias("lives"), F.max("died").alias("died"))
     for side in ("from", "to"):
-        has = ids.select(F.col("id").alias(side), F.lit(True).alias(f"{side}_lives"))
-        was = gone.select(F.col("key").alias(side), F.lit(True).alias(f"{side}_died"))
-        edges = edges.join(has, side, "left").join(was, side, "left")
+        edges = edges.join(known.select(F.col("id").alias(side), F.col("lives").alias(f"{side}_lives"), F.col("died").alias(f"{side}_died")), side, "left")
     both, died = F.col("from_lives") & F.col("to_lives"), F.coalesce("from_died", F.lit(False)) | F.coalesce("to_died", F.lit(False))
     fate = F.when(F.col("killed"), "tombstoned").when(F.coalesce(both, F.lit(False)), "live").when(died, "tombstoned").otherwise("dangling")
     edges = edges.withColumn("fate", fate)

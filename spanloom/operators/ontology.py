@@ -11,9 +11,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import col
+from ..functions import ROOTS, col, overlay
 from ..plans import CLASSES
-from ..sources.shared import small
+from ..sources.ontologies import ontology_order, read_ontology
+from ..sources.shared import small, work_dir, written
 
 
 @dataclass
@@ -31,6 +32,36 @@ class Catalog:
             joined = {k: {**parent.get(k, {}), **(spec.get(k) or {})} for k in ("relationships", "properties")}
             self.classes[name] = {**spec, **joined, "source": source, "load_ord": len(self.classes)}
 
+    @classmethod
+    def of(cls, files: dict[str, str], strict: bool = False) -> Catalog:
+        """The classes of files (name -> text) in load order. A malformed one is left out with a warning, or refused."""
+        out = cls()
+        for name in ontology_order(files):
+            try:
+                source, classes = read_ontology(files[name])
+            except ValueError as e:
+                if strict or name == "upper.json":
+                    raise
+                out.warnings.append(f"{name} is left out: {e}")
+                continue
+            out.register("upper" if name == "upper.json" else source, classes)
+        return out
+
+    def reload(self, files: dict[str, str], strict: bool = False) -> None:
+        """Takes over the classes of files at once; if they cannot be read, all stays as it was."""
+        fresh = Catalog.of(files, strict)
+        self.classes, self.warnings = fresh.classes, fresh.warnings
+
+    def schema(self, name: str) -> dict[str, Any] | None:
+        """A class with what it takes over from its parents; None if there is no such class."""
+        found = self.classes.get(name)
+        return found and {"name": name, **found}
+
+    def entity_types(self, spark: SparkSession) -> DataFrame:
+        """(name, description, source) of all classes, in load order."""
+        rows = [(n, c.get("description") or "", c["source"], c["load_ord"]) for n, c in self.classes.items()]
+        return spark.createDataFrame(rows, "name string, description string, source string, load_ord int").orderBy("load_ord").drop("load_ord")
+
     def parents(self, name: str) -> list[str]:
         """Ancestors, closest first, up to an unknown one; a cycle ends the list."""
         out, at = [], self.classes.get(name, {}).get("extends")
@@ -87,25 +118,49 @@ def isa_violations(entities: DataFrame, catalog: DataFrame, ancestors: DataFrame
     return rows.join(above, ["entityType", "ontologyClass"], "left_anti").select(*entities.columns)
 
 
-def class_listing(catalog: DataFrame, display: DataFrame | None = None, system: str = "") -> DataFrame:
-    """Names, descriptions and sources; with display hints also level, parent and hint, and the two roots of ``coding``."""
-    rows = catalog.select("name", "description", "source", "level", F.coalesce("parent", "extends").alias("parent"))
+def class_listing(catalog: DataFrame, display: dict[str, dict] | None = None, system: str = "") -> DataFrame:
+    """Names; with display hints also level, parent and hint, and of ``coding`` the classes of its roots, first, where they are missing."""
+    names = catalog.select("load_ord", "name")
     if display is None:
-        return rows.select("name", "description", "source")
+        return names.orderBy("load_ord").select("name")
+    spark = catalog.sparkSession
+    rows = catalog.select("load_ord", "name", "level", F.coalesce("parent", "extends").alias("parent"))
     if system == "coding":
-        roots = catalog.sparkSession.createDataFrame([("System", "", "synthetic", 0, None), ("Project", "", "synthetic", 0, None)], "name string, description string, source string, level int, parent string")
-        rows = roots.join(rows.select("name"), "name", "left_anti").unionByName(rows)
-    return rows.join(small(display), "name", "left")
+        missing = spark.createDataFrame([(k, c, 0, None) for k, c in enumerate(dict.fromkeys(ROOTS.values()), -9)], "load_ord int, name string, level int, parent string")
+        rows = missing.join(names.select("name"), "name", "left_anti").select(*rows.columns).unionByName(rows)
+    hints = spark.createDataFrame([(k, h) for k, h in display.items()], "name string, display map<string,string>")
+    return rows.join(F.broadcast(hints), "name", "left").orderBy("load_ord").select("name", "level", "parent", "display")
+
+
+def inherited(classes: DataFrame, field: str = "properties") -> DataFrame:
+    """(name, field) of classes (name, extends, load_ord and a map column) with what each takes over, as ``Catalog`` does it for a table
+    of any size: a parent gives its own entries and those that it took over, if it was loaded before; the child's win."""
+    own = classes.select("name", "extends", "load_ord", F.col(field).alias("bag"))
+    level = own.select("name", F.col("extends").alias("up"), "load_ord", "bag")
+    path, k = work_dir(classes.sparkSession), 0
+    while True:
+        level = written(level, f"{path}/{k}")
+        parents = own.select(F.col("name").alias("up"), F.col("extends").alias("further"), F.col("load_ord").alias("up_ord"), F.col("bag").alias("more"))
+        if level.join(parents, "up", "left_semi").isEmpty() or k > own.count():
+            break
+        joined = level.join(parents, "up", "left")
+        earlier = F.col("up_ord") < F.col("load_ord")
+        bag = F.when(earlier, overlay(F.col("more"), F.col("bag"))).otherwise(F.col("bag"))
+        level = joined.select("name", F.when(earlier, F.col("further")).alias("up"), F.when(earlier, F.col("up_ord")).otherwise(F.col("load_ord")).alias("load_ord"), bag.alias("bag"))
+        k += 1
+    return level.select("name", F.col("bag").alias(field))
 
 
 def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
-    """(name, ancestor, depth) of a hierarchy table, level by level; a cycle ends at ``most`` levels."""
-    step = edges.select(col(child).alias("name"), col(parent).alias("ancestor")).where("ancestor is not null")
-    level, out = step.withColumn("depth", F.lit(1)), None
-    for depth in range(2, most):
-        out = level if out is None else out.unionByName(level)
-        up = step.select(F.col("name").alias("ancestor"), F.col("ancestor").alias("next"))
-        level = level.join(up, "ancestor").select("name", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"))
+    """(name, ancestor, depth) of a hierarchy table, level by level, each written; one of over ``most`` levels, or a cycle, is an error."""
+    path = work_dir(edges.sparkSession)
+    step = written(edges.select(col(child).alias("name"), col(parent).alias("ancestor")).where("ancestor is not null"), f"{path}/step")
+    level, out, depth = step.withColumn("depth", F.lit(1)), step.withColumn("depth", F.lit(1)), 2
+    up = step.select(F.col("name").alias("ancestor"), F.col("ancestor").alias("next"))
+    while True:
+        level = written(level.join(up, "ancestor").select("name", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")), f"{path}/{depth}")
         if level.isEmpty():
-            break
-    return out
+            return out
+        if depth == most:
+            raise ValueError(f"a hierarchy of over {most} levels, or a cycle")
+        out, depth = out.unionByName(level), depth + 1

@@ -52,6 +52,12 @@ def find_by_content_hash(entities: DataFrame, agent: str, digest: str, as_of: st
     return scan(entities, as_of, found, superseded).limit(1)
 
 
+def repeated_content(rows: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(first, n) of each content that several rows hold: its least id and how many they are; contents are known by a hash."""
+    hashed = rows.select(F.col(id_col).alias("id"), F.sha2(F.col(text).cast("binary"), 256).alias("digest"))
+    return hashed.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("first", "n")
+
+
 def recent_by_agent(entities: DataFrame, agent: str, since: str, limit: int, as_of: str, ontology_class: str = "Observation", superseded: bool = False) -> DataFrame:
     """Newest first; the bound is exclusive and compared as text; a limit of 0 or less gives all."""
     made = F.col("metadata")["createdAt"]
@@ -88,15 +94,18 @@ def packed_run() -> Column:
     return F.coalesce(F.col("provenance.createdBy.runId"), F.when(F.col("provenance").isNull(), F.col("createdBy.runId")))
 
 
-def list_entities(entities: DataFrame, as_of: str, ontology_class: str | None = None, run: str | None = None, tenant: Callable[[], Column | None] | None = None, limit: int = 0, offset: int = 0) -> DataFrame:
-    """Listing: class, run and tenant filters, then the slice. Without a limit more than LIST_CAP rows are cut to that."""
+def filtered(entities: DataFrame, as_of: str, ontology_class: str | None = None, run: str | None = None, tenant: Callable[[], Column | None] | None = None) -> DataFrame:
+    """Active entities by class, run and tenant, in insertion order. tenant makes a condition, or None for no filter."""
     rows = find_by_class(entities, ontology_class, as_of) if ontology_class else scan(entities, as_of)
     if run is not None:
         rows = rows.where(packed_run() == run)
     own = tenant() if tenant else None
-    if own is not None:
-        rows = rows.where(own)
-    return page(rows, limit if limit > 0 else LIST_CAP, offset)
+    return rows if own is None else rows.where(own)
+
+
+def list_entities(entities: DataFrame, as_of: str, limit: int = 0, offset: int = 0, **how) -> DataFrame:
+    """A slice of ``filtered``. Without a limit more than LIST_CAP rows are cut to that."""
+    return page(filtered(entities, as_of, **how), limit if limit > 0 else LIST_CAP, offset)
 
 
 def search(entities: DataFrame, q: str, as_of: str, limit: int = 20) -> DataFrame:
@@ -112,10 +121,26 @@ def count_by_class(entities: DataFrame, name: str, as_of: str, superseded: bool
     return (rows if superseded else rows.where(is_active(as_of))).agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_by_class(entities: DataFrame, as_of: str, superseded: bool = False) -> DataFrame:
+    """Entities of each entityType."""
+    rows = entities if superseded else entities.where(is_active(as_of))
+    return rows.groupBy("entityType").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _last() -> Column:
+    return F.max(F.when(F.col("createdAt") != "", F.col("createdAt"))).alias("last")
+
+
 def last_modified(entities: DataFrame, name: str, as_of: str, superseded: bool = False) -> DataFrame:
     """The largest createdAt as text; empty ones do not count; null without any."""
     rows = entities.where(of_class(name))
-    return (rows if superseded else rows.where(is_active(as_of))).agg(F.max(F.when(F.col("createdAt") != "", F.col("createdAt"))).alias("last"))
+    return (rows if superseded else rows.where(is_active(as_of))).agg(_last())
+
+
+def last_modified_by_class(entities: DataFrame, as_of: str, superseded: bool = False) -> DataFrame:
+    """The same of each entityType."""
+    rows = entities if superseded else entities.where(is_active(as_of))
+    return rows.groupBy("entityType").agg(_last())
 
 
 def runs(entities: DataFrame, as_of: str, limit: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -136,5 +161,3 @@ def runs(entities: DataFrame, as_of: str, limit: int = 100) -> tuple[DataFrame,
 
 def layer_counts(entities: DataFrame) -> DataFrame:
     return entities.agg(F.count_if(F.col("layer") == "evidence").alias("evidence"), F.count_if(F.col("layer") == "pattern").alias("pattern"))
-
-

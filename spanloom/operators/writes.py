@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import is_uuid7, overlay, relation_key
-from ..plans import SUPERSEDED_BY
-from ..sources.shared import small
-from .dedup import NameMatcher
+from ..functions import is_uuid7, mint_uuid7, normalize_text, overlay, relation_key, truncate
+from ..plans import SUPERSEDED_BY, TOMBSTONES
+from ..sources.shared import small, work_dir, written
+from .dedup import Matcher, NameMatcher
 from .graph import degree
+from .ontology import Catalog, isa_violations, unknown_classes
 
 
 class Rejected(ValueError):
@@ -25,32 +29,49 @@ def _refuse(rows: DataFrame, why: str) -> None:
 # ---------------------------------------------------------------- entities
 
 
-def put_entities(entities: DataFrame, new: DataFrame, now: str, stamp: Column | None = None, strict: bool = True) -> DataFrame:
+def put_entities(entities: DataFrame, new: DataFrame, now: str, stamp: Column | None = None, strict: bool = True, catalog: Catalog | None = None) -> DataFrame:
     """Upserts by id. new has one row an id (fold a batch first), in any subset of the columns of entities.
 
-    Strict puts need a stamp and UUIDv7 ids, set createdAt, updatedAt and validFrom, default layer, description and
-    metadata, and count: the first writer stays createdBy, the last is lastConfirmedBy, every later put adds a
-    confirmation. Trusted puts (strict=False) stamp nothing. Fields that a put leaves null keep their old values.
+    Strict puts need a stamp, UUIDv7 ids (a missing one is minted) and, with a catalogue, classes that it has. They set
+    createdAt, updatedAt and validFrom, default layer, description and metadata, and count: the first writer stays
+    createdBy, the last is lastConfirmedBy, every later put adds a confirmation. Trusted puts (strict=False) stamp
+    nothing. With a catalogue no put may name a class beside an entityType that is not below it. Fields that a
+    put leaves null keep their old values. Only rows that a put touches are joined; the others pass by.
     """
+    if catalog:
+        check_classes(new, catalog, strict)
     if strict:
         if stamp is None:
             raise Rejected("a strict put needs provenance")
+        has = lambda c, kind="string": F.col(c) if c in new.columns else F.lit(None).cast(kind)
+        minted = mint_uuid7(F.to_timestamp(F.lit(now)), has("name"), has("entityType"), has("seq", "long"))
+        new = new.withColumn("id", F.coalesce(F.nullif(has("id"), F.lit("")), minted))
         _refuse(new.where(~is_uuid7("id")).select("id"), "ids that are no UUIDv7")
-        has = lambda c: F.col(c) if c in new.columns else F.lit(None).cast("string")
         made = F.coalesce(has("createdAt"), F.lit(now))
         meta = F.coalesce(F.col("metadata"), _empty()) if "metadata" in new.columns else _empty()
-        new = new.withColumns({"createdAt": made, "updatedAt": F.lit(now), "validFrom": F.coalesce(has("validFrom"), made), "layer": F.coalesce(has("layer"), F.lit("evidence")), "description": F.coalesce(has("description"), F.lit("")), "metadata": meta})
-    columns = entities.columns
-    old = entities.select(F.col("id").alias("_id"), F.struct(*columns).alias("o"))
-    joined = new.select(F.struct(*new.columns).alias("n"), F.col("id").alias("_nid")).join(old, F.col("_nid") == F.col("_id"), "full")
+        defaults = {"layer": F.coalesce(has("layer"), F.lit("evidence")), "description": F.coalesce(has("description"), F.lit("")), "metadata": meta}
+        new = new.withColumns({"createdAt": made, "updatedAt": F.lit(now), "validFrom": F.coalesce(has("validFrom"), made), **defaults})
+    columns, ids = entities.columns, small(new.select("id"))
+    old = entities.join(ids, "id", "left_semi").select(F.col("id").alias("_id"), F.struct(*columns).alias("o"))
+    joined = new.select(F.struct(*new.columns).alias("n"), F.col("id").alias("_nid")).join(old, F.col("_nid") == F.col("_id"), "left")
     out = [(F.coalesce(f"n.{c}", f"o.{c}") if c in new.columns else F.col(f"o.{c}")).alias(c) for c in columns]
-    result = joined.select(*out, F.col("_nid").isNotNull().alias("_put"), F.col("_id").isNotNull().alias("_had"))
+    put = joined.select(*out, F.col("_id").isNotNull().alias("_had"))
     if strict:
         first = F.coalesce("provenance.createdBy", stamp)
         times = F.when(F.col("_had"), F.coalesce("provenance.confirmationCount", F.lit(0)) + 1).otherwise(F.lit(1)).cast("bigint")
-        fresh = F.struct(first.alias("createdBy"), stamp.alias("lastConfirmedBy"), times.alias("confirmationCount"))
-        result = result.withColumn("provenance", F.when(F.col("_put"), fresh).otherwise(F.col("provenance")))
-    return result.select(*columns)
+        put = put.withColumn("provenance", F.struct(first.alias("createdBy"), stamp.alias("lastConfirmedBy"), times.alias("confirmationCount")))
+    return entities.join(ids, "id", "left_anti").select(*columns).unionByName(put.select(*columns))
+
+
+def check_classes(new: DataFrame, catalog: Catalog, strict: bool = True) -> None:
+    """Refuses classes that a catalogue does not have (strict), and an ontologyClass that is no ancestor of the entityType."""
+    if not {"entityType", "ontologyClass"} <= set(new.columns):
+        new = new.withColumns({c: F.lit(None).cast("string") for c in ("entityType", "ontologyClass") if c not in new.columns})
+    table, named = catalog.table(new.sparkSession), F.coalesce("entityType", "ontologyClass")
+    if strict:
+        _refuse(unknown_classes(new, table).select(named), "classes that the ontology does not have")
+    bad = isa_violations(new, table, catalog.ancestors(new.sparkSession))
+    _refuse(bad.select(F.concat_ws(" as ", "entityType", "ontologyClass")), "classes that are no ancestors of the entity type")
 
 
 def _empty() -> Column:
@@ -100,19 +121,25 @@ def merge_attributes(entities: DataFrame, id_: str, changes: dict[str, Column])
 def add_relations(entities: DataFrame, relations: DataFrame, tombstones: DataFrame, new: DataFrame, now: str, self_loops: bool = False) -> tuple[DataFrame, DataFrame]:
     """Upserts by (from, type, to). The first record keeps its attributes, metadata is overlaid in order of seq, and
     the first createdAt in metadata stays. Ends must exist; edges to oneself are refused unless asked for.
-    A relation that had a tombstone is alive again, stamped with its time.
+    A missing key is minted of the triple. A relation that had a tombstone is alive again, stamped with its time. Only
+    the triples of new are folded; other relations pass by.
     """
     if not self_loops:
         _refuse(new.where(F.col("from") == F.col("to")).select("from"), "relations of an entity to itself")
     ids = entities.select("id")
     for side in ("from", "to"):
         _refuse(new.join(ids.withColumnRenamed("id", side), side, "left_anti").select(side), f"'{side}' ends that do not exist")
+    triple = ["from", "type", "to"]
     dead = tombstones.where("kind = 'relations'").select(F.col("key").alias("_dead"))
-    revived = new.join(dead, relation_key("from", "type", "to") == F.col("_dead"), "left")
+    revived = new.join(dead, relation_key(*triple) == F.col("_dead"), "left")
     stamped = overlay(F.col("metadata"), F.create_map(F.lit("updatedAt"), F.lit(now)))
-    revived = revived.withColumn("metadata", F.when(F.col("_dead").isNotNull(), stamped).otherwise(F.col("metadata"))).drop("_dead")
-    both = relations.withColumn("_turn", F.lit(0)).unionByName(revived.withColumn("_turn", F.lit(1)), allowMissingColumns=True)
-    return _folded(both, relations.columns), tombstones.join(new.select(relation_key("from", "type", "to").alias("key"), F.lit("relations").alias("kind")), ["kind", "key"], "left_anti").select(*tombstones.columns)
+    minted = F.concat_ws("|", "from", "to", "type")
+    revived = revived.withColumns({"metadata": F.when(F.col("_dead").isNotNull(), stamped).otherwise(F.col("metadata")), "key": F.coalesce(F.col("key"), minted) if "key" in new.columns else minted})
+    touched = small(new.select(*triple).distinct())
+    both = relations.join(touched, triple, "left_semi").withColumn("_turn", F.lit(0)).unionByName(revived.drop("_dead").withColumn("_turn", F.lit(1)), allowMissingColumns=True)
+    after = relations.join(touched, triple, "left_anti").select(*relations.columns).unionByName(_folded(both, relations.columns))
+    alive = new.select(relation_key(*triple).alias("key"), F.lit("relations").alias("kind"))
+    return after, tombstones.join(alive, ["kind", "key"], "left_anti").select(*tombstones.columns)
 
 
 def _folded(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -195,55 +222,99 @@ def merge_entities(entities: DataFrame, relations: DataFrame, survivors: DataFra
 
 
 def fold_segments(segments: Column) -> Column:
-    """Segments with equal text (white space aside) as one, the later ones as confirmations of the first."""
-    from ..functions import normalize_text
+    """Segments with equal text (white space aside) as one, the later ones as confirmations of the first.
 
-    def step(done: Column, s: Column) -> Column:
-        text = normalize_text(s["text"])
-        known = F.exists(done, lambda d: normalize_text(d["text"]) == text)
-        mark = F.struct(s["provider"].alias("provider"), s["model"].alias("model"), s["runId"].alias("runId"), s["timestamp"].alias("timestamp"))
-        fresh = s.withField("confirmations", F.filter(s["confirmations"], lambda _: F.lit(False)))
-        more = F.transform(done, lambda d: F.when(normalize_text(d["text"]) == text, d.withField("confirmations", F.concat(F.coalesce(d["confirmations"], F.filter(F.array(mark), lambda _: F.lit(False))), F.array(mark)))).otherwise(d))
-        return F.when(known, more).otherwise(F.concat(done, F.array(fresh)))
+    Texts are normalised once each; confirmations that segments came with do not count.
+    """
+    texts = F.transform(segments, lambda s: normalize_text(s["text"]))
+    mark = lambda s: F.struct(*(s[c].alias(c) for c in ("provider", "model", "runId", "timestamp")))
 
-    return F.aggregate(segments, F.filter(segments, lambda _: F.lit(False)), step)
+    def one(pairs: Column) -> Column:
+        def folded(text: Column) -> Column:
+            same = F.filter(pairs, lambda p: p["t"] == text)
+            return F.get(same, F.lit(0))["s"].withField("confirmations", F.transform(F.slice(same, 2, F.size(same)), lambda p: mark(p["s"])))
 
+        return F.transform(F.array_distinct(F.transform(pairs, lambda p: p["t"])), folded)
 
-def resolve_plan(entities: DataFrame, relations: DataFrame, classes: list[str], matcher: NameMatcher | None = None, batch_size: int = 30, threshold: float = 0.7) -> DataFrame:
-    """(dup, survivor, confidence): duplicates inside batches of each class, in insertion order.
+    pairs = F.arrays_zip(texts.alias("t"), segments.alias("s"))
+    return F.element_at(F.transform(F.array(pairs), one), 1)
 
-    Of a pair that of the higher degree survives, the subject (first inserted) if equal. Every entity is in one
-    merge at most: pairs are taken by subject, and one that meets an entity already taken is left out. A last batch of one entity is skipped.
-    """
-    from pyspark.sql import Window
 
+# ---------------------------------------------------------------- resolution
+
+
+@dataclass
+class Resolution:
+    """What a resolution planned or did: merges (class, dup, survivor, names, confidence), counts by class, and whether it was a trial."""
+
+    merges: DataFrame
+    counts: DataFrame
+    dry_run: bool
+
+
+def _ordinals(rows: DataFrame, by: str, chunk: int = 100_000) -> DataFrame:
+    """rows with _place, from 0 by seq in each group of ``by``: chunks of the sequence are numbered apart, then shifted by
+    how many rows stand in earlier ones, so no group is sorted in one task."""
+    rows = rows.withColumn("_chunk", F.floor(F.col("seq") / chunk))
+    sizes = rows.groupBy(by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(by, "_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(by, "_chunk").orderBy("seq", "id")) - 1
+    return rows.withColumn("_at", place).join(sizes, [by, "_chunk"]).withColumn("_place", F.col("_at") + F.col("_before")).drop("_chunk", "_at", "_before")
+
+
+def resolve_plan(entities: DataFrame, relations: DataFrame, classes: list[str], matcher: Matcher | None = None, batch_size: int = 30, threshold: float = 0.7, dry_run: bool = False) -> DataFrame:
+    """(class, dup, dup_name, survivor, survivor_name, confidence): duplicates inside batches of each class, in insertion order.
+
+    Any matcher does: by name, by vector, or one that asks a model. A subject takes its best candidate; of those with
+    its name and description (200 characters) the least id. Of a pair that of the higher degree survives, the subject if equal. Every entity
+    is in one merge at most: pairs are taken by subject, and one that meets an entity already taken is left out; a
+    dry run takes nothing away, so it may name a pair from both sides. A last batch of one entity is skipped.
+    """
     matcher = matcher or NameMatcher()
-    own = F.coalesce("ontologyClass", "entityType")
-    rows = entities.where(own.isin(*classes)).withColumn("_class", own)
-    rows = rows.withColumn("_batch", F.floor((F.row_number().over(Window.partitionBy("_class").orderBy("seq")) - 1) / batch_size))
-    keyed = rows.withColumn("_key", F.concat_ws("\u0000", "_class", F.col("_batch").cast("string")))
-    pool = keyed.withColumns({"entityType": F.col("_key"), "ontologyClass": F.lit(None).cast("string")})
-    a = pool.select("id", F.col("_key"), F.col("seq"), F.col("name"))
-    b = a.select(F.col("id").alias("other"), "_key", F.col("seq").alias("other_seq"), F.col("name").alias("other_name"))
-    from ..functions import jaccard
-
-    pairs = a.join(b, "_key").where("seq < other_seq").withColumn("confidence", jaccard("name", "other_name")).where(F.col("confidence") >= max(threshold, matcher.threshold))
+    kind = F.coalesce("ontologyClass", "entityType")
+    rows = _ordinals(entities.where(kind.isin(*classes)).withColumn("_class", kind), "_class")
+    rows = rows.withColumn("_batch", F.concat_ws("\u0000", "_class", F.floor(F.col("_place") / batch_size).cast("string")))
+    pool = rows.withColumns({"entityType": F.col("_batch"), "ontologyClass": F.lit(None).cast("string")})
+    pairs = matcher.pairs(pool, pool).where("id <> cand").select("id", "cand", F.col("score").alias("confidence")).where(F.col("confidence") >= threshold)
+    subject = rows.select("id", "seq", "name", "_class", "_batch")
+    text = truncate("description").alias("_text")
+    target = rows.select(F.col("id").alias("cand"), F.col("seq").alias("cand_seq"), F.col("name").alias("cand_name"), text, "_batch")
+    twins = target.groupBy("_batch", "cand_name", "_text").agg(F.sort_array(F.collect_list("cand")).alias("twins"))  # batch_size at most
+    pairs = pairs.join(subject, "id").join(target.drop("_batch"), "cand").join(twins, ["_batch", "cand_name", "_text"])
+    other = F.get(F.filter("twins", lambda x: x != F.col("id")), F.lit(0))
+    pairs = pairs.select("_batch", "_class", "id", "seq", "name", "cand_seq", "cand_name", "confidence", other.alias("other"))
     deg = degree(entities, relations)
     pairs = pairs.join(deg.withColumnRenamed("degree", "d1"), "id").join(deg.select(F.col("id").alias("other"), F.col("degree").alias("d2")), "other")
+    kinds = {"class": "_class", "dup": None, "dup_name": None, "survivor": None, "survivor_name": None, "confidence": None}
 
-    def take(rows):
-        taken, out = set(), []
-        for r in rows.sort_values(["seq", "confidence", "other_seq"], ascending=[True, False, True]).itertuples(index=False):
-            if r.id in taken or r.other in taken:
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, asked, out = set(), set(), []
+        for r in rows.sort_values(["seq", "confidence", "cand_seq"], ascending=[True, False, True]).itertuples(index=False):
+            kind, subject, other = r[1], (r.id, r.name), (r.other, r.cand_name)
+            if r.id in asked or r.id in taken or r.other in taken:
                 continue
-            survivor, dup = (r.other, r.id) if r.d2 > r.d1 else (r.id, r.other)
-            taken |= {r.id, r.other}
-            out.append((dup, survivor, r.confidence))
-        import pandas as pd
+            survivor, dup = (other, subject) if r.d2 > r.d1 else (subject, other)
+            asked.add(r.id)
+            if not dry_run:
+                taken |= {r.id, r.other}
+            out.append((kind, *dup, *survivor, r.confidence))
+        return pd.DataFrame(out, columns=list(kinds))
 
-        return pd.DataFrame(out, columns=["dup", "survivor", "confidence"])
+    # a batch's pairs: batch_size ** 2 at most
+    pairs = pairs.select("_batch", "_class", "id", "seq", "name", "cand_seq", "cand_name", "confidence", "other", "d1", "d2")
+    return pairs.groupBy("_batch").applyInPandas(take, "class string, dup string, dup_name string, survivor string, survivor_name string, confidence double")
 
-    return pairs.groupBy("_key").applyInPandas(take, "dup string, survivor string, confidence double")  # a batch's pairs: batch_size ** 2 at most
+
+def resolve_entities(entities: DataFrame, relations: DataFrame, classes: list[str], now: str, matcher: Matcher | None = None, dry_run: bool = False, by: str = "", **how) -> tuple[DataFrame, DataFrame, Resolution]:
+    """The tables with duplicates merged (as they were in a dry run), and what was done, with counts by class."""
+    merges = resolve_plan(entities, relations, classes, matcher, dry_run=dry_run, **how)
+    merges = written(merges, f"{work_dir(entities.sparkSession)}/merges")  # a matcher is asked once
+    scanned = entities.where(F.coalesce("ontologyClass", "entityType").isin(*classes)).groupBy(F.coalesce("ontologyClass", "entityType").alias("class")).agg(F.count(F.lit(1)).alias("scanned"))
+    counts = scanned.join(merges.groupBy("class").agg(F.count(F.lit(1)).alias("matches")), "class", "left").na.fill(0, ["matches"])
+    if not dry_run:
+        entities, relations = merge_entities(entities, relations, merges.select("dup", "survivor"), now, by, "resolved")
+    return entities, relations, Resolution(merges, counts, dry_run)
 
 
 def backfill(entities: DataFrame, valid_from: Column, stamp: Column) -> DataFrame:
@@ -267,6 +338,4 @@ def aggregates_edges(owners: DataFrame, refs: str, owned: DataFrame, owner_id: s
 
 
 def empty_tombstones(spark: SparkSession) -> DataFrame:
-    from ..plans import TOMBSTONES
-
     return spark.createDataFrame([], TOMBSTONES)

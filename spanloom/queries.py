@@ -1,23 +1,21 @@
-"""Driver queries: the graph operators over the synthetic tables, with their SQL.
-
-Each is over whole tables, but for components, graph_stats, connectivity, modularity, louvain_communities and orphans,
-whose SQL takes the rare line items only; each of them has a query named whole_... over all line items.
-"""
+"""Driver queries: the graph operators over the synthetic tables, each over whole tables, with their SQL."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
 from .operators import dedup, graph, merge, ontology, projections, reads, writes
-from .plans import ENTITIES, RELATIONS
+from .plans import ENTITIES, RELATIONS, STAMP
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 AS_OF = "2024-01-20T00:00:00.000Z"
+NOW = "2024-06-01T00:00:00.000Z"
 
 
 def _register(sql: str | None = None):
@@ -65,16 +63,20 @@ def suppliers_as_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shaped(s.select((F.col("s_suppkey") + 1_000_000_000).alias("seq"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("Supplier").alias("entityType"), F.lit("pattern").alias("layer")), ENTITIES)
 
 
-def sold_edges(spark: SparkSession, sf_dir: str, rare: bool = True) -> DataFrame:
-    """Part -> supplier edges of line items; the rare ones make a sparse graph."""
-    x = _t(spark, sf_dir, "lineitem")
-    if rare:
-        x = x.where((F.col("l_quantity") >= 50) & (F.col("l_discount") == 0.1))
-    return _shaped(x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("from"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("to"), F.lit("sold_by").alias("type"), fn.iso("l_shipdate").alias("createdAt")), RELATIONS)
+def sold_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part -> supplier edges, one a line item; metadata holds the day it was shipped."""
+    x, shipped = _t(spark, sf_dir, "lineitem"), fn.iso("l_shipdate")
+    edges = x.select(
+        F.expr("(l_orderkey * 10 + l_linenumber) * 100000 + unix_date(to_date(l_shipdate))").alias("seq"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("from"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("to"),
+        F.lit("sold_by").alias("type"), shipped.alias("createdAt"), F.create_map(F.lit("ship"), shipped).alias("metadata"),
+    )
+    return _shaped(edges, RELATIONS)
 
 
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
-_RARE = "l_quantity >= 50 AND l_discount = 0.1"
+_SEQ = "(l_orderkey * 10 + l_linenumber) * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE)"
+_KEY = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
 _ACTIVE = "(event_type <> 'error' OR ts > TIMESTAMP '2024-01-20')"
 
 
@@ -83,7 +85,7 @@ _ACTIVE = "(event_type <> 'error' OR ts > TIMESTAMP '2024-01-20')"
 
 @_register(f"SELECT event_type AS entityType, count(*) AS n FROM events WHERE {_ACTIVE} GROUP BY 1")
 def active_count_by_class(spark, sf_dir):
-    return events_as_observations(spark, sf_dir).where(fn.is_active(AS_OF)).groupBy("entityType").agg(F.count(F.lit(1)).alias("n"))
+    return reads.counts_by_class(events_as_observations(spark, sf_dir), AS_OF)
 
 
 @_register("SELECT count(*) AS n FROM events WHERE event_type = 'view'")
@@ -99,7 +101,27 @@ def recent_by_agent_topk(spark, sf_dir):
 
 @_register(f"SELECT event_type, max({_ISO.format('ts')}) AS last FROM events GROUP BY 1")
 def staleness_by_class(spark, sf_dir):
-    return events_as_observations(spark, sf_dir).groupBy(F.col("entityType").alias("event_type")).agg(F.max(F.when(F.col("createdAt") != "", F.col("createdAt"))).alias("last"))
+    return reads.last_modified_by_class(events_as_observations(spark, sf_dir), AS_OF, superseded=True).withColumnRenamed("entityType", "event_type")
+
+
+@_register(f"SELECT max({_ISO.format('ts')}) AS last FROM events WHERE event_type = 'view' AND {_ACTIVE}")
+def last_modified_of_class(spark, sf_dir):
+    return reads.last_modified(events_as_observations(spark, sf_dir), "view", AS_OF)
+
+
+@_register("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS \"entityType\" FROM events WHERE event_id = 77")
+def point_lookup(spark, sf_dir):
+    return reads.get_entity(events_as_observations(spark, sf_dir), "77").select("id", "entityType")
+
+
+@_register(f"SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE user_id = 13 AND event_type = 'view' AND {_ACTIVE}")
+def entities_of_run(spark, sf_dir):
+    return reads.filtered(events_as_observations(spark, sf_dir), AS_OF, "view", run="13").select("id")
+
+
+@_register(f"SELECT {_KEY} AS key FROM lineitem WHERE l_partkey = 5")
+def relations_from_entity(spark, sf_dir):
+    return reads.find_relations(sold_edges(spark, sf_dir), "sold_by", from_="p5", with_key=True).select("key")
 
 
 @_register("SELECT CAST(min(event_id) AS VARCHAR) AS id FROM events WHERE user_id = 13 AND md5(props) = (SELECT md5(props) FROM events WHERE user_id = 13 ORDER BY event_id LIMIT 1) HAVING count(*) > 0")
@@ -134,13 +156,21 @@ def list_cap_1000(spark, sf_dir):
 
 @_register("SELECT source, count(*) AS n FROM documents WHERE regexp_matches(source, '^[a-z0-9][a-z0-9._-]*$') AND length(source) <= 64 AND source <> 'default' GROUP BY 1")
 def tenant_filter(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").where(fn.is_project("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("name"))
+    own = reads.filtered(_shaped(rows, ENTITIES), AS_OF, tenant=lambda: fn.is_project("name"))
+    return own.groupBy(F.col("name").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register("SELECT id, score FROM (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, CAST((CASE WHEN contains(lower(source), 'src1') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(text), 'src1') THEN 2 ELSE 0 END) AS INTEGER) AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
+@_register("""SELECT id, score FROM (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, CAST((CASE WHEN contains(lower(source), 'src1') THEN 3 ELSE 0 END)
++ (CASE WHEN contains(lower(text), 'src1') THEN 2 ELSE 0 END) + (CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END) AS INTEGER) AS score FROM documents)
+WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""")
 def search_ranked(spark, sf_dir):
-    d = _shaped(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"), F.col("text").alias("description"), F.lit("evidence").alias("layer")), ENTITIES)
-    return reads.search(d, "src1", AS_OF).select("id", "score")
+    origin = F.create_map(F.lit("origin"), F.concat(F.lit("src"), (F.col("doc_id") % 5).cast("string")))
+    d = _t(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"),
+        F.col("text").alias("description"), F.lit("evidence").alias("layer"), origin.alias("metadata"),
+    )
+    return reads.search(_shaped(d, ENTITIES), "src1", AS_OF).select("id", "score")
 
 
 @_register("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
@@ -164,7 +194,8 @@ def layer_counts(spark, sf_dir):
 @_register(f"SELECT CAST(event_id AS VARCHAR) AS id, event_type AS \"entityType\", CAST(user_id AS VARCHAR) AS run, CAST(1 AS BIGINT) AS times, {_ISO.format('ts')} AS at FROM events")
 def wire_entity(spark, sf_dir):
     w = projections.entity_to_wire(events_as_observations(spark, sf_dir))
-    return w.select("id", "entityType", F.col("provenance.createdBy.runId").alias("run"), F.col("provenance.confirmationCount").alias("times"), F.col("provenance.lastConfirmedBy.timestamp").alias("at"))
+    packed = lambda path: F.get_json_object(F.col("metadata")["provenance"], f"$.{path}")
+    return w.select("id", "entityType", packed("createdBy.runId").alias("run"), packed("confirmationCount").cast("bigint").alias("times"), packed("lastConfirmedBy.timestamp").alias("at"))
 
 
 @_register("SELECT 'c' || o_custkey || '|o' || o_orderkey || '|placed' AS key, 'placed' AS type, '' AS \"createdAt\" FROM orders")
@@ -188,16 +219,42 @@ def segment_normalize(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.length(fn.normalize_text("text")).alias("n"))
 
 
-@_register("SELECT min(doc_id) AS first, count(*) - 1 AS confirmations FROM documents GROUP BY trim(regexp_replace(text, '\\s+', ' ', 'g'))")
+@_register("""SELECT source, CAST(min(doc_id) AS VARCHAR) AS first, CAST(count(*) - 1 AS INTEGER) AS confirmations FROM documents
+GROUP BY source, trim(regexp_replace(text, '\\s+', ' ', 'g'))""")
 def segment_fold(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.xxhash64(fn.normalize_text("text")).alias("h"), F.md5(fn.normalize_text("text").cast("binary")).alias("m"))
-    return d.groupBy("h", "m").agg(F.min("doc_id").alias("first"), (F.count(F.lit(1)) - 1).alias("confirmations")).select("first", "confirmations")
+    made = {c: F.lit(None).cast("string") for c in ("provider", "model", "quality", "timestamp")}
+    segment = F.struct("text", F.col("doc_id").cast("string").alias("runId"), *(v.alias(c) for c, v in made.items()), F.array().cast(f"array<{STAMP}>").alias("confirmations"))
+    of_source = _t(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", segment.alias("s")))).alias("rows"))
+    folded = of_source.select("source", F.explode(writes.fold_segments(F.transform("rows", lambda r: r["s"]))).alias("s"))
+    return folded.select("source", F.col("s.runId").alias("first"), F.size("s.confirmations").alias("confirmations"))
 
 
 @_register("SELECT min(doc_id) AS first, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def exact_dup_docs(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    return d.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("first", "n")
+    return reads.repeated_content(_t(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@_register("""SELECT conv_id || ':' || turn AS id, coalesce(nullif(left(text, 80), ''), '(no summary)') AS name, role AS agent, CAST(conv_id AS VARCHAR) AS session,
+md5(text) AS hash, 'kept' AS extra, 'mine' AS project, text AS summary FROM conversations""")
+def legacy_ingest_fields(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    rows = c.select(
+        F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("summary"), F.col("role").alias("agent"), F.col("conv_id").cast("string").alias("session_id"),
+        F.md5(F.col("text").cast("binary")).alias("content_hash"), F.lit('{"summary": "old", "agent": "old", "extra": "kept", "project": "mine"}').alias("metadata"), F.lit(NOW).alias("created_at"),
+    )
+    e, m = projections.legacy_to_entity(rows, "Observation", _stamp()), F.col("metadata")
+    return e.select(F.col("legacyId.id").alias("id"), "name", m["agent"].alias("agent"), m["session_id"].alias("session"), m["content_hash"].alias("hash"), m["extra"].alias("extra"), m["project"].alias("project"), m["summary"].alias("summary"))
+
+
+@_register("""SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(nullif(source, ''), '(empty)') AS name, 'evidence' AS layer, lang AS quality, CASE WHEN doc_id % 2 = 0 THEN '["a","b"]' ELSE '[]' END AS files,
+'2024-01-05' AS made FROM documents""")
+def online_mapping(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.lit("2024-01-05").alias("date"), F.col("source").alias("theme"), F.col("text").alias("summary"), F.col("lang").alias("quality"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("filesTouched"),
+    )
+    e = projections.map_digests(rows, _stamp())
+    return e.select(F.col("legacyId.id").alias("id"), "name", "layer", F.col("metadata")["quality"].alias("quality"), F.col("metadata")["filesTouched"].alias("files"), F.col("createdAt").alias("made"))
 
 
 @_register("SELECT conv_id, turn, coalesce(nullif(text, ''), role) AS content, coalesce(role, 'unknown') AS agent, 'normal' AS quality FROM conversations")
@@ -211,10 +268,15 @@ def legacy_typed_view(spark, sf_dir):
 # ---------------------------------------------------------------- relations and the graph
 
 
-@_register(f"SELECT 'p' || l_partkey AS \"from\", 's' || l_suppkey AS \"to\", count(*) AS n, min({_ISO.format('l_shipdate')}) AS first, max({_ISO.format('l_shipdate')}) AS last FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@_register(f"""WITH x AS (SELECT 'p' || l_partkey AS "from", 's' || l_suppkey AS "to", {_ISO.format('l_shipdate')} AS made, (l_linenumber > 1, {_SEQ}) AS place FROM lineitem)
+SELECT "from", "to", arg_min(made, place) AS first, arg_max(made, place) AS last FROM x GROUP BY 1, 2""")
 def relation_upsert(spark, sf_dir):
-    e = sold_edges(spark, sf_dir, rare=False)
-    return e.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n"), F.min("createdAt").alias("first"), F.max("createdAt").alias("last")).where("n > 1")
+    """The first lines of orders are there, all others are added."""
+    nodes, edges = parts_as_entities(spark, sf_dir).unionByName(suppliers_as_entities(spark, sf_dir)), sold_edges(spark, sf_dir)
+    none, first = writes.empty_tombstones(spark), F.floor(F.col("seq") / 100_000) % 10 == 1
+    there, _ = writes.add_relations(nodes, edges.limit(0), none, edges.where(first), NOW)
+    after, _ = writes.add_relations(nodes, there, none, edges.where(~first), NOW)
+    return after.select("from", "to", F.col("createdAt").alias("first"), F.col("metadata")["ship"].alias("last"))
 
 
 @_register("SELECT 'c' || c_custkey AS id, count(o_orderkey) AS degree FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -224,15 +286,13 @@ def degree(spark, sf_dir):
     return graph.degree(c, o)
 
 
-@_register(f"SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE {_RARE})")
-def orphans(spark, sf_dir):
-    return graph.orphans(parts_as_entities(spark, sf_dir).select("id"), sold_edges(spark, sf_dir).select("from", "to"))
-
-
-@_register("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
+@_register("SELECT 'o' || o_orderkey AS id, 0 AS origin FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
 def dangling_edges(spark, sf_dir):
-    known = _t(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
-    return _t(spark, sf_dir, "orders").join(known, "o_custkey", "left_anti").select("o_orderkey")
+    c, o = _t(spark, sf_dir, "customer").where("c_acctbal >= 0"), _t(spark, sf_dir, "orders")
+    nodes = c.select(F.concat(F.lit("c"), "c_custkey").alias("id")).unionByName(o.select(F.concat(F.lit("o"), "o_orderkey").alias("id")))
+    edges = o.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("e"), "o_orderkey").alias("key"), F.concat(F.lit("o"), "o_orderkey").alias("from"), F.concat(F.lit("c"), "o_custkey").alias("to"), F.lit("of").alias("type"))
+    copy = merge.Graph(_shaped(nodes, ENTITIES), _shaped(edges, RELATIONS), writes.empty_tombstones(spark))
+    return merge.merge_graphs([copy, copy]).dangling.select(F.col("from").alias("id"), "origin")
 
 
 @_register("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
@@ -265,6 +325,22 @@ def lww_merge(spark, sf_dir):
     return merge.merge_graphs(_order_copies(spark, sf_dir)).graph.entities.select("id", "name")
 
 
+@_register(f"""WITH x AS (SELECT 0 AS src, {_SEQ} AS seq, {_KEY} AS key, l_partkey AS p, l_suppkey AS s, l_shipdate AS made FROM lineitem),
+y AS (SELECT * FROM x UNION ALL SELECT 1, seq, 'two' || key, p, s, made + CASE WHEN seq % 2 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL (-1) DAY END FROM x),
+z AS (SELECT p, s, arg_min(key, (src, seq)) AS key, max(made) AS made, arg_min(src, (-epoch_ms(made), src, seq)) AS src FROM y GROUP BY 1, 2)
+SELECT 'p' || p AS "from", 's' || s AS "to", key, {_ISO.format('made')} AS made, CASE src WHEN 0 THEN 'one' ELSE 'two' END AS mark FROM z WHERE NOT (p % 7 = 0 AND made <= TIMESTAMP '2023-06-01')""")
+def lww_edges(spark, sf_dir):
+    """Line items in two copies, the second with shifted times; of every seventh part edges are dead that are no newer than a tombstone."""
+    nodes = parts_as_entities(spark, sf_dir).unionByName(suppliers_as_entities(spark, sf_dir))
+    one, shift = sold_edges(spark, sf_dir), F.when(F.col("seq") % 2 == 0, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL -1 DAY"))
+    mark = lambda rows, m: rows.withColumn("metadata", F.create_map(F.lit("mark"), F.lit(m)))
+    two = one.withColumns({"key": F.concat(F.lit("two"), "key"), "createdAt": fn.iso(F.to_timestamp("createdAt") + shift)})
+    dead = one.where("substring(`from`, 2) % 7 = 0").select(fn.relation_key("from", "type", "to").alias("key")).distinct()
+    dead = dead.select(F.lit("relations").alias("kind"), "key", F.lit("2023-06-01T00:00:00.000Z").alias("at"), F.lit(None).cast("struct<project:string,team:string,domain:string>").alias("meta"))
+    copies = [merge.Graph(nodes, mark(one, "one"), writes.empty_tombstones(spark)), merge.Graph(nodes, mark(two, "two"), dead)]
+    return merge.merge_graphs(copies).graph.relations.select("from", "to", "key", F.col("createdAt").alias("made"), F.col("metadata")["mark"].alias("mark"))
+
+
 @_register(f"SELECT CAST(count_if({_TWO}) AS BIGINT) AS replaced, CAST(count_if(o_orderkey % 7 = 0 AND o_orderkey % 2 = 0) AS BIGINT) AS killed FROM orders")
 def lww_tombstones(spark, sf_dir):
     return merge.merge_graphs(_order_copies(spark, sf_dir)).stats.select(F.col("replaced").cast("long").alias("replaced"), F.col("entitiesTombstoned").alias("killed"))
@@ -292,7 +368,7 @@ def bucket_by_domain(spark, sf_dir):
 def edge_bucket_of_source(spark, sf_dir):
     from .sources.graphs import bucketed
 
-    g = merge.Graph(parts_as_entities(spark, sf_dir), sold_edges(spark, sf_dir, rare=False), writes.empty_tombstones(spark))
+    g = merge.Graph(parts_as_entities(spark, sf_dir), sold_edges(spark, sf_dir), writes.empty_tombstones(spark))
     return bucketed(g, ["Brand#11", "Brand#12"])[1].groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -308,85 +384,144 @@ def supersession_chain(spark, sf_dir):
     return graph.all_chains(_turns(spark, sf_dir)).select("id", "origin", "position")
 
 
-@_register("SELECT a.conv_id || ':' || a.turn AS id, b.conv_id || ':' || b.turn AS next FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")
-def close_superseded(spark, sf_dir):
-    ids = _t(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"))
-    return ids.join(_turns(spark, sf_dir).select(F.col("from").alias("id"), F.col("to").alias("next")), "id", "left")
+@_register("SELECT '1:' || turn AS id, CAST(turn - (SELECT min(turn) FROM conversations WHERE conv_id = 1) AS INTEGER) AS position FROM conversations WHERE conv_id = 1")
+def chain_of_one(spark, sf_dir):
+    e = _turn_entities(spark, sf_dir).withColumn("supersedes", F.when(F.col("turn") > F.min("turn").over(Window.partitionBy("conv_id")), F.concat_ws(":", "conv_id", F.col("turn") - 1)))
+    first = e.where("conv_id = 1").agg(F.max_by("id", "turn")).first()[0]
+    return graph.supersession_chain(_shaped(e, ENTITIES), _shaped(spark.createDataFrame([], "key string"), RELATIONS), first)
 
 
-_GRAPH = f"""e AS (SELECT DISTINCT 'p' || l_partkey AS u, 's' || l_suppkey AS v FROM lineitem WHERE {_RARE}),
-n AS (SELECT 'p' || p_partkey AS id FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier),
-b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
-r(id, c) AS (SELECT u, u FROM b UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.id),
-c AS (SELECT n.id, coalesce(min(r.c), n.id) AS component FROM n LEFT JOIN r USING (id) GROUP BY n.id)"""
+def _turn_entities(spark, sf_dir) -> DataFrame:
+    made = lambda turn: F.concat(F.lit("2024-01-01T00:00:"), F.lpad(turn.cast("string"), 2, "0"), F.lit(".000Z"))
+    c = _t(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat_ws(":", "conv_id", "turn").alias("id"), made(F.col("turn")).alias("validFrom"))
 
 
-def _sparse(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return parts_as_entities(spark, sf_dir).unionByName(suppliers_as_entities(spark, sf_dir)), sold_edges(spark, sf_dir)
+@_register("""SELECT a.conv_id || ':' || a.turn AS id, CASE WHEN b.turn IS NOT NULL THEN '2024-01-01T00:00:' || lpad(CAST(b.turn AS VARCHAR), 2, '0') || '.000Z' END AS ended, b.conv_id || ':' || b.turn AS next
+FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
+def close_superseded(spark, sf_dir):
+    turns = _turn_entities(spark, sf_dir)
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("id").alias("supersedes"))
+    entities = _shaped(turns.join(before, ["conv_id", "turn"], "left"), ENTITIES)
+    closed, edges = writes.supersede(entities, _shaped(spark.createDataFrame([], "key string"), RELATIONS), entities)
+    return closed.select("id", F.col("validUntil").alias("ended")).join(edges.select(F.col("from").alias("id"), F.col("to").alias("next")), "id", "left")
+
+
+# ---------------------------------------------------------------- writes
+
+
+def _stamp():
+    return F.struct(*(F.lit(v).alias(k) for k, v in (("provider", "p"), ("model", "m"), ("runId", "r"), ("timestamp", NOW))))
+
+
+@_register("SELECT p_partkey AS seq, CASE WHEN p_size < 10 THEN 'put' ELSE p_name END AS name, p_type AS description, CASE WHEN p_size < 10 THEN 2 ELSE 1 END AS times FROM part")
+def put_entities(spark, sf_dir):
+    """All parts are put, those of a small size twice; the second time only their names."""
+    day = F.lit(NOW).cast("timestamp")
+    new = _t(spark, sf_dir, "part").select(fn.mint_uuid7(day, "p_partkey").alias("id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), "p_size")
+    none = _shaped(spark.createDataFrame([], "key string"), ENTITIES)
+    first = writes.put_entities(none, new.drop("p_size"), NOW, _stamp())
+    again = new.where("p_size < 10").select("id", F.lit("put").alias("name"), "description")
+    return writes.put_entities(first, again, NOW, _stamp()).select("seq", "name", "description", F.col("provenance.confirmationCount").cast("int").alias("times"))
+
+
+@_register(f"""SELECT 'edge' AS kind, {_KEY} AS key FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size >= 5)
+UNION ALL SELECT 'entities', 'p' || p_partkey FROM part WHERE p_size < 5""")
+def delete_entities(spark, sf_dir):
+    gone = _t(spark, sf_dir, "part").where("p_size < 5").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    _, edges, tombs = writes.delete_entities(parts_as_entities(spark, sf_dir), sold_edges(spark, sf_dir), writes.empty_tombstones(spark), gone, NOW)
+    return edges.select(F.lit("edge").alias("kind"), "key").unionByName(tombs.select("kind", "key"))
+
+
+@_register("""SELECT 'c' || c_custkey AS id, CASE WHEN c_nationkey = 3 THEN 'put' ELSE c_name END AS name, CAST((c_nationkey <> 1) AS INTEGER) AS edges FROM customer WHERE c_nationkey <> 2
+UNION ALL SELECT 'n' || n_nationkey, n_name, 0 FROM nation""")
+def batch_writes(spark, sf_dir):
+    """Customers of nations: in one batch those of nation 3 are put, of nation 2 deleted, of nation 1 cut off, of nation 4 related again."""
+    c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    entity = lambda rows, mark, key, name: rows.select(F.concat(F.lit(mark), key).alias("id"), F.col(key).cast("long").alias("seq"), F.col(name).alias("name"))
+    nodes = _shaped(entity(c, "c", "c_custkey", "c_name").unionByName(entity(n, "n", "n_nationkey", "n_name")), ENTITIES)
+    edge = c.select(F.col("c_custkey").alias("seq"), F.concat(F.lit("e"), "c_custkey").alias("key"), F.concat(F.lit("c"), "c_custkey").alias("from"), F.concat(F.lit("n"), "c_nationkey").alias("to"), F.lit("in").alias("type"), "c_nationkey")
+    puts = entity(c.where("c_nationkey = 3"), "c", "c_custkey", "c_name").withColumn("name", F.lit("put"))
+    deletes = c.where("c_nationkey = 2").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    adds, removes = _shaped(edge.where("c_nationkey = 4"), RELATIONS), edge.where("c_nationkey = 1").select("from", "type", "to")
+    e, r, _ = writes.batch(nodes, _shaped(edge, RELATIONS), writes.empty_tombstones(spark), NOW, puts, deletes, adds, removes)
+    return e.join(r.groupBy(F.col("from").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("edges")), "id", "left").select("id", "name", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+# ---------------------------------------------------------------- the whole graph
+
+
+def _whole_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Parts and suppliers by line items, customers and orders, turns of conversations in their order, and documents with
+    the first one of the same text: a large component, stars, paths, and nodes without edges."""
+    c, o, d = (_t(spark, sf_dir, t) for t in ("customer", "orders", "documents"))
+    turns = _turn_entities(spark, sf_dir)
+
+    def named(rows: DataFrame, mark: str, key: str, seq: int) -> DataFrame:
+        return _shaped(rows.select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), (F.col(key) + seq).alias("seq"), F.lit("evidence").alias("layer")), ENTITIES)
+
+    nodes = parts_as_entities(spark, sf_dir).unionByName(suppliers_as_entities(spark, sf_dir))
+    for more in (named(c, "c", "c_custkey", 2_000_000_000), named(o, "o", "o_orderkey", 3_000_000_000), named(d, "d", "doc_id", 5_000_000_000)):
+        nodes = nodes.unionByName(more)
+    nodes = nodes.unionByName(_shaped(turns.withColumn("seq", F.col("seq") + 4_000_000_000), ENTITIES))
+    pairs = sold_edges(spark, sf_dir).select("from", "to")
+    pairs = pairs.unionByName(o.select(F.concat(F.lit("c"), "o_custkey").alias("from"), F.concat(F.lit("o"), "o_orderkey").alias("to")))
+    pairs = pairs.unionByName(_turns(spark, sf_dir))
+    first = d.groupBy("text").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = d.join(first, "text").where("doc_id <> first").select(F.concat(F.lit("d"), "doc_id").alias("from"), F.concat(F.lit("d"), "first").alias("to"))
+    return nodes, _shaped(pairs.unionByName(copies), RELATIONS)
+
+
+_GRAPH = """x AS (SELECT 'p' || l_partkey AS u, 's' || l_suppkey AS v FROM lineitem UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders
+UNION ALL SELECT a.conv_id || ':' || a.turn, b.conv_id || ':' || b.turn FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+UNION ALL SELECT 'd' || doc_id, 'd' || first FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first),
+n AS (SELECT 'p' || p_partkey AS id, p_partkey AS seq, 'evidence' AS layer FROM part UNION ALL SELECT 's' || s_suppkey, s_suppkey + 1000000000, 'pattern' FROM supplier
+UNION ALL SELECT 'c' || c_custkey, c_custkey + 2000000000, 'evidence' FROM customer UNION ALL SELECT 'o' || o_orderkey, o_orderkey + 3000000000, 'evidence' FROM orders
+UNION ALL SELECT conv_id || ':' || turn, conv_id * 1000 + turn + 4000000000, NULL FROM conversations UNION ALL SELECT 'd' || doc_id, doc_id + 5000000000, 'evidence' FROM documents),
+e AS (SELECT DISTINCT u, v FROM x), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(id, c) USING KEY (id) AS (SELECT id, id FROM n UNION SELECT b.v, min(r.c) FROM r JOIN b ON b.u = r.id JOIN recurring.r AS o ON o.id = b.v WHERE r.c < o.c GROUP BY b.v),
+k AS (SELECT r.c AS component, count(*) AS size, min(seq) AS first FROM r JOIN n USING (id) GROUP BY 1)"""
+
+
+@_register(f"WITH RECURSIVE {_GRAPH} SELECT id FROM n WHERE id NOT IN (SELECT u FROM b)")
+def orphans(spark, sf_dir):
+    nodes, edges = _whole_graph(spark, sf_dir)
+    return graph.orphans(nodes, edges).select("id")
 
 
-@_register(f"WITH RECURSIVE {_GRAPH} SELECT id, component FROM c")
+@_register(f"WITH RECURSIVE {_GRAPH} SELECT id, c AS component FROM r")
 def components(spark, sf_dir):
-    return graph.components(*_sparse(spark, sf_dir))
+    return graph.components(*_whole_graph(spark, sf_dir))
 
 
-@_register(f"WITH RECURSIVE {_GRAPH}, s AS (SELECT component, count(*) AS size FROM c GROUP BY 1), m AS (SELECT max(size) AS largest FROM s) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM lineitem WHERE {_RARE}) AS edges, (SELECT count(*) FROM part) AS evidence, (SELECT count(*) FROM supplier) AS pattern, (SELECT count(*) FROM n WHERE id NOT IN (SELECT u FROM b)) AS orphans, (SELECT count(*) FROM s) AS components, largest, largest / (SELECT count(*) FROM n) AS connectivity, (SELECT count(*) FROM s WHERE size > 1 AND size < largest) AS islands FROM m")
+@_register(f"""WITH RECURSIVE {_GRAPH}, m AS (SELECT max(size) AS largest FROM k) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM x) AS edges,
+(SELECT count(*) FROM n WHERE layer = 'evidence') AS evidence, (SELECT count(*) FROM n WHERE layer = 'pattern') AS pattern, (SELECT count(*) FROM n WHERE id NOT IN (SELECT u FROM b)) AS orphans,
+(SELECT count(*) FROM k) AS components, largest, largest / (SELECT count(*) FROM n) AS connectivity, (SELECT count(*) FROM k WHERE size > 1 AND size < largest) AS islands FROM m""")
 def graph_stats(spark, sf_dir):
-    return graph.stats(*_sparse(spark, sf_dir))
+    return graph.stats(*_whole_graph(spark, sf_dir))
 
 
-@_register(f"WITH RECURSIVE {_GRAPH} SELECT component, count(*) AS size FROM c GROUP BY 1")
+@_register(f"WITH RECURSIVE {_GRAPH} SELECT component, size, first, component = (SELECT component FROM k ORDER BY size DESC, first LIMIT 1) AS \"isMain\" FROM k")
 def connectivity(spark, sf_dir):
-    return graph.connectivity(*_sparse(spark, sf_dir)).select("component", "size")
-
-
-@_register(f"WITH x AS (SELECT p_brand AS a, 'S' AS b FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {_RARE}), d AS (SELECT c, count(*) AS k FROM (SELECT a AS c FROM x UNION ALL SELECT b FROM x) GROUP BY 1) SELECT round((SELECT count_if(a = b) FROM x) / (SELECT count(*) FROM x) - (SELECT sum(k * k) FROM d) / (4.0 * (SELECT count(*) FROM x) * (SELECT count(*) FROM x)), 9) AS modularity")
-def modularity(spark, sf_dir):
-    nodes, edges = _sparse(spark, sf_dir)
-    labels = nodes.select("id", F.when(F.col("entityType") == "Supplier", "S").otherwise(F.col("entityType")).alias("community"))
-    return graph.modularity(edges, labels).select(F.round("modularity", 9).alias("modularity"))
-
-
-@_register()
-def louvain_communities(spark, sf_dir):
-    nodes, edges = _sparse(spark, sf_dir)
-    return graph.communities(nodes, edges, min_size=2)[0].select("community", "size")
-
-
-def _sold(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return _sparse(spark, sf_dir)[0], sold_edges(spark, sf_dir, rare=False)
-
-
-@_register(ORACLE_SQL["orphans"].replace(f" WHERE {_RARE}", ""))
-def whole_orphans(spark, sf_dir):
-    return graph.orphans(parts_as_entities(spark, sf_dir).select("id"), sold_edges(spark, sf_dir, rare=False).select("from", "to"))
-
-
-@_register()
-def whole_components(spark, sf_dir):
-    return graph.components(*_sold(spark, sf_dir))
-
-
-@_register()
-def whole_graph_stats(spark, sf_dir):
-    return graph.stats(*_sold(spark, sf_dir))
+    return graph.connectivity(*_whole_graph(spark, sf_dir))[0]
 
 
-@_register()
-def whole_connectivity(spark, sf_dir):
-    return graph.connectivity(*_sold(spark, sf_dir)).select("component", "size")
+@_register(f"WITH RECURSIVE {_GRAPH} SELECT id FROM r WHERE c = (SELECT component FROM k ORDER BY size DESC, first LIMIT 1)")
+def main_component(spark, sf_dir):
+    return graph.connectivity(*_whole_graph(spark, sf_dir))[1].where("isMain").select("id")
 
 
-@_register(ORACLE_SQL["modularity"].replace(f" WHERE {_RARE}", ""))
-def whole_modularity(spark, sf_dir):
-    nodes, edges = _sold(spark, sf_dir)
+@_register("""WITH x AS (SELECT p_brand AS a, 'S' AS b FROM lineitem JOIN part ON p_partkey = l_partkey), d AS (SELECT c, count(*) AS k FROM (SELECT a AS c FROM x UNION ALL SELECT b FROM x) GROUP BY 1)
+SELECT round((SELECT count_if(a = b) FROM x) / (SELECT count(*) FROM x) - (SELECT sum(k * k) FROM d) / (4.0 * (SELECT count(*) FROM x) * (SELECT count(*) FROM x)), 9) AS modularity""")
+def modularity(spark, sf_dir):
+    nodes = parts_as_entities(spark, sf_dir).unionByName(suppliers_as_entities(spark, sf_dir))
     labels = nodes.select("id", F.when(F.col("entityType") == "Supplier", "S").otherwise(F.col("entityType")).alias("community"))
-    return graph.modularity(edges, labels).select(F.round("modularity", 9).alias("modularity"))
+    return graph.modularity(sold_edges(spark, sf_dir), labels).select(F.round("modularity", 9).alias("modularity"))
 
 
 @_register()
-def whole_louvain_communities(spark, sf_dir):
-    return graph.communities(*_sold(spark, sf_dir), min_size=2)[0].select("community", "size")
+def louvain_communities(spark, sf_dir):
+    return graph.communities(*_whole_graph(spark, sf_dir), min_size=2)[0].select("community", "size")
 
 
 # ---------------------------------------------------------------- resolution
@@ -429,19 +564,55 @@ def layered_cascade(spark, sf_dir):
     return dedup.LayeredDeduplicator([dedup.NameMatcher(), _SameType()]).dedup(*_new_and_stored(spark, sf_dir)).select("id", "layer", "match")
 
 
-@_register("WITH m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS keep FROM part) SELECT 'p' || keep AS \"from\", 's' || l_suppkey AS \"to\" FROM lineitem JOIN m ON p_partkey = l_partkey GROUP BY 1, 2")
+@_register(f"""WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id, label, vec_id % 10 = 0 AS fresh, 'n' || (vec_id % 97) AS name, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.id, b.id AS cand, b.vec_id, a.name = b.name AS same, list_cosine_similarity(a.v, b.v) AS score, b.name FROM e a JOIN e b ON a.label = b.label AND a.fresh AND NOT b.fresh),
+m AS (SELECT id, arg_min(cand, vec_id) FILTER (same) AS by_name, arg_max(cand, score) FILTER (score >= 0.3) AS by_vector, arg_min(cand, (name, vec_id)) AS by_meaning FROM p GROUP BY 1)
+SELECT id, CASE WHEN by_name IS NOT NULL THEN 'name' WHEN by_vector IS NOT NULL THEN 'embedding' WHEN by_meaning IS NOT NULL THEN 'semantic' END AS layer,
+coalesce(by_name, by_vector, by_meaning) AS match FROM e LEFT JOIN m USING (id) WHERE fresh""")
+def cascade_of_three(spark, sf_dir):
+    """Names, then vectors, then a client that always names the least of the candidates."""
+    v = _t(spark, sf_dir, "embeddings")
+    e = v.select(
+        F.col("vec_id").alias("seq"), F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("n"), (F.col("vec_id") % 97).cast("string")).alias("name"),
+        F.col("label").cast("string").alias("entityType"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    e = _shaped(e, ENTITIES)
+    layers = [dedup.NameMatcher(), dedup.EmbeddingMatcher(threshold=0.3), dedup.SemanticMatcher(_least_name)]
+    return dedup.LayeredDeduplicator(layers).dedup(e.where("seq % 10 = 0"), e.where("seq % 10 <> 0")).select("id", "layer", "match")
+
+
+def _least_name(prompt: str) -> str:
+    known = json.loads(next(line for line in prompt.split("\n") if line.startswith("Known: ")).removeprefix("Known: "))
+    return json.dumps({"match": min(known)})
+
+
+@_register(f"""WITH m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS keep FROM part)
+SELECT 'p' || keep AS "from", 's' || l_suppkey AS "to", arg_max({_ISO.format('l_shipdate')}, (p_partkey <> keep, {_SEQ})) AS ship FROM lineitem JOIN m ON p_partkey = l_partkey GROUP BY 1, 2""")
 def merge_rewire(spark, sf_dir):
+    edges = writes.rewired(sold_edges(spark, sf_dir), _same_parts(spark, sf_dir))
+    return edges.select("from", "to", F.col("metadata")["ship"].alias("ship"))
+
+
+def _same_parts(spark, sf_dir) -> DataFrame:
+    """(dup, survivor): parts of one name and brand, and the first of them."""
     p = parts_as_entities(spark, sf_dir)
     keep = p.groupBy("name", "entityType").agg(F.min_by("id", "seq").alias("survivor"))
-    dups = p.join(keep, ["name", "entityType"]).where("id <> survivor").select(F.col("id").alias("dup"), "survivor")
-    return writes.rewired(sold_edges(spark, sf_dir, rare=False), dups).select("from", "to")
+    return p.join(keep, ["name", "entityType"]).where("id <> survivor").select(F.col("id").alias("dup"), "survivor")
+
+
+@_register(f"""WITH m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS keep, count(*) OVER (PARTITION BY p_name, p_brand) AS n FROM part)
+SELECT 'p' || p_partkey AS id, CASE WHEN p_partkey <> keep THEN '{NOW}' END AS ended, CASE WHEN p_partkey = keep AND n > 1 THEN n END AS times, CASE WHEN p_partkey = keep AND n > 1 THEN CAST(n - 1 AS INTEGER) END AS merged FROM m""")
+def merge_entities(spark, sf_dir):
+    out, _ = writes.merge_entities(parts_as_entities(spark, sf_dir), sold_edges(spark, sf_dir), _same_parts(spark, sf_dir), NOW)
+    merged = F.when(F.col("resolutionHistory").isNotNull(), F.size("resolutionHistory")).alias("merged")
+    return out.select("id", F.col("validUntil").alias("ended"), F.col("provenance.confirmationCount").alias("times"), merged)
 
 
 @_register()
 def resolve_plan(spark, sf_dir):
     p = parts_as_entities(spark, sf_dir)
     classes = [r[0] for r in _t(spark, sf_dir, "part").select("p_brand").distinct().collect()]  # class names of an ontology
-    return writes.resolve_plan(p, sold_edges(spark, sf_dir, rare=False), classes, dedup.NameMatcher(1.0))
+    return writes.resolve_plan(p, sold_edges(spark, sf_dir), classes, dedup.NameMatcher(1.0)).select("dup", "survivor", "confidence")
 
 
 @_register("SELECT conv_id || ':' || turn AS \"from\", conv_id || ':' || (turn + 1) AS ref FROM conversations WHERE (conv_id, turn + 1) NOT IN (SELECT (conv_id, turn) FROM conversations)")
@@ -479,6 +650,18 @@ def class_ancestors(spark, sf_dir):
     return ontology.closure(_regions(spark, sf_dir), "name", "up")
 
 
+@_register("""SELECT 'r' || r_regionkey AS name, r_name AS "of", 'region' AS level, 'x' AS top FROM region
+UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation', 'x' FROM nation UNION ALL SELECT 'c' || c_custkey, n_name, 'customer', 'x' FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def ontology_inherit(spark, sf_dir):
+    r, n, c = (_t(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    made = lambda rows, mark, key, up, order, **bag: rows.select(F.concat(F.lit(mark), key).alias("name"), up.alias("extends"), F.lit(order).alias("load_ord"), F.create_map(*(x for k, v in bag.items() for x in (F.lit(k), v))).alias("properties"))
+    classes = made(r, "r", "r_regionkey", F.lit(None).cast("string"), 0, of=F.col("r_name"), level=F.lit("region"), top=F.lit("x"))
+    classes = classes.unionByName(made(n, "n", "n_nationkey", F.concat(F.lit("r"), "n_regionkey"), 1, of=F.col("n_name"), level=F.lit("nation")))
+    classes = classes.unionByName(made(c, "c", "c_custkey", F.concat(F.lit("n"), "c_nationkey"), 2, level=F.lit("customer")))
+    bag = F.col("properties")
+    return ontology.inherited(classes).select("name", bag["of"].alias("of"), bag["level"].alias("level"), bag["top"].alias("top"))
+
+
 @_register("SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 0")
 def isa_violations(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
+import os.path
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bucket
-from ..operators.merge import Graph
+from ..functions import bucket, is_active
+from ..operators.merge import Graph, Merged, merge_graphs, prune_tombstones
 from ..plans import ENTITIES, RELATIONS, TOMBSTONES
 
 _MARK = "struct<at:string,meta:struct<project:string,team:string,domain:string>>"
@@ -23,10 +23,20 @@ SERIALIZED = (
 )
 
 
+def _once(paths: list[str]) -> list[str]:
+    """The paths, of several that name one file the first."""
+    found: dict[tuple[str, str], str] = {}
+    for path in paths:
+        scheme, _, rest = path.rpartition(":")
+        found.setdefault((scheme, os.path.normpath(rest)), path)
+    return list(found.values())
+
+
 def read_json(spark: SparkSession, paths: list[str]) -> list[Graph]:
-    """One graph a file, in the order given; missing edges are none, an unreadable file is an empty graph."""
+    """One graph a file, in the order given, each file once however it is spelled; missing edges are none, an
+    unreadable file is an empty graph."""
     out = []
-    for path in paths:
+    for path in _once(paths):
         raw = spark.read.schema(SERIALIZED).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
         nodes = raw.select(F.posexplode("nodes").alias("seq", "n")).select("n.attributes.*", F.col("n.key").alias("_key"), "seq")
         names = [f.name for f in spark.createDataFrame([], ENTITIES).schema]
@@ -40,6 +50,35 @@ def read_json(spark: SparkSession, paths: list[str]) -> list[Graph]:
     return out
 
 
+def read_merged(spark: SparkSession, paths: list[str]) -> tuple[Merged, DataFrame]:
+    """The files' graphs as one, and the edges that lack an end with the path of the file that first held them."""
+    copies = read_json(spark, paths)
+    merged = merge_graphs(list(copies))
+    files = spark.createDataFrame(list(enumerate(_once(paths))), "origin int, path string")
+    return merged, merged.dangling.join(F.broadcast(files), "origin").drop("origin")
+
+
+def hydrate(spark: SparkSession, snapshot: str | None, paths: list[str], as_of: str, days: int = 90) -> Merged | None:
+    """What a store opens with: the snapshot, if there is one, merged with the exports, old tombstones pruned; None if there is nothing."""
+    held = load(spark, snapshot) if snapshot and _exists(spark, f"{snapshot}/entities") else None
+    copies = [held, *read_json(spark, [p for p in paths if _exists(spark, p)])]
+    if not any(copies):
+        return None
+    merged = merge_graphs(copies)
+    merged.graph.tombstones = prune_tombstones(merged.graph.tombstones, as_of, days)
+    return merged
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def tombstones_of(graph: Graph, kind: str = "entities") -> DataFrame:
+    """(key, at, meta) of deleted entities, or of deleted relations by triple."""
+    return graph.tombstones.where(F.col("kind") == kind).select("key", "at", "meta")
+
+
 def bucketed(graph: Graph, known: list[str], domain: str = "domain") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities by their own bucket, relations by that of their source, tombstones by that of what was deleted."""
     nodes = graph.entities.withColumn("bucket", bucket(F.col("metadata")[domain], known))
@@ -48,10 +87,15 @@ def bucketed(graph: Graph, known: list[str], domain: str = "domain") -> tuple[Da
     return nodes, edges, graph.tombstones.withColumn("bucket", bucket("meta.domain", known))
 
 
-def export(graph: Graph, path: str, known: list[str]) -> None:
-    """JSON lines in a folder a bucket; entities by id, relations by triple, nulls left out. Known empty buckets get no file."""
+def export(graph: Graph, path: str, known: list[str], files: int = 1) -> None:
+    """JSON lines in a folder a bucket; entities by id, relations by triple, nulls left out. Known empty buckets get no file.
+
+    A bucket has ``files`` files, each sorted, dealt by a hash of what it is sorted by: a bucket that holds nearly all
+    rows is no single task's.
+    """
     for name, rows, order in zip(("nodes", "edges", "tombstones"), bucketed(graph, known), (["id"], ["from", "type", "to"], ["kind", "key"]), strict=True):
-        rows.repartition("bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").option("ignoreNullFields", True).json(f"{path}/{name}")
+        dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64(*order), F.lit(files)))
+        dealt.sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").option("ignoreNullFields", True).json(f"{path}/{name}")
 
 
 def read_export(spark: SparkSession, path: str) -> Graph:
@@ -107,39 +151,13 @@ def read_online(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     """A table of an online export, a JSON array; a missing file gives no rows and a warning. SQLite files are refused."""
     if path.endswith(".sqlite"):
         raise ValueError("online exports are read as JSON, not from SQLite")
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema), f"{path} does not exist"
     return spark.read.schema(schema).option("multiLine", True).json(path), None
 
 
-def read_ontology(text: str) -> tuple[str, dict]:
-    """(source name, classes) of an ontology file's text; meta, its name and classes are required."""
-    data = json.loads(text)
-    if not isinstance(data.get("meta"), dict) or not data["meta"].get("name") or "classes" not in data:
-        raise ValueError("an ontology needs meta, meta.name and classes")
-    return data["meta"]["name"], data["classes"]
-
-
-def ontology_order(names: Iterable[str]) -> list[str]:
-    """Load order of ontology files: upper.json, then by name; display overlays are no ontologies."""
-    return sorted((n for n in names if n.endswith(".json") and not n.endswith(".display.json")), key=lambda n: (n != "upper.json", n))
-
-
-def display_hints(text: str | None) -> dict[str, dict]:
-    """Class -> hint of an overlay file; a missing or malformed one has none."""
-    try:
-        data = json.loads(text or "{}")
-    except ValueError:
-        return {}
-    allowed = ("color", "icon", "shape", "borderStyle", "pulseRule")
-    return {k: {f: v[f] for f in allowed if isinstance(v.get(f), str)} for k, v in data.items() if isinstance(v, dict)} if isinstance(data, dict) else {}
-
-
 def vector_points(entities: DataFrame, as_of: str) -> DataFrame:
     """(id, vector, payload) of active entities that have a vector."""
-    from ..functions import is_active
-
     payload = F.struct("entityType", "name", "ontologyClass")
     return entities.where(is_active(as_of) & (F.size("embedding") > 0)).select(F.coalesce("legacyId.id", "id").alias("id"), F.col("embedding").alias("vector"), payload.alias("payload"))
 

@@ -20,21 +20,58 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("key").agg(F.max_by(F.struct("op", "payload", "ts"), F.struct("ts", (F.col("op") == "delete").alias("d"))).alias("c")).select("key", "c.*")
 
 
-def apply_changes(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keeps a table of the latest change of each key below path, a new version each batch, until the stream ends.
+def apply_changes(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, parts: int = 64) -> StreamingQuery:
+    """Keeps a table of the latest change of each key below path, until the stream ends; ``current`` reads it.
 
-    A batch that is delivered again writes its version again, so the outcome is the same.
+    The table is dealt to ``parts`` parts by a hash of the key. A batch writes, in one job, only those that it touches, as a new
+    version of each, and drops the versions before the last two. A batch that is delivered again starts from the
+    versions before it and writes its own again, so the outcome is the same.
     """
+    part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")
 
     def upsert(batch: DataFrame, epoch: int) -> None:
+        session, held = batch.sparkSession, _versions(batch.sparkSession, path)
         now = latest_changes(batch)
-        if epoch > 0:
-            now = latest_changes(batch.sparkSession.read.parquet(f"{path}/v{epoch - 1}").unionByName(now))
-        now.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        touched = [r[0] for r in now.select(part).distinct().collect()]
+        before = [f"{path}/v={max(older)}/part={k}" for k in touched if (older := [v for v in held.get(k, []) if v < epoch])]
+        if before:
+            now = latest_changes(session.read.parquet(*before).select(*now.columns).unionByName(now))
+        now.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/v={epoch}")
+        for k in touched:
+            for old in sorted(v for v in held.get(k, []) if v < epoch)[:-1]:
+                _drop(session, f"{path}/v={old}/part={k}")
 
     return source.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": DEBOUNCE})).start()
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where, files = _files(spark, path)
+    files.delete(where, True)
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of each part that were written whole."""
+    out: dict[int, list[int]] = {}
+    where, files = _files(spark, f"{path}/v=*/part=*")
+    whole = {s.getPath().getParent().getName() for s in files.globStatus(_files(spark, f"{path}/v=*/_SUCCESS")[0]) or []}
+    for status in files.globStatus(where) or []:
+        version, part = status.getPath().getParent().getName(), status.getPath().getName()
+        if version in whole:
+            out.setdefault(int(part.split("=")[1]), []).append(int(version.split("=")[1]))
+    return out
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The latest change of each key: the last version of every part."""
+    paths = [f"{path}/v={max(versions)}/part={part}" for part, versions in _versions(spark, path).items()]
+    return spark.read.schema(CHANGES).parquet(*paths) if paths else spark.createDataFrame([], CHANGES)
+
+
 def confirmations(events: DataFrame) -> DataFrame:
     """A stateful count by id: first and last time seen and the number of writes, over the whole stream."""
     return events.groupBy("id").agg(F.count(F.lit(1)).alias("confirmationCount"), F.min("ts").alias("firstSeen"), F.max("ts").alias("lastSeen"))
@@ -47,9 +84,4 @@ def merge_stream(copies: Callable[[], list[Graph | None]], live: Graph, as_of: s
     return merged
 
 
-def late(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Changes with a watermark on their time, for windows downstream."""
-    return changes.withWatermark("ts", delay)
-
-
-__all__ = ["CHANGES", "DEBOUNCE", "apply_changes", "confirmations", "late", "latest_changes", "merge_stream"]
+__all__ = ["CHANGES", "DEBOUNCE", "apply_changes", "confirmations", "current", "latest_changes", "merge_stream"]

@@ -2,20 +2,23 @@
 
 import datetime
 import json
+import random
 from itertools import product
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from spanloom import example
 from spanloom import functions as fn
-from spanloom.engine import GraphStore
+from spanloom.engine import GraphStore, NotFound
 from spanloom.operators import dedup, graph, merge, ontology, projections, reads, writes
 from spanloom.plans import ENTITIES, RELATIONS, SEGMENT, TOMBSTONES
 from spanloom.queries import _shaped
-from spanloom.sources import graphs
-from spanloom.streaming import apply_changes, latest_changes
+from spanloom.sources import graphs, ontologies, shared
+from spanloom.streaming import apply_changes, current, latest_changes
 
 NOW = "2024-06-01T00:00:00.000Z"
 
@@ -77,11 +80,37 @@ def test_recent_is_exclusive_and_zero_is_all(spark):
     assert [r.id for r in reads.recent_by_agent(e, "a", "", 1, NOW).collect()] == ["3"]
 
 
-def test_wire_packs_a_lone_stamp(spark):
+def test_wire_packs_stamps_into_metadata(spark):
     s = ("p", "m", "r", "t")
-    w = projections.entity_to_wire(entities(spark, {"id": "a", "createdBy": s}, {"id": "b", "createdBy": s, "lastConfirmedBy": ("q", "m", "r", "t")}, {"id": "c"}))
-    got = {r.id: r.provenance for r in w.collect()}
-    assert got["a"].confirmationCount == 1 and got["b"].confirmationCount == 0 and got["b"].lastConfirmedBy.provider == "q" and got["c"] is None
+    rows = [{"id": "a", "createdBy": s, "metadata": {"k": "v"}}, {"id": "b", "createdBy": s, "lastConfirmedBy": ("q", "m", "r", "t")}, {"id": "c"}, {"id": "d", "createdBy": s, "confirmationCount": 7}, {"id": "e", "createdBy": s, "metadata": {"provenance": "own"}}]
+    got = {r.id: r.metadata for r in projections.entity_to_wire(entities(spark, *rows)).collect()}
+    packed = {k: json.loads(v["provenance"]) for k, v in got.items() if k in "abd"}
+    assert [packed[k]["confirmationCount"] for k in "abd"] == [1, 0, 7] and packed["b"]["lastConfirmedBy"]["provider"] == "q"
+    assert got["a"]["k"] == "v" and got["c"] == {} and got["e"] == {"provenance": "own"}
+
+
+def test_legacy_rows_win_over_their_metadata(spark):
+    meta = '{"summary": "old", "agent": "old", "confidence": "1", "extra": "x", "project": "mine", "session_id": "old"}'
+    o = spark.createDataFrame([("1", "new", "bot", None, "f", "h", "high", "2024", '["m"]', "t", meta), ("2", "", None, None, None, None, None, None, None, "t", "nope")], "id string, summary string, agent string, session_id string, source_file string, content_hash string, quality string, digested_at string, messages string, created_at string, metadata string")
+    got = {r.legacyId.id: r for r in projections.legacy_to_entity(o, "Observation", stamp()).collect()}
+    assert got["1"].metadata == {"extra": "x", "project": "mine", "summary": "new", "agent": "bot", "source_file": "f", "content_hash": "h", "quality": "high", "digested_at": "2024", "messages": '["m"]', "createdAt": "t", "confidence": "1"}
+    assert got["2"].name == "(no summary)" and got["2"].metadata == {"summary": "", "createdAt": "t"} and got["1"].layer == "evidence"
+    found = entities(spark).unionByName(_shaped(projections.legacy_to_entity(o, "Observation", stamp()), ENTITIES))
+    assert reads.find_by_content_hash(found, "bot", "h", NOW).count() == 1
+    i = spark.createDataFrame([("1", "", "s" * 99, None, '["a", 1]', "later", "t", meta, None)], "id string, topic string, summary string, confidence double, digest_ids string, last_updated string, created_at string, metadata string, project string")
+    r = projections.legacy_to_entity(i, "Insight", stamp()).first()
+    assert (r.name, r.updatedAt, r.layer) == ("s" * 80, "later", "pattern")
+    assert (r.metadata["confidence"], r.metadata["digest_ids"], r.metadata["project"], r.metadata["agent"]) == ("0.8", '["a"]', "mine", "old")
+    d = spark.createDataFrame([("1", "2024-01-01", "th", "s", '["o"]', ["a"], "bad", "q", "t")], "id string, date string, theme string, summary string, observation_ids string, agents array<string>, files_touched string, quality string, created_at string")
+    r = projections.legacy_to_entity(d, "Digest", stamp()).first()
+    assert (r.name, r.layer) == ("th", "pattern") and (r.metadata["observation_ids"], r.metadata["agents"], r.metadata["files_touched"]) == ('["o"]', '["a"]', "[]")
+
+
+def test_online_rows_keep_their_fields(spark):
+    o = spark.createDataFrame([("1", "\n first \nx", "a", "p", "q", "t", None, "gpt", ["f"]), ("2", "", "a", "p", "q", None, "d", None, None)], "id string, summary string, agent string, project string, quality string, createdAt string, digestedAt string, llm string, modifiedFiles array<string>")
+    got = {r.legacyId.id: r for r in projections.map_observations(o, stamp()).collect()}
+    assert got["1"].name == "first" and got["1"].metadata == {"subsystem": "online", "project": "p", "agent": "a", "quality": "q", "llm": "gpt", "modifiedFiles": '["f"]'}
+    assert got["2"].name == "(empty)" and got["2"].metadata == {"subsystem": "online", "project": "p", "agent": "a", "quality": "q", "digestedAt": "d", "modifiedFiles": "[]"} and got["2"].createdAt is None
 
 
 @pytest.mark.parametrize("text,want", [("  a 　b﻿ ", "a b"), ("", ""), ("a\n\tb", "a b")])
@@ -102,6 +131,9 @@ def test_scalar_functions(spark):
     assert get(fn.lenient_object(F.lit("nope"))) == {}
     minted = get(fn.mint_uuid7(F.lit(datetime.datetime(2024, 1, 1)), F.lit("k")))
     assert get(fn.is_uuid7(F.lit(minted))) and not get(fn.is_uuid7(F.lit("x")))
+    assert get(fn.truncate(F.lit("x" * 300))) == "x" * 200 and get(fn.truncate(F.lit(None).cast("string"))) == ""
+    assert [fn.parse_int(x) for x in ("12", " 7up", "-3", "x", "", None, 4)] == [12, 7, -3, None, None, None, 4]
+    assert get(fn.is_hierarchy_root(F.lit("Timeline"))) and not get(fn.is_hierarchy_root(F.lit("timeline"))) and get(fn.root_class(F.lit("Coding"))) == "Project"
     assert fn.answer_json('```json\n{"match": "x"}\n```') == {"match": "x"} and fn.answer_json("so {\"a\": 1} yes") == {"a": 1} and fn.answer_json("no") is None
 
 
@@ -120,7 +152,57 @@ def test_put_stamps_confirms_and_supersedes(spark):
         store.put(new.withColumn("id", F.lit(uid(3))), later, stamp())
     with pytest.raises(writes.Rejected):
         store.put(new.withColumn("id", F.lit("x")), later, stamp())
-    assert [r.id for r in graph.supersession_chain(store.graph.entities, store.graph.relations, uid(2)).orderBy("position").collect()] == [uid(1), uid(2)]
+    assert [r.id for r in store.chain(uid(2)).orderBy("position").collect()] == [uid(1), uid(2)]
+    assert store.graph.entities._jdf.queryExecution().toString().count("Join") == 0  # each write is a version of its own
+
+
+def test_chains_of_any_length_and_cycles(spark):
+    rows = [{"id": f"{k:03}", "seq": k, "supersedes": f"{k - 1:03}" if k else None} for k in range(90)] + [{"id": "x", "seq": 100, "supersedes": "y"}, {"id": "y", "seq": 101, "supersedes": "x"}, {"id": "z", "seq": 102}]
+    e, r = entities(spark, *rows), relations(spark, ("089", "SUPERSEDED_BY", "z"))
+    got = {x.id: x.position for x in graph.supersession_chain(e, r, "040").collect()}
+    assert got == {f"{k:03}": k for k in range(90)} | {"z": 90}
+    assert [tuple(x) for x in graph.supersession_chain(e, r, "x").collect()] == [("x", 0)] and graph.supersession_chain(e, r, "nope").count() == 0
+
+
+def test_strict_puts_ask_the_catalogue(spark):
+    c = ontology.Catalog()
+    c.register("upper", {"Base": {"description": "b"}, "Other": {"description": "o"}})
+    c.register("own", {"Kid": {"extends": "Base", "description": "k"}})
+    store = GraphStore(spark, as_of=NOW, catalog=c)
+    new = lambda kind, cls=None: entities(spark, {"id": uid(5), "seq": 1, "name": "n", "entityType": kind, "ontologyClass": cls}).select("id", "seq", "name", "entityType", "ontologyClass")
+    store.put(new("Kid", "Base"), NOW, stamp())
+    for bad in (new("Nope"), new("Kid", "Other")):
+        with pytest.raises(writes.Rejected):
+            store.put(bad, NOW, stamp())
+    store.put(new("Nope"), NOW, strict=False)
+    with pytest.raises(writes.Rejected):
+        store.put(new("Kid", "Other"), NOW, strict=False)
+    assert store.schema("Kid")["extends"] == "Base" and [r.name for r in store.entity_types().collect()] == ["Base", "Other", "Kid"]
+    with pytest.raises(NotFound):
+        store.schema("Nope")
+    minted = writes.put_entities(entities(spark), entities(spark, {"name": "n", "seq": 3}).select("name", "seq"), NOW, stamp())
+    assert minted.select(fn.is_uuid7("id")).first()[0]
+
+
+def test_store_tells_changes_and_misses(spark, tmp_path):
+    path = f"file://{tmp_path}/changes"
+    store = GraphStore(spark, as_of=NOW, changes=path)
+    store.create(entities(spark, {"id": "a", "seq": 1, "name": "A", "entityType": "X"}, {"id": "b", "seq": 2, "name": "B", "entityType": "X"}), NOW)
+    store.relate(relations(spark, ("a", "t", "b")).drop("key"), NOW)
+    assert [r.key for r in store.graph.relations.collect()] == ["a|b|t"]
+    store.patch("a", {"name": F.lit("AA")}, "2024-06-02T00:00:00.000Z")
+    store.unrelate(spark.createDataFrame([("a|b|t",)], "key string"), NOW)
+    store.delete(spark.createDataFrame([("b",)], "id string"), NOW)
+    told = [(r.op, r.key) for r in spark.read.parquet(path).collect()]
+    assert sorted(told) == [("delete", "b"), ("put", "a"), ("put", "a"), ("put", "b"), ("relate", "a|b|t"), ("unrelate", "a|b|t")]
+    for miss in (lambda: store.patch("zz", {}), lambda: store.unrelate(spark.createDataFrame([("zz",)], "key string"), NOW)):
+        with pytest.raises(NotFound):
+            miss()
+    with pytest.raises(writes.Rejected):
+        store.create(entities(spark, {"id": "c", "seq": 3, "entityType": "X"}), NOW)
+    assert [r.id for r in store.entities(limit="1x").collect()] == ["a"] and ids(store.tombstones(), "key") == ["b"]
+    store.save(f"file://{tmp_path}/snap")
+    assert ids(GraphStore.load(spark, f"file://{tmp_path}/snap", NOW).graph.entities) == ["a"]
 
 
 def test_relations_upsert_overlay_and_refusals(spark):
@@ -194,7 +276,8 @@ def test_components_chain_and_stats(spark):
     assert {c[f"{k:03}"] for k in range(31)} == {"000"} and c["036"] == "035" and c["039"] == "039"
     s = graph.stats(e, r).first()
     assert (s.components, s.largest, s.islands) == (9, 31, 1)
-    assert [x.component for x in graph.connectivity(e, r).where("isMain").collect()] == ["000"]
+    sizes, members = graph.connectivity(e, r)
+    assert [(x.component, x["size"]) for x in sizes.where("isMain").collect()] == [("000", 31)] and members.where("isMain").count() == 31
 
 
 def test_degree_counts_loops_twice(spark):
@@ -205,13 +288,26 @@ def test_degree_counts_loops_twice(spark):
 def test_communities_of_two_cliques(spark):
     nodes = [f"{s}{k}" for s in "ab" for k in range(4)]
     edges = [(f"{s}{i}", "t", f"{s}{j}") for s in "ab" for i, j in product(range(4), range(4)) if i < j] + [("a0", "t", "b0")]
-    found, q = graph.communities(entities(spark, *({"id": n, "seq": k} for k, n in enumerate(nodes))), relations(spark, *edges))
-    assert sorted(tuple(r.ids) for r in found.collect()) == [tuple(f"{s}{k}" for k in range(4)) for s in "ab"]
+    found, members, q = graph.communities(entities(spark, *({"id": n, "seq": k} for k, n in enumerate(nodes))), relations(spark, *edges))
+    own = {}
+    for r in members.collect():
+        own.setdefault(r.community, []).append(r.id)
+    assert sorted(map(sorted, own.values())) == [[f"{s}{k}" for k in range(4)] for s in "ab"] and [r["size"] for r in found.collect()] == [4, 4]
     assert q.first()[0] == pytest.approx(12 / 13 - 2 * (13 / 26) ** 2)
     with pytest.raises(ValueError):
         graph.communities(None, None, "other")
 
 
+def test_communities_of_planted_cliques(spark):
+    rng = random.Random(2)
+    nodes = [(c, k) for c in range(12) for k in range(6)]
+    edges = [(a, b) for a in nodes for b in nodes if a < b and a[0] == b[0]] + [tuple(rng.sample(nodes, 2)) for _ in range(30)]
+    name = lambda n: f"{n[0]:02}-{n[1]}"
+    e, r = entities(spark, *({"id": name(n), "seq": k} for k, n in enumerate(nodes))), relations(spark, *((name(a), "t", name(b)) for a, b in edges))
+    planted = spark.createDataFrame([(name(n), str(n[0])) for n in nodes], "id string, community string")
+    assert graph.communities(e, r)[2].first()[0] >= graph.modularity(r, planted).first()[0] - 0.02
+
+
 def test_cascade_layers(spark):
     pool = entities(spark, {"id": "p1", "seq": 1, "name": "alpha beta", "entityType": "X"}, {"id": "p2", "seq": 2, "name": "gamma", "entityType": "X", "embedding": [1.0, 0.1]}, {"id": "p3", "seq": 3, "name": "delta", "entityType": "X"})
     new = entities(spark, {"id": "n1", "seq": 1, "name": "Beta Alpha", "ontologyClass": "X", "entityType": "Z"}, {"id": "n2", "seq": 2, "name": "other", "entityType": "X", "embedding": [1.0, 0.0]}, {"id": "n3", "seq": 3, "name": "dee", "entityType": "X"}, {"id": "n4", "seq": 4, "name": "q"})
@@ -230,13 +326,30 @@ def test_ontology(spark):
     assert ids(ontology.isa_violations(e, c.table(spark), c.ancestors(spark))) == ["bad"]
     assert "Kid (extends Base): k [r->Base, s->Kid]" in c.prompt()
     with pytest.raises(ValueError):
-        graphs.read_ontology('{"classes": {}}')
-    assert graphs.ontology_order(["b.json", "upper.json", "a.display.json", "a.json"]) == ["upper.json", "a.json", "b.json"]
+        ontologies.read_ontology('{"classes": {}}')
+    upper = '{"meta": {"name": "u"}, "classes": {"Base": {"description": "b", "properties": {"p": {"type": "string"}}}}}'
+    own = '{"meta": {"name": "own"}, "classes": {"Kid": {"extends": "Base", "description": "k"}}}'
+    c.reload({"own.json": own, "upper.json": upper, "x.display.json": "", "bad.json": "{"})
+    assert list(c.classes) == ["Base", "Kid"] and set(c.schema("Kid")["properties"]) == {"p"} and len(c.warnings) == 1 and c.domains() == ["upper", "own"]
+    with pytest.raises(ValueError):
+        c.reload({"upper.json": "{"})
+    assert list(c.classes) == ["Base", "Kid"]
+    hints = ontologies.display_hints('{"Kid": {"color": "#fff", "shape": "square", "pulseRule": null}, "Base": {"shape": "blob"}}')
+    assert hints == {"Kid": {"color": "#fff", "shape": "square"}} and ontologies.display_hints("{") == {}
+    with pytest.raises(ValueError):
+        ontologies.parse_hint({"borderStyle": "wavy"})
+    rows = ontology.class_listing(c.table(spark), hints, "coding").collect()
+    assert [(r.name, r.level, r.parent, r.display) for r in rows] == [("System", 0, None, None), ("Project", 0, None, None), ("Base", None, None, None), ("Kid", None, "Base", {"color": "#fff", "shape": "square"})]
+    assert [r.name for r in ontology.class_listing(c.table(spark)).collect()] == ["Base", "Kid"]
+    with pytest.raises(ValueError):
+        ontology.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "x string, y string"), "x", "y", most=5)
+    assert ontologies.ontology_order(["b.json", "upper.json", "a.display.json", "a.json"]) == ["upper.json", "a.json", "b.json"]
 
 
 def test_files_round_trip(spark, tmp_path):
     g = copy(spark, [("x", "a", NOW), ("y", "b", NOW)], [("x", "t", "y")], [("entities", "q", NOW)])
     graphs.export(g, f"file://{tmp_path}/out", ["d"])
+    graphs.export(g, f"file://{tmp_path}/out", ["d"], files=3)
     back = graphs.read_export(spark, f"file://{tmp_path}/out")
     assert ids(back.entities) == ["x", "y"] and back.relations.count() == 1 and back.tombstones.first().key == "q"
     snaps = graphs.Snapshots(spark, f"file://{tmp_path}/snaps")
@@ -249,6 +362,12 @@ def test_files_round_trip(spark, tmp_path):
     data = {"attributes": {"kmTombstones": {"entities": {"gone": {"at": NOW}}}}, "nodes": [{"key": "n1", "attributes": {"name": "N", "metadata": {"a": "b"}}}], "edges": [{"key": "e", "source": "n1", "target": "n1", "attributes": {"type": "t"}}]}
     (tmp_path / "g.json").write_text(json.dumps(data))
     read = graphs.read_json(spark, [f"file://{tmp_path}/g.json"])[0]
+    dangling = {"nodes": [{"key": "n2", "attributes": {}}], "edges": [{"key": "f", "source": "n2", "target": "gone?", "attributes": {"type": "t"}}]}
+    (tmp_path / "h.json").write_text(json.dumps(dangling))
+    merged, left = graphs.read_merged(spark, [f"file://{tmp_path}/g.json", f"file://{tmp_path}/./g.json", f"file://{tmp_path}/h.json"])
+    assert ids(merged.graph.entities) == ["n1", "n2"] and [(r.key, r.path.split("/")[-1]) for r in left.collect()] == [("f", "h.json")]
+    opened = graphs.hydrate(spark, f"file://{tmp_path}/snaps/{name}", [f"file://{tmp_path}/g.json", f"file://{tmp_path}/none.json"], NOW)
+    assert ids(opened.graph.entities) == ["n1", "x", "y"] and graphs.hydrate(spark, None, [f"file://{tmp_path}/none.json"], NOW) is None
     assert [(r.id, r.name, r.metadata) for r in read.entities.collect()] == [("n1", "N", {"a": "b"})] and read.relations.first().type == "t" and read.tombstones.first().key == "gone"
 
 
@@ -274,7 +393,8 @@ def test_change_stream(spark, tmp_path):
         q.processAllAvailable()
     finally:
         q.stop()
-    assert {r.key: (r.op, r.payload) for r in spark.read.parquet(f"{tmp_path}/out/v1").collect()} == {"a": ("put", "1"), "b": ("delete", None)}
+    assert {r.key: (r.op, r.payload) for r in current(spark, f"{tmp_path}/out").collect()} == {"a": ("put", "1"), "b": ("delete", None)}
+    assert current(spark, f"{tmp_path}/nothing").count() == 0
     assert latest_changes(spark.createDataFrame([], schema)).count() == 0
 
 
@@ -285,10 +405,102 @@ def test_resolve_and_backfill_and_pipeline(spark):
     filled = writes.backfill(e, F.lit(NOW), stamp())
     assert {x.validFrom for x in filled.collect()} == {NOW}
     assert {x.validFrom for x in writes.backfill(filled, F.lit("later"), stamp()).collect()} == {NOW}
-    pipe = dedup.IngestPipeline(lambda t: t, dedup.LayeredDeduplicator([dedup.NameMatcher()]), lambda new, old: (old.unionByName(new), r))
+    told = []
+    pipe = dedup.IngestPipeline(lambda t: t, dedup.LayeredDeduplicator([dedup.NameMatcher()]), lambda new, old, by: (old.unionByName(new), r), on_phase=lambda *x: told.append(x))
     new = entities(spark, {"id": "n", "seq": 9, "name": "else", "entityType": "X"}, {"id": "m", "seq": 10, "name": "else", "entityType": "X"})
-    stored, _, decided = pipe.ingest(new, e, r)
-    assert {x.id: x.supersedes for x in stored.where("seq >= 9").collect()} == {"n": "c", "m": None} and decided.where("match is not null").count() == 2
+    done = pipe.ingest(new, e, r, stamp())
+    assert {x.id: x.supersedes for x in done.entities.where("seq >= 9").collect()} == {"n": "c"} and [x.id for x in done.errors.collect()] == ["m"]
+    assert tuple(done.counts.select("extracted", "merged", "refused", "stored").first()) == (2, 2, 1, 1)
+    assert told == [(s, w) for s in ("extract", "dedup", "store") for w in ("start", "done")] and set(done.seconds) == {"extract", "dedup", "store"}
+    for bad in (dict(provenance=None), dict(provenance=stamp(), skip=("extract",)), dict(provenance=stamp(), skip=("nope",))):
+        with pytest.raises(ValueError):
+            pipe.ingest(new, e, r, **bad)
+    assert pipe.ingest(new.limit(0), e, r, stamp(), ("extract",)).decisions.count() == 0
+    assert pipe.run_stage("dedup", new, e).where("match = 'c'").count() == 2
+    stored, _ = pipe.run_stage("store", new, e, stamp(), spark.createDataFrame([("n", "c")], "id string, supersedes string"))
+    assert {x.id: x.supersedes for x in stored.where("seq >= 9").collect()} == {"n": "c", "m": None}
+    for bad in (("dedup", new), ("store", new, e), ("nope", new)):
+        with pytest.raises(ValueError):
+            pipe.run_stage(*bad)
+
+
+def test_resolution_by_any_matcher(spark):
+    rows = [{"id": f"e{k}", "seq": k, "name": n, "entityType": "X", "description": d} for k, (n, d) in enumerate([("OOM", "a"), ("Out of memory", "b"), ("disk full", None), ("Out of memory", "b" * 300), ("Out of memory", "b")])]
+    e, r = entities(spark, *rows), relations(spark, ("e1", "t", "e2"))
+    ask = lambda prompt: '{"matches": [{"newName": "OOM", "existingName": "Out of memory"}]}' if 'New: ["OOM"]' in prompt else '{"matches": []}'
+    after, edges, done = writes.resolve_entities(e, r, ["X"], NOW, dedup.SemanticMatcher(ask))
+    assert [(m["class"], m.dup, m.dup_name, m.survivor, m.confidence) for m in done.merges.collect()] == [("X", "e0", "OOM", "e1", 0.7)]
+    assert [tuple(x) for x in done.counts.select("class", "scanned", "matches").collect()] == [("X", 5, 1)]
+    assert after.where("id = 'e0'").first().validUntil == NOW and edges.where("type = 'SUPERSEDED_BY'").count() == 1
+    same, _, trial = writes.resolve_entities(e, r, ["X"], NOW, dedup.NameMatcher(1.0), dry_run=True)
+    assert same is e and trial.dry_run and sorted((m.dup, m.survivor) for m in trial.merges.collect()) == [("e3", "e1"), ("e3", "e1"), ("e4", "e1")]
+    assert writes.resolve_plan(e, r, ["X"], dedup.SemanticMatcher(ask), threshold=0.8).count() == 0
+
+
+def test_semantic_matcher_reads_answers(spark):
+    pool = entities(spark, *({"id": f"p{k}", "seq": k, "name": f"n{k}", "entityType": "X"} for k in range(9)))
+    new = entities(spark, {"id": "a", "seq": 1, "name": "new", "entityType": "X"})
+
+    def match(answer, **how):
+        return [r.match for r in dedup.SemanticMatcher(lambda _: answer, per_prompt=3, **how).match(new, pool).collect()]
+
+    assert match('so: {"matches": [{"newName": "new", "existingName": "n7"}]}') == ["p7"] and match('{"match": "n2"}') == ["p2"]
+    assert match("no idea") == match('{"matches": []}') == match("{broken") == match('{"matches": [{"newName": "old", "existingName": "n7"}]}') == []
+    with pytest.raises(Exception, match="no JSON"):
+        match("{broken", on_error="raise")
+
+    def slow(_):
+        import time
+
+        time.sleep(0.5)
+        return '{"match": "n2"}'
+
+    assert dedup.SemanticMatcher(slow, timeout=0.05).match(new, pool).count() == 0
+
+
+def test_name_matcher_keeps_every_match(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "HOT_TOKEN", 3)
+    rng = random.Random(9)
+    names = [" ".join(rng.sample([f"w{k}" for k in range(14)], rng.randint(1, 9))) for _ in range(60)]
+    names += [" ".join(f"t{k}" for k in range(100)), " ".join(f"t{k}" for k in range(55))]
+    rows = [{"id": str(k), "seq": k, "name": n, "entityType": "X"} for k, n in enumerate(names)]
+    new, pool = entities(spark, *rows[::2]), entities(spark, *rows)
+    for t in (0.55, 0.7, 1.0):
+        want = set()
+        for a in rows[::2]:
+            for b in rows:
+                x, y = set(a["name"].split()), set(b["name"].split())
+                if len(x & y) >= t * len(x | y) - 1e-9:
+                    want.add((a["id"], b["id"]))
+        assert {(r.id, r.cand) for r in dedup.NameMatcher(t).pairs(new, pool).collect()} == want
+
+
+def test_vectors_meet_by_keys(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((150, 32))
+    rows = [{"id": f"{s}{k}", "seq": k, "entityType": "X", "embedding": (v + (s == "n") * 0.2 * rng.standard_normal(32)).tolist()} for s in "np" for k, v in enumerate(base)]
+    new, pool = entities(spark, *rows[:150]), entities(spark, *rows[150:])
+    exact = {(r.id, r.cand) for r in dedup.EmbeddingMatcher(0.9).pairs(new, pool).collect()}
+    by_key = {(r.id, r.cand) for r in dedup.EmbeddingMatcher(0.9, few=10).pairs(new, pool).collect()}
+    assert len(exact) > 100 and by_key <= exact and len(by_key) >= 0.99 * len(exact)
+
+
+def test_example_adapter(spark):
+    store = GraphStore(spark, as_of=NOW)
+    text = lambda *rows: spark.createDataFrame(list(rows), "seq int, text string")
+    example.run(spark, store, text((1, "cache is cold\nfirst"), (2, "queue is full")))
+    done = example.run(spark, store, text((3, "Cache is cold\nagain"), (4, "new thing")))
+    assert sorted(r.layer or "" for r in done.decisions.collect()) == ["", "name"]
+    assert sorted(r.seq for r in reads.scan(store.graph.entities, "2024-06-01T00:00:00.001Z").collect()) == [2, 3, 4]
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        shared.work_dir(Cluster())
 
 
 def test_reprojection_is_idempotent(spark):
@@ -299,7 +511,8 @@ def test_reprojection_is_idempotent(spark):
     ins = spark.createDataFrame([("i1", "topic", "s", 0.5, ["d1"], NOW)], "id string, topic string, summary string, confidence double, digestIds array<string>, createdAt string")
     got = reproject_online(entities(spark), relations(spark, ("x", "t", "y")).limit(0), obs, dig, ins, stamp(), NOW)
     assert {(r.name, r.layer) for r in got.entities.collect()} == {("first", "evidence"), ("(empty)", "evidence"), ("theme", "evidence"), ("topic", "pattern")}
-    assert got.relations.count() == 2 and [r.ref for r in got.warnings.collect()] == ["Observation:zz"]
+    assert got.relations.count() == 2 and [r.ref for r in got.warnings.collect()] == ["zz"]
+    assert reads.find_by_legacy_id(got.entities, "A", "o1", NOW).count() == 1
     assert all(r.ok for r in got.entities.select(fn.is_uuid7("id").alias("ok")).collect())
     again = reproject_online(got.entities, got.relations, obs, dig, ins, stamp(), NOW)
     assert {r.kind: (r.scanned, r.written) for r in again.counts.collect()} == {"Observation": (2, 0), "Digest": (1, 0), "Insight": (1, 0)} and again.relations.count() == 2
