@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import work_dir
+from .common import kept, small, work_dir
 
 SEGMENT, CHUNK, FILE_RECORDS = 32_768, 8_192, 400
 #: Smaller payloads are always stored.
 LEAST_REVISIT = 1000
+#: So many repeated payloads, of some 60 bytes each, are broadcast.
+FEW_REPEATED = 500_000
 _END = b"\r\n"
 _DATE = "2024-01-01T00:00:00Z"  # records carry no clock, so that equal pages give equal archives
 
@@ -77,20 +79,32 @@ def _safe(url: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in url or "").strip()
 
 
-def records_of(row: int, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> list[bytes]:
-    """The records of a page. row names it, as page ids may repeat or be null."""
-    name, uri = f"<urn:page-row:{row}>", _safe(url)
-    common = [("WARC-Record-ID", name), ("WARC-Date", _DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", _digest(payload))]
+def record_name(page_id: int, payload: bytes) -> str:
+    """The id of the record that others with its payload refer to."""
+    return f"<urn:page:{page_id}:{hashlib.sha1(payload).hexdigest()}>"
+
+
+def records_of(row: int, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, known: bool = False, segment: int = SEGMENT) -> list[bytes]:
+    """The records of a page. row names it, as page ids may repeat or be null, but where others refer to it.
+
+    refers_to: the page whose payload this one repeats. known: one row holds that payload under that id (of a revisit), or under
+    this page's own, and others repeat it; so its record has the name they give.
+    """
+    digest, uri = _digest(payload), _safe(url)
+    name = record_name(page_id, payload) if known and refers_to is None else f"<urn:page-row:{row}>"
+    common = [("WARC-Record-ID", name), ("WARC-Date", _DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest)]
     common += [("WARC-X-Page-ID", "" if page_id is None else page_id), ("WARC-X-Payload-Length", len(payload)), ("WARC-X-No-URL", int(url is None))]
     if refers_to is not None:
-        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-X-Refers-To-Page", refers_to)]
+        more += [("WARC-Refers-To", record_name(refers_to, payload))] * known
         return [_record([("WARC-Type", "revisit"), *common, *more, ("Content-Type", "application/http;msgtype=response")], b"HTTP/1.1 200 OK\r\n\r\n")]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     first = [("WARC-Type", "response"), *common, ("WARC-Block-Digest", _digest(parts[0])), ("Content-Type", "application/http;msgtype=response")]
     out = [_record(first + [("WARC-Segment-Number", 1)] * (len(parts) > 1), parts[0])]
     for k, part in enumerate(parts[1:], 2):
-        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Date", _DATE), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k), ("WARC-Block-Digest", _digest(part))]
+        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Date", _DATE), ("WARC-Target-URI", uri)]
+        own += [("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k), ("WARC-Block-Digest", _digest(part))]
         out.append(_record(own + [("WARC-Segment-Total-Length", len(block))] * (k == len(parts)), part))
     return out
 
@@ -120,25 +134,32 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def write(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html") -> None:
     """Writes the pages as gzipped archives below path.
 
-    Null pages have empty payloads. Of pages with equal payloads of at least LEAST_REVISIT bytes the one of the
-    largest id (the first such row, if it repeats, by its row number) is stored and the others revisit it; rows with null ids are stored.
+    Null pages have empty payloads. Of pages with equal payloads of at least LEAST_REVISIT bytes those of the
+    largest id are stored and the others revisit them, by the record's name if one row has that id; rows with null
+    ids are stored. Smaller payloads, such as the empty one, meet no other. Repeated payloads are known by id and digest
+    alone; the table of them is broadcast if it has at most FEW_REPEATED rows, which are counted.
     """
-    rows = pages.select(pages[id_col].cast("long").alias("id"), "url", F.coalesce(pages[html_col], F.lit("")).alias("html"))
-    named = rows.select("id", F.sha1("html").alias("sha1"), F.octet_length("html").alias("n")).where(F.col("n") >= LEAST_REVISIT)
-    twice = named.groupBy("sha1").agg(F.max("id").alias("stored"), F.count(F.lit(1)).alias("times")).where("times > 1").select("sha1", "stored")
-    twice = F.broadcast(twice) if twice.limit(100_001).count() <= 100_000 else twice
-    keyed = rows.withColumn("sha1", F.sha1("html")).join(twice, "sha1", "left").withColumn("row", F.monotonically_increasing_id())
+    rows = pages.select(pages[id_col].cast("long").alias("id"), pages["url"], F.coalesce(pages[html_col], F.lit("")).alias("html"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    large = F.octet_length("html") >= LEAST_REVISIT
+    named = rows.where(large).select("id", F.sha1("html").alias("sha1")).where("id is not null")
+    named = named.groupBy("sha1", "id").agg(F.count(F.lit(1)).alias("rows"))
+    twice = named.groupBy("sha1").agg(F.max("id").alias("stored"), F.sum("rows").alias("times"), F.max_by("rows", "id").alias("holders")).where("times > 1")
+    twice = small(kept(twice.select("sha1", "stored", (F.col("holders") == 1).alias("known")), f"{work_dir(pages.sparkSession)}/twice"), FEW_REPEATED)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("stored", "long"), ("known", "boolean"))]
+    keyed = rows.where(large).withColumn("sha1", F.sha1("html")).join(twice, "sha1", "left").drop("sha1")
+    keyed = keyed.unionByName(rows.where(~large).select("*", *nothing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 out: list[bytes] = []
-                for page, url, text, stored, row in zip(*(c.to_pylist() for c in batch.slice(i, 200).columns), strict=True):
+                for page, url, text, row, stored, known in zip(*(c.to_pylist() for c in batch.slice(i, 200).columns), strict=True):
                     again = stored is not None and page is not None and page != stored
-                    out += records_of(row, page, url, text.encode("utf-8", "surrogatepass"), stored if again else None)
+                    out += records_of(row, page, url, text.encode("utf-8", "surrogatepass"), stored if again else None, bool(known) and page is not None)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    records = keyed.select("id", "url", "html", "stored", "row").mapInArrow(run, "record binary")
+    records = keyed.select("id", "url", "html", "row", "stored", "known").mapInArrow(run, "record binary")
     writer = records.select(F.col("record").cast("string").alias("value")).write.mode("overwrite")
     writer.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
@@ -162,10 +183,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if f.get("warc-block-digest", _digest(block)) != _digest(block):
                     raise ValueError(f"the block of {f['warc-record-id']} is not what was written")
                 if f["warc-type"] == "continuation":
-                    row = (f["warc-segment-origin-id"], None, None, None, None, None, None, int(f["warc-segment-number"]), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, block)
+                    total = f.get("warc-segment-total-length")
+                    row = (f["warc-segment-origin-id"], *[None] * 6, int(f["warc-segment-number"]), int(total) if total else None, block)
                 else:
-                    page, ref = f["warc-x-page-id"], f.get("warc-refers-to")
-                    row = (f["warc-record-id"], int(page) if page else None, None if f["warc-x-no-url"] == "1" else f["warc-target-uri"], f["warc-type"], int(ref[10:-1]) if ref else None, f["warc-payload-digest"], int(f["warc-x-payload-length"]), int(f.get("warc-segment-number", 0)), None, block)
+                    page, ref = f["warc-x-page-id"], f.get("warc-x-refers-to-page")
+                    url = None if f["warc-x-no-url"] == "1" else f["warc-target-uri"]
+                    length, number = int(f["warc-x-payload-length"]), int(f.get("warc-segment-number", 0))
+                    row = (f["warc-record-id"], int(page) if page else None, url, f["warc-type"], int(ref) if ref else None, f["warc-payload-digest"], length, number, None, block)
                 rows.append(row)
                 held += len(block)
                 if held > 8_000_000:
@@ -212,13 +236,17 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     block = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"]))
     numbers = F.transform("parts", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("parts"))
     sound = numbers & (F.length("block") == F.col("total")) & F.col("kind").isNotNull()
-    joined = joined.withColumn("block", block).withColumn("block", F.when(sound, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing or do not have the stated length: "), F.col("name"))).cast("binary")))
+    refused = F.raise_error(F.concat(F.lit("segments are missing or do not have the stated length: "), F.col("name"))).cast("binary")
+    joined = joined.withColumn("block", block).withColumn("block", F.when(sound, F.col("block")).otherwise(refused))
     columns = whole.columns
     return whole.unionByName(joined.select(*columns)).mapInArrow(_opened(with_payload), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes all pages into archives in the shared folder and reads them back, without the payloads."""
+    """Writes all pages into archives in the shared folder and reads them back, without the payloads.
+
+    A row a page: page_id, payload_bytes, payload_digest, record_type, refers_to; nulls, repeated rows and empty tables as in ``write``.
+    """
     path = f"{work_dir(pages.sparkSession)}/warc"
     write(pages, path)
     return read(pages.sparkSession, path, with_payload=False).drop("payload").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
