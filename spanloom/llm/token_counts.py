@@ -64,7 +64,7 @@ class PieceCounter:
                 self.known[chunk] = self._long(chunk)
                 continue
             group.append(chunk)
-            held += len(chunk)
+            held += len(chunk.encode("utf-8", "surrogatepass"))
             if held >= GROUP_BYTES:
                 self._encode(group)
                 group, held = [], 0
@@ -86,12 +86,14 @@ class PieceCounter:
     def bare(self) -> int:
         return len(self.model.encode("\n"))
 
-    def count(self, texts: list[str | None]) -> list[int]:
+    def count(self, texts: list[str | None], sizes: list[int] | None = None) -> list[int]:
+        """Tokens of each text; sizes are their bytes, by which texts go in groups."""
+        sizes = sizes or [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
         out, i = [], 0
         while i < len(texts):
             group, held = [], 0
             while i < len(texts) and (not group or held < 4 * GROUP_BYTES):
-                held += len(texts[i] or "")
+                held += sizes[i]
                 group.append(self.chunks(texts[i]) if texts[i] else [])
                 i += 1
             if len(self.known) > REMEMBERED:
@@ -121,8 +123,9 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
         encoder = counter(model_file)
         for batch in batches:
             _, offs = text_buffer(batch.column(1))
-            n = np.asarray(encoder.count(batch.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
+            sizes = np.diff(offs)
+            n = np.asarray(encoder.count(batch.column(1).to_pylist(), sizes.tolist()), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = ids.schema["id"].dataType.simpleString()

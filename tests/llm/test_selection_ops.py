@@ -328,3 +328,26 @@ def test_pipeline_stages(spark):
             bad = {r.doc_id for r in decontaminate.hits(before, table(spark, SF, "benchmark")).where("contaminated").collect()}
             assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()} - bad
     assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing extra columns and an empty table."""
+    long = " ".join(f"w{k % 977} the {k}" for k in range(60_000))
+    rows = [(1, "The cat sat on the mat and it was good."), (1, "The cat sat on the mat and it was good."), (2, None), (3, ""), (None, "A text without an id is a text."), (None, None), (4, long), (5, long + " end")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, key long, node int, words string, fold int"
+    made = [(i, t, None, "s" if k % 2 else None, None, "x", 1, 2, "y", 3) for k, (i, t) in enumerate(rows)]
+    docs, labels = spark.createDataFrame(made, schema), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", spark.createDataFrame([(1, None), (2, "")], "item_id long, text string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES:
+        left = kept(stage(spark, left, str(tmp_path)), f"{work_dir(spark)}/{name}")
+        if name != "mixing":
+            assert left.columns == docs.columns
+        if name in ("toxicity", "quality"):
+            assert left.count() == len(rows)
+        if name == "near_duplicates":
+            assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "3", "4", "None", "None"]
+    assert left.count() == 6 and corpus_pipeline.run(spark, str(tmp_path)).count() == 6
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -1,5 +1,6 @@
 """Operators on texts against brute force, and their defined results for odd rows."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -299,7 +300,12 @@ def test_archives_round_trip(spark, tmp_path):
         want = (dict((k, h) for k, _, h in rows)[r.page_id] or "").encode()
         assert r.payload_bytes == len(want) and r.payload_digest == hashlib.sha1(want).hexdigest() and (r.record_type == "revisit" or bytes(r.payload) == want)
     assert sorted((r.page_id, r.refers_to) for r in got if r.record_type == "revisit") == [(1, 2), (3, 4)]
+    heads = [f for x in (tmp_path / "warc").glob("*.gz") for f, _ in warc.parse(gzip.decompress(x.read_bytes()))]
+    names = [f["warc-record-id"] for f in heads]
+    assert len(set(names)) == len(names) and [f["warc-refers-to"] in names for f in heads if "warc-refers-to" in f] == [True]  # page 4 is twice there
     assert warc.round_trip(p.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, None, "wörd " * 1_000_000, 0)], p.schema)
+    assert [(r.payload_bytes, r.record_type) for r in warc.round_trip(long).collect()] == [(6_000_000, "response")]
 
 
 def test_chunks_and_broken_archives(spark, tmp_path):
@@ -308,7 +314,7 @@ def test_chunks_and_broken_archives(spark, tmp_path):
     for bad in (b"", b"5\r\nabc", b"3\r\nabc\r\n", b"0\r\n\r\nmore", b"x\r\n"):
         with pytest.raises(ValueError):
             warc.dechunked(bad)
-    records = warc.records_of(1, 1, "u", b"q" * 100_000, None)
+    records = warc.records_of(1, 1, "u", b"q" * 100_000)
     assert len(records) == 4
     folder = tmp_path / "a"
     folder.mkdir()
