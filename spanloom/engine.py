@@ -29,7 +29,14 @@ class GraphStore:
     (op, key, payload, ts), which ``streaming.apply_changes`` reads.
     """
 
-    def __init__(self, spark: SparkSession, graph: Graph | None = None, as_of: str = "9999-12-31T00:00:00.000Z", catalog: O.Catalog | None = None, changes: str | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        graph: Graph | None = None,
+        as_of: str = "9999-12-31T00:00:00.000Z",
+        catalog: O.Catalog | None = None,
+        changes: str | None = None,
+    ):
         self.spark, self.as_of, self.catalog, self.changes = spark, as_of, catalog, changes
         self.graph = graph or Graph(*(spark.createDataFrame([], s) for s in (ENTITIES, RELATIONS, TOMBSTONES)))
         self._path, self._version = None, 0
@@ -117,7 +124,12 @@ class GraphStore:
     def _tell(self, op: str, rows: DataFrame, now: str) -> None:
         """Appends a change a row; key is the first column, the payload the row as JSON."""
         if self.changes:
-            out = rows.select(F.lit(op).alias("op"), F.col(f"`{rows.columns[0]}`").alias("key"), F.to_json(F.struct("*")).alias("payload"), F.to_timestamp(F.lit(now)).alias("ts"))
+            out = rows.select(
+                F.lit(op).alias("op"),
+                F.col(f"`{rows.columns[0]}`").alias("key"),
+                F.to_json(F.struct("*")).alias("payload"),
+                F.to_timestamp(F.lit(now)).alias("ts"),
+            )
             out.write.mode("append").parquet(self.changes)
 
     def put(self, new: DataFrame, now: str, stamp: Column | None = None, strict: bool = True) -> None:

@@ -111,7 +111,14 @@ def mint_uuid7(time: Column | str, *key: Column | str) -> Column:
     h = F.sha2(F.concat_ws("\u0000", *(col(k).cast("string") for k in key)), 256)
     ms = F.lpad(F.lower(F.hex(F.unix_millis(col(time).cast("timestamp")))), 12, "0")
     variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(F.substring(h, 4, 1), 16, 10).cast("int") % 4) + 1)
-    return F.concat_ws("-", F.substring(ms, 1, 8), F.substring(ms, 9, 4), F.concat(F.lit("7"), F.substring(h, 1, 3)), F.concat(variant, F.substring(h, 5, 3)), F.substring(h, 8, 12))
+    return F.concat_ws(
+        "-",
+        F.substring(ms, 1, 8),
+        F.substring(ms, 9, 4),
+        F.concat(F.lit("7"), F.substring(h, 1, 3)),
+        F.concat(variant, F.substring(h, 5, 3)),
+        F.substring(h, 8, 12),
+    )
 
 
 def is_project(name: Column | str) -> Column:

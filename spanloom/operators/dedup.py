@@ -237,8 +237,12 @@ class LayeredDeduplicator:
 
     def dedup(self, new: DataFrame, pool: DataFrame) -> DataFrame:
         """One row a new entity: its decision, or nulls; an entity without a class is never matched."""
-        first = self.results(new.where(class_of().isNotNull()), pool).groupBy("id").agg(F.min_by(F.struct("layer", "match", "confidence"), "layer_ord").alias("d"))
-        return new.select("id", "seq", class_of().isNull().alias("unclassified")).join(first, "id", "left").select("id", "seq", "unclassified", F.col("d.layer").alias("layer"), F.col("d.match").alias("match"), F.col("d.confidence").alias("confidence"))
+        first = self.results(new.where(class_of().isNotNull()), pool).groupBy("id").agg(
+            F.min_by(F.struct("layer", "match", "confidence"), "layer_ord").alias("d")
+        )
+        return new.select("id", "seq", class_of().isNull().alias("unclassified")).join(first, "id", "left").select(
+            "id", "seq", "unclassified", F.col("d.layer").alias("layer"), F.col("d.match").alias("match"), F.col("d.confidence").alias("confidence")
+        )
 
 
 @dataclass
@@ -301,7 +305,9 @@ class IngestPipeline:
         late = decided.where("match is not null").join(first.select("id"), "id", "left_anti")
         errors = late.select("id", F.concat(F.col("match"), F.lit(" has a successor in this batch")).alias("error"))
         if "store" not in skip:
-            stamped = new.join(late.select("id"), "id", "left_anti").join(first, "id", "left").withColumn("supersedes", F.coalesce("_old", "supersedes")).drop("_old")
+            stamped = new.join(late.select("id"), "id", "left_anti").join(first, "id", "left").withColumn(
+                "supersedes", F.coalesce("_old", "supersedes")
+            ).drop("_old")
             entities, relations = self._timed("store", seconds, lambda: self.store(stamped, entities, provenance))
         if self.synthesize and "synthesize" not in skip:
             survivors = decided.where("match is not null").select(F.col("match").alias("id")).distinct()

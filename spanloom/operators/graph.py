@@ -109,9 +109,18 @@ def stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
     sizes = components(entities, relations).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     largest = F.coalesce(F.max("size"), F.lit(0))
     by = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
-    whole = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("components"), largest.alias("largest"), F.coalesce(F.sum(F.when(F.col("size") > 1, F.col("n"))), F.lit(0)).alias("several"), F.coalesce(F.max_by("n", "size"), F.lit(0)).alias("as_large"))
-    nodes = entities.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("layer") == "evidence").alias("evidence"), F.count_if(F.col("layer") == "pattern").alias("pattern"))
-    one = nodes.crossJoin(relations.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(orphans(entities, relations).agg(F.count(F.lit(1)).alias("orphans"))).crossJoin(whole)
+    whole = by.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("components"),
+        largest.alias("largest"),
+        F.coalesce(F.sum(F.when(F.col("size") > 1, F.col("n"))), F.lit(0)).alias("several"),
+        F.coalesce(F.max_by("n", "size"), F.lit(0)).alias("as_large"),
+    )
+    nodes = entities.agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("layer") == "evidence").alias("evidence"), F.count_if(F.col("layer") == "pattern").alias("pattern")
+    )
+    one = nodes.crossJoin(relations.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(
+        orphans(entities, relations).agg(F.count(F.lit(1)).alias("orphans"))
+    ).crossJoin(whole)
     islands = F.when(F.col("largest") > 1, F.col("several") - F.col("as_large")).otherwise(F.lit(0))
     share = F.when(F.col("nodes") > 0, F.col("largest") / F.col("nodes")).otherwise(F.lit(0.0))
     return one.select("nodes", "edges", "evidence", "pattern", "orphans", "components", "largest", share.alias("connectivity"), islands.alias("islands"))
@@ -147,7 +156,9 @@ def all_chains(successors: DataFrame) -> DataFrame:
     """
     path = work_dir(successors.sparkSession)
     nodes = successors.select(F.col("from").alias("id")).unionByName(successors.select(F.col("to").alias("id"))).distinct()
-    back = nodes.join(successors.select(F.col("to").alias("id"), F.col("from").alias("up")), "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("position"))
+    back = nodes.join(successors.select(F.col("to").alias("id"), F.col("from").alias("up")), "id", "left").select(
+        "id", F.coalesce("up", "id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("position")
+    )
     k, before = 0, None
     while True:
         back = written(back, f"{path}/{k}")
@@ -155,7 +166,11 @@ def all_chains(successors: DataFrame) -> DataFrame:
         if now == before or k > 40:
             break
         up = back.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("position").alias("more"))
-        back, before, k = back.join(up, "up").select("id", F.col("further").alias("up"), (F.col("position") + F.when(F.col("further") == F.col("up"), F.lit(0)).otherwise(F.col("more"))).alias("position")), now, k + 1
+        back, before, k = back.join(up, "up").select(
+            "id",
+            F.col("further").alias("up"),
+            (F.col("position") + F.when(F.col("further") == F.col("up"), F.lit(0)).otherwise(F.col("more"))).alias("position"),
+        ), now, k + 1
     tops = nodes.join(successors.select(F.col("to").alias("id")), "id", "left_anti").select(F.col("id").alias("up"))
     return back.join(tops, "up", "left_semi").select("id", F.col("up").alias("origin"), "position")
 
@@ -166,11 +181,17 @@ def modularity(relations: DataFrame, labels: DataFrame) -> DataFrame:
     b = labels.select(F.col("id").alias("to"), F.col("community").alias("cb"))
     edges = relations.select("from", "to").join(a, "from").join(b, "to")
     inside = edges.agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.sum((F.col("ca") == F.col("cb")).cast("double")), F.lit(0.0)).alias("inside"))
-    squares = edges.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("d")).agg(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0.0)).alias("dd"))
-    return inside.crossJoin(squares).select(F.when(F.col("m") > 0, F.col("inside") / F.col("m") - F.col("dd") / (4.0 * F.col("m") * F.col("m"))).otherwise(F.lit(0.0)).alias("modularity"))
+    squares = edges.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("d")).agg(
+        F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0.0)).alias("dd")
+    )
+    return inside.crossJoin(squares).select(
+        F.when(F.col("m") > 0, F.col("inside") / F.col("m") - F.col("dd") / (4.0 * F.col("m") * F.col("m"))).otherwise(F.lit(0.0)).alias("modularity")
+    )
 
 
-def communities(entities: DataFrame, relations: DataFrame, algorithm: str = "louvain", seed: int = 0x43065EED, min_size: int = 1, most: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+def communities(entities: DataFrame, relations: DataFrame, algorithm: str = "louvain", seed: int = 0x43065EED, min_size: int = 1, most: int = 500) -> tuple[
+    DataFrame, DataFrame, DataFrame
+]:
     """Communities (community, size), largest first, their members (community, id) and their modularity.
 
     Louvain in rounds: every node looks for the neighbouring community of the largest gain. In even rounds it may
@@ -194,7 +215,9 @@ def communities(entities: DataFrame, relations: DataFrame, algorithm: str = "lou
         label = _level(edges, total, seed, most, f"{path}/{level}")
         moved = not label.where("u <> c").isEmpty()
         level += 1
-        member = member.join(label.select(F.col("u").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community"))
+        member = member.join(label.select(F.col("u").alias("community"), "c"), "community", "left").select(
+            "id", F.coalesce("c", "community").alias("community")
+        )
         member = written(member, f"{path}/member{level}")
         a, b = label.select("u", F.col("c").alias("cu")), label.select(F.col("u").alias("v"), F.col("c").alias("cv"))
         edges = edges.join(a, "u").join(b, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))

@@ -86,7 +86,12 @@ def merge_graphs(sources: list[Graph | None]) -> Merged:
     dead = lambda kind: tombs.where(F.col("kind") == kind).select(F.col("key").alias("dead_key"), stamp_ms("at").alias("dead_at"))
     nodes = _latest(_stacked([s and s.entities for s in sources]), ["id"], entity_stamp(), strict_updates=True)
     # a sighting counts as a replacement if it is later than all before it
-    overtakes = F.aggregate("sightings", F.struct(F.lit(None).cast("long").alias("top"), F.lit(0).alias("n")), lambda a, s: F.struct(F.greatest(a["top"], s["stamp"]).alias("top"), (a["n"] + F.when(s["stamp"] > a["top"], 1).otherwise(0)).alias("n")), lambda a: a["n"])
+    overtakes = F.aggregate(
+        "sightings",
+        F.struct(F.lit(None).cast("long").alias("top"), F.lit(0).alias("n")),
+        lambda a, s: F.struct(F.greatest(a["top"], s["stamp"]).alias("top"), (a["n"] + F.when(s["stamp"] > a["top"], 1).otherwise(0)).alias("n")),
+        lambda a: a["n"],
+    )
     nodes = nodes.withColumn("replaced", overtakes).join(dead("entities"), F.col("id") == F.col("dead_key"), "left")
     nodes = nodes.withColumn("killed", F.coalesce(F.col("dead_at") >= F.col("stamp"), F.lit(False)))
     live = nodes.where("not killed")
@@ -108,7 +113,9 @@ def merge_graphs(sources: list[Graph | None]) -> Merged:
     edge_columns = next(s for s in sources if s).relations.columns
     graph = Graph(live.select(*node_columns), edges.where("fate = 'live'").select(*edge_columns), tombs)
     counts = nodes.agg(F.coalesce(F.sum("replaced"), F.lit(0)).alias("replaced"), F.count_if("killed").alias("entitiesTombstoned"))
-    counts = counts.crossJoin(edges.agg(F.count_if(F.col("fate") == "tombstoned").alias("relationsTombstoned"), F.count_if(F.col("fate") == "dangling").alias("dangling")))
+    counts = counts.crossJoin(
+        edges.agg(F.count_if(F.col("fate") == "tombstoned").alias("relationsTombstoned"), F.count_if(F.col("fate") == "dangling").alias("dangling"))
+    )
     return Merged(graph, edges.where("fate = 'dangling'").select(*edge_columns, F.col("first_src").alias("origin")), counts)
 
 

@@ -95,7 +95,20 @@ class Catalog:
         rows = []
         for name, c in self.classes.items():
             props = {k: (p.get("type"), p.get("required"), p.get("enum"), p.get("format")) for k, p in c["properties"].items()}
-            rows.append((name, c["source"], c["load_ord"], c.get("extends"), c.get("description"), c.get("defaultLayer"), c["relationships"], props, c.get("level"), c.get("parent")))
+            rows.append(
+                (
+                    name,
+                    c["source"],
+                    c["load_ord"],
+                    c.get("extends"),
+                    c.get("description"),
+                    c.get("defaultLayer"),
+                    c["relationships"],
+                    props,
+                    c.get("level"),
+                    c.get("parent"),
+                )
+            )
         return spark.createDataFrame(rows, CLASSES)
 
     def ancestors(self, spark: SparkSession) -> DataFrame:
@@ -126,7 +139,9 @@ def class_listing(catalog: DataFrame, display: dict[str, dict] | None = None, sy
     spark = catalog.sparkSession
     rows = catalog.select("load_ord", "name", "level", F.coalesce("parent", "extends").alias("parent"))
     if system == "coding":
-        missing = spark.createDataFrame([(k, c, 0, None) for k, c in enumerate(dict.fromkeys(ROOTS.values()), -9)], "load_ord int, name string, level int, parent string")
+        missing = spark.createDataFrame(
+            [(k, c, 0, None) for k, c in enumerate(dict.fromkeys(ROOTS.values()), -9)], "load_ord int, name string, level int, parent string"
+        )
         rows = missing.join(names.select("name"), "name", "left_anti").select(*rows.columns).unionByName(rows)
     hints = spark.createDataFrame([(k, h) for k, h in display.items()], "name string, display map<string,string>")
     return rows.join(F.broadcast(hints), "name", "left").orderBy("load_ord").select("name", "level", "parent", "display")
@@ -146,7 +161,12 @@ def inherited(classes: DataFrame, field: str = "properties") -> DataFrame:
         joined = level.join(parents, "up", "left")
         earlier = F.col("up_ord") < F.col("load_ord")
         bag = F.when(earlier, overlay(F.col("more"), F.col("bag"))).otherwise(F.col("bag"))
-        level = joined.select("name", F.when(earlier, F.col("further")).alias("up"), F.when(earlier, F.col("up_ord")).otherwise(F.col("load_ord")).alias("load_ord"), bag.alias("bag"))
+        level = joined.select(
+            "name",
+            F.when(earlier, F.col("further")).alias("up"),
+            F.when(earlier, F.col("up_ord")).otherwise(F.col("load_ord")).alias("load_ord"),
+            bag.alias("bag"),
+        )
         k += 1
     return level.select("name", F.col("bag").alias(field))
 

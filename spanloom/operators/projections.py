@@ -25,12 +25,29 @@ def entity_to_wire(entities: DataFrame) -> DataFrame:
     packed = packed_provenance()
     meta = F.coalesce("metadata", _pairs())
     own = F.when(packed.isNotNull() & F.col("metadata")["provenance"].isNull(), F.to_json(packed))
-    return entities.select("id", "name", "entityType", "layer", "description", "createdAt", "updatedAt", with_fields(meta, keep=True, provenance=own).alias("metadata"), "ontologyClass")
+    return entities.select(
+        "id",
+        "name",
+        "entityType",
+        "layer",
+        "description",
+        "createdAt",
+        "updatedAt",
+        with_fields(meta, keep=True, provenance=own).alias("metadata"),
+        "ontologyClass",
+    )
 
 
 def relation_to_wire(relations: DataFrame) -> DataFrame:
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return relations.select(F.coalesce("key", F.concat_ws("|", "from", "to", "type")).alias("key"), "from", "to", "type", F.coalesce("metadata", empty).alias("metadata"), F.coalesce("createdAt", F.lit("")).alias("createdAt"))
+    return relations.select(
+        F.coalesce("key", F.concat_ws("|", "from", "to", "type")).alias("key"),
+        "from",
+        "to",
+        "type",
+        F.coalesce("metadata", empty).alias("metadata"),
+        F.coalesce("createdAt", F.lit("")).alias("createdAt"),
+    )
 
 
 def stats_to_wire(stats: DataFrame) -> DataFrame:
@@ -155,7 +172,9 @@ def map_digests(rows: DataFrame, stamp: Column) -> DataFrame:
 def map_insights(rows: DataFrame, stamp: Column) -> DataFrame:
     """Online insights: patterns, named by their topic."""
     made = F.coalesce(_field(rows, "createdAt"), F.lit(_EPOCH))
-    meta = _pairs(subsystem=F.lit("online"), digestIds=_list_text(rows, "digestIds"), confidence=_field(rows, "confidence", "double"), project=_field(rows, "project"))
+    meta = _pairs(
+        subsystem=F.lit("online"), digestIds=_list_text(rows, "digestIds"), confidence=_field(rows, "confidence", "double"), project=_field(rows, "project")
+    )
     return _entity(rows, "Insight", "pattern", _or_empty(_field(rows, "topic")), made, made, meta, stamp)
 
 

@@ -58,7 +58,9 @@ def repeated_content(rows: DataFrame, text: str, id_col: str) -> DataFrame:
     return hashed.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("first", "n")
 
 
-def recent_by_agent(entities: DataFrame, agent: str, since: str, limit: int, as_of: str, ontology_class: str = "Observation", superseded: bool = False) -> DataFrame:
+def recent_by_agent(
+    entities: DataFrame, agent: str, since: str, limit: int, as_of: str, ontology_class: str = "Observation", superseded: bool = False
+) -> DataFrame:
     """Newest first; the bound is exclusive and compared as text; a limit of 0 or less gives all."""
     made = F.col("metadata")["createdAt"]
     rows = entities.where(of_class(ontology_class) & (F.col("metadata")["agent"] == agent) & (made > since))
@@ -94,7 +96,9 @@ def packed_run() -> Column:
     return F.coalesce(F.col("provenance.createdBy.runId"), F.when(F.col("provenance").isNull(), F.col("createdBy.runId")))
 
 
-def filtered(entities: DataFrame, as_of: str, ontology_class: str | None = None, run: str | None = None, tenant: Callable[[], Column | None] | None = None) -> DataFrame:
+def filtered(
+    entities: DataFrame, as_of: str, ontology_class: str | None = None, run: str | None = None, tenant: Callable[[], Column | None] | None = None
+) -> DataFrame:
     """Active entities by class, run and tenant, in insertion order. tenant makes a condition, or None for no filter."""
     rows = find_by_class(entities, ontology_class, as_of) if ontology_class else scan(entities, as_of)
     if run is not None:
@@ -110,7 +114,10 @@ def list_entities(entities: DataFrame, as_of: str, limit: int = 0, offset: int =
 
 def search(entities: DataFrame, q: str, as_of: str, limit: int = 20) -> DataFrame:
     """Active entities that hold q: 3 points for the name, 2 for the description, 1 for the metadata as JSON."""
-    score = sum((F.when(contains_ci(c, q), F.lit(n)).otherwise(F.lit(0)) for c, n in (("name", 3), ("description", 2))), F.when(contains_ci(F.to_json("metadata"), q), F.lit(1)).otherwise(F.lit(0)))
+    score = sum(
+        (F.when(contains_ci(c, q), F.lit(n)).otherwise(F.lit(0)) for c, n in (("name", 3), ("description", 2))),
+        F.when(contains_ci(F.to_json("metadata"), q), F.lit(1)).otherwise(F.lit(0)),
+    )
     rows = entities.where(F.lit(bool(q)) & is_active(as_of)).withColumn("score", score).where("score > 0")
     rows = rows.select(F.concat_ws(":", "layer", "id").alias("nodeId"), "id", "name", "score", "seq").orderBy(F.desc("score"), "seq").drop("seq")
     return rows.limit(limit) if limit > 0 else rows

@@ -23,7 +23,9 @@ class Reprojection:
     counts: DataFrame
 
 
-def reproject_online(entities: DataFrame, relations: DataFrame, observations: DataFrame, digests: DataFrame, insights: DataFrame, stamp: Column, now: str) -> Reprojection:
+def reproject_online(
+    entities: DataFrame, relations: DataFrame, observations: DataFrame, digests: DataFrame, insights: DataFrame, stamp: Column, now: str
+) -> Reprojection:
     """Idempotent by class and legacy id: rows that are stored already are left alone, so a second run writes nothing.
 
     Legacy ids stay as given, so lookups by them work; ids of the three tables may agree, as their classes differ. Entity
@@ -31,7 +33,11 @@ def reproject_online(entities: DataFrame, relations: DataFrame, observations: Da
     ``aggregates`` edges; a reference to an unknown row is a warning.
     """
     kinds = {f.name: f.dataType for f in entities.sparkSession.createDataFrame([], ENTITIES).schema}
-    sources = (("Observation", projections.map_observations, observations), ("Digest", projections.map_digests, digests), ("Insight", projections.map_insights, insights))
+    sources = (
+        ("Observation", projections.map_observations, observations),
+        ("Digest", projections.map_digests, digests),
+        ("Insight", projections.map_insights, insights),
+    )
     every, counts = entities, None
     for kind, f, rows in sources:
         mapped = f(rows, stamp)
@@ -50,7 +56,14 @@ def reproject_online(entities: DataFrame, relations: DataFrame, observations: Da
         found, missed = aggregates_edges(owners, "refs", named.where(F.col("kind") == owned))
         edges, warnings = (found, missed) if edges is None else (edges.unionByName(found), warnings.unionByName(missed))
     edges = edges.join(relations.select("from", "to", "type"), ["from", "to", "type"], "left_anti")
-    edges = edges.select(F.pmod(F.xxhash64("from", "to"), F.lit(2**62)).alias("seq"), F.concat_ws("|", "from", "to", "type").alias("key"), "from", "to", "type", F.lit(now).alias("createdAt"))
+    edges = edges.select(
+        F.pmod(F.xxhash64("from", "to"), F.lit(2**62)).alias("seq"),
+        F.concat_ws("|", "from", "to", "type").alias("key"),
+        "from",
+        "to",
+        "type",
+        F.lit(now).alias("createdAt"),
+    )
     return Reprojection(every, relations.unionByName(edges, allowMissingColumns=True), warnings, counts)
 
 

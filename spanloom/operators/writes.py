@@ -91,7 +91,14 @@ def supersede(entities: DataFrame, relations: DataFrame, new: DataFrame) -> tupl
     _refuse(links.groupBy("old").count().where("count > 1"), "ids with two successors in one batch")
     closed = entities.join(links, entities["id"] == links["old"], "left")
     closed = closed.withColumns({"validUntil": F.coalesce("at", "validUntil"), "updatedAt": F.coalesce("at", "updatedAt")}).select(*entities.columns)
-    edges = links.select(F.xxhash64("old", "next").alias("seq"), F.concat_ws("|", "old", "next", F.lit(SUPERSEDED_BY)).alias("key"), F.col("old").alias("from"), F.col("next").alias("to"), F.lit(SUPERSEDED_BY).alias("type"), F.col("at").alias("createdAt"))
+    edges = links.select(
+        F.xxhash64("old", "next").alias("seq"),
+        F.concat_ws("|", "old", "next", F.lit(SUPERSEDED_BY)).alias("key"),
+        F.col("old").alias("from"),
+        F.col("next").alias("to"),
+        F.lit(SUPERSEDED_BY).alias("type"),
+        F.col("at").alias("createdAt"),
+    )
     return closed, relations.unionByName(edges, allowMissingColumns=True)
 
 
@@ -118,7 +125,9 @@ def merge_attributes(entities: DataFrame, id_: str, changes: dict[str, Column])
 # ---------------------------------------------------------------- relations
 
 
-def add_relations(entities: DataFrame, relations: DataFrame, tombstones: DataFrame, new: DataFrame, now: str, self_loops: bool = False) -> tuple[DataFrame, DataFrame]:
+def add_relations(
+    entities: DataFrame, relations: DataFrame, tombstones: DataFrame, new: DataFrame, now: str, self_loops: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Upserts by (from, type, to). The first record keeps its attributes, metadata is overlaid in order of seq, and
     the first createdAt in metadata stays. Ends must exist; edges to oneself are refused unless asked for.
     A missing key is minted of the triple. A relation that had a tombstone is alive again, stamped with its time. Only
@@ -134,9 +143,16 @@ def add_relations(entities: DataFrame, relations: DataFrame, tombstones: DataFra
     revived = new.join(dead, relation_key(*triple) == F.col("_dead"), "left")
     stamped = overlay(F.col("metadata"), F.create_map(F.lit("updatedAt"), F.lit(now)))
     minted = F.concat_ws("|", "from", "to", "type")
-    revived = revived.withColumns({"metadata": F.when(F.col("_dead").isNotNull(), stamped).otherwise(F.col("metadata")), "key": F.coalesce(F.col("key"), minted) if "key" in new.columns else minted})
+    revived = revived.withColumns(
+        {
+            "metadata": F.when(F.col("_dead").isNotNull(), stamped).otherwise(F.col("metadata")),
+            "key": F.coalesce(F.col("key"), minted) if "key" in new.columns else minted,
+        }
+    )
     touched = small(new.select(*triple).distinct())
-    both = relations.join(touched, triple, "left_semi").withColumn("_turn", F.lit(0)).unionByName(revived.drop("_dead").withColumn("_turn", F.lit(1)), allowMissingColumns=True)
+    both = relations.join(touched, triple, "left_semi").withColumn("_turn", F.lit(0)).unionByName(
+        revived.drop("_dead").withColumn("_turn", F.lit(1)), allowMissingColumns=True
+    )
     after = relations.join(touched, triple, "left_anti").select(*relations.columns).unionByName(_folded(both, relations.columns))
     alive = new.select(relation_key(*triple).alias("key"), F.lit("relations").alias("kind"))
     return after, tombstones.join(alive, ["kind", "key"], "left_anti").select(*tombstones.columns)
@@ -160,11 +176,15 @@ def remove_relations(relations: DataFrame, tombstones: DataFrame, keys: DataFram
     """Drops relations by key and leaves tombstones of their triples; unknown keys do nothing."""
     gone = small(keys.select("key").distinct())
     empty = F.struct(*(F.lit(None).cast("string").alias(c) for c in ("project", "team", "domain")))
-    fresh = relations.join(gone, "key", "left_semi").select(F.lit("relations").alias("kind"), relation_key("from", "type", "to").alias("key"), F.lit(now).alias("at"), empty.alias("meta"))
+    fresh = relations.join(gone, "key", "left_semi").select(
+        F.lit("relations").alias("kind"), relation_key("from", "type", "to").alias("key"), F.lit(now).alias("at"), empty.alias("meta")
+    )
     return relations.join(gone, "key", "left_anti").select(*relations.columns), _latest(tombstones, fresh)
 
 
-def batch(entities: DataFrame, relations: DataFrame, tombstones: DataFrame, now: str, puts: DataFrame | None = None, deletes: DataFrame | None = None, adds: DataFrame | None = None, removes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def batch(entities: DataFrame, relations: DataFrame, tombstones: DataFrame, now: str, puts: DataFrame | None = None, deletes: DataFrame | None = None, adds: DataFrame | None = None, removes: DataFrame | None = None) -> tuple[
+    DataFrame, DataFrame, DataFrame
+]:
     """Puts (trusted), deletes, added relations, and relations removed by triple, all or none: checks come first."""
     if puts is not None:
         last = puts.groupBy("id").agg(F.max_by(F.struct(*puts.columns), "seq").alias("w")).select("w.*")
@@ -174,7 +194,9 @@ def batch(entities: DataFrame, relations: DataFrame, tombstones: DataFrame, now:
     if adds is not None:
         relations, tombstones = add_relations(entities, relations, tombstones, adds, now)
     if removes is not None:
-        first = relations.join(small(removes.select("from", "type", "to").distinct()), ["from", "type", "to"]).groupBy("from", "type", "to").agg(F.min_by("key", "seq").alias("key"))
+        first = relations.join(small(removes.select("from", "type", "to").distinct()), ["from", "type", "to"]).groupBy("from", "type", "to").agg(
+            F.min_by("key", "seq").alias("key")
+        )
         relations, tombstones = remove_relations(relations, tombstones, first, now)
     return entities, relations, tombstones
 
@@ -209,15 +231,46 @@ def merge_entities(entities: DataFrame, relations: DataFrame, survivors: DataFra
     _refuse(survivors.join(taken, "dup", "left_semi").select("dup"), "duplicates that have a successor")
     record = F.struct(F.col("dup").alias("mergedId"), F.lit(now).alias("mergedAt"), F.lit(by).alias("mergedBy"), F.lit(reason).alias("mergedReason"))
     parts = survivors.join(entities.select(F.col("id").alias("dup"), "seq", F.col("descriptionSegments").alias("_s")), "dup")
-    gained = parts.groupBy("survivor").agg(F.count(F.lit(1)).alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("seq", record.alias("r")))), lambda x: x["r"]).alias("_h"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_s"))), lambda x: F.coalesce(x["_s"], F.array().cast(entities.schema["descriptionSegments"].dataType)))).alias("_more"))
+    gained = parts.groupBy("survivor").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", record.alias("r")))), lambda x: x["r"]).alias("_h"),
+        F.flatten(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("seq", "_s"))),
+                lambda x: F.coalesce(x["_s"], F.array().cast(entities.schema["descriptionSegments"].dataType)),
+            )
+        ).alias("_more"),
+    )
     dups = survivors.select("dup", F.lit(True).alias("_dup"))
     out = entities.join(dups, entities["id"] == dups["dup"], "left").join(gained, entities["id"] == gained["survivor"], "left")
     count = F.coalesce("provenance.confirmationCount", F.lit(1)) + F.col("_n")
-    prov = F.when(F.col("_n").isNull(), F.col("provenance")).otherwise(F.struct(F.col("provenance.createdBy").alias("createdBy"), F.col("provenance.lastConfirmedBy").alias("lastConfirmedBy"), count.cast("bigint").alias("confirmationCount")))
+    prov = F.when(F.col("_n").isNull(), F.col("provenance")).otherwise(
+        F.struct(
+            F.col("provenance.createdBy").alias("createdBy"),
+            F.col("provenance.lastConfirmedBy").alias("lastConfirmedBy"),
+            count.cast("bigint").alias("confirmationCount"),
+        )
+    )
     join = lambda c, more: F.when(F.col(more).isNull(), F.col(c)).otherwise(F.concat(F.coalesce(F.col(c), F.array().cast(entities.schema[c].dataType)), F.col(more)))
     closed = F.when(F.col("_dup"), F.lit(now))
-    out = out.withColumns({"provenance": prov, "resolutionHistory": join("resolutionHistory", "_h"), "descriptionSegments": join("descriptionSegments", "_more"), "validUntil": F.coalesce(closed, "validUntil"), "updatedAt": F.coalesce(closed, "updatedAt")})
-    edges = survivors.select(F.xxhash64("dup").alias("seq"), F.concat_ws("|", "dup", "survivor", F.lit(SUPERSEDED_BY)).alias("key"), F.col("dup").alias("from"), F.col("survivor").alias("to"), F.lit(SUPERSEDED_BY).alias("type"), F.lit(now).alias("createdAt"), F.lit(now).alias("validFrom"))
+    out = out.withColumns(
+        {
+            "provenance": prov,
+            "resolutionHistory": join("resolutionHistory", "_h"),
+            "descriptionSegments": join("descriptionSegments", "_more"),
+            "validUntil": F.coalesce(closed, "validUntil"),
+            "updatedAt": F.coalesce(closed, "updatedAt"),
+        }
+    )
+    edges = survivors.select(
+        F.xxhash64("dup").alias("seq"),
+        F.concat_ws("|", "dup", "survivor", F.lit(SUPERSEDED_BY)).alias("key"),
+        F.col("dup").alias("from"),
+        F.col("survivor").alias("to"),
+        F.lit(SUPERSEDED_BY).alias("type"),
+        F.lit(now).alias("createdAt"),
+        F.lit(now).alias("validFrom"),
+    )
     return out.select(*entities.columns), rewired(relations, survivors).unionByName(edges, allowMissingColumns=True)
 
 
@@ -263,7 +316,15 @@ def _ordinals(rows: DataFrame, by: str, chunk: int = 100_000) -> DataFrame:
     return rows.withColumn("_at", place).join(sizes, [by, "_chunk"]).withColumn("_place", F.col("_at") + F.col("_before")).drop("_chunk", "_at", "_before")
 
 
-def resolve_plan(entities: DataFrame, relations: DataFrame, classes: list[str], matcher: Matcher | None = None, batch_size: int = 30, threshold: float = 0.7, dry_run: bool = False) -> DataFrame:
+def resolve_plan(
+    entities: DataFrame,
+    relations: DataFrame,
+    classes: list[str],
+    matcher: Matcher | None = None,
+    batch_size: int = 30,
+    threshold: float = 0.7,
+    dry_run: bool = False,
+) -> DataFrame:
     """(class, dup, dup_name, survivor, survivor_name, confidence): duplicates inside batches of each class, in insertion order.
 
     Any matcher does: by name, by vector, or one that asks a model. A subject takes its best candidate; of those with
@@ -306,11 +367,15 @@ def resolve_plan(entities: DataFrame, relations: DataFrame, classes: list[str],
     return pairs.groupBy("_batch").applyInPandas(take, "class string, dup string, dup_name string, survivor string, survivor_name string, confidence double")
 
 
-def resolve_entities(entities: DataFrame, relations: DataFrame, classes: list[str], now: str, matcher: Matcher | None = None, dry_run: bool = False, by: str = "", **how) -> tuple[DataFrame, DataFrame, Resolution]:
+def resolve_entities(entities: DataFrame, relations: DataFrame, classes: list[str], now: str, matcher: Matcher | None = None, dry_run: bool = False, by: str = "", **how) -> tuple[
+    DataFrame, DataFrame, Resolution
+]:
     """The tables with duplicates merged (as they were in a dry run), and what was done, with counts by class."""
     merges = resolve_plan(entities, relations, classes, matcher, dry_run=dry_run, **how)
     merges = written(merges, f"{work_dir(entities.sparkSession)}/merges")  # a matcher is asked once
-    scanned = entities.where(F.coalesce("ontologyClass", "entityType").isin(*classes)).groupBy(F.coalesce("ontologyClass", "entityType").alias("class")).agg(F.count(F.lit(1)).alias("scanned"))
+    scanned = entities.where(F.coalesce("ontologyClass", "entityType").isin(*classes)).groupBy(F.coalesce("ontologyClass", "entityType").alias("class")).agg(
+        F.count(F.lit(1)).alias("scanned")
+    )
     counts = scanned.join(merges.groupBy("class").agg(F.count(F.lit(1)).alias("matches")), "class", "left").na.fill(0, ["matches"])
     if not dry_run:
         entities, relations = merge_entities(entities, relations, merges.select("dup", "survivor"), now, by, "resolved")
@@ -321,7 +386,9 @@ def backfill(entities: DataFrame, valid_from: Column, stamp: Column) -> DataFram
     """Entities without validFrom get one and a provenance; others stay, so a second run changes nothing."""
     missing = F.col("validFrom").isNull()
     made = F.struct(stamp.alias("createdBy"), stamp.alias("lastConfirmedBy"), F.lit(1).cast("bigint").alias("confirmationCount"))
-    return entities.withColumn("provenance", F.when(missing, F.coalesce("provenance", made)).otherwise(F.col("provenance"))).withColumn("validFrom", F.coalesce("validFrom", valid_from))
+    return entities.withColumn("provenance", F.when(missing, F.coalesce("provenance", made)).otherwise(F.col("provenance"))).withColumn(
+        "validFrom", F.coalesce("validFrom", valid_from)
+    )
 
 
 def reproject(rows: DataFrame, entities: DataFrame) -> DataFrame:

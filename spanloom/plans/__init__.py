@@ -10,7 +10,9 @@ HISTORY = "struct<mergedId:string,mergedAt:string,mergedBy:string,mergedReason:s
 #: seq is the order of insertion; every "first" and every stable sort goes by it.
 ENTITIES = (
     "seq bigint, id string, name string, entityType string, ontologyClass string, layer string, description string, createdAt string, updatedAt string, "
-    f"validFrom string, validUntil string, supersedes string, legacyId struct<system:string,id:string>, embedding array<double>, metadata map<string,string>, provenance {PROVENANCE}, "
+    f"validFrom string, validUntil string, supersedes string, legacyId struct<system:string,id:string>, embedding array<double>, metadata map<string,string>, provenance {
+        PROVENANCE
+    }, "
     f"createdBy {STAMP}, lastConfirmedBy {STAMP}, confirmationCount bigint, descriptionSegments array<{SEGMENT}>, resolutionHistory array<{HISTORY}>"
 )
 RELATIONS = "seq bigint, key string, `from` string, `to` string, type string, metadata map<string,string>, createdAt string, validFrom string, validUntil string"

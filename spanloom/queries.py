@@ -43,11 +43,19 @@ def events_as_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fn.iso("ts")
     return _shaped(
         e.select(
-            F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("id"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("name"), F.col("event_type").alias("entityType"), F.lit("Observation").alias("ontologyClass"),
-            F.when(F.col("event_type") == "purchase", "pattern").otherwise("evidence").alias("layer"), F.col("props").alias("description"), made.alias("createdAt"), made.alias("updatedAt"), F.when(F.col("event_type") == "error", made).alias("validUntil"),
+            F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("id"), F.concat_ws(
+                " ", "event_type", F.col("user_id").cast("string")
+            ).alias("name"), F.col("event_type").alias("entityType"), F.lit("Observation").alias("ontologyClass"),
+            F.when(
+                F.col("event_type") == "purchase", "pattern"
+            ).otherwise("evidence").alias("layer"), F.col("props").alias("description"), made.alias("createdAt"), made.alias("updatedAt"), F.when(F.col("event_type") == "error", made).alias("validUntil"),
             F.struct(F.lit("A").alias("system"), F.col("event_id").cast("string").alias("id")).alias("legacyId"),
-            F.create_map(F.lit("agent"), F.col("user_id").cast("string"), F.lit("createdAt"), made, F.lit("content_hash"), F.md5(F.col("props").cast("binary"))).alias("metadata"),
-            F.struct(F.lit("p").alias("provider"), F.col("event_type").alias("model"), F.col("user_id").cast("string").alias("runId"), made.alias("timestamp")).alias("createdBy"),
+            F.create_map(
+                F.lit("agent"), F.col("user_id").cast("string"), F.lit("createdAt"), made, F.lit("content_hash"), F.md5(F.col("props").cast("binary"))
+            ).alias("metadata"),
+            F.struct(
+                F.lit("p").alias("provider"), F.col("event_type").alias("model"), F.col("user_id").cast("string").alias("runId"), made.alias("timestamp")
+            ).alias("createdBy"),
         ),
         ENTITIES,
     )
@@ -55,19 +63,41 @@ def events_as_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts_as_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "part")
-    return _shaped(p.select(F.col("p_partkey").alias("seq"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("entityType"), F.col("p_type").alias("description"), F.lit("evidence").alias("layer"), F.create_map(F.lit("domain"), F.col("p_brand")).alias("metadata")), ENTITIES)
+    return _shaped(
+        p.select(
+            F.col("p_partkey").alias("seq"),
+            F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"),
+            F.col("p_name").alias("name"),
+            F.col("p_brand").alias("entityType"),
+            F.col("p_type").alias("description"),
+            F.lit("evidence").alias("layer"),
+            F.create_map(F.lit("domain"), F.col("p_brand")).alias("metadata"),
+        ),
+        ENTITIES,
+    )
 
 
 def suppliers_as_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _t(spark, sf_dir, "supplier")
-    return _shaped(s.select((F.col("s_suppkey") + 1_000_000_000).alias("seq"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("Supplier").alias("entityType"), F.lit("pattern").alias("layer")), ENTITIES)
+    return _shaped(
+        s.select(
+            (F.col("s_suppkey") + 1_000_000_000).alias("seq"),
+            F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"),
+            F.col("s_name").alias("name"),
+            F.lit("Supplier").alias("entityType"),
+            F.lit("pattern").alias("layer"),
+        ),
+        ENTITIES,
+    )
 
 
 def sold_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part -> supplier edges, one a line item; metadata holds the day it was shipped."""
     x, shipped = _t(spark, sf_dir, "lineitem"), fn.iso("l_shipdate")
     edges = x.select(
-        F.expr("(l_orderkey * 10 + l_linenumber) * 100000 + unix_date(to_date(l_shipdate))").alias("seq"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"),
+        F.expr(
+            "(l_orderkey * 10 + l_linenumber) * 100000 + unix_date(to_date(l_shipdate))"
+        ).alias("seq"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"),
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("from"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("to"),
         F.lit("sold_by").alias("type"), shipped.alias("createdAt"), F.create_map(F.lit("ship"), shipped).alias("metadata"),
     )
@@ -93,7 +123,11 @@ def count_one_class(spark, sf_dir):
     return reads.count_by_class(events_as_observations(spark, sf_dir), "view", AS_OF)
 
 
-@_register(f"SELECT CAST(event_id AS VARCHAR) AS id, {_ISO.format('ts')} AS at FROM events WHERE user_id = 13 AND event_type = 'view' AND ts > TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id LIMIT 10")
+@_register(
+    f"SELECT CAST(event_id AS VARCHAR) AS id, {
+        _ISO.format('ts')
+    } AS at FROM events WHERE user_id = 13 AND event_type = 'view' AND ts > TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id LIMIT 10"
+)
 def recent_by_agent_topk(spark, sf_dir):
     rows = reads.recent_by_agent(events_as_observations(spark, sf_dir), "13", "2024-01-10T00:00:00.000Z", 10, AS_OF, "view")
     return rows.select("id", F.col("metadata")["createdAt"].alias("at"))
@@ -124,7 +158,9 @@ def relations_from_entity(spark, sf_dir):
     return reads.find_relations(sold_edges(spark, sf_dir), "sold_by", from_="p5", with_key=True).select("key")
 
 
-@_register("SELECT CAST(min(event_id) AS VARCHAR) AS id FROM events WHERE user_id = 13 AND md5(props) = (SELECT md5(props) FROM events WHERE user_id = 13 ORDER BY event_id LIMIT 1) HAVING count(*) > 0")
+@_register(
+    "SELECT CAST(min(event_id) AS VARCHAR) AS id FROM events WHERE user_id = 13 AND md5(props) = (SELECT md5(props) FROM events WHERE user_id = 13 ORDER BY event_id LIMIT 1) HAVING count(*) > 0"
+)
 def find_by_content_hash(spark, sf_dir):
     e = events_as_observations(spark, sf_dir)
     first = e.where(F.col("metadata")["agent"] == "13").agg(F.min_by(F.col("metadata")["content_hash"], "seq")).first()[0]
@@ -145,7 +181,9 @@ def filter_object_and(spark, sf_dir):
 
 @_register("SELECT doc_id FROM documents WHERE source = 'src1' ORDER BY doc_id LIMIT 10 OFFSET 5")
 def query_eq_offset_limit(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("seq"), F.col("source").alias("name"), F.lit(None).cast("string").alias("validUntil"))
+    d = _t(spark, sf_dir, "documents").select(
+        "doc_id", F.col("doc_id").alias("seq"), F.col("source").alias("name"), F.lit(None).cast("string").alias("validUntil")
+    )
     return reads.query(d, AS_OF, {"name": "src1"}, limit=10, offset=5).select("doc_id")
 
 
@@ -154,7 +192,9 @@ def list_cap_1000(spark, sf_dir):
     return reads.list_entities(events_as_observations(spark, sf_dir).withColumn("validUntil", F.lit(None).cast("string")), AS_OF).select("id")
 
 
-@_register("SELECT source, count(*) AS n FROM documents WHERE regexp_matches(source, '^[a-z0-9][a-z0-9._-]*$') AND length(source) <= 64 AND source <> 'default' GROUP BY 1")
+@_register(
+    "SELECT source, count(*) AS n FROM documents WHERE regexp_matches(source, '^[a-z0-9][a-z0-9._-]*$') AND length(source) <= 64 AND source <> 'default' GROUP BY 1"
+)
 def tenant_filter(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("name"))
     own = reads.filtered(_shaped(rows, ENTITIES), AS_OF, tenant=lambda: fn.is_project("name"))
@@ -178,7 +218,11 @@ def json_bag_count(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy(fn.bag("props", "k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register(f"SELECT CAST(user_id AS VARCHAR) AS \"runId\", count(*) AS \"entityCount\", arg_min(event_type, event_id) AS model, min({_ISO.format('ts')}) AS \"firstSeen\", max({_ISO.format('ts')}) AS \"lastSeen\" FROM events WHERE {_ACTIVE} GROUP BY 1 ORDER BY 5 DESC, 1 LIMIT 100")
+@_register(
+    f"SELECT CAST(user_id AS VARCHAR) AS \"runId\", count(*) AS \"entityCount\", arg_min(event_type, event_id) AS model, min({
+        _ISO.format('ts')
+    }) AS \"firstSeen\", max({_ISO.format('ts')}) AS \"lastSeen\" FROM events WHERE {_ACTIVE} GROUP BY 1 ORDER BY 5 DESC, 1 LIMIT 100"
+)
 def runs_rollup(spark, sf_dir):
     return reads.runs(events_as_observations(spark, sf_dir), AS_OF)[0].drop("provider")
 
@@ -191,16 +235,28 @@ def layer_counts(spark, sf_dir):
 # ---------------------------------------------------------------- projections and functions
 
 
-@_register(f"SELECT CAST(event_id AS VARCHAR) AS id, event_type AS \"entityType\", CAST(user_id AS VARCHAR) AS run, CAST(1 AS BIGINT) AS times, {_ISO.format('ts')} AS at FROM events")
+@_register(
+    f"SELECT CAST(event_id AS VARCHAR) AS id, event_type AS \"entityType\", CAST(user_id AS VARCHAR) AS run, CAST(1 AS BIGINT) AS times, {
+        _ISO.format('ts')
+    } AS at FROM events"
+)
 def wire_entity(spark, sf_dir):
     w = projections.entity_to_wire(events_as_observations(spark, sf_dir))
     packed = lambda path: F.get_json_object(F.col("metadata")["provenance"], f"$.{path}")
-    return w.select("id", "entityType", packed("createdBy.runId").alias("run"), packed("confirmationCount").cast("bigint").alias("times"), packed("lastConfirmedBy.timestamp").alias("at"))
+    return w.select(
+        "id",
+        "entityType",
+        packed("createdBy.runId").alias("run"),
+        packed("confirmationCount").cast("bigint").alias("times"),
+        packed("lastConfirmedBy.timestamp").alias("at"),
+    )
 
 
 @_register("SELECT 'c' || o_custkey || '|o' || o_orderkey || '|placed' AS key, 'placed' AS type, '' AS \"createdAt\" FROM orders")
 def wire_relation(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("from"), F.concat(F.lit("o"), "o_orderkey").alias("to"), F.lit("placed").alias("type"))
+    o = _t(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), "o_custkey").alias("from"), F.concat(F.lit("o"), "o_orderkey").alias("to"), F.lit("placed").alias("type")
+    )
     return projections.relation_to_wire(_shaped(o, RELATIONS)).select("key", "type", "createdAt")
 
 
@@ -209,7 +265,9 @@ def iso_timestamps(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", fn.iso("ts").alias("at"))
 
 
-@_register("SELECT doc_id, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '')[1], 1, 120), '(empty)') AS name FROM documents")
+@_register(
+    "SELECT doc_id, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '')[1], 1, 120), '(empty)') AS name FROM documents"
+)
 def derive_name(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", fn.derive_name("text").alias("name"))
 
@@ -223,7 +281,9 @@ def segment_normalize(spark, sf_dir):
 GROUP BY source, trim(regexp_replace(text, '\\s+', ' ', 'g'))""")
 def segment_fold(spark, sf_dir):
     made = {c: F.lit(None).cast("string") for c in ("provider", "model", "quality", "timestamp")}
-    segment = F.struct("text", F.col("doc_id").cast("string").alias("runId"), *(v.alias(c) for c, v in made.items()), F.array().cast(f"array<{STAMP}>").alias("confirmations"))
+    segment = F.struct(
+        "text", F.col("doc_id").cast("string").alias("runId"), *(v.alias(c) for c, v in made.items()), F.array().cast(f"array<{STAMP}>").alias("confirmations")
+    )
     of_source = _t(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", segment.alias("s")))).alias("rows"))
     folded = of_source.select("source", F.explode(writes.fold_segments(F.transform("rows", lambda r: r["s"]))).alias("s"))
     return folded.select("source", F.col("s.runId").alias("first"), F.size("s.confirmations").alias("confirmations"))
@@ -239,30 +299,68 @@ md5(text) AS hash, 'kept' AS extra, 'mine' AS project, text AS summary FROM conv
 def legacy_ingest_fields(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
     rows = c.select(
-        F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("summary"), F.col("role").alias("agent"), F.col("conv_id").cast("string").alias("session_id"),
-        F.md5(F.col("text").cast("binary")).alias("content_hash"), F.lit('{"summary": "old", "agent": "old", "extra": "kept", "project": "mine"}').alias("metadata"), F.lit(NOW).alias("created_at"),
+        F.concat_ws(
+            ":", "conv_id", "turn"
+        ).alias("id"), F.col("text").alias("summary"), F.col("role").alias("agent"), F.col("conv_id").cast("string").alias("session_id"),
+        F.md5(F.col("text").cast("binary")).alias("content_hash"), F.lit(
+            '{"summary": "old", "agent": "old", "extra": "kept", "project": "mine"}'
+        ).alias("metadata"), F.lit(NOW).alias("created_at"),
     )
     e, m = projections.legacy_to_entity(rows, "Observation", _stamp()), F.col("metadata")
-    return e.select(F.col("legacyId.id").alias("id"), "name", m["agent"].alias("agent"), m["session_id"].alias("session"), m["content_hash"].alias("hash"), m["extra"].alias("extra"), m["project"].alias("project"), m["summary"].alias("summary"))
+    return e.select(
+        F.col("legacyId.id").alias("id"),
+        "name",
+        m["agent"].alias("agent"),
+        m["session_id"].alias("session"),
+        m["content_hash"].alias("hash"),
+        m["extra"].alias("extra"),
+        m["project"].alias("project"),
+        m["summary"].alias("summary"),
+    )
 
 
 @_register("""SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(nullif(source, ''), '(empty)') AS name, 'evidence' AS layer, lang AS quality, CASE WHEN doc_id % 2 = 0 THEN '["a","b"]' ELSE '[]' END AS files,
 '2024-01-05' AS made FROM documents""")
 def online_mapping(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.lit("2024-01-05").alias("date"), F.col("source").alias("theme"), F.col("text").alias("summary"), F.col("lang").alias("quality"),
+        F.col("doc_id").alias("id"), F.lit(
+            "2024-01-05"
+        ).alias("date"), F.col("source").alias("theme"), F.col("text").alias("summary"), F.col("lang").alias("quality"),
         F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("filesTouched"),
     )
     e = projections.map_digests(rows, _stamp())
-    return e.select(F.col("legacyId.id").alias("id"), "name", "layer", F.col("metadata")["quality"].alias("quality"), F.col("metadata")["filesTouched"].alias("files"), F.col("createdAt").alias("made"))
+    return e.select(
+        F.col("legacyId.id").alias("id"),
+        "name",
+        "layer",
+        F.col("metadata")["quality"].alias("quality"),
+        F.col("metadata")["filesTouched"].alias("files"),
+        F.col("createdAt").alias("made"),
+    )
 
 
 @_register("SELECT conv_id, turn, coalesce(nullif(text, ''), role) AS content, coalesce(role, 'unknown') AS agent, 'normal' AS quality FROM conversations")
 def legacy_typed_view(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
-    e = _shaped(c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("role").alias("description"), fn.overlay(F.create_map(F.lit("agent"), F.coalesce("role", F.lit("unknown"))), F.map_filter(F.create_map(F.lit("summary"), F.col("text")), lambda _, v: v != "")).alias("metadata")), ENTITIES)
+    e = _shaped(
+        c.select(
+            F.concat_ws(":", "conv_id", "turn").alias("id"),
+            F.col("role").alias("description"),
+            fn.overlay(
+                F.create_map(F.lit("agent"), F.coalesce("role", F.lit("unknown"))),
+                F.map_filter(F.create_map(F.lit("summary"), F.col("text")), lambda _, v: v != ""),
+            ).alias("metadata"),
+        ),
+        ENTITIES,
+    )
     v = projections.observation_to_legacy(e)
-    return v.select(F.split_part("id", F.lit(":"), F.lit(1)).cast("long").alias("conv_id"), F.split_part("id", F.lit(":"), F.lit(2)).cast("long").alias("turn"), "content", "agent", "quality")
+    return v.select(
+        F.split_part("id", F.lit(":"), F.lit(1)).cast("long").alias("conv_id"),
+        F.split_part("id", F.lit(":"), F.lit(2)).cast("long").alias("turn"),
+        "content",
+        "agent",
+        "quality",
+    )
 
 
 # ---------------------------------------------------------------- relations and the graph
@@ -290,16 +388,26 @@ def degree(spark, sf_dir):
 def dangling_edges(spark, sf_dir):
     c, o = _t(spark, sf_dir, "customer").where("c_acctbal >= 0"), _t(spark, sf_dir, "orders")
     nodes = c.select(F.concat(F.lit("c"), "c_custkey").alias("id")).unionByName(o.select(F.concat(F.lit("o"), "o_orderkey").alias("id")))
-    edges = o.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("e"), "o_orderkey").alias("key"), F.concat(F.lit("o"), "o_orderkey").alias("from"), F.concat(F.lit("c"), "o_custkey").alias("to"), F.lit("of").alias("type"))
+    edges = o.select(
+        F.col("o_orderkey").alias("seq"),
+        F.concat(F.lit("e"), "o_orderkey").alias("key"),
+        F.concat(F.lit("o"), "o_orderkey").alias("from"),
+        F.concat(F.lit("c"), "o_custkey").alias("to"),
+        F.lit("of").alias("type"),
+    )
     copy = merge.Graph(_shaped(nodes, ENTITIES), _shaped(edges, RELATIONS), writes.empty_tombstones(spark))
     return merge.merge_graphs([copy, copy]).dangling.select(F.col("from").alias("id"), "origin")
 
 
-@_register("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+@_register(
+    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"
+)
 def orphan_edge_drop(spark, sf_dir):
     p = _t(spark, sf_dir, "part").where("p_size < 10").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     s = _t(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
-    x = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("p"), "l_partkey").alias("from"), F.concat(F.lit("s"), "l_suppkey").alias("to"))
+    x = _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat(F.lit("p"), "l_partkey").alias("from"), F.concat(F.lit("s"), "l_suppkey").alias("to")
+    )
     return merge.drop_orphan_edges(p.unionByName(s), x).select("l_orderkey", "l_linenumber")
 
 
@@ -310,17 +418,33 @@ def _order_copies(spark, sf_dir) -> list[merge.Graph]:
 
     def copy(rows: DataFrame, shift: str, mark: str, tombs: DataFrame) -> merge.Graph:
         at = fn.iso(F.expr(f"o_orderdate + {shift}"))
-        e = rows.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.lit(mark).alias("name"), at.alias("updatedAt"), at.alias("createdAt"))
+        e = rows.select(
+            F.col("o_orderkey").alias("seq"),
+            F.concat(F.lit("o"), "o_orderkey").alias("id"),
+            F.lit(mark).alias("name"),
+            at.alias("updatedAt"),
+            at.alias("createdAt"),
+        )
         return merge.Graph(_shaped(e, ENTITIES), edges, tombs)
 
-    dead = o.where("o_orderkey % 7 = 0").select(F.lit("entities").alias("kind"), F.concat(F.lit("o"), "o_orderkey").alias("key"), fn.iso(F.expr("o_orderdate + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 3 DAYS ELSE INTERVAL -3 DAYS END")).alias("at"), F.lit(None).cast("struct<project:string,team:string,domain:string>").alias("meta"))
-    return [copy(o, "INTERVAL 0 DAYS", "one", none), copy(o.where("o_orderkey % 3 <> 0"), "CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 1 DAYS ELSE INTERVAL -1 DAYS END", "two", dead)]
+    dead = o.where("o_orderkey % 7 = 0").select(
+        F.lit("entities").alias("kind"),
+        F.concat(F.lit("o"), "o_orderkey").alias("key"),
+        fn.iso(F.expr("o_orderdate + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 3 DAYS ELSE INTERVAL -3 DAYS END")).alias("at"),
+        F.lit(None).cast("struct<project:string,team:string,domain:string>").alias("meta"),
+    )
+    return [
+        copy(o, "INTERVAL 0 DAYS", "one", none),
+        copy(o.where("o_orderkey % 3 <> 0"), "CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 1 DAYS ELSE INTERVAL -1 DAYS END", "two", dead),
+    ]
 
 
 _TWO = "o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0"
 
 
-@_register(f"SELECT 'o' || o_orderkey AS id, CASE WHEN {_TWO} THEN 'two' ELSE 'one' END AS name FROM orders WHERE NOT (o_orderkey % 7 = 0 AND o_orderkey % 2 = 0)")
+@_register(
+    f"SELECT 'o' || o_orderkey AS id, CASE WHEN {_TWO} THEN 'two' ELSE 'one' END AS name FROM orders WHERE NOT (o_orderkey % 7 = 0 AND o_orderkey % 2 = 0)"
+)
 def lww_merge(spark, sf_dir):
     return merge.merge_graphs(_order_copies(spark, sf_dir)).graph.entities.select("id", "name")
 
@@ -336,14 +460,21 @@ def lww_edges(spark, sf_dir):
     mark = lambda rows, m: rows.withColumn("metadata", F.create_map(F.lit("mark"), F.lit(m)))
     two = one.withColumns({"key": F.concat(F.lit("two"), "key"), "createdAt": fn.iso(F.to_timestamp("createdAt") + shift)})
     dead = one.where("substring(`from`, 2) % 7 = 0").select(fn.relation_key("from", "type", "to").alias("key")).distinct()
-    dead = dead.select(F.lit("relations").alias("kind"), "key", F.lit("2023-06-01T00:00:00.000Z").alias("at"), F.lit(None).cast("struct<project:string,team:string,domain:string>").alias("meta"))
+    dead = dead.select(
+        F.lit("relations").alias("kind"),
+        "key",
+        F.lit("2023-06-01T00:00:00.000Z").alias("at"),
+        F.lit(None).cast("struct<project:string,team:string,domain:string>").alias("meta"),
+    )
     copies = [merge.Graph(nodes, mark(one, "one"), writes.empty_tombstones(spark)), merge.Graph(nodes, mark(two, "two"), dead)]
     return merge.merge_graphs(copies).graph.relations.select("from", "to", "key", F.col("createdAt").alias("made"), F.col("metadata")["mark"].alias("mark"))
 
 
 @_register(f"SELECT CAST(count_if({_TWO}) AS BIGINT) AS replaced, CAST(count_if(o_orderkey % 7 = 0 AND o_orderkey % 2 = 0) AS BIGINT) AS killed FROM orders")
 def lww_tombstones(spark, sf_dir):
-    return merge.merge_graphs(_order_copies(spark, sf_dir)).stats.select(F.col("replaced").cast("long").alias("replaced"), F.col("entitiesTombstoned").alias("killed"))
+    return merge.merge_graphs(_order_copies(spark, sf_dir)).stats.select(
+        F.col("replaced").cast("long").alias("replaced"), F.col("entitiesTombstoned").alias("killed")
+    )
 
 
 @_register("SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY")
@@ -353,9 +484,13 @@ def tombstone_prune(spark, sf_dir):
     return merge.prune_tombstones(o.select("o_orderkey", fn.iso("o_orderdate").alias("at")), last).select("o_orderkey")
 
 
-@_register("SELECT key || CASE WHEN n > 0 THEN '~' || n ELSE '' END AS key, l_orderkey, l_linenumber FROM (SELECT 'k' || l_partkey AS key, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS n, l_orderkey, l_linenumber FROM lineitem)")
+@_register(
+    "SELECT key || CASE WHEN n > 0 THEN '~' || n ELSE '' END AS key, l_orderkey, l_linenumber FROM (SELECT 'k' || l_partkey AS key, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS n, l_orderkey, l_linenumber FROM lineitem)"
+)
 def edge_key_uniquify(spark, sf_dir):
-    x = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("k"), "l_partkey").alias("key"), F.col("l_orderkey").alias("first_src"), F.col("l_linenumber").alias("first_seq"))
+    x = _t(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("k"), "l_partkey").alias("key"), F.col("l_orderkey").alias("first_src"), F.col("l_linenumber").alias("first_seq")
+    )
     return merge.unique_keys(x).select("key", F.col("first_src").alias("l_orderkey"), F.col("first_seq").alias("l_linenumber"))
 
 
@@ -364,7 +499,9 @@ def bucket_by_domain(spark, sf_dir):
     return _t(spark, sf_dir, "documents").groupBy(fn.bucket("lang", ["en", "de"]).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register("SELECT CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN p_brand ELSE 'general' END AS bucket, count(*) AS n FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1")
+@_register(
+    "SELECT CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN p_brand ELSE 'general' END AS bucket, count(*) AS n FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1"
+)
 def edge_bucket_of_source(spark, sf_dir):
     from .sources.graphs import bucketed
 
@@ -379,14 +516,20 @@ def _turns(spark, sf_dir) -> DataFrame:
     return c.join(nxt, ["conv_id", "turn"]).select(name(F.col("turn")).alias("from"), name(F.col("next")).alias("to"))
 
 
-@_register("WITH RECURSIVE c AS (SELECT conv_id, turn FROM conversations), s AS (SELECT conv_id, turn, turn AS top, CAST(0 AS BIGINT) AS position FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1) AND EXISTS (SELECT 1 FROM c b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1) UNION ALL SELECT c.conv_id, c.turn, s.top, s.position + 1 FROM s JOIN c ON c.conv_id = s.conv_id AND c.turn = s.turn + 1) SELECT conv_id || ':' || turn AS id, conv_id || ':' || top AS origin, position FROM s")
+@_register(
+    "WITH RECURSIVE c AS (SELECT conv_id, turn FROM conversations), s AS (SELECT conv_id, turn, turn AS top, CAST(0 AS BIGINT) AS position FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1) AND EXISTS (SELECT 1 FROM c b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1) UNION ALL SELECT c.conv_id, c.turn, s.top, s.position + 1 FROM s JOIN c ON c.conv_id = s.conv_id AND c.turn = s.turn + 1) SELECT conv_id || ':' || turn AS id, conv_id || ':' || top AS origin, position FROM s"
+)
 def supersession_chain(spark, sf_dir):
     return graph.all_chains(_turns(spark, sf_dir)).select("id", "origin", "position")
 
 
-@_register("SELECT '1:' || turn AS id, CAST(turn - (SELECT min(turn) FROM conversations WHERE conv_id = 1) AS INTEGER) AS position FROM conversations WHERE conv_id = 1")
+@_register(
+    "SELECT '1:' || turn AS id, CAST(turn - (SELECT min(turn) FROM conversations WHERE conv_id = 1) AS INTEGER) AS position FROM conversations WHERE conv_id = 1"
+)
 def chain_of_one(spark, sf_dir):
-    e = _turn_entities(spark, sf_dir).withColumn("supersedes", F.when(F.col("turn") > F.min("turn").over(Window.partitionBy("conv_id")), F.concat_ws(":", "conv_id", F.col("turn") - 1)))
+    e = _turn_entities(spark, sf_dir).withColumn(
+        "supersedes", F.when(F.col("turn") > F.min("turn").over(Window.partitionBy("conv_id")), F.concat_ws(":", "conv_id", F.col("turn") - 1))
+    )
     first = e.where("conv_id = 1").agg(F.max_by("id", "turn")).first()[0]
     return graph.supersession_chain(_shaped(e, ENTITIES), _shaped(spark.createDataFrame([], "key string"), RELATIONS), first)
 
@@ -394,7 +537,13 @@ def chain_of_one(spark, sf_dir):
 def _turn_entities(spark, sf_dir) -> DataFrame:
     made = lambda turn: F.concat(F.lit("2024-01-01T00:00:"), F.lpad(turn.cast("string"), 2, "0"), F.lit(".000Z"))
     c = _t(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat_ws(":", "conv_id", "turn").alias("id"), made(F.col("turn")).alias("validFrom"))
+    return c.select(
+        "conv_id",
+        "turn",
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+        F.concat_ws(":", "conv_id", "turn").alias("id"),
+        made(F.col("turn")).alias("validFrom"),
+    )
 
 
 @_register("""SELECT a.conv_id || ':' || a.turn AS id, CASE WHEN b.turn IS NOT NULL THEN '2024-01-01T00:00:' || lpad(CAST(b.turn AS VARCHAR), 2, '0') || '.000Z' END AS ended, b.conv_id || ':' || b.turn AS next
@@ -414,15 +563,25 @@ def _stamp():
     return F.struct(*(F.lit(v).alias(k) for k, v in (("provider", "p"), ("model", "m"), ("runId", "r"), ("timestamp", NOW))))
 
 
-@_register("SELECT p_partkey AS seq, CASE WHEN p_size < 10 THEN 'put' ELSE p_name END AS name, p_type AS description, CASE WHEN p_size < 10 THEN 2 ELSE 1 END AS times FROM part")
+@_register(
+    "SELECT p_partkey AS seq, CASE WHEN p_size < 10 THEN 'put' ELSE p_name END AS name, p_type AS description, CASE WHEN p_size < 10 THEN 2 ELSE 1 END AS times FROM part"
+)
 def put_entities(spark, sf_dir):
     """All parts are put, those of a small size twice; the second time only their names."""
     day = F.lit(NOW).cast("timestamp")
-    new = _t(spark, sf_dir, "part").select(fn.mint_uuid7(day, "p_partkey").alias("id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), "p_size")
+    new = _t(spark, sf_dir, "part").select(
+        fn.mint_uuid7(day, "p_partkey").alias("id"),
+        F.col("p_partkey").alias("seq"),
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("description"),
+        "p_size",
+    )
     none = _shaped(spark.createDataFrame([], "key string"), ENTITIES)
     first = writes.put_entities(none, new.drop("p_size"), NOW, _stamp())
     again = new.where("p_size < 10").select("id", F.lit("put").alias("name"), "description")
-    return writes.put_entities(first, again, NOW, _stamp()).select("seq", "name", "description", F.col("provenance.confirmationCount").cast("int").alias("times"))
+    return writes.put_entities(first, again, NOW, _stamp()).select(
+        "seq", "name", "description", F.col("provenance.confirmationCount").cast("int").alias("times")
+    )
 
 
 @_register(f"""SELECT 'edge' AS kind, {_KEY} AS key FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size >= 5)
@@ -440,12 +599,21 @@ def batch_writes(spark, sf_dir):
     c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
     entity = lambda rows, mark, key, name: rows.select(F.concat(F.lit(mark), key).alias("id"), F.col(key).cast("long").alias("seq"), F.col(name).alias("name"))
     nodes = _shaped(entity(c, "c", "c_custkey", "c_name").unionByName(entity(n, "n", "n_nationkey", "n_name")), ENTITIES)
-    edge = c.select(F.col("c_custkey").alias("seq"), F.concat(F.lit("e"), "c_custkey").alias("key"), F.concat(F.lit("c"), "c_custkey").alias("from"), F.concat(F.lit("n"), "c_nationkey").alias("to"), F.lit("in").alias("type"), "c_nationkey")
+    edge = c.select(
+        F.col("c_custkey").alias("seq"),
+        F.concat(F.lit("e"), "c_custkey").alias("key"),
+        F.concat(F.lit("c"), "c_custkey").alias("from"),
+        F.concat(F.lit("n"), "c_nationkey").alias("to"),
+        F.lit("in").alias("type"),
+        "c_nationkey",
+    )
     puts = entity(c.where("c_nationkey = 3"), "c", "c_custkey", "c_name").withColumn("name", F.lit("put"))
     deletes = c.where("c_nationkey = 2").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
     adds, removes = _shaped(edge.where("c_nationkey = 4"), RELATIONS), edge.where("c_nationkey = 1").select("from", "type", "to")
     e, r, _ = writes.batch(nodes, _shaped(edge, RELATIONS), writes.empty_tombstones(spark), NOW, puts, deletes, adds, removes)
-    return e.join(r.groupBy(F.col("from").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("edges")), "id", "left").select("id", "name", F.coalesce("edges", F.lit(0)).alias("edges"))
+    return e.join(r.groupBy(F.col("from").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("edges")), "id", "left").select(
+        "id", "name", F.coalesce("edges", F.lit(0)).alias("edges")
+    )
 
 
 # ---------------------------------------------------------------- the whole graph
@@ -458,7 +626,10 @@ def _whole_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     turns = _turn_entities(spark, sf_dir)
 
     def named(rows: DataFrame, mark: str, key: str, seq: int) -> DataFrame:
-        return _shaped(rows.select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), (F.col(key) + seq).alias("seq"), F.lit("evidence").alias("layer")), ENTITIES)
+        return _shaped(
+            rows.select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), (F.col(key) + seq).alias("seq"), F.lit("evidence").alias("layer")),
+            ENTITIES,
+        )
 
     nodes = parts_as_entities(spark, sf_dir).unionByName(suppliers_as_entities(spark, sf_dir))
     for more in (named(c, "c", "c_custkey", 2_000_000_000), named(o, "o", "o_orderkey", 3_000_000_000), named(d, "d", "doc_id", 5_000_000_000)):
@@ -501,7 +672,9 @@ def graph_stats(spark, sf_dir):
     return graph.stats(*_whole_graph(spark, sf_dir))
 
 
-@_register(f"WITH RECURSIVE {_GRAPH} SELECT component, size, first, component = (SELECT component FROM k ORDER BY size DESC, first LIMIT 1) AS \"isMain\" FROM k")
+@_register(
+    f"WITH RECURSIVE {_GRAPH} SELECT component, size, first, component = (SELECT component FROM k ORDER BY size DESC, first LIMIT 1) AS \"isMain\" FROM k"
+)
 def connectivity(spark, sf_dir):
     return graph.connectivity(*_whole_graph(spark, sf_dir))[0]
 
@@ -542,11 +715,23 @@ def jaccard_best(spark, sf_dir):
     return dedup.NameMatcher().match(*_new_and_stored(spark, sf_dir)).select("id", "match", F.round("confidence", 9).alias("confidence"))
 
 
-@_register("WITH s AS (SELECT a.vec_id AS id, b.vec_id AS cand, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0) SELECT CAST(id AS VARCHAR) AS id, CAST(arg_max(cand, score) AS VARCHAR) AS match, round(max(score), 6) AS confidence FROM s WHERE score >= 0.3 GROUP BY 1")
+@_register(
+    "WITH s AS (SELECT a.vec_id AS id, b.vec_id AS cand, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0) SELECT CAST(id AS VARCHAR) AS id, CAST(arg_max(cand, score) AS VARCHAR) AS match, round(max(score), 6) AS confidence FROM s WHERE score >= 0.3 GROUP BY 1"
+)
 def cosine_best(spark, sf_dir):
     v = _t(spark, sf_dir, "embeddings")
-    e = _shaped(v.select(F.col("vec_id").alias("seq"), F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("entityType"), F.col("embedding").cast("array<double>").alias("embedding")), ENTITIES)
-    return dedup.EmbeddingMatcher(threshold=0.3).match(e.where("seq % 10 = 0"), e.where("seq % 10 <> 0")).select("id", "match", F.round("confidence", 6).alias("confidence"))
+    e = _shaped(
+        v.select(
+            F.col("vec_id").alias("seq"),
+            F.col("vec_id").cast("string").alias("id"),
+            F.col("label").cast("string").alias("entityType"),
+            F.col("embedding").cast("array<double>").alias("embedding"),
+        ),
+        ENTITIES,
+    )
+    return dedup.EmbeddingMatcher(threshold=0.3).match(e.where("seq % 10 = 0"), e.where("seq % 10 <> 0")).select(
+        "id", "match", F.round("confidence", 6).alias("confidence")
+    )
 
 
 class _SameType:
@@ -559,7 +744,11 @@ class _SameType:
         return new.join(first, ["entityType", "description"]).select("id", F.lit(self.layer).alias("layer"), "match", F.lit(0.5).alias("confidence"))
 
 
-@_register(f"WITH {_JACCARD}, f AS (SELECT p_brand, p_type, min(p_partkey) AS first FROM part WHERE p_partkey % 10 <> 0 GROUP BY 1, 2) SELECT 'p' || t.p_partkey AS id, CASE WHEN j.id IS NOT NULL THEN 'name' WHEN first IS NOT NULL THEN 'type' END AS layer, 'p' || coalesce(match, first) AS match FROM t LEFT JOIN j ON j.id = t.p_partkey LEFT JOIN f USING (p_brand, p_type) WHERE t.p_partkey % 10 = 0")
+@_register(
+    f"WITH {
+        _JACCARD
+    }, f AS (SELECT p_brand, p_type, min(p_partkey) AS first FROM part WHERE p_partkey % 10 <> 0 GROUP BY 1, 2) SELECT 'p' || t.p_partkey AS id, CASE WHEN j.id IS NOT NULL THEN 'name' WHEN first IS NOT NULL THEN 'type' END AS layer, 'p' || coalesce(match, first) AS match FROM t LEFT JOIN j ON j.id = t.p_partkey LEFT JOIN f USING (p_brand, p_type) WHERE t.p_partkey % 10 = 0"
+)
 def layered_cascade(spark, sf_dir):
     return dedup.LayeredDeduplicator([dedup.NameMatcher(), _SameType()]).dedup(*_new_and_stored(spark, sf_dir)).select("id", "layer", "match")
 
@@ -615,7 +804,9 @@ def resolve_plan(spark, sf_dir):
     return writes.resolve_plan(p, sold_edges(spark, sf_dir), classes, dedup.NameMatcher(1.0)).select("dup", "survivor", "confidence")
 
 
-@_register("SELECT conv_id || ':' || turn AS \"from\", conv_id || ':' || (turn + 1) AS ref FROM conversations WHERE (conv_id, turn + 1) NOT IN (SELECT (conv_id, turn) FROM conversations)")
+@_register(
+    "SELECT conv_id || ':' || turn AS \"from\", conv_id || ':' || (turn + 1) AS ref FROM conversations WHERE (conv_id, turn + 1) NOT IN (SELECT (conv_id, turn) FROM conversations)"
+)
 def aggregates_edges(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
     owned = c.select(F.concat_ws(":", "conv_id", "turn").alias("legacy"), F.concat_ws("/", "conv_id", "turn").alias("id"))
@@ -629,9 +820,15 @@ def reproject_idempotent(spark, sf_dir):
     return writes.reproject(e, e.where("seq % 2 = 0")).select("id")
 
 
-@_register(f"SELECT 'o' || o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN '2020-01-01T00:00:00.000Z' ELSE {_ISO.format('o_orderdate')} END AS \"validFrom\" FROM orders")
+@_register(
+    f"SELECT 'o' || o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN '2020-01-01T00:00:00.000Z' ELSE {
+        _ISO.format('o_orderdate')
+    } END AS \"validFrom\" FROM orders"
+)
 def backfill_valid_from(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", fn.iso("o_orderdate")).alias("validFrom"))
+    o = _t(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), "o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", fn.iso("o_orderdate")).alias("validFrom")
+    )
     stamp = F.struct(*(F.lit("x").alias(c) for c in ("provider", "model", "runId", "timestamp")))
     return writes.backfill(_shaped(o, ENTITIES), F.lit("2020-01-01T00:00:00.000Z"), stamp).select("id", "validFrom")
 
@@ -642,10 +839,14 @@ def backfill_valid_from(spark, sf_dir):
 def _regions(spark, sf_dir) -> DataFrame:
     n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
     c = _t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("name"), F.concat(F.lit("n"), "c_nationkey").alias("up"))
-    return c.unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("up"))).unionByName(r.select(F.concat(F.lit("r"), "r_regionkey").alias("name"), F.lit(None).cast("string").alias("up")))
+    return c.unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("up"))).unionByName(
+        r.select(F.concat(F.lit("r"), "r_regionkey").alias("name"), F.lit(None).cast("string").alias("up"))
+    )
 
 
-@_register("SELECT 'c' || c_custkey AS name, 'n' || c_nationkey AS ancestor, 1 AS depth FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation UNION ALL SELECT 'c' || c_custkey, 'r' || n_regionkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey")
+@_register(
+    "SELECT 'c' || c_custkey AS name, 'n' || c_nationkey AS ancestor, 1 AS depth FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation UNION ALL SELECT 'c' || c_custkey, 'r' || n_regionkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey"
+)
 def class_ancestors(spark, sf_dir):
     return ontology.closure(_regions(spark, sf_dir), "name", "up")
 
@@ -670,10 +871,19 @@ def isa_violations(spark, sf_dir):
     return ontology.isa_violations(e, tree.select("name"), ontology.closure(tree, "name", "up")).select("c_custkey")
 
 
-@_register("SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS VARCHAR) AS kind, CAST(len(embedding) AS INTEGER) AS n FROM embeddings WHERE len(embedding) > 0")
+@_register(
+    "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS VARCHAR) AS kind, CAST(len(embedding) AS INTEGER) AS n FROM embeddings WHERE len(embedding) > 0"
+)
 def vector_sync_payload(spark, sf_dir):
     from .sources.graphs import vector_points
 
     v = _t(spark, sf_dir, "embeddings")
-    e = _shaped(v.select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("entityType"), F.col("embedding").cast("array<double>").alias("embedding")), ENTITIES)
+    e = _shaped(
+        v.select(
+            F.col("vec_id").cast("string").alias("id"),
+            F.col("label").cast("string").alias("entityType"),
+            F.col("embedding").cast("array<double>").alias("embedding"),
+        ),
+        ENTITIES,
+    )
     return vector_points(e, AS_OF).select("id", F.col("payload.entityType").alias("kind"), F.size("vector").alias("n"))

@@ -29,6 +29,14 @@ def embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch
 
 def hashed(text: Column | str, dims: int = 384) -> Column:
     """A vector of signed token counts by hash: equal texts have equal vectors, and no model is needed."""
-    at = F.transform(tokens(col(text)), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dims)).alias("k"), F.when(F.xxhash64(t, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("v")))
-    bound = F.transform(F.array(at), lambda a: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.aggregate(F.filter(a, lambda x: x["k"] == k), F.lit(0.0), lambda s, x: s + x["v"])))
+    at = F.transform(
+        tokens(col(text)),
+        lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dims)).alias("k"), F.when(F.xxhash64(t, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("v")),
+    )
+    bound = F.transform(
+        F.array(at),
+        lambda a: F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.aggregate(F.filter(a, lambda x: x["k"] == k), F.lit(0.0), lambda s, x: s + x["v"])
+        ),
+    )
     return F.element_at(bound, 1)

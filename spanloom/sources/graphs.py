@@ -18,7 +18,9 @@ _MARK = "struct<at:string,meta:struct<project:string,team:string,domain:string>>
 _FIELDS = re.split(r", (?=`?\w+`? (?:bigint|string|struct|array|map))", ENTITIES)[1:]
 _ATTRIBUTES = ",".join(re.sub(r"^(\w+) ", r"\1:", f) for f in _FIELDS)
 SERIALIZED = (
-    f"attributes struct<kmTombstones:struct<entities:map<string,{_MARK}>,relations:map<string,{_MARK}>>>, nodes array<struct<key:string,attributes:struct<{_ATTRIBUTES}>>>, "
+    f"attributes struct<kmTombstones:struct<entities:map<string,{_MARK}>,relations:map<string,{_MARK}>>>, nodes array<struct<key:string,attributes:struct<{
+        _ATTRIBUTES
+    }>>>, "
     "edges array<struct<key:string,source:string,target:string,attributes:struct<type:string,metadata:map<string,string>,createdAt:string,validFrom:string,validUntil:string>>>"
 )
 
@@ -41,10 +43,14 @@ def read_json(spark: SparkSession, paths: list[str]) -> list[Graph]:
         nodes = raw.select(F.posexplode("nodes").alias("seq", "n")).select("n.attributes.*", F.col("n.key").alias("_key"), "seq")
         names = [f.name for f in spark.createDataFrame([], ENTITIES).schema]
         entities = nodes.withColumns({"id": F.coalesce("id", "_key"), "seq": F.col("seq").cast("long")}).select(*names)
-        edges = raw.select(F.posexplode("edges").alias("seq", "e")).select(F.col("seq").cast("long"), F.col("e.key").alias("key"), F.col("e.source").alias("from"), F.col("e.target").alias("to"), "e.attributes.*")
+        edges = raw.select(F.posexplode("edges").alias("seq", "e")).select(
+            F.col("seq").cast("long"), F.col("e.key").alias("key"), F.col("e.source").alias("from"), F.col("e.target").alias("to"), "e.attributes.*"
+        )
         marks = None
         for kind in ("entities", "relations"):
-            one = raw.select(F.lit(kind).alias("kind"), F.explode(F.col("attributes.kmTombstones")[kind]).alias("key", "m")).select("kind", "key", "m.at", "m.meta")
+            one = raw.select(F.lit(kind).alias("kind"), F.explode(F.col("attributes.kmTombstones")[kind]).alias("key", "m")).select(
+                "kind", "key", "m.at", "m.meta"
+            )
             marks = one if marks is None else marks.unionByName(one)
         out.append(Graph(entities, edges.select(*(f.name for f in spark.createDataFrame([], RELATIONS).schema)), marks))
     return out
@@ -129,7 +135,9 @@ class Snapshots:
             raise ValueError(f"no label: {label}")
         name = f"snapshot/{label}-{at}"
         save(graph, f"{self.path}/{name}")
-        self.spark.createDataFrame([(name, label, at)], "id string, label string, createdAt string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self.spark.createDataFrame(
+            [(name, label, at)], "id string, label string, createdAt string"
+        ).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         return name
 
     def list(self) -> DataFrame:
@@ -159,7 +167,9 @@ def read_online(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 def vector_points(entities: DataFrame, as_of: str) -> DataFrame:
     """(id, vector, payload) of active entities that have a vector."""
     payload = F.struct("entityType", "name", "ontologyClass")
-    return entities.where(is_active(as_of) & (F.size("embedding") > 0)).select(F.coalesce("legacyId.id", "id").alias("id"), F.col("embedding").alias("vector"), payload.alias("payload"))
+    return entities.where(is_active(as_of) & (F.size("embedding") > 0)).select(
+        F.coalesce("legacyId.id", "id").alias("id"), F.col("embedding").alias("vector"), payload.alias("payload")
+    )
 
 
 def sync_vectors(points: DataFrame, upsert: Callable[[list[dict]], None], batch_size: int = 100) -> DataFrame:

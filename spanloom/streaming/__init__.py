@@ -17,7 +17,9 @@ CHANGES = "op string, key string, payload string, ts timestamp"
 
 def latest_changes(changes: DataFrame) -> DataFrame:
     """Of each key the change of the largest time; of equal times the one that deletes."""
-    return changes.groupBy("key").agg(F.max_by(F.struct("op", "payload", "ts"), F.struct("ts", (F.col("op") == "delete").alias("d"))).alias("c")).select("key", "c.*")
+    return changes.groupBy("key").agg(
+        F.max_by(F.struct("op", "payload", "ts"), F.struct("ts", (F.col("op") == "delete").alias("d"))).alias("c")
+    ).select("key", "c.*")
 
 
 def apply_changes(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, parts: int = 64) -> StreamingQuery:

@@ -11,7 +11,9 @@ sys.path.insert(0, str(ROOT))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     conf = {
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.executorEnv.PYTHONPATH": str(ROOT),
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.executorEnv.PYTHONPATH": str(
+            ROOT
+        ),
         "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
     }
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()

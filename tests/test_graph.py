@@ -35,7 +35,9 @@ def entities(spark, *rows):
     """rows: dicts of flat columns."""
     names = sorted({k for r in rows for k in r})
     kinds = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], ENTITIES).schema}
-    df = spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], ", ".join(f"`{c}` {kinds[c]}" for c in names)) if rows else spark.createDataFrame([], "id string")
+    df = spark.createDataFrame(
+        [tuple(r.get(c) for c in names) for r in rows], ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    ) if rows else spark.createDataFrame([], "id string")
     return _shaped(df, ENTITIES)
 
 
@@ -67,7 +69,11 @@ def test_query_compares_value_and_kind(spark):
 
 
 def test_search_scores_and_limits(spark):
-    e = entities(spark, {"id": "a", "seq": 1, "name": "Foo", "description": "foo", "layer": "evidence", "metadata": {"k": "foo"}}, {"id": "b", "seq": 2, "name": "x", "description": "a.*b", "layer": "pattern"})
+    e = entities(
+        spark,
+        {"id": "a", "seq": 1, "name": "Foo", "description": "foo", "layer": "evidence", "metadata": {"k": "foo"}},
+        {"id": "b", "seq": 2, "name": "x", "description": "a.*b", "layer": "pattern"},
+    )
     assert [(r.nodeId, r.score) for r in reads.search(e, "FOO", NOW).collect()] == [("evidence:a", 6)]
     assert [r.score for r in reads.search(e, ".*", NOW).collect()] == [2]
     assert reads.search(e, "", NOW).count() == 0
@@ -82,7 +88,13 @@ def test_recent_is_exclusive_and_zero_is_all(spark):
 
 def test_wire_packs_stamps_into_metadata(spark):
     s = ("p", "m", "r", "t")
-    rows = [{"id": "a", "createdBy": s, "metadata": {"k": "v"}}, {"id": "b", "createdBy": s, "lastConfirmedBy": ("q", "m", "r", "t")}, {"id": "c"}, {"id": "d", "createdBy": s, "confirmationCount": 7}, {"id": "e", "createdBy": s, "metadata": {"provenance": "own"}}]
+    rows = [
+        {"id": "a", "createdBy": s, "metadata": {"k": "v"}},
+        {"id": "b", "createdBy": s, "lastConfirmedBy": ("q", "m", "r", "t")},
+        {"id": "c"},
+        {"id": "d", "createdBy": s, "confirmationCount": 7},
+        {"id": "e", "createdBy": s, "metadata": {"provenance": "own"}},
+    ]
     got = {r.id: r.metadata for r in projections.entity_to_wire(entities(spark, *rows)).collect()}
     packed = {k: json.loads(v["provenance"]) for k, v in got.items() if k in "abd"}
     assert [packed[k]["confirmationCount"] for k in "abd"] == [1, 0, 7] and packed["b"]["lastConfirmedBy"]["provider"] == "q"
@@ -91,26 +103,56 @@ def test_wire_packs_stamps_into_metadata(spark):
 
 def test_legacy_rows_win_over_their_metadata(spark):
     meta = '{"summary": "old", "agent": "old", "confidence": "1", "extra": "x", "project": "mine", "session_id": "old"}'
-    o = spark.createDataFrame([("1", "new", "bot", None, "f", "h", "high", "2024", '["m"]', "t", meta), ("2", "", None, None, None, None, None, None, None, "t", "nope")], "id string, summary string, agent string, session_id string, source_file string, content_hash string, quality string, digested_at string, messages string, created_at string, metadata string")
+    o = spark.createDataFrame(
+        [("1", "new", "bot", None, "f", "h", "high", "2024", '["m"]', "t", meta), ("2", "", None, None, None, None, None, None, None, "t", "nope")],
+        "id string, summary string, agent string, session_id string, source_file string, content_hash string, quality string, digested_at string, messages string, created_at string, metadata string",
+    )
     got = {r.legacyId.id: r for r in projections.legacy_to_entity(o, "Observation", stamp()).collect()}
-    assert got["1"].metadata == {"extra": "x", "project": "mine", "summary": "new", "agent": "bot", "source_file": "f", "content_hash": "h", "quality": "high", "digested_at": "2024", "messages": '["m"]', "createdAt": "t", "confidence": "1"}
+    assert got["1"].metadata == {
+        "extra": "x",
+        "project": "mine",
+        "summary": "new",
+        "agent": "bot",
+        "source_file": "f",
+        "content_hash": "h",
+        "quality": "high",
+        "digested_at": "2024",
+        "messages": '["m"]',
+        "createdAt": "t",
+        "confidence": "1",
+    }
     assert got["2"].name == "(no summary)" and got["2"].metadata == {"summary": "", "createdAt": "t"} and got["1"].layer == "evidence"
     found = entities(spark).unionByName(_shaped(projections.legacy_to_entity(o, "Observation", stamp()), ENTITIES))
     assert reads.find_by_content_hash(found, "bot", "h", NOW).count() == 1
-    i = spark.createDataFrame([("1", "", "s" * 99, None, '["a", 1]', "later", "t", meta, None)], "id string, topic string, summary string, confidence double, digest_ids string, last_updated string, created_at string, metadata string, project string")
+    i = spark.createDataFrame(
+        [("1", "", "s" * 99, None, '["a", 1]', "later", "t", meta, None)],
+        "id string, topic string, summary string, confidence double, digest_ids string, last_updated string, created_at string, metadata string, project string",
+    )
     r = projections.legacy_to_entity(i, "Insight", stamp()).first()
     assert (r.name, r.updatedAt, r.layer) == ("s" * 80, "later", "pattern")
     assert (r.metadata["confidence"], r.metadata["digest_ids"], r.metadata["project"], r.metadata["agent"]) == ("0.8", '["a"]', "mine", "old")
-    d = spark.createDataFrame([("1", "2024-01-01", "th", "s", '["o"]', ["a"], "bad", "q", "t")], "id string, date string, theme string, summary string, observation_ids string, agents array<string>, files_touched string, quality string, created_at string")
+    d = spark.createDataFrame(
+        [("1", "2024-01-01", "th", "s", '["o"]', ["a"], "bad", "q", "t")],
+        "id string, date string, theme string, summary string, observation_ids string, agents array<string>, files_touched string, quality string, created_at string",
+    )
     r = projections.legacy_to_entity(d, "Digest", stamp()).first()
-    assert (r.name, r.layer) == ("th", "pattern") and (r.metadata["observation_ids"], r.metadata["agents"], r.metadata["files_touched"]) == ('["o"]', '["a"]', "[]")
+    assert (r.name, r.layer) == ("th", "pattern") and (
+        r.metadata["observation_ids"], r.metadata["agents"], r.metadata["files_touched"]
+    ) == ('["o"]', '["a"]', "[]")
 
 
 def test_online_rows_keep_their_fields(spark):
-    o = spark.createDataFrame([("1", "\n first \nx", "a", "p", "q", "t", None, "gpt", ["f"]), ("2", "", "a", "p", "q", None, "d", None, None)], "id string, summary string, agent string, project string, quality string, createdAt string, digestedAt string, llm string, modifiedFiles array<string>")
+    o = spark.createDataFrame(
+        [("1", "\n first \nx", "a", "p", "q", "t", None, "gpt", ["f"]), ("2", "", "a", "p", "q", None, "d", None, None)],
+        "id string, summary string, agent string, project string, quality string, createdAt string, digestedAt string, llm string, modifiedFiles array<string>",
+    )
     got = {r.legacyId.id: r for r in projections.map_observations(o, stamp()).collect()}
-    assert got["1"].name == "first" and got["1"].metadata == {"subsystem": "online", "project": "p", "agent": "a", "quality": "q", "llm": "gpt", "modifiedFiles": '["f"]'}
-    assert got["2"].name == "(empty)" and got["2"].metadata == {"subsystem": "online", "project": "p", "agent": "a", "quality": "q", "digestedAt": "d", "modifiedFiles": "[]"} and got["2"].createdAt is None
+    assert got["1"].name == "first" and got["1"].metadata == {
+        "subsystem": "online", "project": "p", "agent": "a", "quality": "q", "llm": "gpt", "modifiedFiles": '["f"]'
+    }
+    assert got["2"].name == "(empty)" and got["2"].metadata == {
+        "subsystem": "online", "project": "p", "agent": "a", "quality": "q", "digestedAt": "d", "modifiedFiles": "[]"
+    } and got["2"].createdAt is None
 
 
 @pytest.mark.parametrize("text,want", [("  a 　b﻿ ", "a b"), ("", ""), ("a\n\tb", "a b")])
@@ -133,13 +175,21 @@ def test_scalar_functions(spark):
     assert get(fn.is_uuid7(F.lit(minted))) and not get(fn.is_uuid7(F.lit("x")))
     assert get(fn.truncate(F.lit("x" * 300))) == "x" * 200 and get(fn.truncate(F.lit(None).cast("string"))) == ""
     assert [fn.parse_int(x) for x in ("12", " 7up", "-3", "x", "", None, 4)] == [12, 7, -3, None, None, None, 4]
-    assert get(fn.is_hierarchy_root(F.lit("Timeline"))) and not get(fn.is_hierarchy_root(F.lit("timeline"))) and get(fn.root_class(F.lit("Coding"))) == "Project"
+    assert get(fn.is_hierarchy_root(F.lit("Timeline"))) and not get(fn.is_hierarchy_root(F.lit("timeline"))) and get(
+        fn.root_class(F.lit("Coding"))
+    ) == "Project"
     assert fn.answer_json('```json\n{"match": "x"}\n```') == {"match": "x"} and fn.answer_json("so {\"a\": 1} yes") == {"a": 1} and fn.answer_json("no") is None
 
 
 def test_put_stamps_confirms_and_supersedes(spark):
     store = GraphStore(spark, as_of=NOW)
-    store.put(entities(spark, {"id": uid(1), "seq": 1, "name": "one"}).select("id", "seq", "name", "metadata", "createdAt", "validFrom", "layer", "description", "supersedes"), NOW, stamp())
+    store.put(
+        entities(spark, {"id": uid(1), "seq": 1, "name": "one"}).select(
+            "id", "seq", "name", "metadata", "createdAt", "validFrom", "layer", "description", "supersedes"
+        ),
+        NOW,
+        stamp(),
+    )
     store.put(entities(spark, {"id": uid(1), "name": "uno"}).select("id", "name"), NOW, stamp())
     row = store.graph.entities.first()
     assert row.name == "uno" and row.provenance.confirmationCount == 2 and row.layer == "evidence" and row.seq == 1
@@ -157,7 +207,9 @@ def test_put_stamps_confirms_and_supersedes(spark):
 
 
 def test_chains_of_any_length_and_cycles(spark):
-    rows = [{"id": f"{k:03}", "seq": k, "supersedes": f"{k - 1:03}" if k else None} for k in range(90)] + [{"id": "x", "seq": 100, "supersedes": "y"}, {"id": "y", "seq": 101, "supersedes": "x"}, {"id": "z", "seq": 102}]
+    rows = [{"id": f"{k:03}", "seq": k, "supersedes": f"{k - 1:03}" if k else None} for k in range(90)] + [
+        {"id": "x", "seq": 100, "supersedes": "y"}, {"id": "y", "seq": 101, "supersedes": "x"}, {"id": "z", "seq": 102}
+    ]
     e, r = entities(spark, *rows), relations(spark, ("089", "SUPERSEDED_BY", "z"))
     got = {x.id: x.position for x in graph.supersession_chain(e, r, "040").collect()}
     assert got == {f"{k:03}": k for k in range(90)} | {"z": 90}
@@ -281,7 +333,11 @@ def test_components_chain_and_stats(spark):
 
 
 def test_degree_counts_loops_twice(spark):
-    d = {r.id: r.degree for r in graph.degree(entities(spark, {"id": "a"}, {"id": "b"}, {"id": "c"}), relations(spark, ("a", "t", "a"), ("a", "t", "b"))).collect()}
+    d = {
+        r.id: r.degree for r in graph.degree(
+            entities(spark, {"id": "a"}, {"id": "b"}, {"id": "c"}), relations(spark, ("a", "t", "a"), ("a", "t", "b"))
+        ).collect()
+    }
     assert d == {"a": 3, "b": 1, "c": 0}
 
 
@@ -309,8 +365,19 @@ def test_communities_of_planted_cliques(spark):
 
 
 def test_cascade_layers(spark):
-    pool = entities(spark, {"id": "p1", "seq": 1, "name": "alpha beta", "entityType": "X"}, {"id": "p2", "seq": 2, "name": "gamma", "entityType": "X", "embedding": [1.0, 0.1]}, {"id": "p3", "seq": 3, "name": "delta", "entityType": "X"})
-    new = entities(spark, {"id": "n1", "seq": 1, "name": "Beta Alpha", "ontologyClass": "X", "entityType": "Z"}, {"id": "n2", "seq": 2, "name": "other", "entityType": "X", "embedding": [1.0, 0.0]}, {"id": "n3", "seq": 3, "name": "dee", "entityType": "X"}, {"id": "n4", "seq": 4, "name": "q"})
+    pool = entities(
+        spark,
+        {"id": "p1", "seq": 1, "name": "alpha beta", "entityType": "X"},
+        {"id": "p2", "seq": 2, "name": "gamma", "entityType": "X", "embedding": [1.0, 0.1]},
+        {"id": "p3", "seq": 3, "name": "delta", "entityType": "X"},
+    )
+    new = entities(
+        spark,
+        {"id": "n1", "seq": 1, "name": "Beta Alpha", "ontologyClass": "X", "entityType": "Z"},
+        {"id": "n2", "seq": 2, "name": "other", "entityType": "X", "embedding": [1.0, 0.0]},
+        {"id": "n3", "seq": 3, "name": "dee", "entityType": "X"},
+        {"id": "n4", "seq": 4, "name": "q"},
+    )
     ask = lambda prompt: '{"match": "delta"}' if "dee" in prompt else "none"
     layers = dedup.LayeredDeduplicator([dedup.NameMatcher(), dedup.EmbeddingMatcher(), dedup.SemanticMatcher(ask)])
     got = {r.id: (r.layer, r.match, r.unclassified) for r in layers.dedup(new, pool).collect()}
@@ -320,9 +387,20 @@ def test_cascade_layers(spark):
 def test_ontology(spark):
     c = ontology.Catalog()
     c.register("upper", {"Base": {"description": "b", "relationships": {"r": ["Base"]}, "properties": {}}})
-    c.register("own", {"Kid": {"extends": "Base", "description": "k", "relationships": {"s": ["Kid"]}, "properties": {"p": {"type": "string"}}}, "Loop": {"extends": "Loop", "description": ""}})
+    c.register(
+        "own",
+        {
+            "Kid": {"extends": "Base", "description": "k", "relationships": {"s": ["Kid"]}, "properties": {"p": {"type": "string"}}},
+            "Loop": {"extends": "Loop", "description": ""},
+        },
+    )
     assert c.parents("Kid") == ["Base"] and c.parents("Loop") == [] and set(c.valid_relationships("Kid")) == {"r", "s"} and c.below("Base") == ["Kid"]
-    e = entities(spark, {"id": "ok", "entityType": "Kid", "ontologyClass": "Base"}, {"id": "bad", "entityType": "Base", "ontologyClass": "Kid"}, {"id": "open", "entityType": "Nope", "ontologyClass": "Kid"})
+    e = entities(
+        spark,
+        {"id": "ok", "entityType": "Kid", "ontologyClass": "Base"},
+        {"id": "bad", "entityType": "Base", "ontologyClass": "Kid"},
+        {"id": "open", "entityType": "Nope", "ontologyClass": "Kid"},
+    )
     assert ids(ontology.isa_violations(e, c.table(spark), c.ancestors(spark))) == ["bad"]
     assert "Kid (extends Base): k [r->Base, s->Kid]" in c.prompt()
     with pytest.raises(ValueError):
@@ -339,7 +417,9 @@ def test_ontology(spark):
     with pytest.raises(ValueError):
         ontologies.parse_hint({"borderStyle": "wavy"})
     rows = ontology.class_listing(c.table(spark), hints, "coding").collect()
-    assert [(r.name, r.level, r.parent, r.display) for r in rows] == [("System", 0, None, None), ("Project", 0, None, None), ("Base", None, None, None), ("Kid", None, "Base", {"color": "#fff", "shape": "square"})]
+    assert [(r.name, r.level, r.parent, r.display) for r in rows] == [
+        ("System", 0, None, None), ("Project", 0, None, None), ("Base", None, None, None), ("Kid", None, "Base", {"color": "#fff", "shape": "square"})
+    ]
     assert [r.name for r in ontology.class_listing(c.table(spark)).collect()] == ["Base", "Kid"]
     with pytest.raises(ValueError):
         ontology.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "x string, y string"), "x", "y", most=5)
@@ -359,7 +439,11 @@ def test_files_round_trip(spark, tmp_path):
     for bad in ((name, False), ("../x", True)):
         with pytest.raises(ValueError):
             snaps.restore(*bad)
-    data = {"attributes": {"kmTombstones": {"entities": {"gone": {"at": NOW}}}}, "nodes": [{"key": "n1", "attributes": {"name": "N", "metadata": {"a": "b"}}}], "edges": [{"key": "e", "source": "n1", "target": "n1", "attributes": {"type": "t"}}]}
+    data = {
+        "attributes": {"kmTombstones": {"entities": {"gone": {"at": NOW}}}},
+        "nodes": [{"key": "n1", "attributes": {"name": "N", "metadata": {"a": "b"}}}],
+        "edges": [{"key": "e", "source": "n1", "target": "n1", "attributes": {"type": "t"}}],
+    }
     (tmp_path / "g.json").write_text(json.dumps(data))
     read = graphs.read_json(spark, [f"file://{tmp_path}/g.json"])[0]
     dangling = {"nodes": [{"key": "n2", "attributes": {}}], "edges": [{"key": "f", "source": "n2", "target": "gone?", "attributes": {"type": "t"}}]}
@@ -368,7 +452,9 @@ def test_files_round_trip(spark, tmp_path):
     assert ids(merged.graph.entities) == ["n1", "n2"] and [(r.key, r.path.split("/")[-1]) for r in left.collect()] == [("f", "h.json")]
     opened = graphs.hydrate(spark, f"file://{tmp_path}/snaps/{name}", [f"file://{tmp_path}/g.json", f"file://{tmp_path}/none.json"], NOW)
     assert ids(opened.graph.entities) == ["n1", "x", "y"] and graphs.hydrate(spark, None, [f"file://{tmp_path}/none.json"], NOW) is None
-    assert [(r.id, r.name, r.metadata) for r in read.entities.collect()] == [("n1", "N", {"a": "b"})] and read.relations.first().type == "t" and read.tombstones.first().key == "gone"
+    assert [
+        (r.id, r.name, r.metadata) for r in read.entities.collect()
+    ] == [("n1", "N", {"a": "b"})] and read.relations.first().type == "t" and read.tombstones.first().key == "gone"
 
 
 def test_vectors_and_missing_exports(spark, tmp_path):
@@ -386,7 +472,13 @@ def test_change_stream(spark, tmp_path):
     t = [datetime.datetime(2024, 1, d) for d in (1, 2, 3)]
     schema = "op string, key string, payload string, ts timestamp"
     spark.createDataFrame([("put", "a", "1", t[1]), ("put", "b", "1", t[0])], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
-    q = apply_changes(spark, spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", {"processingTime": "0 seconds"})
+    q = apply_changes(
+        spark,
+        spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"),
+        f"{tmp_path}/out",
+        f"{tmp_path}/cp",
+        {"processingTime": "0 seconds"},
+    )
     try:
         q.processAllAvailable()
         spark.createDataFrame([("put", "a", "0", t[0]), ("delete", "b", None, t[2])], schema).coalesce(1).write.parquet(f"{tmp_path}/in/2")
@@ -406,7 +498,9 @@ def test_resolve_and_backfill_and_pipeline(spark):
     assert {x.validFrom for x in filled.collect()} == {NOW}
     assert {x.validFrom for x in writes.backfill(filled, F.lit("later"), stamp()).collect()} == {NOW}
     told = []
-    pipe = dedup.IngestPipeline(lambda t: t, dedup.LayeredDeduplicator([dedup.NameMatcher()]), lambda new, old, by: (old.unionByName(new), r), on_phase=lambda *x: told.append(x))
+    pipe = dedup.IngestPipeline(
+        lambda t: t, dedup.LayeredDeduplicator([dedup.NameMatcher()]), lambda new, old, by: (old.unionByName(new), r), on_phase=lambda *x: told.append(x)
+    )
     new = entities(spark, {"id": "n", "seq": 9, "name": "else", "entityType": "X"}, {"id": "m", "seq": 10, "name": "else", "entityType": "X"})
     done = pipe.ingest(new, e, r, stamp())
     assert {x.id: x.supersedes for x in done.entities.where("seq >= 9").collect()} == {"n": "c"} and [x.id for x in done.errors.collect()] == ["m"]
@@ -506,17 +600,30 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
 def test_reprojection_is_idempotent(spark):
     from spanloom.operators.reproject import convert_dump, reproject_online
 
-    obs = spark.createDataFrame([("o1", "first\nline", "a", "p", "q", NOW), ("o2", "", "a", "p", "q", NOW)], "id string, summary string, agent string, project string, quality string, createdAt string")
-    dig = spark.createDataFrame([("d1", "2024-01-01", "theme", "s", ["o1", "zz"], ["a"], None)], "id string, date string, theme string, summary string, observationIds array<string>, agents array<string>, createdAt string")
-    ins = spark.createDataFrame([("i1", "topic", "s", 0.5, ["d1"], NOW)], "id string, topic string, summary string, confidence double, digestIds array<string>, createdAt string")
+    obs = spark.createDataFrame(
+        [("o1", "first\nline", "a", "p", "q", NOW), ("o2", "", "a", "p", "q", NOW)],
+        "id string, summary string, agent string, project string, quality string, createdAt string",
+    )
+    dig = spark.createDataFrame(
+        [("d1", "2024-01-01", "theme", "s", ["o1", "zz"], ["a"], None)],
+        "id string, date string, theme string, summary string, observationIds array<string>, agents array<string>, createdAt string",
+    )
+    ins = spark.createDataFrame(
+        [("i1", "topic", "s", 0.5, ["d1"], NOW)], "id string, topic string, summary string, confidence double, digestIds array<string>, createdAt string"
+    )
     got = reproject_online(entities(spark), relations(spark, ("x", "t", "y")).limit(0), obs, dig, ins, stamp(), NOW)
     assert {(r.name, r.layer) for r in got.entities.collect()} == {("first", "evidence"), ("(empty)", "evidence"), ("theme", "evidence"), ("topic", "pattern")}
     assert got.relations.count() == 2 and [r.ref for r in got.warnings.collect()] == ["zz"]
     assert reads.find_by_legacy_id(got.entities, "A", "o1", NOW).count() == 1
     assert all(r.ok for r in got.entities.select(fn.is_uuid7("id").alias("ok")).collect())
     again = reproject_online(got.entities, got.relations, obs, dig, ins, stamp(), NOW)
-    assert {r.kind: (r.scanned, r.written) for r in again.counts.collect()} == {"Observation": (2, 0), "Digest": (1, 0), "Insight": (1, 0)} and again.relations.count() == 2
-    nodes, edges = convert_dump(spark.createDataFrame([("1", "n"), ("2", None)], "id string, name string"), spark.createDataFrame([(0, "n", "2", "t")], "seq int, `from` string, `to` string, relationType string"))
+    assert {r.kind: (r.scanned, r.written) for r in again.counts.collect()} == {
+        "Observation": (2, 0), "Digest": (1, 0), "Insight": (1, 0)
+    } and again.relations.count() == 2
+    nodes, edges = convert_dump(
+        spark.createDataFrame([("1", "n"), ("2", None)], "id string, name string"),
+        spark.createDataFrame([(0, "n", "2", "t")], "seq int, `from` string, `to` string, relationType string"),
+    )
     assert ids(nodes, "key") == ["2", "n"] and edges.first().key == "b-rel-0"
 
 
