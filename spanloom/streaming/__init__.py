@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import Graph, merge_graphs, prune_tombstones
+from ..sources.graphs import export
 
 #: How long changes gather before the graph is written.
 DEBOUNCE = "5 seconds"
@@ -86,4 +88,32 @@ def merge_stream(copies: Callable[[], list[Graph | None]], live: Graph, as_of: s
     return merged
 
 
-__all__ = ["CHANGES", "DEBOUNCE", "apply_changes", "confirmations", "current", "latest_changes", "merge_stream"]
+class DebouncedExport:
+    """Exports a graph when no newer one came for ``delay`` seconds, so of a burst of writes only the last is written."""
+
+    def __init__(self, path: str, known: list[str], delay: float = 5.0, files: int = 1):
+        self.path, self.known, self.delay, self.files = path, known, delay, files
+        self._lock, self._timer, self._waiting = threading.RLock(), None, None
+
+    def schedule(self, graph: Graph) -> None:
+        """Takes over the newest graph and starts the wait anew."""
+        with self._lock:
+            if self._timer:
+                self._timer.cancel()
+            self._waiting, self._timer = graph, threading.Timer(self.delay, self.flush)
+            self._timer.daemon = True
+            self._timer.start()
+
+    def flush(self) -> bool:
+        """Writes what waits, now; whether something did."""
+        with self._lock:
+            graph, self._waiting = self._waiting, None
+            if self._timer:
+                self._timer.cancel()
+                self._timer = None
+            if graph is not None:
+                export(graph, self.path, self.known, self.files)
+            return graph is not None
+
+
+__all__ = ["CHANGES", "DEBOUNCE", "DebouncedExport", "apply_changes", "confirmations", "current", "latest_changes", "merge_stream"]

@@ -18,7 +18,7 @@ from spanloom.operators import dedup, graph, merge, ontology, projections, reads
 from spanloom.plans import ENTITIES, RELATIONS, SEGMENT, TOMBSTONES
 from spanloom.queries import _shaped
 from spanloom.sources import graphs, ontologies, shared
-from spanloom.streaming import apply_changes, current, latest_changes
+from spanloom.streaming import DebouncedExport, apply_changes, current, latest_changes
 
 NOW = "2024-06-01T00:00:00.000Z"
 
@@ -490,6 +490,15 @@ def test_change_stream(spark, tmp_path):
     assert latest_changes(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_export_waits_for_the_last_write(spark, tmp_path):
+    sink = DebouncedExport(f"file://{tmp_path}/out", [], delay=60)
+    assert not sink.flush()
+    for name in ("one", "two"):
+        sink.schedule(copy(spark, [("x", name, NOW)]))
+    assert not (tmp_path / "out").exists() and sink.flush() and not sink.flush()
+    assert [r.name for r in graphs.read_export(spark, f"file://{tmp_path}/out").entities.collect()] == ["two"]
+
+
 def test_resolve_and_backfill_and_pipeline(spark):
     e = entities(spark, *({"id": i, "seq": k, "name": n, "entityType": "X"} for k, (i, n) in enumerate((("a", "foo bar"), ("b", "bar foo"), ("c", "else")))))
     r = relations(spark, ("b", "t", "c"))
