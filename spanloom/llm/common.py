@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import small, work_dir
 from ..sources.shared import written as kept
 
-__all__ = ["PUNCTUATED", "WORD", "crc_mod", "kept", "mix", "partitions", "row_of", "small", "table", "text_buffer", "word_hashes", "word_spans", "work_dir"]
+__all__ = ["PUNCTUATED", "WORD", "crc_mod", "kept", "mix", "partitions", "row_of", "sliced", "small", "table", "text_buffer", "word_hashes", "word_spans", "work_dir"]
 
 #: Words of the contracts: what lies between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,6 +85,17 @@ def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def sliced(batch: pa.RecordBatch, text: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``most`` bytes of the text column of that place, or of one row: memory follows neither the rows of a
+    batch nor their lengths."""
+    ends = np.cumsum(np.diff(text_buffer(batch.column(text))[1]) + 1)
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def word_spans(buf: np.ndarray, offs: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each row the index of its first word (one more entry than rows)."""
     n = len(buf)

@@ -8,10 +8,10 @@ level after level until one is missing. N-grams seen once are stored too. The fi
 and the next 32 bits of its hash; as a bucket's share of the corpus is bounded, so is the chance to take one for
 another (at most 1 of 400). Token counts are by whole hashes.
 
-Scoring: a filter of at most FILTER_BYTES is broadcast, and texts are scored where they are read. A larger one
-stays in its buckets, as a broadcast must not grow with the corpus: tasks send the distinct n-grams of a batch of
-texts to them, levels come back, and the batch is scored where they meet. Both give the same scores. Exact
-counts for the base score come from the buckets in the same exchange.
+Scoring: tasks pack texts in batches and ask the buckets for the counts of a batch's distinct rarer tokens; where text
+and answers meet again, the batch is scored. A filter of at most FILTER_BYTES is broadcast there. A larger one stays in
+its buckets, as a broadcast must not grow with the corpus: they are asked for the levels of the distinct n-grams,
+too, in the same exchange. Both give the same scores.
 
 Probability of w after v: (1 - l) c(v w) / c(v) + l p(w), l being the share of pairs seen once, p(w) =
 (1 - u) c(w) / N, and u = max(n1, 1) / (N + 1) for the class of unseen words. Numerators take the lower and
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, kept, mix, partitions, text_buffer, word_hashes, work_dir
+from .common import crc_mod, kept, mix, partitions, sliced, text_buffer, word_hashes, work_dir
 
 #: The token that ends a text and, as context, begins one.
 END = np.uint64(0x5DEECE66D1CE4E5B)
@@ -42,8 +42,8 @@ FILTER_BYTES = 16 << 20
 BUCKET_BYTES, LEAST_BITS = 64 << 20, 6
 #: Tokens of at least 1 / HOT of all, of which there are at most HOT, are counted from a broadcast table.
 HOT = 1 << 19
-#: Tokens that a task gathers before it deals them out.
-GATHER = 3_000_000
+#: Tokens that a task gathers before it deals them out, and bytes of text in a batch that is scored.
+GATHER, BATCH = 1_000_000, 4_000_000
 
 
 # ---------------------------------------------------------------- packing
@@ -201,8 +201,8 @@ def _count(train: DataFrame, bits: int) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                tokens, before, _ = _tokens(batch.column(0).slice(i, 1000))
+            for part in sliced(batch, 0, BATCH):
+                tokens, before, _ = _tokens(part.column(0))
                 held.append((tokens, _grams(_pairs(before, tokens), bits)))
                 if sum(len(x[0]) for x in held) >= GATHER:
                     yield from rows()
@@ -304,79 +304,53 @@ def _asked(unique: np.ndarray, at: np.ndarray, before: np.ndarray, tokens: np.nd
     return grams, back[at], back[len(unique) :]
 
 
+def _counts_of(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of tokens by a table of ascending keys; 0 for others."""
+    if not len(keys):
+        return np.zeros(len(own), np.int64)
+    place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    return np.where(keys[place] == own, counts[place], 0).astype(np.int64)
+
+
+# what a message holds: a batch itself, its rarer tokens or their counts, its n-grams or their levels; -1: what a bucket knows
+_TEXTS, _TOKENS, _NGRAMS = 0, 1, 2
+
+
 def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]] | None, hot: tuple[np.ndarray, np.ndarray], totals: _Totals, bits: int) -> DataFrame:
-    """Scores of all rows. Tasks send what they must ask to buckets, where it meets counts and, without parts of a
-    broadcast filter, levels; what comes back is put together batch by batch."""
+    """Scores of all rows: batches go out with their questions to the buckets, and meet the answers by name."""
     spark = rows.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
     id_type = rows.select("id").limit(0).toArrow().schema.field(0).type
     hot_sent, parts_sent = spark.sparkContext.broadcast(hot), spark.sparkContext.broadcast(parts)
-    # what a message to a bucket holds: a batch itself, its rarer tokens, its n-grams; -1: what the bucket knows
-    batch_, tokens_, grams_ = 0, 1, 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, serial = TaskContext.get().partitionId(), 0
-        lookup = Filter(*parts_sent.value, bits) if parts_sent.value is not None else None
         for batch in batches:
-            i = 0
-            ends = np.cumsum(np.maximum(np.diff(text_buffer(batch.column(1))[1]), 1))
-            while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 3 * GATHER, "right")))
+            for part in sliced(batch, 1, BATCH):
                 serial += 1
-                yield from described(batch.slice(i, j - i), (task << 24) + serial, lookup)
-                i = j
+                yield questions(part, (task << 24) + serial)
 
-    def described(part: pa.RecordBatch, name: int, lookup: Filter | None) -> Iterator[pa.RecordBatch]:
-        hot_keys, hot_counts = hot_sent.value
-        tokens, before, n = _tokens(part.column(1))
-        row = np.repeat(np.arange(len(n)), n)
+    def questions(part: pa.RecordBatch, name: int) -> pa.RecordBatch:
+        tokens, before, _ = _tokens(part.column(1))
         unique, at = np.unique(tokens, return_inverse=True)
-        where = np.minimum(np.searchsorted(hot_keys, unique), max(len(hot_keys) - 1, 0))
-        exact = np.where(hot_keys[where] == unique, hot_counts[where], 0) if len(hot_keys) else np.zeros(len(unique), np.int64)
-        c = exact[at]
-        known = np.bincount(row, c > 0, len(n)).astype(np.int64)
-        logs = np.bincount(row, np.log10(c + 1.0), len(n))
-        out, text = [], part.column(1)
-        grams, at_gram, at_pair = _asked(unique, at, before, tokens, bits)
-        if lookup is not None:
-            levels, text = lookup.levels(grams), pa.nulls(len(n), pa.string())
-            scores = totals.scores(n, levels[at_gram], levels[at_pair])
-        else:
-            scores = np.zeros(len(n))
-            out += [(bucket, name, grams_, _pack(grams[s] & _LOW)) for bucket, s in _runs(grams, bits, 32 + bits)]
-        base = pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(known), pa.array(logs), pa.array(scores), text], ["id", "n", "known", "logs", "score", "text"])
         whole = io.BytesIO()
-        with pa.ipc.new_stream(whole, base.schema) as sink:
-            sink.write_batch(base)
-        out.append((name % (1 << bits), name, batch_, whole.getvalue()))
-        if totals.tokens:
-            rare = np.flatnonzero(exact[at] == 0)
-            pair, times = np.unique(at[rare] * len(n) + row[rare], return_counts=True)  # by token, then by row
-            kinds, rows_ = pair // len(n), pair % len(n)
-            which, begin = np.unique(kinds, return_index=True)
-            edges = np.append(begin, len(pair))
-            for bucket, s in _runs(unique[which], bits):
-                own = slice(edges[s.start], edges[s.stop])
-                out.append((bucket, name, tokens_, _pack(unique[which[s]], np.diff(edges[s.start : s.stop + 1]), rows_[own], times[own])))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "name", "kind", "data"])
-
-    def met(data: bytes, keys: np.ndarray, counts: np.ndarray) -> bytes | None:
-        """Rows of a batch, with the number and the logarithms of their tokens that a bucket knows."""
-        own, sizes, row, times = _unpack(data)
-        place = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        c = np.where(keys[place] == own, counts[place], 0) if len(keys) else np.zeros(len(own))
-        c = np.repeat(c, sizes.astype(np.int64)).astype(np.float64)
-        hit = c > 0
-        row, times = row[hit].astype(np.int64), times[hit].astype(np.int64)
-        some, back = np.unique(row, return_inverse=True)
-        return _pack(some.astype(np.uint64), np.bincount(back, times).astype(np.int64), np.bincount(back, times * np.log10(c[hit] + 1))) if len(row) else None
+        with pa.ipc.new_stream(whole, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
+            sink.write_batch(part)
+        out = [(name % (1 << bits), name, _TEXTS, whole.getvalue())]
+        rare = unique[_counts_of(unique, *hot_sent.value) == 0]
+        out += [(bucket, name, _TOKENS, _pack(rare[s])) for bucket, s in _runs(rare, bits)]
+        if parts_sent.value is None:
+            grams, _, _ = _asked(unique, at, before, tokens, bits)
+            out += [(bucket, name, _NGRAMS, _pack(grams[s] & _LOW)) for bucket, s in _runs(grams, bits, 32 + bits)]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "name", "kind", "data"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = counts = lookup = now = None
         for batch in batches:
-            for bucket, name, what, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for bucket, name, what, data in zip(*batch.columns, strict=True):
+                bucket, what, data = bucket.as_py(), what.as_py(), data.as_py()
                 if bucket != now:
                     keys, counts, lookup, now = np.zeros(0, np.uint64), np.zeros(0, np.uint64), Filter(b"", {}, bits), bucket
                 if what < 0:
@@ -384,38 +358,38 @@ def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]]
                     keys, counts = _unpack(data[8 : 8 + size])
                     lookup = Filter(data[8 + size :], {bucket: len(data) - 8 - size}, bits)
                     continue
-                if what == tokens_:
-                    data = met(data, keys, counts)
-                elif what == grams_:
+                if what == _TOKENS:
+                    data = _pack(keys[:0], _counts_of(_unpack(data)[0], keys, counts))
+                elif what == _NGRAMS:
                     data = lookup.levels(_unpack(data)[0] + (np.uint64(bucket) << np.uint64(32))).tobytes()
-                if data is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([what], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["name", "kind", "bucket", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.int64()), pa.array([what], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["name", "kind", "bucket", "data"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Filter(*parts_sent.value, bits) if parts_sent.value is not None else None
         for _, got in _by_key(batches, "name"):
-            base = pa.ipc.open_stream(got["data"][0]).read_all()
-            n, known, logs, scores = (base[c].to_numpy().copy() for c in ("n", "known", "logs", "score"))
-            for what, data in zip(got["kind"][1:], got["data"][1:], strict=True):
-                if what == tokens_:
-                    row, more, log = _unpack(data)
-                    known[row.astype(np.int64)] += more.astype(np.int64)
-                    logs[row.astype(np.int64)] += log
-            if parts_sent.value is None:  # levels come in the order of buckets, which is that of hashes
-                levels = np.frombuffer(b"".join(d for k, d in zip(got["kind"], got["data"], strict=True) if k == grams_), np.uint8)
-                tokens, before, _ = _tokens(base["text"].combine_chunks())
-                unique, at = np.unique(tokens, return_inverse=True)
-                _, at_gram, at_pair = _asked(unique, at, before, tokens, bits)
-                scores = totals.scores(n, levels[at_gram], levels[at_pair])
-            logs -= n * np.log10(totals.tokens + totals.types + 1.0)
-            ids = base["id"].combine_chunks().cast(id_type)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(known), pa.array(np.full(len(n), totals.tokens)), pa.array(logs), pa.array(scores)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            # answers come in the order of buckets, which is that of hashes
+            answers = {what: [d for k, d in zip(got["kind"], got["data"], strict=True) if k == what] for what in (_TOKENS, _NGRAMS)}
+            texts = pa.ipc.open_stream(got["data"][0]).read_all().combine_chunks()
+            tokens, before, n = _tokens(texts.column(1).combine_chunks())
+            row = np.repeat(np.arange(len(n)), n)
+            unique, at = np.unique(tokens, return_inverse=True)
+            exact = _counts_of(unique, *hot_sent.value)
+            exact[exact == 0] = np.concatenate([*(_unpack(d)[1] for d in answers[_TOKENS]), np.zeros(0, np.uint64)]).astype(np.int64)
+            c = exact[at]
+            known = np.bincount(row, c > 0, len(n)).astype(np.int64)
+            logs = np.bincount(row, np.log10(c + 1.0), len(n)) - n * np.log10(totals.tokens + totals.types + 1.0)
+            grams, at_gram, at_pair = _asked(unique, at, before, tokens, bits)
+            levels = lookup.levels(grams) if lookup else np.frombuffer(b"".join(answers[_NGRAMS]), np.uint8)
+            scores = totals.scores(n, levels[at_gram], levels[at_pair])
+            columns = [texts.column(0).combine_chunks().cast(id_type), *map(pa.array, (n, known, np.full(len(n), totals.tokens), logs, scores))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     data = F.col("counts") if parts is not None else F.concat("counts", "filter")
     size = F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(F.length("counts").cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(8))))
     knows = lm.select("bucket", F.lit(0).cast("long").alias("name"), F.lit(-1).alias("kind"), F.concat(size, data).alias("data"))
     sent = rows.mapInArrow(deal, "bucket int, name long, kind int, data binary").unionByName(knows)
     answers = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "kind", "name").mapInArrow(meet, "name long, kind int, bucket int, data binary")
-    answers = answers.repartition(partitions(spark), "name").sortWithinPartitions("name", "kind", "bucket")
+    answers = answers.repartition(max(partitions(spark), 1 << bits), "name").sortWithinPartitions("name", "kind", "bucket")
     return answers.mapInArrow(finish, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
