@@ -181,7 +181,7 @@ class GraphStore:
 
     def batch(self, now: str, **ops: DataFrame) -> None:
         g = self.graph
-        self._hold(Graph(*W.batch(g.entities, g.relations, g.tombstones, now, **ops)))
+        self._hold(Graph(*W.batch(g.entities, g.relations, g.tombstones, now, catalog=self.catalog, **ops)))
         for op, told in (("puts", "put"), ("deletes", "delete")):
             if ops.get(op) is not None:
                 rows = ops[op]

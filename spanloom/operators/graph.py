@@ -189,9 +189,9 @@ def modularity(relations: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def communities(entities: DataFrame, relations: DataFrame, algorithm: str = "louvain", seed: int = 0x43065EED, min_size: int = 1, most: int = 500) -> tuple[
-    DataFrame, DataFrame, DataFrame
-]:
+def communities(
+    entities: DataFrame, relations: DataFrame, algorithm: str = "louvain", seed: int = 0x43065EED, min_size: int = 1, most: int = 500
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Communities (community, size), largest first, their members (community, id) and their modularity.
 
     Louvain in rounds: every node looks for the neighbouring community of the largest gain. In even rounds it may

@@ -182,13 +182,21 @@ def remove_relations(relations: DataFrame, tombstones: DataFrame, keys: DataFram
     return relations.join(gone, "key", "left_anti").select(*relations.columns), _latest(tombstones, fresh)
 
 
-def batch(entities: DataFrame, relations: DataFrame, tombstones: DataFrame, now: str, puts: DataFrame | None = None, deletes: DataFrame | None = None, adds: DataFrame | None = None, removes: DataFrame | None = None) -> tuple[
-    DataFrame, DataFrame, DataFrame
-]:
+def batch(
+    entities: DataFrame,
+    relations: DataFrame,
+    tombstones: DataFrame,
+    now: str,
+    puts: DataFrame | None = None,
+    deletes: DataFrame | None = None,
+    adds: DataFrame | None = None,
+    removes: DataFrame | None = None,
+    catalog: Catalog | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Puts (trusted), deletes, added relations, and relations removed by triple, all or none: checks come first."""
     if puts is not None:
         last = puts.groupBy("id").agg(F.max_by(F.struct(*puts.columns), "seq").alias("w")).select("w.*")
-        entities = put_entities(entities, last, now, strict=False)
+        entities = put_entities(entities, last, now, strict=False, catalog=catalog)
     if deletes is not None:
         entities, relations, tombstones = delete_entities(entities, relations, tombstones, deletes, now)
     if adds is not None:
@@ -367,9 +375,9 @@ def resolve_plan(
     return pairs.groupBy("_batch").applyInPandas(take, "class string, dup string, dup_name string, survivor string, survivor_name string, confidence double")
 
 
-def resolve_entities(entities: DataFrame, relations: DataFrame, classes: list[str], now: str, matcher: Matcher | None = None, dry_run: bool = False, by: str = "", **how) -> tuple[
-    DataFrame, DataFrame, Resolution
-]:
+def resolve_entities(
+    entities: DataFrame, relations: DataFrame, classes: list[str], now: str, matcher: Matcher | None = None, dry_run: bool = False, by: str = "", **how
+) -> tuple[DataFrame, DataFrame, Resolution]:
     """The tables with duplicates merged (as they were in a dry run), and what was done, with counts by class."""
     merges = resolve_plan(entities, relations, classes, matcher, dry_run=dry_run, **how)
     merges = written(merges, f"{work_dir(entities.sparkSession)}/merges")  # a matcher is asked once
