@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import small, work_dir
 from ..sources.shared import written as kept
 
-__all__ = ["PUNCTUATED", "WORD", "crc_mod", "kept", "mix", "partitions", "row_of", "sliced", "small", "table", "text_buffer", "word_hashes", "word_spans", "work_dir"]
+__all__ = ["PUNCTUATED", "WORD", "crc_mod", "kept", "mix", "partitions", "row_of", "sliced", "small", "table", "tidy", "text_buffer", "word_hashes", "word_spans", "work_dir"]
 
 #: Words of the contracts: what lies between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +29,25 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """run, for mapInArrow; what a task has freed goes back to the system when it ends, as Python workers live on between tasks."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % n, F.lit(0))
@@ -85,7 +106,7 @@ def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def sliced(batch: pa.RecordBatch, text: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, text: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``most`` bytes of the text column of that place, or of one row: memory follows neither the rows of a
     batch nor their lengths."""
     ends = np.cumsum(np.diff(text_buffer(batch.column(text))[1]) + 1)

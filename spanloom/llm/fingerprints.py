@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, row_of, text_buffer, word_hashes
+from .common import mix, partitions, row_of, text_buffer, tidy, word_hashes
 
 SAMPLES, ROWS, SEED = 64, 1 << 16, 20240307
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -104,7 +104,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x or "") for x in texts], pa.int64()), pa.array(prints, pa.string())], ["id", "n_chars", "fingerprint"])
 
     ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, n_chars long, fingerprint string").withColumnRenamed("id", id_col)
+    return ids.mapInArrow(tidy(run), f"id {ids.schema['id'].dataType.simpleString()}, n_chars long, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def _bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 most[int(k)] = max(most.get(int(k), _NO_ID), int(ids[at == k].max()))
         yield pa.RecordBatch.from_arrays([pa.array(most.keys(), pa.int32()), pa.array(most.values(), pa.int64())], ["bucket", "top"])
 
-    found = keyed.select("id").mapInArrow(tops, "bucket int, top long").groupBy("bucket").agg(F.max("top").alias("top")).orderBy("bucket").collect()
+    found = keyed.select("id").mapInArrow(tidy(tops), "bucket int, top long").groupBy("bucket").agg(F.max("top").alias("top")).orderBy("bucket").collect()
     above = {r["top"]: found[(i + 1) % len(found)]["bucket"] for i, r in enumerate(found)}
     firsts = np.asarray(sorted(above), np.int64)
 
@@ -151,7 +151,7 @@ def _bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(guest), *batch.columns], ["bucket", "guest", "id", "own", "text"])
 
     kind = keyed.schema["own"].dataType.simpleString()
-    dealt = keyed.mapInArrow(deal, f"bucket int, guest boolean, id long, own {kind}, text string")
+    dealt = keyed.mapInArrow(tidy(deal), f"bucket int, guest boolean, id long, own {kind}, text string")
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.desc("id"), "text")
 
 
@@ -196,5 +196,5 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = _bucketed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = _bucketed(docs, id_col, text_col).mapInArrow(tidy(run), f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("id", id_col)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, work_dir
+from .common import kept, tidy, work_dir
 
 #: Shorter blocks are left open; longer ones need this share of stop words, and at most this share of linked text.
 SHORT, STOP_SHARE, LINK_SHARE = 70, 0.25, 0.4
@@ -282,7 +282,7 @@ def learnt_words(pages: DataFrame, html_col: str = "html") -> frozenset[str]:
                     yield counts()
         yield counts()
 
-    counted = pages.select(pages[html_col].alias("html")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = pages.select(pages[html_col].alias("html")).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = kept(counted.where(F.col("n") >= LEARNT_BLOCKS), f"{work_dir(pages.sparkSession)}/words")
     total = counted.where("word = ''").first()
     often = counted.where(F.col("n") >= LEARNT_SHARE * (total["n"] if total else 0)).collect()
@@ -304,4 +304,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
 
     rows = pages.select(pages[id_col].alias("id"), pages["url"], pages[html_col].alias("html"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected
-from .common import kept, mix, partitions, small, text_buffer, word_hashes, work_dir
+from .common import kept, mix, partitions, sliced, small, text_buffer, tidy, word_hashes, work_dir
 
 TREES, DEPTH, REGION, NEAREST = 20, 6, 1024, 4
 _rng = np.random.default_rng(20240311)
@@ -106,8 +106,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for part in sliced(batch, 1):
                 sets = shingle_sets(part.column(1), width)
                 nodes = [set_id(s) if len(s) else None for s in sets]
                 new = []
@@ -127,7 +126,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(signature, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["id", "key", "n", "node", "signature", "keys"])
 
     ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), _row_key(docs, id_col, text_col).alias("key"))
-    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, key long, n long, {NODE}, signature binary, keys array<long>")
+    return ids.mapInArrow(tidy(run), f"id {ids.schema['id'].dataType.simpleString()}, key long, n long, {NODE}, signature binary, keys array<long>")
 
 
 # ---------------------------------------------------------------- forest
@@ -221,7 +220,7 @@ def _near(rows: DataFrame, percent: int, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(int(best.sum()), region), node[one[best]], node[two[best]], share[best], crowded[best])], ["region", "a", "b", "share", "crowded"])
 
     dealt = rows.repartition(partitions(rows.sparkSession), "region").sortWithinPartitions("region", "node")
-    return dealt.select("region", "node", "signature", "n", "homes").mapInArrow(run, _NEAR)
+    return dealt.select("region", "node", "signature", "n", "homes").mapInArrow(tidy(run), _NEAR)
 
 
 def _following(rows: DataFrame, least: float) -> DataFrame:
@@ -245,7 +244,7 @@ def _following(rows: DataFrame, least: float) -> DataFrame:
     at = F.col("tree") * DEPTH * 2
     order = F.concat(F.expr(f"substring(signature, tree * {DEPTH * 2} + 1)"), F.substring("signature", F.lit(1), at))
     dealt = rows.withColumn("order", order).repartitionByRange(partitions(rows.sparkSession), "region", "order", "node")
-    return dealt.sortWithinPartitions("region", "order", "node").select("region", "node", "signature").mapInArrow(run, _NEAR)
+    return dealt.sortWithinPartitions("region", "order", "node").select("region", "node", "signature").mapInArrow(tidy(run), _NEAR)
 
 
 # ---------------------------------------------------------------- confirmation
@@ -264,7 +263,7 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(maps, pa.int32()), pa.array([np.packbits(m).tobytes() for m in maps.values()], pa.binary())], ["k", "bits"])
 
     slices = nodes.select("node").withColumn("k", F.shiftrightunsigned("node", 64 - BITMAP) / each).withColumn("k", F.col("k").cast("int"))
-    found = slices.repartition(SLICES, "k").select("node").mapInArrow(run, "k int, bits binary").collect()
+    found = slices.repartition(SLICES, "k").select("node").mapInArrow(tidy(run), "k int, bits binary").collect()
     out = np.zeros((SLICES, each // 8), np.uint8)
     for r in found:
         out[r["k"]] |= np.frombuffer(r["bits"], np.uint8)
@@ -278,9 +277,9 @@ def _sets_of(docs: DataFrame, text_col: str, width: int, nodes: DataFrame) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = sent.value, set()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
+            for part in sliced(batch, 0):
                 out = []
-                for s in shingle_sets(batch.column(0).slice(i, 1000), width):
+                for s in shingle_sets(part.column(0), width):
                     if len(s) and (node := set_id(s)) not in seen:
                         at = (node & (2**64 - 1)) >> (64 - BITMAP)
                         if bits[at >> 3] >> (7 - (at & 7)) & 1:
@@ -289,7 +288,7 @@ def _sets_of(docs: DataFrame, text_col: str, width: int, nodes: DataFrame) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "shingles"])
 
     texts = docs.select(docs[text_col].alias("text"))
-    return texts.mapInArrow(run, f"{NODE}, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return texts.mapInArrow(tidy(run), f"{NODE}, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -309,7 +308,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 # ---------------------------------------------------------------- exact join
@@ -326,7 +325,7 @@ def _frequency(sets: DataFrame) -> np.ndarray:
         some = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some])], ["cell", "n"])
 
-    counted = sets.select("shingles").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counted = sets.select("shingles").mapInArrow(tidy(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     out = np.zeros(1 << CELLS, np.uint8)  # at most as many rows as cells came back
     out[counted["cell"].to_numpy()] = np.minimum(1 + np.log2(counted["n"].to_numpy().astype(np.float64)) * 4, 255).astype(np.uint8)
     return out
@@ -347,7 +346,7 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
             node, root = (batch.column(k).to_numpy()[row] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)), pa.array(node), pa.array(root)], ["token", "node", "root"])
 
-    return sets.select("node", "root", "shingles").mapInArrow(run, "token long, node long, root long")
+    return sets.select("node", "root", "shingles").mapInArrow(tidy(run), "token long, node long, root long")
 
 
 def _close(rows: DataFrame, percent: int, least: float) -> DataFrame:
@@ -360,7 +359,7 @@ def _close(rows: DataFrame, percent: int, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
 
     dealt = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token", "node")
-    return dealt.select("token", "node", "root", "n", "signature").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("token", "node", "root", "n", "signature").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _blocks(tokens: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
@@ -409,7 +408,7 @@ def _matched(rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     dealt = rows.repartition(partitions(rows.sparkSession), "pair").sortWithinPartitions("pair", "node")
-    return dealt.select("pair", "side", "node", "root", "shingles").mapInArrow(run, "a long, b long")
+    return dealt.select("pair", "side", "node", "root", "shingles").mapInArrow(tidy(run), "a long, b long")
 
 
 def _alike_rows(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Iterator[np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, row_of, text_buffer, word_hashes, word_spans
+from .common import crc_mod, row_of, sliced, text_buffer, tidy, word_hashes, word_spans
 
 BINS, GRID, PAIRS, ROUNDS, RATE, RIDGE = 48, 8, 8, 120, 0.15, 1.0
 FEATURES = ("bytes", "words", "word_bytes", "upper", "digit", "mark", "odd_mark", "end_mark", "bar", "non_ascii", "line", "distinct", "repeated", "top_word", "caps_word", "marked_word", "longest")
@@ -172,13 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_if
     known = F.broadcast(ids[0].unionByName(ids[1]).select("doc_id", "order", F.col("label").cast("double").alias("label")))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = features(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j]) for j in range(x.shape[1])), batch.column(1), batch.column(2)], [*FEATURES, "label", "order"])
+        for part in (part for batch in batches for part in sliced(batch, 0)):
+            x = features(part.column(0))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j]) for j in range(x.shape[1])), part.column(1), part.column(2)], [*FEATURES, "label", "order"])
 
     rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "label", "order")
     columns = [*FEATURES, "label"]
-    described = rows.mapInArrow(describe, ", ".join(f"{c} double" for c in columns) + ", order long")
+    described = rows.mapInArrow(tidy(describe), ", ".join(f"{c} double" for c in columns) + ", order long")
     # an id may have several rows: they count within the bound, too
     parts = [described.where(F.col("label") == k).orderBy("order", *FEATURES).limit(per_class) for k in (0, 1)]
     found = parts[0].unionByName(parts[1]).toArrow()
@@ -197,12 +197,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for part in sliced(batch, 1):
                 s = sent.value.score(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -211,11 +210,10 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for part in sliced(batch, at):
                 yield part.filter(pa.array(sent.value.score(part.column(at)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_buffer
+from .common import text_buffer, tidy
 
 #: Bytes of chunks that are encoded in one call, and chunks that a worker remembers.
 GROUP_BYTES, REMEMBERED = 1_000_000, 400_000
@@ -129,4 +129,4 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
 
     ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = ids.schema["id"].dataType.simpleString()
-    return ids.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return ids.mapInArrow(tidy(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

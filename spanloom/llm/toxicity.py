@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATED, crc_mod, kept, mix, row_of, text_buffer, word_spans, work_dir
+from .common import PUNCTUATED, crc_mod, kept, mix, row_of, sliced, text_buffer, tidy, word_spans, work_dir
 
 #: In windows only words count whose likelihoods differ by a factor of exp(DECISIVE) at least.
 WINDOW, DECISIVE, VOTE, TOP = 50, 3.0, 12.0, 6
 #: Counts of a class up to OWN (of pairs, OWN_PAIR) say nothing by themselves: they go to what is less specific.
 DISCOUNT, OWN, OWN_PAIR, ORDER, FOLDS = 0.75, 1.5, 8.0, 6, 3
+#: Grams that are looked up at once.
+STEP = 250_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _START, _STOP = 2, 3
@@ -120,6 +122,16 @@ class Spelling:
         return out
 
 
+    def of_words(self, grams: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+        """Log-probability of each word in class 0 and in class 1, from the grams of words in order; STEP grams at a time."""
+        out = np.zeros((2, words))
+        for i in range(0, len(grams), STEP):
+            own = word[i : i + STEP]
+            for k, x in enumerate(self.logs(grams[i : i + STEP])):
+                out[k] += np.bincount(own, x, words)
+        return out
+
+
 def pair_keys(before: np.ndarray, names: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + names)
 
@@ -146,7 +158,7 @@ class Model:
             raise ValueError("a word has parts")
         grams, word = _grams(buf, starts, ends)
         self.spelling = Spelling([grams[counts[word, k] > 0] for k in (0, 1)])
-        spelled = np.exp([np.bincount(word, x, len(words)) for x in self.spelling.logs(grams)]) if len(words) else np.zeros((2, 0))
+        spelled = np.exp(self.spelling.of_words(grams, word, len(words)))
         total, kinds = np.maximum(counts.sum(axis=0), 1), (counts > 0).sum(axis=1)  # in how many classes a word occurs
         rest = np.where(counts.any(axis=0), np.minimum(counts, OWN).sum(axis=0) / total, 1.0)
         free = DISCOUNT * (kinds > 0).sum() / max(kinds.sum(), 1)
@@ -168,7 +180,7 @@ class Model:
         logs = self.words.get(kinds)
         new = logs[0] == 0
         grams, word = _grams(buf, starts[at[new]], ends[at[new]])
-        logs[:, new] = self.unseen + np.stack([np.bincount(word, x, int(new.sum())) for x in self.spelling.logs(grams)])
+        logs[:, new] = self.unseen + self.spelling.of_words(grams, word, int(new.sum()))
         total, given = np.split(self.before.get(np.append(kinds, _BEGIN)), 2)
         with np.errstate(divide="ignore"):
             back_off = np.where(total > 0, np.log(given / np.maximum(total, 1)), 0.0)
@@ -261,8 +273,7 @@ def _tally(rows: DataFrame, of_pairs: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in sliced(batch, 0):
                 buf, starts, ends, first = _words(part.column(0))
                 names, row = _names(buf, starts, ends), row_of(first)
                 before = contexts(names, first)
@@ -279,7 +290,7 @@ def _tally(rows: DataFrame, of_pairs: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*named, *counts], [*(["pair", "before"] if of_pairs else ["word"]), *_COUNTS])
 
     named = ["pair", "before"] if of_pairs else ["word"]
-    counted = rows.select("text", "label", "fold").mapInArrow(run, ("pair long, before long, " if of_pairs else "word string, ") + _OF)
+    counted = rows.select("text", "label", "fold").mapInArrow(tidy(run), ("pair long, before long, " if of_pairs else "word string, ") + _OF)
     return counted.groupBy(*named).agg(*(F.sum(c).alias(c) for c in _COUNTS))
 
 
@@ -315,36 +326,40 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_if:
     several rows counts with each, within the bounds. Without labels, every score is close to 0; with labels of one
     class only, all scores are close to it.
     """
-    spark, path = docs.sparkSession, work_dir(docs.sparkSession)
+    path = work_dir(docs.sparkSession)
     rows = kept(_sample(docs, labels, label_col, F.lit(True) if train_if is None else train_if, per_class, class_bytes), f"{path}/sample")
-    model, sent = None, []
-    for model in _models(rows, path):
-        sent.append(spark.sparkContext.broadcast(model) if len(sent) < FOLDS else None)
-    names = [f"x{k}" for k in range(TOP + 4)]
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fold = batch.column(2).to_numpy()
-            for k in range(FOLDS):
-                part = batch.filter(pa.array(fold == k))
-                x = sent[k].value.features(part.column(0))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(len(names))), part.column(1)], [*names, "label"])
-
-    x = rows.select("text", "label", "fold").repartition(16).mapInArrow(describe, ", ".join(f"{c} double" for c in names) + ", label int").toArrow()
+    names, described, model = [f"x{k}" for k in range(TOP + 4)], [], None
+    for fold, model in enumerate(_models(rows, path)):
+        if fold < FOLDS:
+            described.append(_described(rows.where(F.col("fold") == fold), model, names))
+    x = pa.concat_tables(described)
     columns = [x[c].to_numpy() for c in (*names, "label")]
     columns = [c[np.lexsort(columns)] for c in columns]  # rows in an order of their own, so that sums agree from run to run
     model.fit_curve(np.stack(columns[:-1], axis=1), columns[-1].astype(np.float64))
-    for one in sent[:FOLDS]:
-        one.destroy()
     return model
 
 
-def _scored(model: Model, docs: DataFrame) -> Callable[[pa.Array], np.ndarray]:
-    """A function of a text column that gives scores in tasks, in slices of bounded size."""
+def _described(rows: DataFrame, model: Model, names: list[str]) -> pa.Table:
+    """Features and labels of rows, by a model that goes when they are done."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in sliced(batch, 0)):
+            x = sent.value.features(part.column(0))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(len(names))), part.column(1)], [*names, "label"])
+
+    schema = ", ".join(f"{c} double" for c in names) + ", label int"
+    out = rows.select("text", "label").repartition(16).mapInArrow(tidy(describe), schema).toArrow()
+    sent.destroy()
+    return out
+
+
+def _scored(model: Model, docs: DataFrame) -> Callable[[pa.RecordBatch, int], np.ndarray]:
+    """A function of a batch and the place of its text column that gives scores in tasks, in slices of bounded size."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: pa.Array) -> np.ndarray:
-        return np.concatenate([sent.value.score(texts.slice(i, 500)) for i in range(0, len(texts), 500)]) if len(texts) else np.zeros(0)
+    def run(batch: pa.RecordBatch, text: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(sent.value.score(part.column(text)) for part in sliced(batch, text))])
 
     return run
 
@@ -359,10 +374,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = scores(batch.column(1))
+            s = scores(batch, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -371,9 +386,9 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scores(batch.column(at)) < threshold))
+            yield batch.filter(pa.array(scores(batch, at) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small, work_dir
+from .common import kept, small, tidy, work_dir
 
 SEGMENT, CHUNK, FILE_RECORDS = 32_768, 8_192, 400
 #: Smaller payloads are always stored.
@@ -159,7 +159,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str =
                     out += records_of(row, page, url, text.encode("utf-8", "surrogatepass"), stored if again else None, bool(known) and page is not None)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    records = keyed.select("id", "url", "html", "row", "stored", "known").mapInArrow(run, "record binary")
+    records = keyed.select("id", "url", "html", "row", "stored", "known").mapInArrow(tidy(run), "record binary")
     writer = records.select(F.col("record").cast("string").alias("value")).write.mode("overwrite")
     writer.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
@@ -229,7 +229,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     segmented records are shuffled. The payload of a revisit is null, its length and digest are the original's.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    parts = files.mapInArrow(_segments, _FIELDS)
+    parts = files.mapInArrow(tidy(_segments), _FIELDS)
     whole = parts.where("segment = 0").drop("segment", "total")
     order = F.sort_array(F.collect_list(F.struct("segment", "block")))
     joined = parts.where("segment > 0").groupBy("name").agg(*(F.max(c).alias(c) for c in ("page_id", "url", "kind", "refers_to", "digest", "payload_bytes", "total")), order.alias("parts"))
@@ -239,7 +239,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     refused = F.raise_error(F.concat(F.lit("segments are missing or do not have the stated length: "), F.col("name"))).cast("binary")
     joined = joined.withColumn("block", block).withColumn("block", F.when(sound, F.col("block")).otherwise(refused))
     columns = whole.columns
-    return whole.unionByName(joined.select(*columns)).mapInArrow(_opened(with_payload), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return whole.unionByName(joined.select(*columns)).mapInArrow(tidy(_opened(with_payload)), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
