@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import kept, work_dir
 
-WEIGHTS, MOST, BLOCK, LARGE, SEED = (5, 2, 1), 3, 2_000, 256, 20240319
+WEIGHTS, MOST, LARGE, SEED = (5, 2, 1), 3, 256, 20240319
+#: Documents a block. A flight costs some 256 steps over its block, so small blocks make short, even tasks; balance does
+#: not suffer, as each block keeps its sums and what it leaves open, two documents, goes into blocks of the next level.
+BLOCK = 2_000
 _CLOSE = 1e-9
 
 
@@ -27,23 +30,28 @@ def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) from rows (source, size).
 
     Sources by code point, null last, weigh 5, 2, 1 in turn. A source's target stops at MOST times its size,
-    and the excess goes to the others by weight, in rounds, until none is above; the table has a row a source.
+    and the excess goes to the others by weight, in rounds, until none is above. Sources may be many: they are sorted
+    by ranges and numbered range by range, and a round is one sum over them.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    path, order = work_dir(sizes.sparkSession), F.col("source").asc_nulls_last()
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(order)
+    by = kept(by.withColumn("part", F.spark_partition_id()), f"{path}/by")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = by.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))  # a row a range
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("before")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weight.cast("double"))
-    # the share a unit of weight gets only grows from round to round, so sources stop in the order of size / weight
-    ratio = F.col("source_size") * MOST / F.col("weight")
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by = by.withColumn("ratio", ratio).withColumn("total", F.sum("source_size").over(every)).withColumn("weights", F.sum("weight").over(every))
-    left = F.col("total") - F.coalesce(F.sum(F.col("source_size") * MOST).over(before), F.lit(0))
-    unit = left / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    by = by.withColumn("unit", unit).withColumn("stops", F.col("ratio") <= F.col("unit"))
-    share = F.max(F.when(~F.col("stops"), F.col("unit"))).over(every)  # without an open source, each one stops
-    first = F.min(F.when(~F.col("stops"), F.struct("ratio", "unit"))).over(every)["unit"]
-    by = by.withColumn("share", F.coalesce(first, share))
-    target = F.when(F.col("stops"), (F.col("source_size") * MOST).cast("double")).otherwise(F.col("weight") * F.col("share"))
+    by = kept(by.join(F.broadcast(parts), "part").select("source", "source_size", weight.cast("double").alias("weight")), f"{path}/weights")
+
+    total, unit = by.agg(F.sum("source_size")).first()[0] or 0, -1.0
+    most = F.col("source_size") * MOST
+    while True:  # what a unit of weight gets only grows, so sources that have stopped stay so
+        stops = F.col("weight") * unit > most if unit >= 0 else F.lit(False)
+        fixed, weights = by.agg(F.sum(F.when(stops, most)), F.sum(F.when(~stops, F.col("weight")))).first()
+        again = (total - (fixed or 0)) / weights if weights else unit
+        if again <= unit:
+            break
+        unit = again
+    target = F.least(F.col("weight") * F.lit(unit), most.cast("double"))
     return by.select("source", "source_size", target.alias("target"))
 
 

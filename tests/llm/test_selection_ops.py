@@ -280,6 +280,14 @@ def test_targets(spark):
         assert got == pytest.approx(targets(sizes))
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(2)
+    sizes = {f"s{rng.random()}": rng.choice([1, 3, 50, 7000]) for _ in range(700)} | {"é": 4, "Z": 9, None: 2, "🙂": 5, "\uffee": 5}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(7)
+    assert {r.source: r.target for r in mixing.targets(rows).collect()} == pytest.approx(targets(sizes))
+    assert mixing.targets(rows.limit(0)).count() == 0
+
+
 def test_flight_keeps_sums_and_expectations():
     rng = np.random.default_rng(1)
     size = np.exp(rng.normal(5, 1, 300)).round()

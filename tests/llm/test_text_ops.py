@@ -17,7 +17,7 @@ import pytest
 import sentencepiece
 
 from spanloom.llm import decontaminate, fingerprints, html_text, lm_scoring, queries, token_counts, warc
-from spanloom.llm.common import WORD, crc_mod, text_buffer, word_hashes
+from spanloom.llm.common import WORD, crc_mod, sliced, text_buffer, word_hashes
 
 SF = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -42,6 +42,13 @@ def test_word_hashes_are_words():
     assert np.diff(first).tolist() == [len(words(t)) for t in texts]
 
 
+def test_slices_are_bounded_by_bytes():
+    texts = ["a" * 10, None, "b" * 900, "", "é" * 40, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["k", "t"])
+    parts = [p.column(0).to_pylist() for p in sliced(batch, 1, 100)]
+    assert parts == [[0, 1], [2], [3, 4, 5]] and list(sliced(batch.slice(0, 0), 1)) == []
+
+
 # ---------------------------------------------------------------- token counts
 
 
@@ -115,10 +122,10 @@ def test_lm_counts_are_exact_and_scores_are_the_models(spark, monkeypatch):
         return 2 ** (math.floor(2 * math.log2(x) + 1e-9) / 2) if x else 0
 
     def log_p(before, t):
-        alone = (1 - unseen) * low(c[t]) / n if c[t] else unseen
+        alone = (1 - unseen) * c[t] / n if c[t] else unseen
         if not c[before]:
             return math.log10(alone)
-        return math.log10((1 - back) * min(low(pairs[before, t]) / (low(c[before]) * 2**0.5), 1) + back * alone)
+        return math.log10((1 - back) * min(low(pairs[before, t]) / c[before], 1) + back * alone)
 
     off = 0
     for i, ts in tokens.items():
