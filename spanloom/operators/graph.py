@@ -6,7 +6,8 @@ Superseded entities and SUPERSEDED_BY edges are part of the graph here.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +32,10 @@ def orphans(entities: DataFrame, relations: DataFrame) -> DataFrame:
 FEW_LINKS = 500_000
 
 
+#: Louvain runs in one task on so many different edges, and in rounds of joins on more.
+FEW_EDGES = 200_000
+
+
 def connected(links: DataFrame, path: str) -> DataFrame:
     """(node, root) of all ends of the links (a, b), root being the least node of the component.
 
@@ -194,7 +199,7 @@ def communities(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Communities (community, size), largest first, their members (community, id) and their modularity.
 
-    Louvain in rounds: every node looks for the neighbouring community of the largest gain. In even rounds it may
+    At most FEW_EDGES different edges, which are counted, are taken by Louvain's method in one task. On more it goes in rounds: every node looks for the neighbouring community of the largest gain. In even rounds it may
     only go to a lesser label, in odd ones only a seeded half of the nodes may go, so that neighbours do not swap
     sides; a round that does not raise modularity is undone, and four such rounds in a row end a level. Then communities become
     nodes of the next level, until a level moves nothing. Each round is joins and aggregates over edges, so the graph may be
@@ -210,6 +215,18 @@ def communities(
     edges = written(edges.groupBy("u", "v").agg(F.sum("w").alias("w")), f"{path}/edges0")
     total = edges.agg(F.sum("w")).first()[0] or 0.0  # twice the number of edges
     member = written(ids.select("id", F.col("id").alias("community")), f"{path}/member0")
+    if edges.limit(2 * FEW_EDGES + 1).count() <= 2 * FEW_EDGES:
+        found = edges.coalesce(1).mapInArrow(_louvain(seed), "id string, found string")
+        member = ids.join(found, "id", "left").select("id", F.coalesce("found", "id").alias("community"))
+        member = written(member, f"{path}/member")
+    else:
+        member = _by_rounds(edges, member, total, seed, most, path)
+    sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
+    return sizes.orderBy(F.desc("size"), "community"), member.select("community", "id"), modularity(relations, member)
+
+
+def _by_rounds(edges: DataFrame, member: DataFrame, total: float, seed: int, most: int, path: str) -> DataFrame:
+    """Members of communities, by levels of rounds."""
     level, moved = 0, total > 0
     while moved:
         label = _level(edges, total, seed, most, f"{path}/{level}")
@@ -222,8 +239,62 @@ def communities(
         a, b = label.select("u", F.col("c").alias("cu")), label.select(F.col("u").alias("v"), F.col("c").alias("cv"))
         edges = edges.join(a, "u").join(b, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
         edges = written(edges, f"{path}/edges{level}")
-    sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
-    return sizes.orderBy(F.desc("size"), "community"), member.select("community", "id"), modularity(relations, member)
+    return member
+
+
+def _louvain(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same in one task, node after node in a seeded order, for edges (u, v, w) that hold each one both ways."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        names = sorted({u for u, _, _ in rows})
+        place = {name: k for k, name in enumerate(names)}
+        links: list[dict[int, float]] = [{} for _ in names]
+        for u, v, w in rows:
+            links[place[u]][place[v]] = w
+        home, total = list(range(len(names))), sum(w for _, _, w in rows)
+        while links:
+            label = _settled(links, total, random.Random(seed))
+            kept = {c: k for k, c in enumerate(dict.fromkeys(label))}
+            home = [kept[label[h]] for h in home]
+            if len(kept) == len(links):
+                break
+            joined: list[dict[int, float]] = [{} for _ in kept]
+            for u, near in enumerate(links):
+                into = joined[kept[label[u]]]
+                for v, w in near.items():
+                    into[kept[label[v]]] = into.get(kept[label[v]], 0.0) + w
+            links = joined
+        first: dict[int, str] = {}
+        for name, h in zip(names, home, strict=True):
+            first.setdefault(h, name)  # a community is named by its least member
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([first[h] for h in home], pa.string())], ["id", "found"])
+
+    return run
+
+
+def _settled(links: list[dict[int, float]], total: float, rng: random.Random) -> list[int]:
+    """Labels of nodes when no node gains by going to a neighbour's community."""
+    strength = [sum(near.values()) for near in links]
+    label, volume, order = list(range(len(links))), list(strength), list(range(len(links)))
+    rng.shuffle(order)
+    moved = True
+    while moved:
+        moved = False
+        for u in order:
+            own, k, into = label[u], strength[u], {}
+            for v, w in links[u].items():
+                if v != u:
+                    into[label[v]] = into.get(label[v], 0.0) + w
+            volume[own] -= k
+            best, gain = own, into.get(own, 0.0) - k * volume[own] / total
+            for c in sorted(into):
+                if into[c] - k * volume[c] / total > gain + 1e-9:
+                    best, gain = c, into[c] - k * volume[c] / total
+            volume[best] += k
+            moved |= best != own
+            label[u] = best
+    return label
 
 
 def _level(edges: DataFrame, total: float, seed: int, most: int, path: str) -> DataFrame:

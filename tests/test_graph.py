@@ -354,7 +354,9 @@ def test_communities_of_two_cliques(spark):
         graph.communities(None, None, "other")
 
 
-def test_communities_of_planted_cliques(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_communities_of_planted_cliques(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     rng = random.Random(2)
     nodes = [(c, k) for c in range(12) for k in range(6)]
     edges = [(a, b) for a in nodes for b in nodes if a < b and a[0] == b[0]] + [tuple(rng.sample(nodes, 2)) for _ in range(30)]
