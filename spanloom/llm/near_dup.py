@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected
 from .common import kept, mix, partitions, sliced, small, text_buffer, tidy, word_hashes, work_dir
 
-TREES, DEPTH, REGION, NEAREST = 20, 6, 1024, 4
+TREES, DEPTH, REGION, NEAREST = 20, 6, 512, 4
 _rng = np.random.default_rng(20240311)
 _SALT = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
