@@ -3,20 +3,21 @@
 Counting: every training token and pair of adjacent tokens is hashed; tasks pre-aggregate, deal sorted runs to
 buckets of the hash range, and each bucket sums its runs. The number of buckets follows the bytes of training text,
 never a setting of the session, so scores are the same on any cluster. From its sums a bucket builds its part of
-the filter: an n-gram of quantised count q enters as q items (n-gram, 1) ... (n-gram, q), and a reader probes
-level after level until one is missing. N-grams seen once are stored too. The filter knows an n-gram by its bucket
+the filter: a pair of quantised count q enters as q items (pair, 1) ... (pair, q), and a reader probes
+level after level until one is missing. Pairs seen once are stored too. The filter knows a pair by its bucket
 and the next 32 bits of its hash; as a bucket's share of the corpus is bounded, so is the chance to take one for
-another (at most 1 of 400). Token counts are by whole hashes.
+another (at most 1 of 2,000). Tokens are counted exactly, by whole hashes: a false level of a frequent one would move
+whole texts, and the base score needs these counts in any case.
 
 Scoring: tasks pack texts in batches and ask the buckets for the counts of a batch's distinct rarer tokens; where text
 and answers meet again, the batch is scored. A filter of at most FILTER_BYTES is broadcast there. A larger one stays in
-its buckets, as a broadcast must not grow with the corpus: they are asked for the levels of the distinct n-grams,
+its buckets, as a broadcast must not grow with the corpus: they are asked for the levels of the distinct pairs,
 too, in the same exchange. Both give the same scores.
 
 Probability of w after v: (1 - l) c(v w) / c(v) + l p(w), l being the share of pairs seen once, p(w) =
-(1 - u) c(w) / N, and u = max(n1, 1) / (N + 1) for the class of unseen words. Numerators take the lower and
-denominators the upper bound of a quantised count, so the probabilities of all words add up to 1 at most but
-for false positives of the filter (about 1 of 700 unseen n-grams).
+(1 - u) c(w) / N, and u = max(n1, 1) / (N + 1) for the class of unseen words. A pair counts with the lower bound of its
+quantised count, so the probabilities of all words add up to 1 at most but for false positives of the filter
+(about 1 of 700 unseen pairs).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, kept, mix, partitions, sliced, text_buffer, word_hashes, work_dir
+from .common import crc_mod, kept, mix, partitions, sliced, text_buffer, tidy, word_hashes, work_dir
 
 #: The token that ends a text and, as context, begins one.
 END = np.uint64(0x5DEECE66D1CE4E5B)
@@ -39,11 +40,11 @@ BITS, PROBES, RATIO = 14, 7, 2**0.5
 #: A filter of at most so many bytes is broadcast.
 FILTER_BYTES = 16 << 20
 #: Bytes of training text a bucket of the hash range, and buckets at least, as a power of two.
-BUCKET_BYTES, LEAST_BITS = 64 << 20, 6
+BUCKET_BYTES, LEAST_BITS = 8 << 20, 4
 #: Tokens of at least 1 / HOT of all, of which there are at most HOT, are counted from a broadcast table.
 HOT = 1 << 19
 #: Tokens that a task gathers before it deals them out, and bytes of text in a batch that is scored.
-GATHER, BATCH = 1_000_000, 4_000_000
+GATHER, BATCH = 1_000_000, 2_000_000
 
 
 # ---------------------------------------------------------------- packing
@@ -156,7 +157,7 @@ def build_filter(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Parts of some buckets, one behind the other in data; ``levels`` gives quantised counts, 0 for n-grams of other buckets."""
+    """Parts of some buckets, one behind the other in data; ``levels`` gives quantised counts, 0 for pairs of other buckets."""
 
     def __init__(self, data: bytes, lengths: dict[int, int], bits: int):
         """lengths: the bytes of each bucket's part, in the order of data."""
@@ -216,13 +217,13 @@ def _count(train: DataFrame, bits: int) -> DataFrame:
                 own = [_unpack(x) for k, x in zip(runs["kind"], runs["data"], strict=True) if k == kind]
                 sums[kind] = _summed(*(np.concatenate([x[i] for x in own]) if own else np.zeros(0, np.uint64) for i in (0, 1)))
             (uni, c1), (pairs, c2) = sums[0], sums[1]
-            part = build_filter(np.concatenate([_grams(uni, bits), pairs]), np.concatenate([_level(c1), _level(c2)]))
+            part = build_filter(pairs, _level(c2))
             row = [bucket, _pack(uni, c1), part.tobytes(), int(c1.sum()), len(c1), int((c1 == 1).sum()), int(c2.sum()), int((c2 == 1).sum())]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5), strict=True)], ["bucket", "counts", "filter", "tokens", "types", "once", "pairs", "pairs_once"])
 
-    dealt = train.select("text").mapInArrow(deal, "bucket int, kind int, data binary")
+    dealt = train.select("text").mapInArrow(tidy(deal), "bucket int, kind int, data binary")
     dealt = dealt.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(add, "bucket int, counts binary, filter binary, tokens long, types long, once long, pairs long, pairs_once long")
+    return dealt.mapInArrow(tidy(add), "bucket int, counts binary, filter binary, tokens long, types long, once long, pairs long, pairs_once long")
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, dict[str, list]]]:
@@ -252,15 +253,15 @@ class _Totals:
         self.back_off = min(max(row["pairs_once"] / max(row["pairs"], 1), 0.05), 0.99)
 
     def scores(self, n: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text from the levels of its tokens and of its pairs; n: tokens a text."""
+        """Log10 probability of each text from the counts of its tokens and the levels of its pairs; n: tokens a text."""
         if not self.tokens:
             return np.zeros(len(n))
         row, starts = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-        context = np.empty(len(one), np.uint8)
+        context = np.empty(len(one), np.int64)
         context[1:] = one[:-1]
-        context[starts] = one[starts + n - 1]  # every text ends with END, whose level is that of its beginning
-        alone = np.where(one > 0, (1 - self.unseen) * _lower(one) / self.tokens, self.unseen)
-        seen = np.minimum(_lower(two) / np.where(context > 0, _lower(context) * RATIO, np.inf), 1.0)
+        context[starts] = one[starts + n - 1]  # every text ends with END, whose count is that of its beginning
+        alone = np.where(one > 0, (1 - self.unseen) * one / self.tokens, self.unseen)
+        seen = np.minimum(_lower(two) / np.maximum(context, 1), 1.0)
         p = np.where(context > 0, (1 - self.back_off) * seen + self.back_off * alone, alone)
         return np.bincount(row, np.log10(p), len(n))
 
@@ -288,7 +289,7 @@ def score(docs: DataFrame, train_if=None, id_col: str = "doc_id", text_col: str
                 hot = counts * HOT >= totals.tokens
                 yield pa.RecordBatch.from_arrays([pa.array(keys[hot].view(np.int64)), pa.array(counts[hot].astype(np.int64))], ["key", "count"])
 
-    found = lm.select("counts").mapInArrow(frequent, "key long, count long").toArrow() if totals.tokens else None
+    found = lm.select("counts").mapInArrow(tidy(frequent), "key long, count long").toArrow() if totals.tokens else None
     hot = _summed(found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()) if found is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     parts = None
     if (lm.agg(F.sum(F.length("filter"))).first()[0] or 0) <= filter_bytes:
@@ -298,10 +299,9 @@ def score(docs: DataFrame, train_if=None, id_col: str = "doc_id", text_col: str
     return _joined(rows, lm, parts, hot, totals, bits).withColumnRenamed("id", id_col)
 
 
-def _asked(unique: np.ndarray, at: np.ndarray, before: np.ndarray, tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of a batch, ascending, and where among them each token and each pair is."""
-    grams, back = np.unique(np.concatenate([_grams(unique, bits), _grams(_pairs(before, tokens), bits)]), return_inverse=True)
-    return grams, back[at], back[len(unique) :]
+def _asked(before: np.ndarray, tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a batch, as the filter knows them, ascending, and which of them each one is."""
+    return np.unique(_grams(_pairs(before, tokens), bits), return_inverse=True)
 
 
 def _counts_of(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -312,8 +312,8 @@ def _counts_of(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndar
     return np.where(keys[place] == own, counts[place], 0).astype(np.int64)
 
 
-# what a message holds: a batch itself, its rarer tokens or their counts, its n-grams or their levels; -1: what a bucket knows
-_TEXTS, _TOKENS, _NGRAMS = 0, 1, 2
+# what a message holds: a batch itself, its rarer tokens or their counts, its pairs or their levels; -1: what a bucket knows
+_TEXTS, _TOKENS, _PAIRS = 0, 1, 2
 
 
 def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]] | None, hot: tuple[np.ndarray, np.ndarray], totals: _Totals, bits: int) -> DataFrame:
@@ -334,41 +334,58 @@ def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]]
 
     def questions(part: pa.RecordBatch, name: int) -> pa.RecordBatch:
         tokens, before, _ = _tokens(part.column(1))
-        unique, at = np.unique(tokens, return_inverse=True)
+        unique = np.unique(tokens)
         whole = io.BytesIO()
         with pa.ipc.new_stream(whole, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
             sink.write_batch(part)
-        out = [(name % (1 << bits), name, _TEXTS, whole.getvalue())]
+        anywhere = name * 0x9E3779B97F4A7C15 % 2**64 >> (64 - bits)  # texts pass through some bucket, each through another
+        out = [(anywhere, name, _TEXTS, whole.getvalue())]
         rare = unique[_counts_of(unique, *hot_sent.value) == 0]
         out += [(bucket, name, _TOKENS, _pack(rare[s])) for bucket, s in _runs(rare, bits)]
         if parts_sent.value is None:
-            grams, _, _ = _asked(unique, at, before, tokens, bits)
-            out += [(bucket, name, _NGRAMS, _pack(grams[s] & _LOW)) for bucket, s in _runs(grams, bits, 32 + bits)]
+            grams, _ = _asked(before, tokens, bits)
+            out += [(bucket, name, _PAIRS, _pack(grams[s] & _LOW)) for bucket, s in _runs(grams, bits, 32 + bits)]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "name", "kind", "data"])
 
+    def answered(held: list[tuple[int, int, bytes]], bucket: int, knows: tuple) -> pa.RecordBatch:
+        """Messages (name, kind, data) to a bucket with their answers; those of a kind are looked up at once."""
+        keys, counts, lookup = knows
+        out = [x for x in held if x[1] == _TEXTS]
+        for what in (_TOKENS, _PAIRS):
+            asked = [(name, _unpack(data)[0]) for name, k, data in held if k == what]
+            if asked:
+                every = np.concatenate([x for _, x in asked])
+                got = _counts_of(every, keys, counts) if what == _TOKENS else lookup.levels(every + (np.uint64(bucket) << np.uint64(32)))
+                pieces = np.split(got, np.cumsum([len(x) for _, x in asked])[:-1])
+                out += [(name, what, _pack(keys[:0], x) if what == _TOKENS else x.tobytes()) for (name, _), x in zip(asked, pieces, strict=True)]
+        names, kinds, data = (pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary())))
+        return pa.RecordBatch.from_arrays([names, kinds, pa.array([bucket] * len(out), pa.int32()), data], ["name", "kind", "bucket", "data"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = counts = lookup = now = None
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.uint64), Filter(b"", {}, bits)
+        now, knows, held, size = None, nothing, [], 0
         for batch in batches:
             for bucket, name, what, data in zip(*batch.columns, strict=True):
                 bucket, what, data = bucket.as_py(), what.as_py(), data.as_py()
+                if held and (bucket != now or size > BATCH):
+                    yield answered(held, now, knows)
+                    held, size = [], 0
                 if bucket != now:
-                    keys, counts, lookup, now = np.zeros(0, np.uint64), np.zeros(0, np.uint64), Filter(b"", {}, bits), bucket
+                    now, knows = bucket, nothing
                 if what < 0:
-                    size = int.from_bytes(data[:8], "little")
-                    keys, counts = _unpack(data[8 : 8 + size])
-                    lookup = Filter(data[8 + size :], {bucket: len(data) - 8 - size}, bits)
-                    continue
-                if what == _TOKENS:
-                    data = _pack(keys[:0], _counts_of(_unpack(data)[0], keys, counts))
-                elif what == _NGRAMS:
-                    data = lookup.levels(_unpack(data)[0] + (np.uint64(bucket) << np.uint64(32))).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.int64()), pa.array([what], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["name", "kind", "bucket", "data"])
+                    n = int.from_bytes(data[:8], "little")
+                    knows = *_unpack(data[8 : 8 + n]), Filter(data[8 + n :], {bucket: len(data) - 8 - n}, bits)
+                else:
+                    held.append((name.as_py(), what, data))
+                    size += len(data)
+        if held:
+            yield answered(held, now, knows)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Filter(*parts_sent.value, bits) if parts_sent.value is not None else None
         for _, got in _by_key(batches, "name"):
             # answers come in the order of buckets, which is that of hashes
-            answers = {what: [d for k, d in zip(got["kind"], got["data"], strict=True) if k == what] for what in (_TOKENS, _NGRAMS)}
+            answers = {what: [d for k, d in zip(got["kind"], got["data"], strict=True) if k == what] for what in (_TOKENS, _PAIRS)}
             texts = pa.ipc.open_stream(got["data"][0]).read_all().combine_chunks()
             tokens, before, n = _tokens(texts.column(1).combine_chunks())
             row = np.repeat(np.arange(len(n)), n)
@@ -378,19 +395,19 @@ def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]]
             c = exact[at]
             known = np.bincount(row, c > 0, len(n)).astype(np.int64)
             logs = np.bincount(row, np.log10(c + 1.0), len(n)) - n * np.log10(totals.tokens + totals.types + 1.0)
-            grams, at_gram, at_pair = _asked(unique, at, before, tokens, bits)
-            levels = lookup.levels(grams) if lookup else np.frombuffer(b"".join(answers[_NGRAMS]), np.uint8)
-            scores = totals.scores(n, levels[at_gram], levels[at_pair])
+            grams, at_pair = _asked(before, tokens, bits)
+            levels = lookup.levels(grams) if lookup else np.frombuffer(b"".join(answers[_PAIRS]), np.uint8)
+            scores = totals.scores(n, c, levels[at_pair])
             columns = [texts.column(0).combine_chunks().cast(id_type), *map(pa.array, (n, known, np.full(len(n), totals.tokens), logs, scores))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     data = F.col("counts") if parts is not None else F.concat("counts", "filter")
     size = F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(F.length("counts").cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(8))))
     knows = lm.select("bucket", F.lit(0).cast("long").alias("name"), F.lit(-1).alias("kind"), F.concat(size, data).alias("data"))
-    sent = rows.mapInArrow(deal, "bucket int, name long, kind int, data binary").unionByName(knows)
-    answers = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "kind", "name").mapInArrow(meet, "name long, kind int, bucket int, data binary")
+    sent = rows.mapInArrow(tidy(deal), "bucket int, name long, kind int, data binary").unionByName(knows)
+    answers = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "kind", "name").mapInArrow(tidy(meet), "name long, kind int, bucket int, data binary")
     answers = answers.repartition(max(partitions(spark), 1 << bits), "name").sortWithinPartitions("name", "kind", "bucket")
-    return answers.mapInArrow(finish, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answers.mapInArrow(tidy(finish), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_held_out(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
