@@ -15,7 +15,23 @@ from pyspark.sql import functions as F
 from ..sources.shared import small, work_dir
 from ..sources.shared import written as kept
 
-__all__ = ["PUNCTUATED", "WORD", "crc_mod", "kept", "mix", "partitions", "row_of", "sliced", "small", "table", "tidy", "text_buffer", "word_hashes", "word_spans", "work_dir"]
+__all__ = [
+    "PUNCTUATED",
+    "WORD",
+    "crc_mod",
+    "kept",
+    "mix",
+    "partitions",
+    "row_of",
+    "sliced",
+    "small",
+    "table",
+    "tidy",
+    "text_buffer",
+    "word_hashes",
+    "word_spans",
+    "work_dir",
+]
 
 #: Words of the contracts: what lies between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -85,7 +85,9 @@ def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     return docs.join(bad, (one == bad["k1"]) & (two == bad["k2"]), "left_anti")
 
 
-def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keys: bool = False) -> DataFrame:
+def hits(
+    docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keys: bool = False
+) -> DataFrame:
     """Per row of docs: id, n_words, n_hit, n_items, items_sha256 and contaminated (and k1, k2 of _key if keys).
 
     A null text has no words; items without words and null items meet nothing; repeated rows of docs get
@@ -121,13 +123,36 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     else:
         met = kept(of_docs, f"{path}/met")
         spans = met.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("past")))).alias("spans"))
-        hit = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("past")), lambda a, s: F.struct((a.n + F.greatest(s.past - F.greatest(s["at"], a.past), F.lit(0))).alias("n"), F.greatest(s.past, a.past).alias("past")), lambda a: a.n)
-        named = met.select("k1", "k2", "size", "run").distinct().join(of_items, ["size", "run"]).select("k1", "k2", F.col("item").cast("string").alias("item")).distinct()
+        hit = F.aggregate(
+            "spans",
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("past")),
+            lambda a, s: F.struct((a.n + F.greatest(s.past - F.greatest(s["at"], a.past), F.lit(0))).alias("n"), F.greatest(s.past, a.past).alias("past")),
+            lambda a: a.n,
+        )
+        named = met.select("k1", "k2", "size", "run").distinct().join(of_items, ["size", "run"]).select(
+            "k1", "k2", F.col("item").cast("string").alias("item")
+        ).distinct()
         named = named.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
         each = spans.select("k1", "k2", hit.cast("long").alias("n_hit")).join(named, ["k1", "k2"])
         out = base.select("id", "k1", "k2", "n_words").join(each, ["k1", "k2"], "left")
-        out = out.select("id", "k1", "k2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *(["k1", "k2"] if keys else []))
+        out = out.select(
+            "id",
+            "k1",
+            "k2",
+            "n_words",
+            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+            F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"),
+        )
+    return out.select(
+        F.col("id").alias(id_col),
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        *(["k1", "k2"] if keys else []),
+    )
 
 
 ORACLE = r"""

@@ -101,7 +101,9 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for part in _slices(batch):
                 texts = part.column(1).to_pylist()
                 prints = [x.hex() for x in signatures(*text_buffer(part.column(1)))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x or "") for x in texts], pa.int64()), pa.array(prints, pa.string())], ["id", "n_chars", "fingerprint"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(x or "") for x in texts], pa.int64()), pa.array(prints, pa.string())], ["id", "n_chars", "fingerprint"]
+                )
 
     ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return ids.mapInArrow(tidy(run), f"id {ids.schema['id'].dataType.simpleString()}, n_chars long, fingerprint string").withColumnRenamed("id", id_col)
@@ -196,5 +198,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = _bucketed(docs, id_col, text_col).mapInArrow(tidy(run), f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = _bucketed(docs, id_col, text_col).mapInArrow(
+        tidy(run), f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    )
     return out.withColumnRenamed("id", id_col)

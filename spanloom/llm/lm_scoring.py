@@ -198,7 +198,14 @@ def _count(train: DataFrame, bits: int) -> DataFrame:
                 at = list(_runs(keys, bits, width))
                 if kind:
                     keys &= _LOW
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in at], pa.int32()), pa.array([kind] * len(at), pa.int32()), pa.array([_pack(keys[s], counts[s]) for _, s in at], pa.binary())], ["bucket", "kind", "data"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k for k, _ in at], pa.int32()),
+                        pa.array([kind] * len(at), pa.int32()),
+                        pa.array([_pack(keys[s], counts[s]) for _, s in at], pa.binary()),
+                    ],
+                    ["bucket", "kind", "data"],
+                )
             held.clear()
 
         for batch in batches:
@@ -219,7 +226,10 @@ def _count(train: DataFrame, bits: int) -> DataFrame:
             (uni, c1), (pairs, c2) = sums[0], sums[1]
             part = build_filter(pairs, _level(c2))
             row = [bucket, _pack(uni, c1), part.tobytes(), int(c1.sum()), len(c1), int((c1 == 1).sum()), int(c2.sum()), int((c2 == 1).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5), strict=True)], ["bucket", "counts", "filter", "tokens", "types", "once", "pairs", "pairs_once"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5), strict=True)],
+                ["bucket", "counts", "filter", "tokens", "types", "once", "pairs", "pairs_once"],
+            )
 
     dealt = train.select("text").mapInArrow(tidy(deal), "bucket int, kind int, data binary")
     dealt = dealt.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
@@ -316,7 +326,9 @@ def _counts_of(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndar
 _TEXTS, _TOKENS, _PAIRS = 0, 1, 2
 
 
-def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]] | None, hot: tuple[np.ndarray, np.ndarray], totals: _Totals, bits: int) -> DataFrame:
+def _joined(
+    rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]] | None, hot: tuple[np.ndarray, np.ndarray], totals: _Totals, bits: int
+) -> DataFrame:
     """Scores of all rows: batches go out with their questions to the buckets, and meet the answers by name."""
     spark = rows.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
@@ -345,7 +357,9 @@ def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]]
         if parts_sent.value is None:
             grams, _ = _asked(before, tokens, bits)
             out += [(bucket, name, _PAIRS, _pack(grams[s] & _LOW)) for bucket, s in _runs(grams, bits, 32 + bits)]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "name", "kind", "data"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "name", "kind", "data"]
+        )
 
     def answered(held: list[tuple[int, int, bytes]], bucket: int, knows: tuple) -> pa.RecordBatch:
         """Messages (name, kind, data) to a bucket with their answers; those of a kind are looked up at once."""
@@ -405,7 +419,9 @@ def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]]
     size = F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(F.length("counts").cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(8))))
     knows = lm.select("bucket", F.lit(0).cast("long").alias("name"), F.lit(-1).alias("kind"), F.concat(size, data).alias("data"))
     sent = rows.mapInArrow(tidy(deal), "bucket int, name long, kind int, data binary").unionByName(knows)
-    answers = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "kind", "name").mapInArrow(tidy(meet), "name long, kind int, bucket int, data binary")
+    answers = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "kind", "name").mapInArrow(
+        tidy(meet), "name long, kind int, bucket int, data binary"
+    )
     answers = answers.repartition(max(partitions(spark), 1 << bits), "name").sortWithinPartitions("name", "kind", "bucket")
     return answers.mapInArrow(tidy(finish), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
@@ -413,4 +429,6 @@ def _joined(rows: DataFrame, lm: DataFrame, parts: tuple[bytes, dict[int, int]]
 def score_held_out(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
     """Scores of all rows by the model of those whose crc32(doc_id as text) mod parts is not held."""
     train = crc_mod("doc_id", parts) != held
-    return score(docs, train).select("doc_id", (crc_mod("doc_id", parts) == held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, train).select(
+        "doc_id", (crc_mod("doc_id", parts) == held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

@@ -143,7 +143,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = docs.select(docs[id_col].cast("string").alias("id"), docs[source_col].alias("source"), size.alias("size"))
     sizes = kept(sizes, f"{path}/sizes")
     goal = kept(targets(sizes), f"{path}/targets").withColumn("hashed", F.xxhash64("source"))
-    each = sizes.join(F.broadcast(goal.drop("source")) if goal.limit(100_001).count() <= 100_000 else goal.drop("source"), F.xxhash64(sizes["source"]) == goal["hashed"]).drop("hashed")
+    each = sizes.join(
+        F.broadcast(goal.drop("source")) if goal.limit(100_001).count() <= 100_000 else goal.drop("source"), F.xxhash64(sizes["source"]) == goal["hashed"]
+    ).drop("hashed")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     times = F.when(F.abs(times - F.round(times)) < 1e-12, F.round(times)).otherwise(times)
     each = each.withColumn("whole", F.floor(times)).withColumn("p", times - F.floor(times))
@@ -152,7 +154,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     done = [each.where((F.col("p") == 0) | (F.col("size") == 0)).select("id", "size", "source_size", "target", "whole", F.lit(0.0).alias("p"))]
     left, level = each.where((F.col("p") > 0) & (F.col("size") > 0)), 0
     while True:
-        per = left.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).select(F.xxhash64("source").alias("hashed"), "blocks")
+        per = left.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).select(
+            F.xxhash64("source").alias("hashed"), "blocks"
+        )
         per = kept(per, f"{path}/blocks{level}")
         one = per.agg(F.max("blocks")).first()[0]
         if one is None:
@@ -168,4 +172,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("p"))).cast("long").alias("taken"))
+    return out.select(
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * (F.col("whole") + F.col("p"))).cast("long").alias("taken"),
+    )

@@ -75,7 +75,11 @@ def shingle_sets(arr: pa.Array, width: int) -> list[np.ndarray]:
 
 def set_id(shingles: np.ndarray) -> int:
     """A 64-bit name of a set."""
-    return int(mix(np.asarray([np.bitwise_xor.reduce(mix(shingles)), np.sum(shingles, dtype=np.uint64), len(shingles)], np.uint64)).dot(np.asarray([3, 5, 7], np.uint64)).view(np.int64))
+    return int(
+        mix(
+            np.asarray([np.bitwise_xor.reduce(mix(shingles)), np.sum(shingles, dtype=np.uint64), len(shingles)], np.uint64)
+        ).dot(np.asarray([3, 5, 7], np.uint64)).view(np.int64)
+    )
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -118,12 +122,24 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                     seen.clear()
                 values = minhashes([sets[k] for k in new])
                 tree = values.reshape(len(new), TREES, DEPTH)[:, :, :2].astype(np.uint64)
-                keys = mix(((tree[:, :, 0] << np.uint64(32)) | tree[:, :, 1]) + np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                keys = mix(
+                    ((tree[:, :, 0] << np.uint64(32)) | tree[:, :, 1]) + np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                ).view(np.int64)
                 signature, first = [None] * len(nodes), [None] * len(nodes)
                 for row, k in enumerate(new):
                     signature[k] = values[row].astype("<u2").tobytes()
                     first[k] = keys[row]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(signature, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["id", "key", "n", "node", "signature", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(2),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(nodes, pa.int64()),
+                        pa.array(signature, pa.binary()),
+                        pa.array(first, pa.list_(pa.int64())),
+                    ],
+                    ["id", "key", "n", "node", "signature", "keys"],
+                )
 
     ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), _row_key(docs, id_col, text_col).alias("key"))
     return ids.mapInArrow(tidy(run), f"id {ids.schema['id'].dataType.simpleString()}, key long, n long, {NODE}, signature binary, keys array<long>")
@@ -177,7 +193,9 @@ def _signatures(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), TREES * DEPTH)
 
 
-def _pairs(n: np.ndarray, signature: np.ndarray, percent: int, least: float, before: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(
+    n: np.ndarray, signature: np.ndarray, percent: int, least: float, before: np.ndarray, root: np.ndarray | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a group that may reach the threshold by size and signature, and their estimates.
 
     Pairs that share a region of an earlier tree (columns of before; 0: none), or a root, are left out.
@@ -217,7 +235,10 @@ def _near(rows: DataFrame, percent: int, least: float) -> DataFrame:
             rank = np.arange(len(one)) - np.searchsorted(one, one)
             crowded = (np.bincount(one, minlength=len(node)) > NEAREST)[one]
             best = rank < NEAREST
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(int(best.sum()), region), node[one[best]], node[two[best]], share[best], crowded[best])], ["region", "a", "b", "share", "crowded"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (np.full(int(best.sum()), region), node[one[best]], node[two[best]], share[best], crowded[best])],
+                ["region", "a", "b", "share", "crowded"],
+            )
 
     dealt = rows.repartition(partitions(rows.sparkSession), "region").sortWithinPartitions("region", "node")
     return dealt.select("region", "node", "signature", "n", "homes").mapInArrow(tidy(run), _NEAR)
@@ -238,7 +259,9 @@ def _following(rows: DataFrame, least: float) -> DataFrame:
                 share = np.count_nonzero(signature[at] == signature[at + k], axis=1) / signature.shape[1]
                 at, share = at[share >= least], share[share >= least]
                 for a, b in ((at, at + k), (at + k, at)):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (region[a], node[a], node[b], share, np.zeros(len(a), bool))], ["region", "a", "b", "share", "crowded"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (region[a], node[a], node[b], share, np.zeros(len(a), bool))], ["region", "a", "b", "share", "crowded"]
+                    )
             tail = table.slice(max(len(node) - NEAREST, 0))
 
     at = F.col("tree") * DEPTH * 2
@@ -307,7 +330,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = [_alike(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
+    )
     return joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
@@ -344,7 +369,10 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
                 tokens.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]])
             row = np.repeat(np.arange(batch.num_rows), [len(t) for t in tokens])
             node, root = (batch.column(k).to_numpy()[row] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)), pa.array(node), pa.array(root)], ["token", "node", "root"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)), pa.array(node), pa.array(root)],
+                ["token", "node", "root"],
+            )
 
     return sets.select("node", "root", "shingles").mapInArrow(tidy(run), "token long, node long, root long")
 
@@ -370,9 +398,13 @@ def _blocks(tokens: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """
     of_node = tokens.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sort_array(F.collect_set("token")).alias("ts"))
     of_node = kept(of_node, f"{path}/tokens_of")
-    chain = of_node.where(F.size("ts") > 1).select(F.explode(F.arrays_zip(F.expr("slice(ts, 1, size(ts) - 1)").alias("a"), F.expr("slice(ts, 2, size(ts) - 1)").alias("b"))).alias("e")).select("e.*").distinct()
+    chain = of_node.where(F.size("ts") > 1).select(
+        F.explode(F.arrays_zip(F.expr("slice(ts, 1, size(ts) - 1)").alias("a"), F.expr("slice(ts, 2, size(ts) - 1)").alias("b"))).alias("e")
+    ).select("e.*").distinct()
     cluster = kept(connected(chain, f"{path}/clusters"), f"{path}/cluster").select(F.col("node").alias("token"), F.col("root").alias("cluster"))
-    member = of_node.withColumn("token", F.col("ts")[0]).join(cluster, "token", "left").select("node", "root", "n", F.coalesce("cluster", "token").alias("cluster"))
+    member = of_node.withColumn("token", F.col("ts")[0]).join(cluster, "token", "left").select(
+        "node", "root", "n", F.coalesce("cluster", "token").alias("cluster")
+    )
     member = kept(member, f"{path}/member")
     pieces = lambda total: F.ceil(total / BLOCK).cast("int")
     roots = kept(member.groupBy("cluster", "root").agg(F.sum(F.col("n") + NODE_WEIGHT).alias("weight")), f"{path}/weights")
@@ -381,12 +413,22 @@ def _blocks(tokens: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     dealt = member.join(own, ["cluster", "root"], "left").join(others, "cluster", "left")
     alone = F.xxhash64("cluster", "root", F.pmod(F.xxhash64("node"), F.col("own")))
     mixed = F.xxhash64("cluster", F.lit("mixed"), F.pmod(F.xxhash64("root", F.lit(1)), F.col("shared")))
-    dealt = kept(dealt.select("cluster", "node", F.when(F.col("own").isNull(), mixed).otherwise(alone).alias("block"), F.when(F.col("own").isNotNull(), F.col("root")).alias("pure")), f"{path}/blocks")
+    dealt = kept(
+        dealt.select(
+            "cluster",
+            "node",
+            F.when(F.col("own").isNull(), mixed).otherwise(alone).alias("block"),
+            F.when(F.col("own").isNotNull(), F.col("root")).alias("pure"),
+        ),
+        f"{path}/blocks",
+    )
     each = kept(dealt.groupBy("cluster", "block", "pure").agg(F.count(F.lit(1)).alias("nodes")), f"{path}/each").drop("nodes")
     other = each.select("cluster", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
     pairs = each.join(other, "cluster").where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("pure") == F.col("other_pure"), F.lit(False)))
     pair = F.xxhash64("block", "other").alias("pair")
-    sides = pairs.select("block", pair, (F.col("block") != F.col("other")).cast("int").alias("side")).unionByName(pairs.where("block <> other").select(F.col("other").alias("block"), pair, F.lit(2).alias("side")))
+    sides = pairs.select("block", pair, (F.col("block") != F.col("other")).cast("int").alias("side")).unionByName(
+        pairs.where("block <> other").select(F.col("other").alias("block"), pair, F.lit(2).alias("side"))
+    )
     return dealt.select("node", "block"), kept(sides, f"{path}/sides")
 
 
@@ -472,7 +514,9 @@ def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     path = work_dir(docs.sparkSession)
     least = max(0.05, percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / (TREES * DEPTH)))
     rows = kept(_signed(docs, id_col, text_col, width), f"{path}/rows")
-    nodes = rows.where("signature is not null").groupBy("node").agg(F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    nodes = rows.where("signature is not null").groupBy("node").agg(
+        F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.first("n").alias("n")
+    )
     nodes = kept(nodes, f"{path}/nodes")
     first, regions = _regions(nodes, path)
     fits, dense = regions.where(F.col("size") <= REGION), first.where(F.col("size") > REGION)
@@ -528,7 +572,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     named = _rooted(docs, width, percent, id_col, text_col)
     ids = kept(named.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), f"{work_dir(docs.sparkSession)}/least")
     out = named.join(ids, "root", "left").withColumn("component", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -539,7 +588,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     """
     path = work_dir(docs.sparkSession)
     named = kept(_rooted(docs, width, percent, id_col, text_col).where("root is not null"), f"{path}/named")
-    many = named.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("stays")).where("rows > 1")
+    many = named.groupBy("root").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("stays")
+    ).where("rows > 1")
     many = kept(many, f"{path}/many")
     far = kept(named.join(many, "root").select("key", (F.col("key") == F.col("stays")).alias("stays")), f"{path}/far")
     drop = far.where("not stays").select(F.col("key").alias("dropped")).distinct()

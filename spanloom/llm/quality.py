@@ -19,7 +19,25 @@ from pyspark.sql import functions as F
 from .common import crc_mod, row_of, sliced, text_buffer, tidy, word_hashes, word_spans
 
 BINS, GRID, PAIRS, ROUNDS, RATE, RIDGE = 48, 8, 8, 120, 0.15, 1.0
-FEATURES = ("bytes", "words", "word_bytes", "upper", "digit", "mark", "odd_mark", "end_mark", "bar", "non_ascii", "line", "distinct", "repeated", "top_word", "caps_word", "marked_word", "longest")
+FEATURES = (
+    "bytes",
+    "words",
+    "word_bytes",
+    "upper",
+    "digit",
+    "mark",
+    "odd_mark",
+    "end_mark",
+    "bar",
+    "non_ascii",
+    "line",
+    "distinct",
+    "repeated",
+    "top_word",
+    "caps_word",
+    "marked_word",
+    "longest",
+)
 
 
 def _mask(chars: str) -> np.ndarray:
@@ -65,7 +83,9 @@ def features(arr: pa.Array) -> np.ndarray:
     per = lambda mask: np.bincount(row[mask], minlength=n) / some
     return np.stack(
         [
-            np.log1p(size), np.log1p(words), np.bincount(row, length, n) / some, share(_UPPER), share(_DIGIT), share(_MARK), share(_ODD), share(_ENDS), share(_BAR), share(_HIGH), share(_LINE),
+            np.log1p(size), np.log1p(words), np.bincount(
+                row, length, n
+            ) / some, share(_UPPER), share(_DIGIT), share(_MARK), share(_ODD), share(_ENDS), share(_BAR), share(_HIGH), share(_LINE),
             np.bincount(own, minlength=n) / some, np.bincount(row[again], minlength=n) / some, most / some, per(caps), per(marked), np.log1p(longest),
         ],
         axis=1,

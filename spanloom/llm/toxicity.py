@@ -319,7 +319,9 @@ def _models(rows: DataFrame, path: str) -> Iterator[Model]:
         yield Model(words["word"].filter(pa.array(some)).to_pylist(), n[some], of_pairs, (before["before"].to_numpy().view(np.uint64), *sums))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_if: Column | None = None, per_class: int = 3000, class_bytes: int = 32 << 20) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_if: Column | None = None, per_class: int = 3000, class_bytes: int = 32 << 20
+) -> Model:
     """A model from the labelled rows that train_if (a condition on labels) admits.
 
     Labels other than 0 and 1 and null ids are left out; of several labels of an id the largest counts; an id with

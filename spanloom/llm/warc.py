@@ -84,7 +84,9 @@ def record_name(page_id: int, payload: bytes) -> str:
     return f"<urn:page:{page_id}:{hashlib.sha1(payload).hexdigest()}>"
 
 
-def records_of(row: int, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, known: bool = False, segment: int = SEGMENT) -> list[bytes]:
+def records_of(
+    row: int, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, known: bool = False, segment: int = SEGMENT
+) -> list[bytes]:
     """The records of a page. row names it, as page ids may repeat or be null, but where others refer to it.
 
     refers_to: the page whose payload this one repeats. known: one row holds that payload under that id (of a revisit), or under
@@ -189,7 +191,18 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     page, ref = f["warc-x-page-id"], f.get("warc-x-refers-to-page")
                     url = None if f["warc-x-no-url"] == "1" else f["warc-target-uri"]
                     length, number = int(f["warc-x-payload-length"]), int(f.get("warc-segment-number", 0))
-                    row = (f["warc-record-id"], int(page) if page else None, url, f["warc-type"], int(ref) if ref else None, f["warc-payload-digest"], length, number, None, block)
+                    row = (
+                        f["warc-record-id"],
+                        int(page) if page else None,
+                        url,
+                        f["warc-type"],
+                        int(ref) if ref else None,
+                        f["warc-payload-digest"],
+                        length,
+                        number,
+                        None,
+                        block,
+                    )
                 rows.append(row)
                 held += len(block)
                 if held > 8_000_000:
@@ -216,7 +229,16 @@ def _opened(with_payload: bool):
                     raise ValueError(f"the payload of {name} is not what was written")
                 digests.append(hashlib.sha1(payload).hexdigest())
                 payloads.append(payload if with_payload else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2)), batch.column(6), pa.array(digests, pa.string()), *(batch.column(k) for k in (3, 4)), pa.array(payloads, pa.binary())], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k) for k in (1, 2)),
+                    batch.column(6),
+                    pa.array(digests, pa.string()),
+                    *(batch.column(k) for k in (3, 4)),
+                    pa.array(payloads, pa.binary()),
+                ],
+                ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
+            )
 
     return run
 
@@ -232,14 +254,18 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     parts = files.mapInArrow(tidy(_segments), _FIELDS)
     whole = parts.where("segment = 0").drop("segment", "total")
     order = F.sort_array(F.collect_list(F.struct("segment", "block")))
-    joined = parts.where("segment > 0").groupBy("name").agg(*(F.max(c).alias(c) for c in ("page_id", "url", "kind", "refers_to", "digest", "payload_bytes", "total")), order.alias("parts"))
+    joined = parts.where("segment > 0").groupBy("name").agg(
+        *(F.max(c).alias(c) for c in ("page_id", "url", "kind", "refers_to", "digest", "payload_bytes", "total")), order.alias("parts")
+    )
     block = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"]))
     numbers = F.transform("parts", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("parts"))
     sound = numbers & (F.length("block") == F.col("total")) & F.col("kind").isNotNull()
     refused = F.raise_error(F.concat(F.lit("segments are missing or do not have the stated length: "), F.col("name"))).cast("binary")
     joined = joined.withColumn("block", block).withColumn("block", F.when(sound, F.col("block")).otherwise(refused))
     columns = whole.columns
-    return whole.unionByName(joined.select(*columns)).mapInArrow(tidy(_opened(with_payload)), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return whole.unionByName(joined.select(*columns)).mapInArrow(
+        tidy(_opened(with_payload)), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    )
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

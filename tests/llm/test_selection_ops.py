@@ -97,7 +97,9 @@ def test_toxicity_votes_are_kneser_ney(spark, monkeypatch):
         assert got == pytest.approx(np.clip(want, -toxicity.VOTE, toxicity.VOTE), abs=1e-4)
         x = model.features(pa.array([t]))[0]
         assert x[1] == pytest.approx(got.mean() if len(w) else 0)
-        assert x[3 : 3 + toxicity.TOP] == pytest.approx((sorted({y: g for g, y in sorted(zip(got, w)) if g > 0}.values(), reverse=True) + [0] * toxicity.TOP)[: toxicity.TOP])
+        assert x[3 : 3 + toxicity.TOP] == pytest.approx(
+            (sorted({y: g for g, y in sorted(zip(got, w)) if g > 0}.values(), reverse=True) + [0] * toxicity.TOP)[: toxicity.TOP]
+        )
 
 
 def test_quality_scores_are_sums_of_bins():
@@ -128,7 +130,9 @@ def test_ties_at_the_threshold_and_ids_that_repeat(spark, module, label):
 
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_models_of_odd_rows(spark, module, label):
-    d = spark.createDataFrame([(1, "a b"), (2, None), (2, None), (None, "x"), (3, ""), (4, "w " * 5000)], "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS predicted")
+    d = spark.createDataFrame([(1, "a b"), (2, None), (2, None), (None, "x"), (3, ""), (4, "w " * 5000)], "doc_id long, text string").selectExpr(
+        "*", "1 AS score", "2 AS predicted"
+    )
     none = spark.createDataFrame([], f"doc_id long, {label} int")
     model = module.fit(d, none, label)
     assert module.score(d, model).count() == 6 and module.accepted(d, model).columns == d.columns
@@ -250,7 +254,18 @@ def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, None, 1), (None, "a b", 2), (5, "A  b", 3), (5, "A  b", 3), (6, "", 4), (7, " a b c d e", 4), (7, " a b c d e", 4), (8, "z " * 9000, 5)]
     d = spark.createDataFrame(rows, "doc_id long, text string, node int")
     got = near_dup.near_duplicates(d).collect()
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == sorted([("None", 0, "None", True), ("None", 1, "5", False), ("5", 1, "5", True), ("5", 1, "5", True), ("6", 0, "6", True), ("7", 1, "7", True), ("7", 1, "7", True), ("8", 1, "8", True)])
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == sorted(
+        [
+            ("None", 0, "None", True),
+            ("None", 1, "5", False),
+            ("5", 1, "5", True),
+            ("5", 1, "5", True),
+            ("6", 0, "6", True),
+            ("7", 1, "7", True),
+            ("7", 1, "7", True),
+            ("8", 1, "8", True),
+        ]
+    )
     left = near_dup.one_of_each(d)
     assert left.columns == d.columns and sorted(str(r.doc_id) for r in left.collect()) == ["5", "6", "7", "8", "None"]
     assert near_dup.near_duplicates(d.limit(0)).count() == 0
@@ -314,7 +329,10 @@ def test_mixing(spark):
     assert len(got) == 1000 and all(abs(taken[s] - want[s]) < 0.05 * want[s] + 5 for s in want)
     again = {r.doc_id: r.taken for r in mixing.mix(d.repartition(5), block=mixing.BLOCK).collect()}
     assert again == {r.doc_id: r.taken for r in got}
-    odd = spark.createDataFrame([(None, None, None, 1), (None, None, "a b", 1), (1, "x", "a b c", 1), (1, "x", "a b c", 1), (2, "y", "", 1), (2**60 + 1, "z", "q", 1)], "doc_id long, source string, text string, size int")
+    odd = spark.createDataFrame(
+        [(None, None, None, 1), (None, None, "a b", 1), (1, "x", "a b c", 1), (1, "x", "a b c", 1), (2, "y", "", 1), (2**60 + 1, "z", "q", 1)],
+        "doc_id long, source string, text string, size int",
+    )
     assert mixing.mix(odd).count() == 6 and mixing.mix(odd.limit(0)).count() == 0 and mixing.mix(odd).where(f"doc_id = {2**60 + 1}").count() == 1
 
 
@@ -341,7 +359,16 @@ def test_pipeline_stages(spark):
 def test_pipeline_of_odd_rows(spark, tmp_path):
     """Nulls, empty and very long texts, repeated rows, clashing extra columns and an empty table."""
     long = " ".join(f"w{k % 977} the {k}" for k in range(60_000))
-    rows = [(1, "The cat sat on the mat and it was good."), (1, "The cat sat on the mat and it was good."), (2, None), (3, ""), (None, "A text without an id is a text."), (None, None), (4, long), (5, long + " end")]
+    rows = [
+        (1, "The cat sat on the mat and it was good."),
+        (1, "The cat sat on the mat and it was good."),
+        (2, None),
+        (3, ""),
+        (None, "A text without an id is a text."),
+        (None, None),
+        (4, long),
+        (5, long + " end"),
+    ]
     schema = "doc_id long, text string, lang string, source string, n_chars long, score string, key long, node int, words string, fold int"
     made = [(i, t, None, "s" if k % 2 else None, None, "x", 1, 2, "y", 3) for k, (i, t) in enumerate(rows)]
     docs, labels = spark.createDataFrame(made, schema), spark.createDataFrame([], "doc_id long, quality int, toxic int")

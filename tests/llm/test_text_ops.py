@@ -144,7 +144,9 @@ def test_lm_counts_are_exact_and_scores_are_the_models(spark, monkeypatch):
         again = {r.doc_id: r for r in lm_scoring.score(d.repartition(5), crc_mod("doc_id", 7) != 2, filter_bytes=0).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert all(again[i].score == r.score and again[i].n_known == r.n_known and again[i].base_score == pytest.approx(r.base_score, rel=1e-12) for i, r in got.items())
+    assert all(
+        again[i].score == r.score and again[i].n_known == r.n_known and again[i].base_score == pytest.approx(r.base_score, rel=1e-12) for i, r in got.items()
+    )
 
 
 def test_lm_knows_pairs_seen_once(spark):
@@ -185,7 +187,18 @@ def oracle(con, d, b):
 def test_decontamination_matches_sql(spark):
     w = [f"w{k}" for k in range(40)]
     bench = [(1, " ".join(w[:20])), (2, "Short item"), (3, None), (4, "!!"), (5, " ".join(w[5:25])), (5, " ".join(w[5:25])), (6, "é")]
-    texts = ["x " * 30 + " ".join(w[3:17]), "a short ITEM, short item", None, "", " ".join(w), " ".join(w), " ".join(w[:12]), "é É", " ".join(w + w), "y " * 400 + " ".join(w[:13])]
+    texts = [
+        "x " * 30 + " ".join(w[3:17]),
+        "a short ITEM, short item",
+        None,
+        "",
+        " ".join(w),
+        " ".join(w),
+        " ".join(w[:12]),
+        "é É",
+        " ".join(w + w),
+        "y " * 400 + " ".join(w[:13]),
+    ]
     d = docs(spark, texts)
     b = spark.createDataFrame(bench, "item_id long, text string")
     got = sorted(map(tuple, decontaminate.hits(d, b).collect()), key=str)
@@ -222,7 +235,9 @@ def test_main_text_rules():
     <div class="related-posts"><p>This is the related posts thing of the site and it is long enough to be good but it is not.</div>
     <p>AT&amp;T &lt;b&gt; and the end of the text which is in the same place as the other &#8212; it goes on and on for the rest.</p><form><input><p>Sign up for the newsletter of the site.</form></div>
     <section id="comments"><p>I think that this is the best of the texts that I have read in the last year and I am glad it is here.</section><footer>the end</footer><script>if (a<b) {"</p>"}</script></body>"""
-    assert html_text.main_text(page) == "Title here\n\nThis is the first paragraph of the story, and it is long enough to be decided by the stop words that it has in it.\n\nShort one.\n\nAT&T <b> and the end of the text which is in the same place as the other — it goes on and on for the rest."
+    assert html_text.main_text(
+        page
+    ) == "Title here\n\nThis is the first paragraph of the story, and it is long enough to be decided by the stop words that it has in it.\n\nShort one.\n\nAT&T <b> and the end of the text which is in the same place as the other — it goes on and on for the rest."
     assert html_text.main_text("<article><h1>T</h1><p>a<b>b</b>c<br>d</article>") == "T\n\nabc d"
     for broken in (None, "", "<", "<p", "a<b", "<a <a " * 5000, "<!-- x", "<script>", "<div " + '"' * 9999, "<p>" * 9999, "</p>" * 9999):
         html_text.main_text(broken)
@@ -258,7 +273,25 @@ def test_markup_as_html_reads_it():
         assert html_text.main_text(page) == want
 
 
-@pytest.mark.parametrize("unit,tail", [("<b>", "</i>"), ("<div>", "</p>"), ("<p>", "</div>"), ('<a ">"', ""), ('<a "', "'"), ("<a 'x\" ", ""), ("<li><b>", "</li>"), ("<table><tr><td>", "</td>"), ("<svg>", "<path/>"), ("<!--", ""), ("&", ""), ("<title>", ""), ("x = ", ""), ("<a x ", "= ")])
+@pytest.mark.parametrize(
+    "unit,tail",
+    [
+        ("<b>", "</i>"),
+        ("<div>", "</p>"),
+        ("<p>", "</div>"),
+        ('<a ">"', ""),
+        ('<a "', "'"),
+        ("<a 'x\" ", ""),
+        ("<li><b>", "</li>"),
+        ("<table><tr><td>", "</td>"),
+        ("<svg>", "<path/>"),
+        ("<!--", ""),
+        ("&", ""),
+        ("<title>", ""),
+        ("x = ", ""),
+        ("<a x ", "= "),
+    ],
+)
 def test_time_follows_the_length_of_a_page(unit, tail):
     page = unit * (500_000 // len(unit)) + "x" + tail * (500_000 // max(len(tail), 1)) + ">"
     began = time.process_time()
@@ -270,7 +303,10 @@ def test_stop_words_are_learnt_from_long_blocks(spark, monkeypatch):
     monkeypatch.setattr(html_text, "LEARNT_BLOCKS", 2)
     monkeypatch.setattr(html_text, "LEARNT_SHARE", 0.5)
     block = "ja se on niin kuin se oli ennen ja tulee olemaan aina ja ikuisesti maailman loppuun asti kaikille"
-    p = spark.createDataFrame([(k, "u", f"<p>{block} {'abcd'[k] * 3}</p><p><a>{'linked ' * 20}</a></p>{'<p>short</p>' * 9}") for k in range(4)], "page_id long, url string, html string")
+    p = spark.createDataFrame(
+        [(k, "u", f"<p>{block} {'abcd'[k] * 3}</p><p><a>{'linked ' * 20}</a></p>{'<p>short</p>' * 9}") for k in range(4)],
+        "page_id long, url string, html string",
+    )
     got = html_text.learnt_words(p) - html_text._STOP
     assert got == set(block.split()) - html_text._STOP
     assert html_text.learnt_words(p.limit(0)) == html_text._STOP
@@ -298,7 +334,17 @@ def test_extract_odd_rows(spark):
 
 def test_archives_round_trip(spark, tmp_path):
     big, tricky = "x" * 100_000, "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 100
-    rows = [(1, "u", big), (2, "u", big), (3, None, tricky), (4, "u\r\nX: y", tricky), (4, "v", tricky), (5, "w", None), (None, "n", big), (6, "", "a"), (7, "", "a")]
+    rows = [
+        (1, "u", big),
+        (2, "u", big),
+        (3, None, tricky),
+        (4, "u\r\nX: y", tricky),
+        (4, "v", tricky),
+        (5, "w", None),
+        (None, "n", big),
+        (6, "", "a"),
+        (7, "", "a"),
+    ]
     p = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, name int").repartition(3)
     warc.write(p, f"file://{tmp_path}/warc")
     got = warc.read(spark, f"file://{tmp_path}/warc").collect()
