@@ -7,27 +7,31 @@ and keeps the best of each new entity. A cascade hands on only what the matchers
 from __future__ import annotations
 
 import json
-import math
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import product
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import answer_json, cosine, jaccard_sets, tokens
+from ..functions import answer_json, jaccard_sets, tokens
 from ..sources.shared import small
 
 #: Tokens of more stored names of a class come last among a name's keys.
 HOT_TOKEN = 1000
-#: So many stored vectors a class are compared with each new one; more meet by keys of hyperplanes.
-FEW_VECTORS = 5_000
-#: Keys of a vector, at most, and the chance to miss a pair at the threshold that they aim at.
-MOST_KEYS, MISS = 64, 0.001
+#: Vectors and bytes of them in a block, at most about, and stored vectors below which a block is not parted for more tasks.
+FEW_VECTORS, BLOCK_BYTES, FEW_ROWS = 50_000, 32_000_000, 1_000
+#: Vectors in a block where all pairs are asked for, which may be all of the block's.
+PAIRED = 4_000
+#: Vectors of a tile of a block's matrix product.
+TILE = 2_048
 
 
 class Matcher(Protocol):
@@ -52,11 +56,14 @@ def class_of() -> Column:
 
 
 class _Best:
-    """match() of matchers that have pairs()."""
+    """match() of matchers that have pairs(), or fewer that hold the best of each new entity."""
+
+    def best(self, new: DataFrame, pool: DataFrame) -> DataFrame:
+        return self.pairs(new, pool)
 
     def match(self, new: DataFrame, pool: DataFrame) -> DataFrame:
         """(id, layer, match, confidence): the best candidate of each new entity, the first stored one of several."""
-        top = self.pairs(new, pool).groupBy("id").agg(F.max_by(F.struct("cand", "score"), F.struct("score", -F.col("cand_seq"))).alias("t"))
+        top = self.best(new, pool).groupBy("id").agg(F.max_by(F.struct("cand", "score"), F.struct("score", -F.col("cand_seq"))).alias("t"))
         return top.select("id", F.lit(self.layer).alias("layer"), F.col("t.cand").alias("match"), F.col("t.score").alias("confidence"))
 
 
@@ -95,9 +102,9 @@ class NameMatcher(_Best):
 class EmbeddingMatcher(_Best):
     """Cosine similarity of vectors. embed gives a text's vector as a Column; by default the stored vector is used.
 
-    In a class of more than FEW_VECTORS stored vectors a new one meets those that share a key of it: the sides of some random
-    hyperplanes. There are as many keys as miss a pair at the threshold with a chance of MISS, each of as many
-    hyperplanes as MOST_KEYS keys allow. All pairs that meet are scored exactly.
+    Every new vector of a class meets every stored one, so no pair is missed: both sides are dealt into blocks of at most about
+    ``few`` vectors and BLOCK_BYTES, and each pair of blocks is one matrix product. What comes near the threshold (of
+    match(), near a block's best) is scored again as ``cosine`` does.
     """
 
     threshold: float = 0.90
@@ -110,40 +117,108 @@ class EmbeddingMatcher(_Best):
         text = F.trim(F.concat_ws("\n\n", "name", "description")) if self.text is None else self.text
         return self.embed(text) if self.embed else F.col("embedding")
 
-    def shape(self) -> tuple[int, int]:
-        """Hyperplanes a key, and keys."""
-        same = 1 - math.acos(min(max(self.threshold, -1), 1)) / math.pi  # chance that a hyperplane does not part a pair
-        for bits in range(24, 0, -1):
-            if same == 1 or (keys := math.ceil(math.log(MISS) / math.log1p(-(same**bits)))) <= MOST_KEYS:
-                return bits, 1 if same == 1 else keys
-        return 1, MOST_KEYS
-
-    def keys(self, vector: Column) -> Column:
-        bits, keys = self.shape()
-
-        @F.pandas_udf("array<bigint>")
-        def of(vectors: pd.Series) -> pd.Series:
-            out, planes = [], {}
-            for v in vectors:
-                x = np.zeros(0) if v is None else np.asarray(v, np.float64)
-                if len(x) not in planes:
-                    planes[len(x)] = np.random.default_rng([7, len(x)]).standard_normal((keys, bits, len(x)))
-                sides = (planes[len(x)] @ x >= 0) @ (1 << np.arange(bits, dtype=np.int64))
-                out.append((sides * MOST_KEYS + np.arange(keys)).tolist())
-            return pd.Series(out)
-
-        return of(vector)
-
     def pairs(self, new: DataFrame, pool: DataFrame) -> DataFrame:
-        a = new.select("id", class_of().alias("_class"), self.vector().alias("va"))
-        b = candidates(pool.withColumn("vb", self.vector())).select(F.col("id").alias("cand"), F.col("seq").alias("cand_seq"), "_class", "vb")
-        sizes = b.groupBy("_class").agg((F.count(F.lit(1)) > self.few).alias("many"))
-        a, b = (x.join(small(sizes), "_class") for x in (a, b))
-        pairs = a.where("not many").join(b.where("not many"), "_class").select("id", "cand", "cand_seq", "va", "vb")
-        if not sizes.where("many").isEmpty():
-            far, stored = (x.where("many").withColumn("key", F.explode(self.keys(F.col(c)))) for x, c in ((a, "va"), (b, "vb")))
-            pairs = pairs.unionByName(far.join(stored, ["_class", "key"]).select("id", "cand", "cand_seq", "va", "vb"))
-        return pairs.dropDuplicates(["id", "cand"]).select("id", "cand", "cand_seq", cosine("va", "vb").alias("score")).where(F.col("score") >= self.threshold)
+        return self._scored(new, pool, False).dropDuplicates(["id", "cand"])
+
+    def best(self, new: DataFrame, pool: DataFrame) -> DataFrame:
+        return self._scored(new, pool, True)
+
+    def _scored(self, new: DataFrame, pool: DataFrame, best: bool) -> DataFrame:
+        a = new.select("id", class_of().alias("_class"), self.vector().alias("v"))
+        b = candidates(pool.withColumn("v", self.vector())).select("id", "seq", "_class", "v")
+        size = lambda rows, n: rows.groupBy("_class").agg(F.count(F.lit(1)).alias(n), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias(f"{n}_v"))
+        few = self.few if best else min(self.few, PAIRED)
+        least = lambda n: F.greatest(F.ceil(F.col(n) / few), F.ceil(F.col(f"{n}_v") * 8 / BLOCK_BYTES))
+        # more blocks of stored vectors, for more tasks, as long as new ones are repeated by less than half of all rows
+        more = F.least(F.floor((F.col("na") + F.col("nb")) / (2 * F.col("na"))), F.ceil(F.col("nb") / FEW_ROWS))
+        sizes = small(size(a, "na").join(size(b, "nb"), "_class").select("_class", least("na").alias("rows"), F.greatest(least("nb"), more).alias("cols")))
+        part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        a = a.join(sizes, "_class").select("_class", part("rows").alias("i"), every("cols").alias("j"), F.col("id").alias("new"), "v")
+        b = b.join(sizes, "_class").select("_class", every("rows").alias("i"), part("cols").alias("j"), F.col("id").alias("cand"), F.col("seq").alias("cand_seq"), "v")
+        met = a.groupBy("_class", "i", "j").cogroup(b.groupBy("_class", "i", "j"))
+        return met.applyInArrow(_met(self.threshold, best), "id string, cand string, cand_seq long, score double")
+
+
+def _met(threshold: float, best: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """(id, cand, cand_seq, score) of two blocks: all that reach the threshold, or the best of each new vector."""
+
+    def run(new: pa.Table, stored: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(new) and len(stored):
+            seqs = stored["cand_seq"].fill_null(0).to_numpy()
+            for (at, x, hole_x), (to, y, hole_y) in product(_by_length(new), _by_length(stored)):
+                k = min(x.shape[1], y.shape[1])  # a missing element of the common prefix makes a score of 0
+                x_k, y_k = (np.where(hole[:, :k].any(1)[:, None], 0.0, z[:, :k]) for z, hole in ((x, hole_x), (y, hole_y)))
+                found += [(at[r], to[c], s) for r, c, s in _near(x_k, y_k, seqs[to], threshold, best)]
+        r, c, s = map(np.concatenate, zip(*found, strict=True))
+        if best and len(r):
+            order = np.lexsort((c, seqs[c], -np.where(np.isnan(s), np.inf, s), r))
+            first = order[np.concatenate(([True], np.diff(r[order]) > 0))]
+            r, c, s = r[first], c[first], s[first]
+        cols = [new["new"].take(pa.array(r)), stored["cand"].take(pa.array(c)), stored["cand_seq"].take(pa.array(c)), pa.array(s)]
+        return pa.table(cols, names=["id", "cand", "cand_seq", "score"])
+
+    return run
+
+
+def _by_length(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, matrix and missing elements of the vectors of each length; a missing vector has none."""
+    lengths = np.concatenate([pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in t["v"].chunks])
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        flat = pc.list_flatten(t["v"].take(pa.array(at))).combine_chunks().cast(pa.float64()) if n else pa.array([], pa.float64())
+        hole = flat.is_null().to_numpy(zero_copy_only=False)
+        yield at, flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(at), n), hole.reshape(len(at), n)
+
+
+def _near(x: np.ndarray, y: np.ndarray, seq: np.ndarray, threshold: float, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of x and of y, and scores, of what reaches the threshold; with best, of the best of each row of x at least."""
+    size_x, size_y = (np.abs(z).max(1, initial=0.0) for z in (x, y))
+    rows = np.flatnonzero((size_x != 0) | (threshold <= 0))  # a vector of zeros scores 0
+    cols = np.flatnonzero((size_y != 0) | (threshold <= 0))
+    if best and x.shape[1] and len(cols):  # of equal vectors the first stored one stands for all
+        cols = cols[np.lexsort((cols, seq[cols]))]
+        same = np.ascontiguousarray(y[cols] + 0.0).view(np.dtype((np.void, y.shape[1] * 8))).ravel()
+        cols = cols[np.unique(same, return_index=True)[1]]
+    plain = lambda size: (size > 1e-70) & (size < 1e70)  # noqa: E731  squares neither vanish nor overflow
+    odd_rows, odd_cols = rows[~plain(size_x[rows])], cols[~plain(size_y[cols])]
+    for some, others in ((odd_rows, cols), (np.setdiff1d(rows, odd_rows), odd_cols)):
+        for i in range(0, len(some) if len(others) else 0, step := max(1, 1_000_000 // max(len(others), 1))):
+            part = some[i : i + step]
+            yield from _exact(x, y, np.repeat(part, len(others)), np.tile(others, len(part)), threshold)
+    rows, cols = np.setdiff1d(rows, odd_rows), np.setdiff1d(cols, odd_cols)
+    u, w = (_unit(z[k] / size[k, None]) for z, k, size in ((x, rows, size_x), (y, cols, size_y)))
+    slack = np.float32(4e-6 + 2e-7 * x.shape[1])  # rounding of a product of single precision is below
+    for i in range(0, len(rows), TILE):
+        least = np.full(len(u[i : i + TILE]), threshold - slack, np.float32)
+        for j in range(0, len(cols), TILE):
+            s = u[i : i + TILE] @ w[j : j + TILE].T
+            if best:
+                least = np.maximum(least, (top := s.max(1)) - 2 * slack)
+                some = np.flatnonzero(top >= least)
+                r, c = np.nonzero(s[some] >= least[some, None])
+                r = some[r]
+            else:
+                r, c = np.nonzero(s >= least[:, None])
+            yield from _exact(x, y, rows[i + r], cols[j + c], threshold)
+
+
+def _unit(z: np.ndarray) -> np.ndarray:
+    return (z / np.linalg.norm(z, axis=1)[:, None]).astype(np.float32)
+
+
+def _exact(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Scores of pairs, summed from the first element to the last as ``cosine`` does; not a number counts as the largest."""
+    for i in range(0, len(r), step := max(1, 1_000_000 // max(x.shape[1], 1))):
+        ri, ci = r[i : i + step], c[i : i + step]
+        a, b, s = x[ri], y[ci], np.zeros(len(ri))
+        if x.shape[1]:
+            with np.errstate(all="ignore"):
+                dot, na, nb = (np.cumsum(p, 1)[:, -1] for p in (a * b, a * a, b * b))
+                s = np.where((na == 0) | (nb == 0), 0.0, dot / np.sqrt(na * nb))
+        ok = (s >= threshold) | np.isnan(s)
+        yield ri[ok], ci[ok], s[ok]
 
 
 class UnreadableAnswer(ValueError):

@@ -590,6 +590,28 @@ def test_vectors_meet_by_keys(spark):
     assert len(exact) > 100 and by_key <= exact and len(by_key) >= 0.99 * len(exact)
 
 
+def test_every_vector_is_compared(spark):
+    """No pair at the threshold is missed in a large class, whatever its blocks; scores are those of the formula, odd vectors too."""
+    rng = np.random.default_rng(5)
+    vectors = [v.tolist() for v in rng.standard_normal((400, 8))] + [[0.0] * 8, None, [1.0, None] + [0.0] * 6, [1.0] * 3, [1e-80] * 8]
+    vectors += [vectors[7], vectors[7], [1e90] * 8]
+    rows = [{"id": str(k), "seq": k, "entityType": "XY"[k % 5 == 0], "embedding": v} for k, v in enumerate(vectors)]
+    new, pool = entities(spark, *rows[::3]), entities(spark, *rows)
+    from spanloom.functions import cosine
+
+    both = new.alias("a").join(pool.alias("b"), "entityType").select("a.id", F.col("b.id").alias("cand"), "b.seq", cosine("a.embedding", "b.embedding").alias("s"))
+    want = {(r.id, r.cand): r for r in both.where("s >= 0.3").collect()}
+    for few in (7, 50_000):
+        matcher = dedup.EmbeddingMatcher(0.3, few=few)
+        got = {(r.id, r.cand): r.score for r in matcher.pairs(new, pool).collect()}
+        assert got == {k: r.s for k, r in want.items()} and len(got) > 1000
+        best = {r.id: (r.match, r.confidence) for r in matcher.match(new, pool).collect()}
+        top = {}
+        for (i, c), r in want.items():
+            top[i] = max(top.get(i, (-1, 0, "")), (r.s, -r.seq, c))
+        assert best == {i: (c, s) for i, (s, _, c) in top.items()}
+
+
 def test_example_adapter(spark):
     store = GraphStore(spark, as_of=NOW)
     text = lambda *rows: spark.createDataFrame(list(rows), "seq int, text string")
