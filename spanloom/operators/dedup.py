@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import answer_json, jaccard_sets, tokens
 from ..sources.shared import small
 
-#: Tokens of more stored names of a class come last among a name's keys.
+#: Tokens of more stored names (of match(): different ones) of a class come last among a name's keys.
 HOT_TOKEN = 1000
 #: Vectors and bytes of them in a block, at most about, and stored vectors below which a block is not parted for more tasks.
 FEW_VECTORS, BLOCK_BYTES, FEW_ROWS = 50_000, 32_000_000, 1_000
@@ -70,14 +70,31 @@ class _Best:
 @dataclass
 class NameMatcher(_Best):
     """Jaccard similarity of the names' tokens. Two sets of this similarity share one of the first few tokens of
-    either, in any order that both follow; those of many stored names come last in it, so keys are rare."""
+    either, in any order that both follow; those of many stored names come last in it, so keys are rare. match() compares
+    different sets only, so copies of a name cost nothing."""
 
     threshold: float = 0.85
     layer: str = "name"
 
     def pairs(self, new: DataFrame, pool: DataFrame) -> DataFrame:
+        return self._met(*self._sides(new, pool), ["id", "cand"]).select("id", "cand", "cand_seq", "score")
+
+    def best(self, new: DataFrame, pool: DataFrame) -> DataFrame:
+        """Of new entities with one set of tokens in a class one is compared, and of stored ones the first."""
+        a, b = self._sides(new, pool)
+        a = a.withColumn("ta", F.array_sort("ta"))
+        first = F.min(F.struct(F.col("cand_seq").isNull().alias("none"), "cand_seq", "cand")).alias("first")
+        b = b.groupBy("_class", F.array_sort("tb").alias("tb")).agg(first).select("_class", "tb", "first.cand", "first.cand_seq")
+        met = self._met(a.select("_class", "ta").distinct(), b, ["_class", "ta", "tb"])
+        top = F.max_by(F.struct("cand", "cand_seq", "score"), F.struct("score", -F.col("cand_seq"))).alias("t")
+        return a.join(met.groupBy("_class", "ta").agg(top), ["_class", "ta"]).select("id", "t.cand", "t.cand_seq", "t.score")
+
+    def _sides(self, new: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
         a = new.select("id", class_of().alias("_class"), tokens("name").alias("ta"))
-        b = candidates(pool).select(F.col("id").alias("cand"), F.col("seq").alias("cand_seq"), "_class", tokens("name").alias("tb"))
+        return a, candidates(pool).select(F.col("id").alias("cand"), F.col("seq").alias("cand_seq"), "_class", tokens("name").alias("tb"))
+
+    def _met(self, a: DataFrame, b: DataFrame, unique: list[str]) -> DataFrame:
+        """Pairs of sets that reach the threshold, with their score and what else the two sides have, once for each of the columns ``unique``."""
         if self.threshold > 0:
             often = b.select("_class", F.explode("tb").alias("token")).groupBy("_class", "token").agg(F.count(F.lit(1)).alias("n"))
             often = small(often.where(F.col("n") > HOT_TOKEN).groupBy("_class").agg(F.sort_array(F.collect_list("token")).alias("often")))
@@ -92,10 +109,10 @@ class NameMatcher(_Best):
 
             pairs = keyed(a, "ta").join(keyed(b, "tb"), ["_class", "key"])
             size_a, size_b = F.size("ta"), F.size("tb")
-            pairs = pairs.where(F.least(size_a, size_b) >= F.greatest(size_a, size_b) * self.threshold - 1e-9).dropDuplicates(["id", "cand"])
+            pairs = pairs.where(F.least(size_a, size_b) >= F.greatest(size_a, size_b) * self.threshold - 1e-9)
         else:
-            pairs = a.join(b, "_class").dropDuplicates(["id", "cand"])
-        return pairs.select("id", "cand", "cand_seq", jaccard_sets(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") >= self.threshold)
+            pairs = a.join(b, "_class")
+        return pairs.dropDuplicates(unique).withColumn("score", jaccard_sets(F.col("ta"), F.col("tb"))).where(F.col("score") >= self.threshold)
 
 
 @dataclass

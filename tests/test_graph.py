@@ -580,6 +580,23 @@ def test_name_matcher_keeps_every_match(spark, monkeypatch):
         assert {(r.id, r.cand) for r in dedup.NameMatcher(t).pairs(new, pool).collect()} == want
 
 
+def test_name_matcher_compares_copies_once(spark, monkeypatch):
+    """The best of each is that of all pairs, first by score and then by seq, and copies of names make no pairs."""
+    rng, words = random.Random(4), [f"w{k}" for k in range(6)]
+    rows = [{"id": str(k), "seq": (k * 7) % 400, "name": " ".join(rng.sample(words, rng.randint(1, 4))), "entityType": "XY"[k % 9 == 0]} for k in range(400)]
+    new, pool = entities(spark, *rows[::3]), entities(spark, *rows[1::3], *rows[2::3])
+    made = []
+    whole = dedup.NameMatcher._met
+    monkeypatch.setattr(dedup.NameMatcher, "_met", lambda self, a, b, unique: made.append((a.count(), b.count())) or whole(self, a, b, unique))
+    for t in (0.5, 0.85, 0.0):
+        matcher, top = dedup.NameMatcher(t), {}
+        for r in matcher.pairs(new, pool).collect():
+            top[r.id] = max(top.get(r.id, (-1, 0, "")), (r.score, -r.cand_seq, r.cand))
+        assert {r.id: (r.confidence, r.match) for r in matcher.match(new, pool).collect()} == {i: (s, c) for i, (s, _, c) in top.items()}
+        sets = {(r["entityType"], *sorted(r["name"].split())) for r in rows}
+        assert max(made[-1]) <= len(sets) < 100 and len(top) > 80
+
+
 def test_vectors_meet_by_keys(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((150, 32))
