@@ -597,6 +597,19 @@ def test_name_matcher_compares_copies_once(spark, monkeypatch):
         assert max(made[-1]) <= len(sets) < 100 and len(top) > 80
 
 
+def test_cascade_makes_no_pairs_of_copies(spark, monkeypatch):
+    """A layer of names hands on its best without making all pairs of copies, which grow with the square of a class."""
+
+    def refused(*_):
+        raise AssertionError("all pairs are made")
+
+    monkeypatch.setattr(dedup.NameMatcher, "pairs", refused)
+    rows = [{"id": str(k), "seq": k, "name": "b a" if k % 2 else "a b", "entityType": "X"} for k in range(600)]
+    new, pool = entities(spark, *rows[::2], {"id": "z", "seq": 999, "name": "c", "entityType": "X"}), entities(spark, *rows[1::2])
+    got = {(r.layer, r.match): r["count"] for r in dedup.LayeredDeduplicator([dedup.NameMatcher()]).dedup(new, pool).groupBy("layer", "match").count().collect()}
+    assert got == {("name", "1"): 300, (None, None): 1}
+
+
 def test_vectors_meet_by_keys(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((150, 32))
