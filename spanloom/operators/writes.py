@@ -301,6 +301,21 @@ def fold_segments(segments: Column) -> Column:
     return F.element_at(F.transform(F.array(pairs), one), 1)
 
 
+def fold_rows(segments: DataFrame, by: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """fold_segments() for segments that are rows: kept ones (by, order, confirmations: their number), and confirmations
+    (first: the ``order`` of the kept one, then their own columns), a row each.
+
+    Rows of one ``by`` fold whose texts are equal, white space aside, or all missing; the first by ``order`` is kept. Texts are
+    known by their SHA-256, so they are not moved to be grouped, and an entity may have any number of segments.
+    """
+    keyed = segments.withColumn("_text", F.sha2(normalize_text("text").cast("binary"), 256))
+    first = keyed.groupBy(by, "_text").agg(F.min(order).alias("first"), (F.count(F.lit(1)) - 1).alias("confirmations"))
+    kept = first.select(F.col(by), F.col("first").alias(order), "confirmations")
+    a, b = keyed.alias("a"), first.alias("b")
+    rest = a.join(b, F.col(f"a.{by}").eqNullSafe(F.col(f"b.{by}")) & F.col("a._text").eqNullSafe(F.col("b._text")) & (F.col(f"a.{order}") > F.col("b.first")))
+    return kept, rest.select("b.first", *(F.col(f"a.{c}") for c in segments.columns))
+
+
 # ---------------------------------------------------------------- resolution
 
 

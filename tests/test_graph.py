@@ -291,6 +291,18 @@ def test_segments_fold(spark):
     assert [(s.text, len(s.confirmations)) for s in got] == [("a  b", 1), ("A b", 0)]
 
 
+def test_segments_fold_as_rows(spark):
+    """As the fold of an array; missing texts fold, too, and 20,000 different texts of one entity are no array."""
+    rows = [("e", 3, "a  b"), ("e", 1, "a b "), ("e", 2, "A b"), ("f", 4, "a b"), (None, 5, "x"), (None, 6, " x"), ("f", 7, None), ("f", 8, None), ("f", 9, "")]
+    kept, rest = writes.fold_rows(spark.createDataFrame(rows, "e string, n int, text string"), "e", "n")
+    assert sorted((r.e or "", r.n, r.confirmations) for r in kept.collect()) == [
+        ("", 5, 1), ("e", 1, 1), ("e", 2, 0), ("f", 4, 0), ("f", 7, 1), ("f", 9, 0)
+    ]
+    assert sorted((r.first, r.n, r.text or "") for r in rest.collect()) == [(1, 3, "a  b"), (5, 6, " x"), (7, 8, "")]
+    many = spark.range(40_000).selectExpr("'e' AS e", "id AS n", "concat('t ', id % 20000) AS text")
+    assert writes.fold_rows(many, "e", "n")[0].agg(F.count("n"), F.sum("confirmations"), F.max("n")).first()[:] == (20_000, 20_000, 19_999)
+
+
 def copy(spark, nodes, edges=(), tombs=()):
     e = entities(spark, *({"seq": k, "id": i, "name": n, "updatedAt": t} for k, (i, n, t) in enumerate(nodes)))
     t = spark.createDataFrame([(k, key, at, None) for k, key, at in tombs], TOMBSTONES)
