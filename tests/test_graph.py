@@ -378,6 +378,22 @@ def test_communities_of_planted_cliques(spark, monkeypatch, few):
     assert graph.communities(e, r)[2].first()[0] >= graph.modularity(r, planted).first()[0] - 0.02
 
 
+def test_communities_by_components(spark, monkeypatch):
+    """A graph of more edges than one task takes needs no rounds if none of its components does; the one that does goes in rounds."""
+    cliques = {c: range(9 if c == "k" else 4) for c in "abcdefghk"}
+    edges = [(f"{c}{i}", "t", f"{c}{j}") for c, own in cliques.items() for i in own for j in own if i < j] + [("l", "t", "l"), ("a0", "t", "a0")]
+    nodes = [f"{c}{i}" for c, own in cliques.items() for i in own] + ["l", "m"]
+    e, r = entities(spark, *({"id": n, "seq": k} for k, n in enumerate(nodes))), relations(spark, *edges)
+    rounds, whole = [], graph._by_rounds
+    monkeypatch.setattr(graph, "_by_rounds", lambda edges, *rest: rounds.append(edges.count()) or whole(edges, *rest))
+    for few, shared, want in ((40, 20, []), (40, 1, []), (20, 20, [72])):
+        monkeypatch.setattr(graph, "FEW_EDGES", few)
+        monkeypatch.setattr(graph, "SHARED_EDGES", shared)
+        rounds.clear()
+        got = {x.id: x.community for x in graph.communities(e, r)[1].collect()}
+        assert got == {n: f"{n[0]}0" if n[0] in cliques else n for n in nodes} and rounds == want
+
+
 def test_cascade_layers(spark):
     pool = entities(
         spark,
