@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answer_json, jaccard_sets, tokens
-from ..sources.shared import small
+from ..sources.shared import small, work_dir, written
 
 #: Tokens of more stored names (of match(): different ones) of a class come last among a name's keys.
 HOT_TOKEN = 1000
@@ -70,8 +70,8 @@ class _Best:
 @dataclass
 class NameMatcher(_Best):
     """Jaccard similarity of the names' tokens. Two sets of this similarity share one of the first few tokens of
-    either, in any order that both follow; those of many stored names come last in it, so keys are rare. match() compares
-    different sets only, so copies of a name cost nothing."""
+    either, in any order that both follow; those of many stored names come last in it, so keys are rare. match() splits
+    different names only and compares different sets only, so copies of a name cost nothing."""
 
     threshold: float = 0.85
     layer: str = "name"
@@ -81,23 +81,28 @@ class NameMatcher(_Best):
 
     def best(self, new: DataFrame, pool: DataFrame) -> DataFrame:
         """Of new entities with one set of tokens in a class one is compared, and of stored ones the first."""
-        a, b = self._sides(new, pool)
-        a = a.withColumn("ta", F.array_sort("ta"))
-        first = F.min(F.struct(F.col("cand_seq").isNull().alias("none"), "cand_seq", "cand")).alias("first")
-        b = b.groupBy("_class", F.array_sort("tb").alias("tb")).agg(first).select("_class", "tb", "first.cand", "first.cand_seq")
-        met = self._met(a.select("_class", "ta").distinct(), b, ["_class", "ta", "tb"])
+        name, words = F.coalesce("name", F.lit("")).alias("_name"), F.array_sort(tokens("_name"))
+        a, at = new.select("id", class_of().alias("_class"), name), work_dir(new.sparkSession)
+        # written, as one distinct() over another would split the names of all rows
+        names = written(a.select("_class", "_name").distinct().withColumn("ta", words), f"{at}/names")
+        first = F.min(F.struct(F.col("seq").isNull().alias("none"), F.col("seq").alias("cand_seq"), F.col("id").alias("cand"))).alias("first")
+        b = candidates(pool).groupBy("_class", name).agg(first).groupBy("_class", words.alias("tb")).agg(F.min("first").alias("first"))
+        b = written(b.select("_class", "tb", "first.cand", "first.cand_seq"), f"{at}/sets")
+        met = self._met(names.select("_class", "ta").distinct(), b, [])
         top = F.max_by(F.struct("cand", "cand_seq", "score"), F.struct("score", -F.col("cand_seq"))).alias("t")
-        return a.join(met.groupBy("_class", "ta").agg(top), ["_class", "ta"]).select("id", "t.cand", "t.cand_seq", "t.score")
+        found = names.join(met.groupBy("_class", "ta").agg(top), ["_class", "ta"]).select("_class", "_name", "t")
+        return a.join(found, ["_class", "_name"]).select("id", "t.cand", "t.cand_seq", "t.score")
 
     def _sides(self, new: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
         a = new.select("id", class_of().alias("_class"), tokens("name").alias("ta"))
         return a, candidates(pool).select(F.col("id").alias("cand"), F.col("seq").alias("cand_seq"), "_class", tokens("name").alias("tb"))
 
     def _met(self, a: DataFrame, b: DataFrame, unique: list[str]) -> DataFrame:
-        """Pairs of sets that reach the threshold, with their score and what else the two sides have, once for each of the columns ``unique``."""
+        """Pairs of sets that reach the threshold, with their score and what else the two sides have, once for each of the columns ``unique``, if any."""
         if self.threshold > 0:
             often = b.select("_class", F.explode("tb").alias("token")).groupBy("_class", "token").agg(F.count(F.lit(1)).alias("n"))
-            often = small(often.where(F.col("n") > HOT_TOKEN).groupBy("_class").agg(F.sort_array(F.collect_list("token")).alias("often")))
+            often = often.where(F.col("n") > HOT_TOKEN).groupBy("_class").agg(F.sort_array(F.collect_list("token")).alias("often"))
+            often = small(written(often, f"{work_dir(b.sparkSession)}/often"))
 
             def keyed(rows: DataFrame, of: str) -> DataFrame:
                 rows = rows.join(often, "_class", "left").withColumn("often", F.coalesce("often", F.array().cast("array<string>")))
@@ -112,7 +117,8 @@ class NameMatcher(_Best):
             pairs = pairs.where(F.least(size_a, size_b) >= F.greatest(size_a, size_b) * self.threshold - 1e-9)
         else:
             pairs = a.join(b, "_class")
-        return pairs.dropDuplicates(unique).withColumn("score", jaccard_sets(F.col("ta"), F.col("tb"))).where(F.col("score") >= self.threshold)
+        pairs = pairs.withColumn("score", jaccard_sets(F.col("ta"), F.col("tb"))).where(F.col("score") >= self.threshold)
+        return pairs.dropDuplicates(unique) if unique else pairs
 
 
 @dataclass
@@ -311,8 +317,8 @@ class SemanticMatcher(_Best):
 
 @dataclass
 class LayeredDeduplicator:
-    """Matchers in order. With short_circuit what one resolves is not seen by the next; without, all are asked
-    and the first that matched decides."""
+    """Matchers in order. With short_circuit what one resolves is not seen by the next, and is written to the shared
+    folder, so that no layer runs again for those after it; without, all are asked and the first that matched decides."""
 
     layers: list = field(default_factory=list)
     short_circuit: bool = True
@@ -322,6 +328,8 @@ class LayeredDeduplicator:
         out, rest = None, new
         for k, layer in enumerate(self.layers):
             found = layer.match(rest, pool).withColumn("layer_ord", F.lit(k))
+            if self.short_circuit and k + 1 < len(self.layers):
+                found = written(found, f"{work_dir(new.sparkSession)}/{k}")
             out = found if out is None else out.unionByName(found)
             if self.short_circuit:
                 rest = rest.join(found.select("id"), "id", "left_anti")

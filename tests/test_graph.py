@@ -638,6 +638,40 @@ def test_cascade_makes_no_pairs_of_copies(spark, monkeypatch):
     assert got == {("name", "1"): 300, (None, None): 1}
 
 
+def test_cascade_splits_copies_once_and_runs_each_layer_once(spark, monkeypatch):
+    """A name of many entities is split a few times in all, and what a layer finds is found once, whatever comes after it."""
+    sc, kind = spark.sparkContext, "array<string>"
+    split, made = sc.accumulator(0), [sc.accumulator(0) for _ in range(3)]
+
+    def words(name):
+        split.add(1)
+        return sorted(set(name.lower().split()))
+
+    class Watched:
+        def __init__(self, k, layer):
+            self.k, self.layer = k, layer
+
+        def match(self, new, pool):
+            count, found = made[self.k], self.layer.match(new, pool)
+
+            def run(batches):
+                for b in batches:
+                    count.add(len(b))
+                    yield b
+
+            return found.mapInPandas(run, found.schema)
+
+    monkeypatch.setattr(dedup, "tokens", lambda name: F.udf(words, kind)(name))
+    rows = [{"id": str(k), "seq": k, "name": ("b a", "a b", "c")[k % 3] + (" d" if k % 4 < 1 else ""), "entityType": "XY"[k % 5 == 0]} for k in range(1200)]
+    new, pool = entities(spark, *rows[::2]), entities(spark, *(r for r in rows[1::2] if r["name"][0] != "c"))
+    assert dedup.NameMatcher().match(new, pool).count() == 200 and split.value < 200
+    layers = [Watched(k, m) for k, m in enumerate((dedup.NameMatcher(), dedup.NameMatcher(0.6), dedup.NameMatcher(0.0)))]
+    layers[1].layer.layer, layers[2].layer.layer = "near", "any"
+    got = {(r.layer, r["count"]) for r in dedup.LayeredDeduplicator(layers).dedup(new, pool).groupBy("layer").count().collect()}
+    assert got == {("name", 200), ("near", 200), ("any", 200)}
+    assert [x.value for x in made] == [200, 200, 200]
+
+
 def test_vectors_meet_by_keys(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((150, 32))
