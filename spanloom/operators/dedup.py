@@ -47,8 +47,9 @@ class Matcher(Protocol):
 
 def candidates(pool: DataFrame) -> DataFrame:
     """Stored entities once for each class that names them, so that either class column meets an equi-join."""
-    kinds = F.array_distinct(F.filter(F.array("entityType", "ontologyClass"), lambda c: c.isNotNull()))
-    return pool.withColumn("_class", F.explode(kinds))
+    one, other = F.col("entityType"), F.col("ontologyClass")
+    kinds = F.when(other.isNull() | (one == other), F.array(one)).when(one.isNull(), F.array(other)).otherwise(F.array(one, other))
+    return pool.where(one.isNotNull() | other.isNotNull()).withColumn("_class", F.explode(kinds))
 
 
 def class_of() -> Column:
