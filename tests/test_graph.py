@@ -6,6 +6,7 @@ import random
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -394,6 +395,44 @@ def test_communities_by_components(spark, monkeypatch):
         assert got == {n: f"{n[0]}0" if n[0] in cliques else n for n in nodes} and rounds == want
 
 
+def test_communities_do_not_write_their_edges_one_by_one(spark, monkeypatch):
+    """Edges of a large component are exchanged in packs, whichever partitions hold them; dangling ones and repeated ones count as they should."""
+    edges = [(f"{c}{i:02}", "t", f"{c}{j:02}") for c in "abc" for i in range(80) for j in range(i)]
+    edges += [("a01", "t", "a00"), ("b00", "t", "b00"), ("x", "t", "a00"), ("a00", "t", "y")] + [(f"d{i:03}", "t", f"d{i // 10:03}") for i in range(1, 100)]
+    nodes = [f"{c}{i:02}" for c in "abc" for i in range(80)] + [f"d{i:03}" for i in range(100)] + ["alone"]
+    rows, written = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, path: rows.setdefault(path, written(df, path)))
+    monkeypatch.setattr(graph, "FEW_EDGES", 4_000)
+    monkeypatch.setattr(graph, "SHARED_EDGES", 500)
+    e, r = entities(spark, *({"id": n, "seq": k} for k, n in enumerate(nodes))), relations(spark, *edges).repartition(2)
+    _, members, q = graph.communities(e, r)
+    got = {x.id: x.community for x in members.collect()}
+    assert set(got) == set(nodes) and {n: got[n] for n in nodes if n[0] in "abc"} == {n: f"{n[0]}00" if n != "alone" else n for n in nodes if n[0] in "abc"}
+    assert {got[n] for n in nodes if n[0] == "d"} == {"d000"} and q.first()[0] > 0.6  # as large as the others, it would be split
+    assert max(t.count() for t in rows.values()) < len(edges) // 4
+
+
+@pytest.mark.parametrize("n, edges", [(400, 60_000), (3_000, 40_000), (300, 4_000)])
+def test_no_node_gains_when_settled(n, edges):
+    """By the matrix, by batches and node after node."""
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, n, edges), rng.integers(0, n, edges)
+    b = np.where(rng.random(edges) < 0.3, a // 20 * 20 + b % 20, b) % n
+    u, v, w = graph._summed(np.concatenate((a, b)), np.concatenate((b, a)), np.ones(2 * edges), n)
+    label = np.asarray(graph._settled(u, v, w, n, 2.0 * edges, random.Random(3)))
+    into, k = np.zeros((n, n)), np.bincount(u, w, n)
+    np.add.at(into, (u[u != v], label[v[u != v]]), w[u != v])
+    gain = into - k[:, None] * (np.bincount(label, k, n)[None, :] - k[:, None] * (label[:, None] == np.arange(n))) / (2.0 * edges)
+    assert 1 < len(set(label.tolist())) < n and (np.where(into > 0, gain, -np.inf).max(1) <= gain[np.arange(n), label] + 1e-6).all()
+
+
+def test_leaves_follow():
+    """A node of one neighbour goes with it before any level; of two that have no other, one does."""
+    table = pa.table({"u": ["h", "h", "h", "p", "l"], "v": ["a", "b", "c", "q", "l"], "w": [1.0, 2.0, 1.0, 1.0, 1.0]})
+    found = graph._louvain(table, 12.0, 1)
+    assert dict(zip(*(found[c].to_pylist() for c in ("id", "found")))) == {"h": "a", "a": "a", "b": "a", "c": "a", "p": "p", "q": "p", "l": "l"}
+
+
 def test_cascade_layers(spark):
     pool = entities(
         spark,
